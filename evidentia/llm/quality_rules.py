@@ -77,7 +77,7 @@ BASE_RULES: Sequence[Rule] = (
 RULES: Sequence[Rule] = (
     *BASE_RULES,
     ("symbols", lambda s: 10 * s.n_symbols > 3 * s.n_words),
-    ("duplicate_lines", lambda s: 10 * s.n_dup_lines > 3 * len(s.lines)),
+    ("duplicate_lines", lambda s: 10 * s.n_dup_lines > 6 * len(s.lines)),
     ("word_length", lambda s: s.n_words > 0 and not 2 * s.n_words <= s.word_chars <= 15 * s.n_words),
     ("upper_case", lambda s: 10 * s.n_upper > 3 * s.word_chars),
 )
@@ -167,7 +167,7 @@ f AS (SELECT w.doc_id, len(ws) AS n_words, len(regexp_replace(text, '[\x20\x09-\
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
        n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
-       NOT (base_failed OR 10 * n_symbols > 3 * n_words OR 10 * n_dup_lines > 3 * n_lines
+       NOT (base_failed OR 10 * n_symbols > 3 * n_words OR 10 * n_dup_lines > 6 * n_lines
             OR (n_words > 0 AND NOT (word_chars BETWEEN 2 * n_words AND 15 * n_words))
             OR 10 * n_upper > 3 * word_chars) AS kept
 FROM b
