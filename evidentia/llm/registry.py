@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from evidentia.llm import quality_rules, simhash
+from evidentia.llm import byte_bpe, quality_rules, simhash
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op6_byte_bpe": byte_bpe.op6_byte_bpe,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
 }
 ORACLES = {
