@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from evidentia.llm import byte_bpe, quality_rules, simhash
+from evidentia.llm import byte_bpe, mixing, quality_rules, simhash
 
 QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op6_byte_bpe": byte_bpe.op6_byte_bpe,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
