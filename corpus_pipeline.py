@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evidentia.llm import quality_rules
+from evidentia.llm import byte_bpe, mixing, quality_rules, simhash, substring_dedup
 from evidentia.llm.common import materialize, table
 
 
@@ -15,15 +16,40 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return quality_rules.quality_filter(docs)
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, that of the smallest id."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later occurrences of repeated sentence spans leave the texts; n_chars follows."""
+    return substring_dedup.substring_dedup(docs).drop("dedup").withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Whole documents, a row for each time that the mix takes one, in shuffled shards."""
+    return mixing.shards(docs)
+
+
+def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per document taken: its ids, their number and the digests of ids and decoded bytes."""
+    return byte_bpe.encode(docs, keep_ids=True)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", drop_low_quality),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("substring_dedup", drop_repeated_passages),
+    ("mixing", mix_sources),
+    ("byte_bpe", encode_texts),
 ]
 
-#: The stages sample, hash by seed and tokenise, which SQL doesn't express.
+#: SQL expresses neither the seeded mix nor the tokeniser; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over the documents table."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
