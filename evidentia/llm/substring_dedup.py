@@ -1,8 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
 A sentence here ends at a full stop, question or exclamation mark, comma, semicolon or colon before white space, or at a line
-end. From every sentence a span runs over the fewest consecutive sentences, two at least, that hold 15 words. Spans are hashed
-and joined over all documents; the first occurrence by (doc_id, position) stays, and sentences that another occurrence covers
+end. From every sentence on, and up to every sentence, a span runs over the fewest consecutive sentences, two at least, that
+hold 15 words; so any longer repeated run is covered from its first sentence to its last. Spans are hashed and joined over all documents; the first occurrence by (doc_id, position) stays, and sentences that another occurrence covers
 are removed. Two spans are equal if their lower-cased words are, whatever the white space and the marks at sentence ends; they
 are compared by 64-bit hashes.
 """
@@ -42,21 +42,22 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def spans(text: str, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """Sentence bounds; hash and end (exclusive sentence number) of the span from each sentence that has one."""
+def spans(text: str, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """Sentence bounds; hash, first sentence and end (exclusive) of every span, in order of place."""
     bounds = sentence_bounds(text)
     digest = xxhash.xxh64_intdigest
     words = [text[a:b].lower().rstrip().rstrip(MARKS).split() for a, b in zip(bounds, bounds[1:])]
     hashes = np.array([digest(" ".join(w).encode()) for w in words], np.uint64)
     upto = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
-    n = len(words)
-    ends = np.maximum(np.searchsorted(upto, upto[:-1] + min_words, "left"), np.arange(n) + min_sentences)
-    ends = ends[: np.searchsorted(ends, n, "right")]  # ends rise
-    first = np.arange(len(ends))
+    n, each = len(words), np.arange(len(words))
+    ends = np.maximum(np.searchsorted(upto, upto[:-1] + min_words, "left"), each + min_sentences)
+    firsts = np.minimum(np.searchsorted(upto, upto[1:] - min_words, "right") - 1, each + 1 - min_sentences)
+    both = np.concatenate([(each * (n + 1) + ends)[ends <= n], (firsts * (n + 1) + each + 1)[firsts >= 0]])
+    first, end = np.divmod(np.unique(both), n + 1)
     with np.errstate(over="ignore"):
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * _powers(FACTOR, n), dtype=np.uint64)])
-        found = (sums[ends] - sums[first]) * _powers(INVERSE, n)[first]
-    return bounds, found.view(np.int64), ends
+        found = (sums[end] - sums[first]) * _powers(INVERSE, n)[first]
+    return bounds, found.view(np.int64), first, end
 
 
 def _postings(batches, min_sentences: int, min_words: int):
@@ -81,10 +82,10 @@ def _postings(batches, min_sentences: int, min_words: int):
 
 def _removed(text: str, at: list[int], min_sentences: int, min_words: int) -> list[tuple[int, int]]:
     """Character ranges that the repeated spans from the sentences at cover, joined where they meet."""
-    bounds, _, ends = spans(text, min_sentences, min_words)
+    bounds, _, first, end = spans(text, min_sentences, min_words)
     out: list[list[int]] = []
     for i in sorted(set(at)):
-        a, b = bounds[i], bounds[ends[i]]
+        a, b = bounds[first[i]], bounds[end[i]]
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:

@@ -16,15 +16,14 @@ def brute(rows):
         units = [t[a:b] for a, b in zip(bounds, bounds[1:])]
         norm = [" ".join(u.lower().rstrip().rstrip(sd.MARKS).split()) for u in units]
         gone = set()
+        total = lambda a, b: sum(len(x.split()) for x in norm[a:b])
+        enough = lambda a, b: 0 <= a and b - a >= 2 and total(a, b) >= 15
         for a in range(len(units)):
-            b = a + 2
-            while b <= len(units) and sum(len(x.split()) for x in norm[a:b]) < 15:
-                b += 1
-            if b > len(units):
-                break
-            key = tuple(norm[a:b])
-            if seen.setdefault(key, (i, a)) != (i, a):
-                gone |= set(range(a, b))
+            for b in range(a + 2, len(units) + 1):
+                if enough(a, b) and not (enough(a, b - 1) and enough(a + 1, b)):
+                    key = tuple(norm[a:b])
+                    if seen.setdefault(key, (i, a)) != (i, a):
+                        gone |= set(range(a, b))
         out[i] = "".join(u for k, u in enumerate(units) if k not in gone)
     return out
 
