@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from evidentia.llm import byte_bpe, mixing, quality_rules, simhash, substring_dedup, token_store
+from evidentia.llm import byte_bpe, mixing, pivot_index, quality_rules, simhash, substring_dedup, token_store
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_token_store": token_store.op4_token_store,
+    "op5_pivot_index": pivot_index.op5_pivot_index,
     "op6_byte_bpe": byte_bpe.op6_byte_bpe,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
 }
