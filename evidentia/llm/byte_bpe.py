@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from evidentia.llm.common import materialize, pick, table, text_or_empty
 
-CHUNK = 1 << 14
+CHUNK = 1 << 16
 OVERLAP = 512
 
 
@@ -162,8 +162,8 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
     short = rows.where(F.length("text") <= chunk).mapInArrow(whole, f"doc_id {kind}, {found}")
 
     keyed = rows.where(F.length("text") > chunk).withColumn("h", F.sha2("text", 256))
-    texts = keyed.select("h", "text").dropDuplicates(["h"])
-    chunks = materialize(texts.mapInArrow(lambda b: _cut(b, chunk, overlap), "h string, k bigint, chunk string").repartition("h", "k"), "bpe-chunks")
+    cut = keyed.select("h", "text").mapInArrow(lambda b: _cut(b, chunk, overlap), "h string, k bigint, chunk string")
+    chunks = materialize(cut.dropDuplicates(["h", "k"]), "bpe-chunks")  # deals the chunks of each text over the tasks
     edges = chunks.mapInArrow(lambda b: _edges(b, chunk, overlap, pattern), "h string, k bigint, head array<int>, tail array<int>")
     # what each chunk meets: the stitch in its overlap with the next one, or null where the text or the agreement ends
     left = edges.select("h", "k", "tail")
