@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evidentia.llm import byte_bpe, mixing, pairwise_quality, pivot_index, pu_toxicity, quality_rules, simhash, substring_dedup, token_store
+from evidentia.llm import byte_bpe, maxent_lm, mixing, pairwise_quality, pivot_index, pu_toxicity, quality_rules, simhash, substring_dedup, token_store
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_token_store": token_store.op4_token_store,
     "op5_pivot_index": pivot_index.op5_pivot_index,
     "op6_byte_bpe": byte_bpe.op6_byte_bpe,
+    "op7_maxent_lm": maxent_lm.op7_maxent_lm,
     "op8_pairwise_quality": pairwise_quality.op8_pairwise_quality,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_pu_toxicity": pu_toxicity.op10_pu_toxicity,
