@@ -29,8 +29,9 @@ BLOCK = 256
 SEGMENT = 1 << 19
 #: Entries that a worker's cache of encoded letter runs may hold.
 CACHE = 400_000
-#: Precomposed Latin letters, which no normalisation changes, then marks: two pre-tokens of the tokeniser at most.
-PLAIN = re.compile(r"([a-zA-ZÀ-ÖØ-öø-įı-ɏ]+)([.,;:!?&$%#*|]*)")
+#: A line: precomposed Latin letters in lower case, which no normalisation changes, then marks, two pre-tokens of the tokeniser
+#: at most; or anything else.
+PLAIN = re.compile(r"(?:([a-zß-öø-įı-ɏ]+)([.,;:!?&$%#*|]*)(?=\n)|(.*))\n")
 
 
 def default_tokenizer() -> str:
@@ -61,32 +62,28 @@ class _WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16)
 
     def runs(self, wanted: set[str]) -> dict[str, bytes]:
-        out, new = {}, []
-        for run in wanted:
-            got = self.known.get(run)
-            if got is None:
-                new.append(run)
-            else:
-                out[run] = got
+        """The ids of those runs that the cache lacks; the cache takes them up while it has room."""
+        new, made = list(wanted - self.known.keys()), {}
         for k in range(0, len(new), 512):
             part = new[k : k + 512]
             ids = self.ids(" ".join(part))
-            cuts = np.flatnonzero(self.last[ids]) + 1
+            cuts = (2 * np.flatnonzero(self.last[ids]) + 2).tolist()
             if len(cuts) == len(part):
-                made = dict(zip(part, (x.tobytes() for x in np.split(ids, cuts[:-1]))))
+                raw = ids.tobytes()
+                made |= {run: raw[a:b] for run, a, b in zip(part, [0, *cuts], cuts)}
             else:
-                made = {run: self.ids(run).tobytes() for run in part}
-            out |= made
-            if len(self.known) < CACHE:
-                self.known |= made
-        return out
+                made |= {run: self.ids(run).tobytes() for run in part}
+        if len(self.known) < CACHE:
+            self.known |= made
+        return made
 
     def words(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word, as bytes of 16-bit integers."""
-        split = [PLAIN.fullmatch(w.decode()) for w in words]
-        of = self.runs({x.lower() for m in split if m for x in m.groups() if x})
-        of[""] = b""
-        return [of[m[1].lower()] + of[m[2]] if m else self.ids(w.decode()).tobytes() for m, w in zip(split, words)]
+        split = PLAIN.findall(b"\n".join([*words, b""]).decode().lower())
+        known, made = self.known, self.runs({x for a, b, _ in split if a for x in (a, b)} - {""})
+        made[""] = b""
+        of = lambda x: known.get(x) or made[x]
+        return [of(a) + (of(b) if b else b"") if a else self.ids(w.decode()).tobytes() for (a, b, _), w in zip(split, words)]
 
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, END after each text, and the number of ids of each."""
@@ -119,8 +116,8 @@ def tokenize(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def encoded(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 4000):
+                part = batch.slice(at, 4000)
                 ids, lengths = _encoder(path).texts(part.column(1).to_pylist())
                 cuts = np.cumsum(lengths)[:-1]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in np.split(ids, cuts)], pa.binary())], ["doc_id", "ids"])
@@ -276,11 +273,11 @@ def read_store(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
 
     segments = spark.read.parquet(f"{path}/segments")
     total = F.aggregate("n_tokens", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    # one row for each writing task
+    # one row of two numbers for each writing task: some MB at a million tasks
     shards = segments.groupBy("shard").agg(F.max(F.col("first") + total).alias("n"))
     before = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
     docs = segments.select("shard", "first", "doc_ids", "n_tokens", "payload", "checkpoints").mapInArrow(decoded, "shard int, doc_id bigint, start bigint, n_tokens bigint, ids binary")
-    return docs.join(before, "shard").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids")
+    return docs.join(F.broadcast(before), "shard").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids")
 
 
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
