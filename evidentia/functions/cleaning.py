@@ -1,4 +1,7 @@
-"""Column expressions for identifiers, labels, status and text hygiene."""
+"""Column expressions for identifiers, labels, status and text hygiene.
+
+The patterns of identifiers, labels, number cells and access pages are fixed values.
+"""
 
 from __future__ import annotations
 
