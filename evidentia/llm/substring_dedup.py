@@ -2,7 +2,7 @@
 
 A sentence here ends at a full stop, question or exclamation mark, comma, semicolon or colon before white space, or at a line
 end. From every sentence on, and up to every sentence, a span runs over the fewest consecutive sentences, two at least, that
-hold 15 words; so any longer repeated run is covered from its first sentence to its last. Spans are hashed and joined over all documents; the first occurrence by (doc_id, position) stays, and sentences that another occurrence covers
+hold 25 words; so any longer repeated run is covered from its first sentence to its last. Spans are hashed and joined over all documents; the first occurrence by (doc_id, position) stays, and sentences that another occurrence covers
 are removed. Two spans are equal if their lower-cased words are, whatever the white space and the marks at sentence ends; they
 are compared by 64-bit hashes.
 """
@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from evidentia.llm.common import pick, table
+from evidentia.llm.common import pick, slices, table
 
 MIN_SENTENCES = 2
-MIN_WORDS = 15
+MIN_WORDS = 25
 CUT = re.compile(r"[.!?,;:]+[\"')\]]*\s+|\n\s*")
 MARKS = ".!?,;:\"')]"
 #: An odd factor, and its inverse modulo 2**64: the hash of a span is a polynomial in it over the sentences' hashes.
@@ -62,7 +62,7 @@ def spans(text: str, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WO
 
 def _postings(batches, min_sentences: int, min_words: int):
     """(span, id, text_hash, at, again): again marks what an earlier occurrence in the same batch already precedes."""
-    for batch in batches:
+    for batch in slices(batches, 2500):
         ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         each = [spans(t, min_sentences, min_words)[1] for t in batch.column(2).to_pylist()]
         counts = [len(x) for x in each]
@@ -114,7 +114,7 @@ def substring_dedup(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_wor
     place = columns.index("text")
 
     def cleaned(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = batch.column(0)
             fields = rows.flatten()
             texts = fields[place].to_pylist()

@@ -17,7 +17,7 @@ def brute(rows):
         norm = [" ".join(u.lower().rstrip().rstrip(sd.MARKS).split()) for u in units]
         gone = set()
         total = lambda a, b: sum(len(x.split()) for x in norm[a:b])
-        enough = lambda a, b: 0 <= a and b - a >= 2 and total(a, b) >= 15
+        enough = lambda a, b: 0 <= a and b - a >= 2 and total(a, b) >= sd.MIN_WORDS
         for a in range(len(units)):
             for b in range(a + 2, len(units) + 1):
                 if enough(a, b) and not (enough(a, b - 1) and enough(a + 1, b)):
@@ -57,7 +57,7 @@ def test_matches_brute_force(spark):
 
 
 def test_repeated_rows_fare_alike(spark):
-    t = "One two three four five six seven eight nine, ten eleven twelve thirteen fourteen fifteen. The end is near now."
+    t = "One two three four five six seven eight nine ten eleven twelve, thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty. The end of this text is near now."
     df = spark.createDataFrame([(1, t), (1, t), (2, t), (2, "other " + t)], "doc_id bigint, text string")
     out = sorted((r.doc_id, r.text) for r in sd.substring_dedup(df).collect())
     assert out == [(1, t), (1, t), (2, ""), (2, "other " + t)]
