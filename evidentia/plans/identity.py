@@ -137,15 +137,17 @@ def fallback_union(spark, d):
 
 @query("even_sample", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS r, count(*) OVER () AS n FROM documents) WHERE r IN (SELECT (i * n) // 80 FROM (SELECT unnest(range(80)) AS i), (SELECT count(*) AS n FROM documents))")
 def even_sample(spark, d):
-    """Evenly spaced rows by rank: ranks come from partition counts, so no task orders the whole table."""
-    docs = table(spark, d, "documents").select("doc_id").orderBy("doc_id").withColumn("p", F.spark_partition_id())
-    counts = docs.groupBy("p").agg(F.count("*").alias("n"))
-    before = counts.select("p", (F.sum("n").over(Window.orderBy("p")) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy(F.lit(1))).alias("total"))
-    ranked = docs.withColumn("k", F.row_number().over(Window.partitionBy("p").orderBy("doc_id")) - 1).join(F.broadcast(before), "p")
-    r = F.col("k") + F.col("before")
-    # r is one of floor(i * total / 80)
-    i = F.ceil(r * 80 / F.col("total"))
-    return ranked.where((F.floor(i * F.col("total") / 80) == r) & (i < 80)).select("doc_id")
+    """Evenly spaced rows by rank: ranks come from counts of id ranges, so no task orders the whole table."""
+    docs = table(spark, d, "documents").select("doc_id")
+    span = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("total")).first()
+    width = max(1, -(-(((span["hi"] or 0) - (span["lo"] or 0)) + 1) // 256))
+    ranged = docs.withColumn("p", F.floor((F.col("doc_id") - F.lit(span["lo"] or 0)) / width))
+    counts = ranged.groupBy("p").agg(F.count("*").alias("n"))  # 256 rows at most
+    before = counts.select("p", (F.sum("n").over(Window.orderBy("p")) - F.col("n")).alias("before"))
+    ranked = ranged.withColumn("k", F.row_number().over(Window.partitionBy("p").orderBy("doc_id")) - 1).join(F.broadcast(before), "p")
+    r, total = F.col("k") + F.col("before"), max(1, span["total"])
+    i = F.ceil(r * 80 / total)  # r is one of floor(i * total / 80)
+    return ranked.where((F.floor(i * total / 80) == r) & (i < 80)).select("doc_id")
 
 
 @query("admit_topk", "SELECT doc_id FROM (SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 30)")
