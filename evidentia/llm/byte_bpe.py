@@ -19,7 +19,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import materialize, pick, table, text_or_empty
+from evidentia.llm.common import materialize, pick, slices, table, text_or_empty
 
 CHUNK = 1 << 16
 OVERLAP = 512
@@ -86,7 +86,7 @@ def _cut(batches, chunk: int, overlap: int):
 
 
 def _edges(batches, chunk: int, overlap: int, pattern: str):
-    for batch in batches:
+    for batch in slices(batches, 50):
         heads, tails = [], []
         for text in batch.column(2).to_pylist():
             heads.append(starts(text, 1, overlap, pattern))
@@ -95,7 +95,7 @@ def _edges(batches, chunk: int, overlap: int, pattern: str):
 
 
 def _pieces(batches, path: str, pattern: str):
-    for batch in batches:
+    for batch in slices(batches, 50):
         ids = [encode_piece(text, path, pattern) for text in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in ids], pa.binary())], ["h", "k", "ids"])
 
@@ -128,7 +128,7 @@ def _batch(key: pa.Array, rows: list[tuple], name: str) -> pa.RecordBatch:
 def _chained(batches, path: str, pattern: str, keep: bool):
     """Pieces come sorted by text and number; a text's pieces may lie in several batches."""
     key, digest = None, None
-    for batch in batches:
+    for batch in slices(batches, 50):
         keys, rows = [], []
         for h, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
             if h != key:
@@ -155,7 +155,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
     rows = pick(docs, "doc_id", "text").select("doc_id", text_or_empty().alias("text"))
 
     def whole(batches):
-        for batch in batches:
+        for batch in slices(batches):
             done = [_Digest(keep_ids).add(encode_piece(x, path, pattern), path, pattern).row() for x in batch.column(1).to_pylist()]
             yield _batch(batch.column(0), done, "doc_id")
 

@@ -48,6 +48,13 @@ def pick(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*[docs[f"`{n}`"].alias(n) for n in names])
 
 
+def slices(batches, rows: int = 500):
+    """Arrow batches in slices, so that what a task holds of texts doesn't depend on the size of a batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

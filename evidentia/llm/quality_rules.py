@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import pick, table
+from evidentia.llm.common import pick, slices, table
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -119,7 +119,7 @@ def quality_filter(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows:
     cascade = ordered(rules, measure(docs, rules, sample_rows))
 
     def kept(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             yield batch.filter(pa.array([not any(test(s) for _, test in cascade) for s in map(TextStats, texts)], pa.bool_()))
 
@@ -136,7 +136,7 @@ def quality_report(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows:
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
     def report(batches):
-        for batch in batches:
+        for batch in slices(batches, 100):
             stats = [TextStats(x) for x in batch.column(1).to_pylist()]
             kept = [not any(test(s) for _, test in cascade) for s in stats]
             base = [any(test(s) for _, test in BASE_RULES) for s in stats]

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import materialize, pick, table
+from evidentia.llm.common import materialize, pick, slices, table
 from evidentia.llm.graph import components
 
 RADIUS = 4
@@ -48,7 +48,7 @@ def with_fingerprint(docs: DataFrame) -> DataFrame:
     """(doc_id, fp bigint, text_hash bigint) of every row; a null text counts as empty."""
 
     def stamp(batches):
-        for batch in batches:
+        for batch in slices(batches):
             fps = np.array([fingerprint(x) for x in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), batch.column(2)], ["doc_id", "fp", "text_hash"])
 
