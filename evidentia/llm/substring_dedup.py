@@ -104,9 +104,10 @@ def substring_dedup(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_wor
     last = F.lit((1 << 63) - 1)
     source = pick(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("bigint"), last).alias("id"), F.xxhash64("text").alias("text_hash"), "text").where("text IS NOT NULL")
     found = source.mapInArrow(lambda b: _postings(b, min_sentences, min_words), "span bigint, id bigint, text_hash bigint, at int, again boolean")
-    # one pass: what a batch already knows to be repeated takes part, but is no candidate for the first
-    ranked = found.withColumn("turn", F.rank().over(Window.partitionBy("span").orderBy("id", "text_hash", "at")))
-    hits = ranked.where("turn > 1").groupBy("id", "text_hash").agg(F.collect_set("at").alias("at"))
+    # what its batch already settles is no candidate for the first and is spread, so that a frequent span has one row a batch
+    spread = F.when(F.col("again"), F.xxhash64("id", "text_hash", "at")).otherwise(F.lit(0))
+    ranked = found.withColumn("spread", spread).withColumn("turn", F.rank().over(Window.partitionBy("span", "spread").orderBy("id", "text_hash", "at")))
+    hits = ranked.where("again OR turn > 1").groupBy("id", "text_hash").agg(F.collect_set("at").alias("at"))
 
     columns = docs.columns
     packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in columns]).alias("row"), F.coalesce(docs["doc_id"].cast("bigint"), last).alias("id"), F.xxhash64(docs["text"]).alias("text_hash"))

@@ -59,7 +59,7 @@ def cosine_distance(vector: Column, probe: list[float]) -> Column:
 def top(ranked: DataFrame, order: list[Column], k: int) -> DataFrame:
     """The first k rows in order, with rank from 1. Only they reach the one task that numbers them."""
     best = ranked.orderBy(*order).limit(k)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
 
 
 def reciprocal_rank_fusion(*ranked: DataFrame, k: int = RRF_K) -> DataFrame:

@@ -81,7 +81,7 @@ def catalog_page(spark, d):
     return C.page(rows, [F.desc("year"), F.desc_nulls_last("publication_date"), F.asc("id")], 2, 20)
 
 
-@query("status_counts", f"WITH {PAPERS_SQL} SELECT count(*) AS n, count_if(status = 'parsed') AS parsed, count_if(coalesce(status, '') <> 'off_topic') AS visible, count_if(fulltext_path IS NOT NULL) AS with_file, count_if(status IS NULL) AS unknown FROM papers")
+@query("status_counts", f"WITH {PAPERS_SQL} SELECT count(*) AS n, count_if(status = 'parsed')::BIGINT AS parsed, count_if(coalesce(status, '') <> 'off_topic')::BIGINT AS visible, count_if(fulltext_path IS NOT NULL)::BIGINT AS with_file, count_if(status IS NULL)::BIGINT AS unknown FROM papers")
 def status_counts(spark, d):
     return papers(spark, d).agg(F.count("*").alias("n"), F.count_if(F.col("status") == "parsed").alias("parsed"), F.count_if(F.coalesce("status", F.lit("")) != "off_topic").alias("visible"), F.count_if(F.col("fulltext_path").isNotNull()).alias("with_file"), F.count_if(F.col("status").isNull()).alias("unknown"))
 
@@ -110,7 +110,7 @@ def category_counts(spark, d):
     return shown.unionByName(prior).groupBy("category").agg(F.count("*").alias("n"))
 
 
-@query("missing_summary", f"{BOTH_SQL} SELECT count(*) AS raw, count_if(o.canonical_id <> p.id) AS folded, count_if(o.canonical_id = p.id) AS missing FROM papers p JOIN organisation o ON o.paper_id = p.id WHERE p.fulltext_path IS NULL AND coalesce(p.status, '') <> 'off_topic'")
+@query("missing_summary", f"{BOTH_SQL} SELECT count(*) AS raw, count_if(o.canonical_id <> p.id)::BIGINT AS folded, count_if(o.canonical_id = p.id)::BIGINT AS missing FROM papers p JOIN organisation o ON o.paper_id = p.id WHERE p.fulltext_path IS NULL AND coalesce(p.status, '') <> 'off_topic'")
 def missing_summary(spark, d):
     rows = papers(spark, d).where("fulltext_path IS NULL AND coalesce(status, '') <> 'off_topic'").join(organisation(spark, d).select(F.col("paper_id").alias("id"), "canonical_id"), "id")
     return rows.agg(F.count("*").alias("raw"), F.count_if(F.col("canonical_id") != F.col("id")).alias("folded"), F.count_if(F.col("canonical_id") == F.col("id")).alias("missing"))
@@ -190,7 +190,7 @@ def index_outcomes(spark, d):
     return C.index_outcomes(source.where("id % 11 <> 0"), _index(source.drop("text")))
 
 
-@query("index_status", "SELECT count_if(doc_id % 5 <> 0) AS current_documents, count(*) AS documents, sum(len(string_split(text, chr(10))))::BIGINT AS chunks FROM documents WHERE doc_id % 7 <> 0")
+@query("index_status", "SELECT count_if(doc_id % 5 <> 0)::BIGINT AS current_documents, count(*) AS documents, sum(len(string_split(text, chr(10))))::BIGINT AS chunks FROM documents WHERE doc_id % 7 <> 0")
 def index_status(spark, d):
     rows = table(spark, d, "documents").where("doc_id % 7 <> 0")
     return rows.agg(F.count_if(F.col("doc_id") % 5 != 0).alias("current_documents"), F.count("*").alias("documents"), F.sum(F.size(F.split("text", "\n"))).cast("bigint").alias("chunks"))

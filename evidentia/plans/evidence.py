@@ -74,7 +74,7 @@ def fact_negation(spark, d):
     return docs(spark, d).select("doc_id", F.exists(F.split("text", r"[.!?]\s+"), lambda s: s.rlike(r"(?i)\bthe\b") & ~s.rlike(r"(?i)\bof\b")).alias("fact"))
 
 
-@query("coverage_cells", f"SELECT lang, source, count(*) AS records, count_if(coalesce(quality = 1, false)) AS supported FROM {J} WHERE coalesce(toxic, 0) = 0 GROUP BY lang, source")
+@query("coverage_cells", f"SELECT lang, source, count(*) AS records, count_if(coalesce(quality = 1, false))::BIGINT AS supported FROM {J} WHERE coalesce(toxic, 0) = 0 GROUP BY lang, source")
 def coverage_cells(spark, d):
     return judged(spark, d).where("coalesce(toxic, 0) = 0").groupBy("lang", "source").agg(F.count("*").alias("records"), F.count_if(F.col("quality") == 1).alias("supported"))
 
@@ -122,7 +122,7 @@ def execution_summary(spark, d):
     return papers(spark, d).groupBy(_state().alias("state")).agg(F.count("*").alias("n"))
 
 
-@query("parse_outcomes", f"{LEDGER_SQL} SELECT category, count_if(state IN ('audited', 'read')) AS done, count_if(state = 'available') AS local, count_if(state IN ('failed', 'pending')) AS missing FROM s GROUP BY category")
+@query("parse_outcomes", f"{LEDGER_SQL} SELECT category, count_if(state IN ('audited', 'read'))::BIGINT AS done, count_if(state = 'available')::BIGINT AS local, count_if(state IN ('failed', 'pending'))::BIGINT AS missing FROM s GROUP BY category")
 def parse_outcomes(spark, d):
     s = papers(spark, d).withColumn("state", _state())
     return s.groupBy("category").agg(F.count_if(F.col("state").isin("audited", "read")).alias("done"), F.count_if(F.col("state") == "available").alias("local"), F.count_if(F.col("state").isin("failed", "pending")).alias("missing"))
@@ -137,7 +137,7 @@ def pending_reason(spark, d):
 @query("source_numbering", "SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS number FROM documents WHERE contains(text, 'Licensed')")
 def source_numbering(spark, d):
     rows = docs(spark, d).where(F.contains("text", F.lit("Licensed"))).select("source", "doc_id")
-    return rows.withColumn("number", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
+    return rows.withColumn("number", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("bigint"))
 
 
 @query("grounded_answers", "SELECT event_id FROM (SELECT event_id, [event_id % 7, event_id % 11] AS ids FROM events) WHERE len(list_filter(ids, lambda x: x NOT IN (0, 1, 2, 3, 4, 5))) = 0")
@@ -159,7 +159,7 @@ def verdict_fallback_join(spark, d):
     return docs(spark, d).join(own, "doc_id", "left").join(named, "source", "left").select("doc_id", F.coalesce("own", "named").alias("verdict"))
 
 
-@query("reading_coverage", "SELECT count(*) AS searched, count(l.doc_id) AS read, count_if(l.doc_id IS NULL) AS unread, CASE WHEN count(l.doc_id) = 0 THEN 'none' WHEN count_if(l.doc_id IS NULL) = 0 THEN 'full' ELSE 'partial' END AS status FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+@query("reading_coverage", "SELECT count(*) AS searched, count(l.doc_id) AS read, count_if(l.doc_id IS NULL)::BIGINT AS unread, CASE WHEN count(l.doc_id) = 0 THEN 'none' WHEN count_if(l.doc_id IS NULL) = 0 THEN 'full' ELSE 'partial' END AS status FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
 def reading_coverage(spark, d):
     got = docs(spark, d).select("doc_id").join(table(spark, d, "labels").select("doc_id", F.lit(1).alias("read")), "doc_id", "left").agg(F.count("*").alias("searched"), F.count("read").alias("read"), F.count_if(F.col("read").isNull()).alias("unread"))
     return got.withColumn("status", F.when(F.col("read") == 0, "none").when(F.col("unread") == 0, "full").otherwise("partial"))
