@@ -1,8 +1,12 @@
 """Language-model scores by a hashed maximum-entropy model with a class-factored softmax.
 
-log P(word | history) = log P(class | history) + log P(word | class). The SINGLES most frequent words are classes of their own,
-all others fall into SUFFIXES classes by a hash of their last bytes. The class softmax is linear in hashed features: the word
-before, the two classes before, and the class before the last word (a skip). Within a class words go by their training counts plus one, with one more word for all unknown ones.
+log P(word | history) = log P(class | history) + log P(word | class, history). The SINGLES most frequent words are classes of
+their own, all others fall into SUFFIXES classes by a hash of their last bytes. The class softmax is linear in hashed features:
+the word before, the two classes before, and the class before the last word (a skip). Within a class the digits of a word's hash
+are chosen one after the other, each by a softmax over FAN outputs; its features are the word before, the two words before and
+the word before the last (a skip), each paired with the digits so far, and its bias holds the training counts plus one, with one
+more word for all unknown ones. There are as many digits as the vocabulary needs for about one word a leaf; words that still share
+a leaf go by their counts. Every training word is a context, and the numbers of rows follow the vocabulary.
 
 Texts become blocks of whole documents in a dictionary of their own; corpus counts are joined to the dictionaries, not to the
 tokens. Trainers run gradient steps over their blocks and their weights are averaged, each row by its visits.
@@ -30,14 +34,15 @@ MODULUS, REMAINDER = 7, 2
 BLOCK_TOKENS = 2_000_000
 SINGLES, SUFFIXES = 32, 32
 CLASSES = SINGLES + SUFFIXES
-#: Words that features tell apart; others show by their suffix class.
-CONTEXT_WORDS = 2048
-#: Training occurrences that such a word has at least, and its least share of all training tokens, as a power of 2.
-CONTEXT_LEAST, CONTEXT_SHARE = 8, 17
+#: Outputs of a softmax within a class, and their logarithm.
+FAN, DIGIT = 16, 4
+#: Class rows, at least; above, as many as 1 << (bits - 2), and 1 << (bits + 2) rows within classes, for 32 << bits leaves.
 ROWS = 1 << 14
 STEP = 1 << 14
-#: Tasks that train side by side, at most; each passes once over its share of all training tokens.
+#: Tasks that train side by side, at most; each passes once over its share of all training tokens, SHARE blocks or more, so
+#: that what they send stays in proportion to the input.
 TRAINERS = 256
+SHARE = 5
 PIECES = 64
 #: Hash of the end of a text; no word holds a blank.
 END = int(np.uint64(xxhash.xxh64_intdigest(b" ")).view(np.int64))
@@ -79,7 +84,7 @@ def _blocks(batches):
 
 def counted_blocks(docs: DataFrame) -> DataFrame:
     """Blocks with known: for each word of the block's dictionary its place, its training count over all documents, whether
-    this block is the one that stands for it in sums over distinct words, and its hash if it is frequent."""
+    this block is the one that stands for it in sums over distinct words, and 32 bits of its hash."""
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out("doc_id", MODULUS, REMAINDER).alias("out"), text_or_empty().alias("text"))
     made = rows.mapInArrow(_blocks, "doc_ids array<bigint>, held array<boolean>, sizes array<bigint>, codes binary, vocab array<bigint>, counts array<bigint>, suffix binary")
     blocks = materialize(made.withColumn("block", F.monotonically_increasing_id()), "lm-blocks")
@@ -87,9 +92,7 @@ def counted_blocks(docs: DataFrame) -> DataFrame:
     # a word has one row for each block that holds it
     by = Window.partitionBy("h")
     totals = words.withColumn("t", F.sum("n").over(by)).withColumn("lead", F.row_number().over(by.orderBy("block")) == 1)
-    tokens = blocks.agg(F.sum(F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, n: a + n))).first()[0] or 0
-    frequent = F.when(F.col("t") >= max(CONTEXT_LEAST, tokens >> CONTEXT_SHARE), F.col("h")).otherwise(0)
-    known = totals.withColumn("h", frequent).groupBy("block").agg(F.collect_list(F.struct("p", "t", "lead", "h")).alias("known"))
+    known = totals.withColumn("h", F.shiftright("h", 32).cast("int")).groupBy("block").agg(F.collect_list(F.struct("p", "t", "lead", "h")).alias("known"))
     return materialize(blocks.drop("counts", "vocab").join(known, "block"), "lm-counted")
 
 
@@ -112,31 +115,39 @@ def _rows(batch: pa.RecordBatch):
         get = {n: batch.column(k)[r] for k, n in enumerate(batch.schema.names)}
         known = get["known"].values.flatten()
         place, total, lead, hashed = (x.to_numpy(zero_copy_only=False) for x in known)
-        totals, leads, vocab = np.zeros(len(place), np.int64), np.zeros(len(place), bool), np.zeros(len(place), np.int64)
-        totals[place], leads[place], vocab[place] = total, lead, hashed
+        totals, leads, vocab = np.zeros(len(place), np.int64), np.zeros(len(place), bool), np.zeros(len(place), np.uint32)
+        totals[place], leads[place], vocab[place] = total, lead, hashed.view(np.uint32)
         yield Block(get["doc_ids"].values, get["held"].values.to_numpy(zero_copy_only=False), get["sizes"].values.to_numpy(), np.ascontiguousarray(np.frombuffer(get["codes"].as_buffer(), np.uint8).reshape(4, -1).T).view("<u4").ravel(), vocab, np.frombuffer(get["suffix"].as_buffer(), np.uint8), totals, leads)
 
 
 @dataclass
 class Lexicon:
-    """Bounded figures of the corpus: N, V, the most frequent words' hashes (sorted, with ranks), class counts."""
+    """Figures of the corpus: N, V, hashes and counts of the most frequent words by rank, class counts."""
 
     n: int
     v: int
     hashes: np.ndarray
-    ranks: np.ndarray
+    counts: np.ndarray
     class_n: np.ndarray
     class_v: np.ndarray
 
+    @property
+    def bits(self) -> int:
+        """Binary digits of a word's place in its class."""
+        return max(1, (self.v // SUFFIXES).bit_length())
+
     def describe(self, b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Class, context number and log10 P(word | class) of each word of a block's dictionary."""
-        at = np.minimum(np.searchsorted(self.hashes, b.vocab), max(0, len(self.hashes) - 1))
-        known = self.hashes[at] == b.vocab if len(self.hashes) else np.zeros(len(b.vocab), bool)
-        rank = np.where(known, self.ranks[at] if len(self.hashes) else 0, CONTEXT_WORDS + b.suffix.astype(np.int64))
-        single = known & (rank < SINGLES)
-        kind = np.where(single, rank, SINGLES + b.suffix.astype(np.int64))
-        inside = np.log10((b.totals + 1) / (self.class_n + self.class_v + 1)[kind])
-        return kind.astype(np.int32), rank.astype(np.int32), np.where(single, 0.0, inside)
+        """Class, context number and leaf of each word of a block's dictionary; a class's unknown words have its first leaf."""
+        kind = SINGLES + b.suffix.astype(np.int32)
+        for rank, (h, n) in enumerate(zip(self.hashes, self.counts)):
+            kind[(b.vocab == h) & (b.totals == n)] = rank
+        word = np.where(b.totals > 0, b.vocab.astype(np.int64) + SUFFIXES + 1, b.suffix)
+        return kind, word, leaves(b, self.bits)
+
+
+def leaves(b: Block, bits: int) -> np.ndarray:
+    place = (b.vocab.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+    return (b.suffix.astype(np.int64) << bits) + np.where(b.totals > 0, place.astype(np.int64), 0)
 
 
 def lexicon(counted: DataFrame) -> Lexicon:
@@ -146,62 +157,108 @@ def lexicon(counted: DataFrame) -> Lexicon:
                 own = b.lead & (b.totals > 0)
                 n = np.bincount(b.suffix[own], b.totals[own], SUFFIXES).astype(np.int64)
                 v = np.bincount(b.suffix[own], minlength=SUFFIXES)
-                top = np.flatnonzero(own & (b.vocab != 0))
-                top = top[np.lexsort((b.vocab[top], -b.totals[top]))[:CONTEXT_WORDS]]
-                yield pa.RecordBatch.from_arrays([pa.array([True] * SUFFIXES + [False] * len(top)), pa.array(np.concatenate([np.arange(SUFFIXES), b.suffix[top]]).astype(np.int32)), pa.array(np.concatenate([np.zeros(SUFFIXES, np.int64), b.vocab[top]])), pa.array(np.concatenate([n, b.totals[top]])), pa.array(np.concatenate([v, np.ones(len(top), np.int64)]))], ["sums", "suffix", "h", "n", "v"])
+                top = np.flatnonzero(own)
+                top = top[np.lexsort((b.vocab[top], -b.totals[top]))[:SINGLES]]
+                yield pa.RecordBatch.from_arrays([pa.array([True] * SUFFIXES + [False] * len(top)), pa.array(np.concatenate([np.arange(SUFFIXES), b.suffix[top]]).astype(np.int32)), pa.array(np.concatenate([np.zeros(SUFFIXES, np.int64), b.vocab[top].astype(np.int64)])), pa.array(np.concatenate([n, b.totals[top]])), pa.array(np.concatenate([v, np.ones(len(top), np.int64)]))], ["sums", "suffix", "h", "n", "v"])
 
     rows = counted.select("doc_ids", "held", "sizes", F.lit(b"").alias("codes"), "suffix", "known").mapInArrow(sums, "sums boolean, suffix int, h bigint, n bigint, v bigint")
     rows = materialize(rows, "lm-sums")
     by_suffix = rows.where("sums").groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
-    top = rows.where("NOT sums").orderBy(F.desc("n"), "h").limit(CONTEXT_WORDS).collect()
+    top = rows.where("NOT sums").orderBy(F.desc("n"), "h").limit(SINGLES).collect()
     n, v = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
     for r in by_suffix:
         n[SINGLES + r["suffix"]], v[SINGLES + r["suffix"]] = r["n"], r["v"]
     total, distinct = int(n.sum()), int(v.sum())
-    for k, r in enumerate(top[:SINGLES]):
+    for k, r in enumerate(top):
         n[k], v[k] = r["n"], 1
         n[SINGLES + r["suffix"]] -= r["n"]
         v[SINGLES + r["suffix"]] -= 1
-    hashes = np.array([r["h"] for r in top], np.int64)
-    order = np.argsort(hashes)
-    return Lexicon(total, distinct, hashes[order], order.astype(np.int64), n, v)
+    return Lexicon(total, distinct, np.array([r["h"] for r in top], np.uint32), np.array([r["n"] for r in top], np.int64), n, v)
+
 
+def masses(counted: DataFrame, lex: Lexicon) -> np.ndarray:
+    """Training counts plus one of the words of each leaf, without the single ones; a class's first leaf also has its unknown."""
 
-def _row(template: int, *parts: np.ndarray) -> np.ndarray:
+    def sums(batches):
+        for batch in batches:
+            for b in _rows(batch):
+                kind, _, leaf = lex.describe(b)
+                own = b.lead & (b.totals > 0) & (kind >= SINGLES)
+                at, of = np.unique(leaf[own], return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.bincount(of, b.totals[own] + 1.0, len(at)).astype(float))], ["leaf", "mass"])
+
+    rows = counted.select("doc_ids", "held", "sizes", F.lit(b"").alias("codes"), "suffix", "known").mapInArrow(sums, "leaf bigint, mass double")
+    found = rows.groupBy("leaf").agg(F.sum("mass").alias("mass")).toArrow()
+    mass = np.zeros(SUFFIXES << lex.bits, np.float32)
+    mass[found["leaf"].to_numpy()] = found["mass"].to_numpy()
+    mass[:: 1 << lex.bits] += 1
+    return mass
+
+
+def levels(mass: np.ndarray, bits: int) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For each digit of a place: how far right it lies, its binary digits, log shares of outputs for each node, and whether the
+    node has more than one output with words."""
+    out, shift = [], bits
+    while shift:
+        width = min(DIGIT, shift)
+        shift -= width
+        own = (mass.reshape(-1, 1 << shift).sum(axis=1, dtype=np.float32) if shift else mass).reshape(-1, 1 << width)
+        empty = own == 0
+        with np.errstate(divide="ignore"):
+            bias = np.log(own)
+        bias -= np.log(np.maximum(own.sum(axis=1, keepdims=True), 1))
+        bias[empty] = -1e4
+        out.append((shift, width, bias, (~empty).sum(axis=1) > 1))
+    return out
+
+
+def _row(template: int, n: int, *parts: np.ndarray) -> np.ndarray:
+    """Row numbers below n, a power of 2."""
     mixed = np.full(len(parts[0]), template + 1, np.uint64)
     with np.errstate(over="ignore"):
         for p in parts:
             mixed = (mixed + p.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             mixed ^= mixed >> np.uint64(29)
-    return (mixed % np.uint64(ROWS)).astype(np.int32)
+    return (mixed & np.uint64(n - 1)).astype(np.int32)
 
 
-def contexts(kind: np.ndarray, rank: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """What the features of each token depend on, as one number; a text begins with no history."""
-    place = np.arange(len(kind), dtype=np.int32)
+def _runs(kind: np.ndarray, word: np.ndarray, leaf: np.ndarray, codes: np.ndarray, sizes: np.ndarray):
+    """(first token, class, class context, the last two words, leaf) of STEP tokens each; a text begins with no history."""
+    place = np.arange(len(codes), dtype=np.int32)
     place -= np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), sizes)
+    for at in range(0, len(codes), STEP):
+        lo = max(0, at - 2)
+        own, deep = codes[lo : at + STEP], place[at : at + STEP]
 
-    def back(x, k, none):
-        out = np.full(len(x), none, np.int32)  # all contexts are fewer than 2**24
-        out[k:] = x[:-k]
-        return np.where(place >= k, out, none)
+        def back(x, k, none):
+            out = np.full(len(deep) + at - lo, none, np.int64)
+            out[k:] = x[own[:-k]]
+            return np.where(deep >= k, out[at - lo :], none)
 
-    none = CLASSES
-    return (back(rank, 1, CONTEXT_WORDS + SUFFIXES) * (CLASSES + 1) + back(kind, 1, none)) * (CLASSES + 1) + back(kind, 2, none)
+        w1, w2, k1, k2 = back(word, 1, SUFFIXES), back(word, 2, SUFFIXES), back(kind, 1, CLASSES), back(kind, 2, CLASSES)
+        here = own[at - lo :]
+        yield at, kind[here], (w1 * (CLASSES + 1) + k1) * (CLASSES + 1) + k2, (w1, w2), leaf[here]
 
 
-def features(context: np.ndarray) -> list[np.ndarray]:
+def features(context: np.ndarray, n: int) -> list[np.ndarray]:
     """A row number for each context and template: the word before, both classes before, the class before the last (a skip)."""
     rest, k2 = np.divmod(context, CLASSES + 1)
     r1, k1 = np.divmod(rest, CLASSES + 1)
-    return [_row(0, r1), _row(1, k2, k1), _row(2, k2)]
+    return [_row(0, n, r1), _row(1, n, k2, k1), _row(2, n, k2)]
+
+
+def inner_features(words: tuple[np.ndarray, np.ndarray], node: np.ndarray, shift: int, n: int) -> list[np.ndarray]:
+    """A row number for each token and template within a class: the word before, both before, the one before the last (a skip)."""
+    w1, w2 = words
+    node = node * 64 + shift
+    return [_row(3, n, node, w1), _row(4, n, node, w1, w2), _row(5, n, node, w2)]
 
 
 def _log_softmax(bias: np.ndarray, weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
     z = weights[rows[0]]
     for r in rows[1:]:
         z += weights[r]
-    z += bias
+    z = z[:, : bias.shape[-1]] + bias
     z -= z.max(axis=1, keepdims=True)
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
@@ -210,55 +267,104 @@ def class_bias(lex: Lexicon) -> np.ndarray:
     return np.log((lex.class_n + 1) / (lex.class_n.sum() + CLASSES)).astype(np.float32)
 
 
-def _descend(state: tuple[np.ndarray, np.ndarray, np.ndarray], bias: np.ndarray, context: np.ndarray, target: np.ndarray, rate: float) -> None:
-    """One AdaGrad step on the log loss of a run of tokens; equal contexts are worked out once."""
-    weights, squares, visits = state
-    distinct, of, n = np.unique(context, return_inverse=True, return_counts=True)
-    rows = features(distinct)
-    g = np.exp(_log_softmax(bias, weights, rows)) * n[:, None].astype(np.float32)
-    g -= np.bincount(of * CLASSES + target, minlength=g.size).reshape(g.shape)
+def _step(weights: np.ndarray, squares: np.ndarray, visits: np.ndarray, rows: list[np.ndarray], g: np.ndarray, n: np.ndarray, rate: float) -> None:
+    """One AdaGrad step; squares have a column for each output, or one for the row's mean."""
+    width = g.shape[1]
     for r in rows:
         order = np.argsort(r, kind="stable")
         cut = np.flatnonzero(np.concatenate([[True], np.diff(r[order]) > 0]))
         own = r[order][cut]
         total = np.add.reduceat(g[order], cut, axis=0)
         visits[own] += np.add.reduceat(n[order], cut)
-        seen = squares[own] + total * total
+        more = total * total
+        seen = squares[own] + (more if squares.shape[1] > 1 else more.mean(axis=1, keepdims=True))
         squares[own] = seen
-        weights[own] -= rate * total / np.sqrt(seen + 1.0)
+        weights[own, :width] -= rate * total / np.sqrt(seen + 1.0)
 
 
-def train(counted: DataFrame, lex: Lexicon, trainers: int = TRAINERS, rate: float = 0.4) -> np.ndarray:
-    """Class weights, ROWS x CLASSES, from one pass over all training tokens."""
-    bias = class_bias(lex)
+def _descend(state: tuple[np.ndarray, np.ndarray, np.ndarray], bias: np.ndarray, context: np.ndarray, target: np.ndarray, rate: float) -> None:
+    """One step on the log loss of classes of a run of tokens; equal contexts are worked out once."""
+    distinct, of, n = np.unique(context, return_inverse=True, return_counts=True)
+    rows = features(distinct, len(state[0]))
+    g = np.exp(_log_softmax(bias, state[0], rows)) * n[:, None].astype(np.float32)
+    g -= np.bincount(of * CLASSES + target, minlength=g.size).reshape(g.shape)
+    _step(*state, rows, g, n, rate)
+
+
+def _descend_inside(state: tuple[np.ndarray, np.ndarray, np.ndarray], steps: list, words: tuple[np.ndarray, np.ndarray], leaf: np.ndarray, rate: float) -> None:
+    """One step on the log loss of each digit of the leaves of a run of tokens."""
+    for shift, width, bias, several in steps:
+        digits = leaf >> shift
+        node, digit = digits >> width, digits & ((1 << width) - 1)
+        open_ = np.flatnonzero(several[node])  # others leave no choice
+        if not len(open_):
+            continue
+        node, digit = node[open_], digit[open_]
+        rows = inner_features((words[0][open_], words[1][open_]), node, shift, len(state[0]))
+        g = np.exp(_log_softmax(bias[node], state[0], rows))
+        g[np.arange(len(g)), digit] -= 1
+        _step(*state, rows, g, np.ones(len(g), np.int64), rate)
+
+
+def _many(lex: Lexicon) -> tuple[int, int]:
+    """Class rows and rows within classes."""
+    return max(ROWS, 1 << max(0, lex.bits - 2)), max(ROWS, 1 << (lex.bits + 2))
+
+
+def learn(counted: DataFrame, lex: Lexicon, mass: np.ndarray, trainers: int = TRAINERS, rate: float = 0.4) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of classes, rows x CLASSES, and within classes, rows x FAN, from one pass over all training tokens."""
+    bias, many = class_bias(lex), _many(lex)
+    pieces = max(PIECES, many[1] // ROWS)
+    shared = counted.sparkSession.sparkContext.broadcast(mass)
 
     def learned(batches):
-        state = (np.zeros((ROWS, CLASSES), np.float32), np.zeros((ROWS, CLASSES), np.float32), np.zeros(ROWS, np.float32))
+        outer, inner = ((np.zeros((m, k), np.float32), np.zeros((m, s), np.float32), np.zeros(m, np.float32)) for m, k, s in ((many[0], CLASSES, CLASSES), (many[1], FAN, 1)))
+        steps = levels(shared.value, lex.bits)
         for batch in batches:
             for b in _rows(batch):
-                kind, rank, _ = lex.describe(b)
-                seen = np.repeat(~b.held, b.sizes)
-                codes, sizes = b.codes[seen], b.sizes[~b.held]
-                of, context = kind[codes], contexts(kind[codes], rank[codes], sizes)
-                for at in range(0, len(codes), STEP):
-                    _descend(state, bias, context[at : at + STEP], of[at : at + STEP], rate)
-        weights, _, visits = state
-        if visits.any():
-            payload = np.concatenate([weights * visits[:, None], visits[:, None]], axis=1).astype("<f4").reshape(PIECES, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(PIECES, dtype=np.int32)), pa.array([x.tobytes() for x in payload], pa.binary())], ["piece", "payload"])
+                described = lex.describe(b)
+                for _, of, context, words, leaf in _runs(*described, b.codes[np.repeat(~b.held, b.sizes)], b.sizes[~b.held]):
+                    _descend(outer, bias, context, of, rate)
+                    deep = of >= SINGLES
+                    if deep.any():
+                        _descend_inside(inner, steps, (words[0][deep], words[1][deep]), leaf[deep], rate)
+        if outer[2].any():
+            parts = [x.reshape(pieces, -1) for weights, _, visits in (outer, inner) for x in (weights.astype("<f2"), visits)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(pieces, dtype=np.int32)), *(pa.array([x.tobytes() for x in p], pa.binary()) for p in parts)], ["piece", "w0", "n0", "w1", "n1"])
 
     def averaged(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, "<f4").astype(np.float64) for x in pdf["payload"]).reshape(-1, CLASSES + 1)
-        mean = total[:, :-1] / np.maximum(total[:, -1:], 1)
-        return pd.DataFrame({"piece": [pdf["piece"].iloc[0]], "payload": [mean.astype("<f4").tobytes()]})
+        out = {"piece": [pdf["piece"].iloc[0]]}
+        for k in "01":
+            total = seen = 0
+            for w, n in zip(pdf["w" + k], pdf["n" + k]):
+                n = np.frombuffer(n, "<f4")[:, None]
+                total, seen = total + np.frombuffer(w, "<f2").astype(np.float32).reshape(len(n), -1) * n, seen + n
+            out["w" + k] = [(total / np.maximum(seen, 1)).astype("<f2").tobytes()]
+        return pd.DataFrame(out)
 
-    schema = "piece int, payload binary"
     parts = counted.drop("doc_ids").select(F.array().cast("array<bigint>").alias("doc_ids"), "held", "sizes", "codes", "suffix", "known")
-    found = parts.coalesce(trainers).mapInArrow(learned, schema).groupBy("piece").applyInPandas(averaged, schema).collect()
-    weights = np.zeros((PIECES, ROWS // PIECES * CLASSES), np.float32)
+    tasks = max(1, min(trainers, max(8, counted.count() // SHARE)))
+    found = parts.coalesce(tasks).mapInArrow(learned, "piece int, w0 binary, n0 binary, w1 binary, n1 binary").groupBy("piece").applyInPandas(averaged, "piece int, w0 binary, w1 binary").collect()
+    weights = [np.zeros((pieces, m // pieces * k), np.float16) for m, k in zip(many, (CLASSES, FAN))]
     for r in found:
-        weights[r["piece"]] = np.frombuffer(r["payload"], "<f4")
-    return weights.reshape(ROWS, CLASSES)
+        for k in range(2):
+            weights[k][r["piece"]] = np.frombuffer(r[f"w{k}"], "<f2")
+    return weights[0].reshape(-1, CLASSES), weights[1].reshape(-1, FAN)
+
+
+def train(counted: DataFrame, lex: Lexicon, trainers: int = TRAINERS, rate: float = 0.4) -> np.ndarray:
+    """Class weights alone."""
+    return learn(counted, lex, masses(counted, lex), trainers, rate)[0].astype(np.float32)
+
+
+def inner_scores(steps: list, weights: np.ndarray, words: tuple[np.ndarray, np.ndarray], leaf: np.ndarray) -> np.ndarray:
+    """Natural log P(leaf | class, history)."""
+    out = np.zeros(len(leaf))
+    for shift, width, bias, _ in steps:
+        digits = leaf >> shift
+        node, digit = digits >> width, digits & ((1 << width) - 1)
+        out += _log_softmax(bias[node], weights, inner_features(words, node, shift, len(weights)))[np.arange(len(leaf)), digit]
+    return out
 
 
 def scores(docs: DataFrame, trainers: int = TRAINERS) -> DataFrame:
@@ -270,22 +376,26 @@ def scores(docs: DataFrame, trainers: int = TRAINERS) -> DataFrame:
     spark = docs.sparkSession
     counted = counted_blocks(docs)
     lex = lexicon(counted)
-    bias, weights = class_bias(lex), spark.sparkContext.broadcast(train(counted, lex, trainers))
+    mass = masses(counted, lex)
+    bias, shared = class_bias(lex), spark.sparkContext.broadcast((mass, *learn(counted, lex, mass, trainers)))
 
     def scored(batches):
+        mass, *weights = shared.value
+        outer, inner = (w.astype(np.float32) for w in weights)
+        steps = levels(mass, lex.bits)
         for batch in batches:
             for b in _rows(batch):
-                kind, rank, inside = lex.describe(b)
+                kind, word, leaf = lex.describe(b)
                 base = np.log10((b.totals + 1) / (lex.n + lex.v + 1))
-                of, model = kind[b.codes], inside[b.codes]
-                distinct, place = np.unique(contexts(of, rank[b.codes], b.sizes), return_inverse=True)
-                pairs = place.astype(np.int32) * CLASSES + of
-                order = np.argsort(place, kind="stable")
-                ends = np.searchsorted(place[order], np.arange(0, len(distinct) + STEP, STEP))
-                for at, lo, hi in zip(range(0, len(distinct), STEP), ends, ends[1:]):
-                    z = _log_softmax(bias, weights.value, features(distinct[at : at + STEP])).ravel()
-                    here = order[lo:hi]
-                    model[here] += z[pairs[here] - at * CLASSES] / np.log(10)
+                rest = np.where(kind < SINGLES, 0.0, np.log10((b.totals + 1) / np.maximum(mass[leaf], 1)))
+                model = rest[b.codes]
+                for at, of, context, words, place in _runs(kind, word, leaf, b.codes, b.sizes):
+                    distinct, which = np.unique(context, return_inverse=True)
+                    gained = _log_softmax(bias, outer, features(distinct, len(outer)))[which, of].astype(np.float64)
+                    deep = of >= SINGLES
+                    if deep.any():
+                        gained[deep] += inner_scores(steps, inner, (words[0][deep], words[1][deep]), place[deep])
+                    model[at : at + len(of)] += gained / np.log(10)
                 first = np.cumsum(b.sizes) - b.sizes
                 add = lambda x: np.add.reduceat(x, first)
                 known = add((b.totals > 0)[b.codes].astype(np.int64))

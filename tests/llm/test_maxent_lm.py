@@ -51,5 +51,31 @@ def test_model_is_a_distribution(spark):
     assert lex.n == lex.class_n.sum() and lex.v == lex.class_v.sum()
 
 
+def pairs():
+    """Texts of pairs: the second word of one suffix class follows from the first."""
+    r = random.Random(3)
+    return [(i, " ".join(f"a{k}left b{k}ight" for k in r.choices(range(400), k=60))) for i in range(1200)]
+
+
+def test_words_of_a_class_are_told_apart_by_the_word_before(spark):
+    out = lm.scores(spark.createDataFrame([(i, t, "x", 1, 2) for i, t in pairs()], DOCS).repartition(3)).collect()
+    away = [r for r in out if r.held_out]
+    # each word is one of 400 equally frequent ones, which counts can't tell apart: 2.6 for each of 120 words but the single ones
+    assert sum(r.score for r in away) > -300 * len(away)
+
+
+def test_words_of_a_class_and_its_unknown_add_up_to_one(spark):
+    counted = lm.counted_blocks(spark.createDataFrame([(i, t, "x", 1, 2) for i, t in corpus()], DOCS).repartition(2))
+    lex = lm.lexicon(counted)
+    mass = lm.masses(counted, lex)
+    weights = lm.learn(counted, lex, mass)[1].astype(np.float32)
+    n = lex.class_n[lm.SINGLES :] + lex.class_v[lm.SINGLES :] + 1
+    assert np.allclose(mass.reshape(lm.SUFFIXES, -1).sum(axis=1), n)
+    leaf = np.arange(lm.SUFFIXES << lex.bits)
+    word = np.full(len(leaf), 12345)
+    p = np.exp(lm.inner_scores(lm.levels(mass, lex.bits), weights, (word, word + 1), leaf))
+    assert np.allclose(p.reshape(lm.SUFFIXES, -1).sum(axis=1), 1, atol=1e-4)
+
+
 def test_empty_table(spark):
     assert lm.scores(spark.createDataFrame([], DOCS)).count() == 0
