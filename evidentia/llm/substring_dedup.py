@@ -1,7 +1,9 @@
 """Substring dedup by sliding sentence spans.
 
 A sentence here ends at a full stop, question or exclamation mark, comma, semicolon or colon before white space, or at a line
-end. From every sentence on, and up to every sentence, a span runs over the fewest consecutive sentences, two at least, that
+end; of every WINDOW words in a row that no such end parts, it also ends after the one of least hash (the last of equals). These
+cuts depend on the words around only, so passages of 51 equal words share their ends but for WINDOW words at each edge, whatever
+sentences they lie in, and keep 25 words between them. From every sentence on, and up to every sentence, a span runs over the fewest consecutive sentences, two at least, that
 hold 25 words; so any longer repeated run is covered from its first sentence to its last. Spans are hashed and joined over all documents; the first occurrence by (doc_id, position) stays, and sentences that another occurrence covers
 are removed. Two spans are equal if their lower-cased words are, whatever the white space and the marks at sentence ends; they
 are compared by 64-bit hashes.
@@ -10,6 +12,7 @@ are compared by 64-bit hashes.
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -23,16 +26,37 @@ from evidentia.llm.common import pick, slices, table
 MIN_SENTENCES = 2
 MIN_WORDS = 25
 CUT = re.compile(r"[.!?,;:]+[\"')\]]*\s+|\n\s*")
+WORD = re.compile(r"\S+\s*")
+WINDOW = 13
 MARKS = ".!?,;:\"')]"
 #: An odd factor, and its inverse modulo 2**64: the hash of a span is a polynomial in it over the sentences' hashes.
 FACTOR = 0x9E3779B97F4A7C15
 INVERSE = pow(FACTOR, -1, 1 << 64)
 
 
+def _inner_ends(text: str) -> list[int]:
+    """Ends, with white space, of the words of least hash in each WINDOW words of one sentence, but for its last word."""
+    found = list(WORD.finditer(text))
+    if len(found) < WINDOW:
+        return []
+    hashes = np.array([zlib.crc32(m.group().lower().rstrip().rstrip(MARKS).encode("utf-8", "surrogatepass")) for m in found], np.uint32)
+    windows = np.lib.stride_tricks.sliding_window_view(hashes, WINDOW)[:, ::-1]
+    least = np.unique(np.arange(len(windows)) + WINDOW - 1 - windows.argmin(axis=1))
+    return [found[k].end() for k in least if k < len(found) - 1]
+
+
 def sentence_bounds(text: str) -> list[int]:
     """0, every sentence's end, with the white space after it; the last is the length of the text."""
     ends = [m.end() for m in CUT.finditer(text)]
-    return [0, *ends] if ends and ends[-1] == len(text) else [0, *ends, len(text)]
+    if not ends or ends[-1] != len(text):
+        ends.append(len(text))
+    bounds = [0]
+    for end in ends:
+        start = bounds[-1]
+        if end - start >= 2 * WINDOW - 1:
+            bounds += [start + x for x in _inner_ends(text[start:end])]
+        bounds.append(end)
+    return bounds
 
 
 def _powers(base: int, n: int) -> np.ndarray:

@@ -63,5 +63,16 @@ def test_repeated_rows_fare_alike(spark):
     assert out == [(1, t), (1, t), (2, ""), (2, "other " + t)]
 
 
+def test_passage_inside_one_sentence_is_found(spark):
+    r = random.Random(8)
+    draw = lambda n: " ".join(f"u{r.randrange(10**6)}" for _ in range(n))
+    rows = []
+    for k in range(60):
+        passage = draw(51 + k % 10)
+        rows += [(2 * k, f"{draw(k % 15)} {passage} {draw(9)}"), (2 * k + 1, f"{draw(40)} {passage} {draw(k % 30)}. {draw(5)}")]
+    out = {x.doc_id: x.dedup.n_removed_chars for x in sd.substring_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all((out[i] > 100) == (i % 2 == 1) for i in out)
+
+
 def test_empty_table(spark):
     assert sd.substring_dedup(spark.createDataFrame([], DOCS)).count() == 0
