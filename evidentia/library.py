@@ -32,7 +32,8 @@ class Library:
         """Fused hits among the visible papers, or among those of ids that are visible; statistics stay over all papers."""
         scope = self.visible().select("id")
         if ids is not None:
-            scope = scope.where(F.col("id").isin([*ids][:100]))
+            named = self.papers.sparkSession.createDataFrame([(i,) for i in dict.fromkeys(ids)], "id bigint")
+            scope = scope.join(named, "id", "left_semi")
         docs = self.papers.select("id", "text", F.col("id").alias("parent"))
         return retrieval.hybrid_search(docs, self.vectors, question, list(probe), scope, top_k=top_k)
 
@@ -60,8 +61,10 @@ class Library:
         return catalog.page(self.visible().where("fulltext_path IS NULL"), [F.asc("id")], number, size)
 
     def set_status(self, ids: Sequence[int], status: str) -> DataFrame:
-        """papers with the status of the named ones replaced; unknown ids change nothing."""
-        named = list(dict.fromkeys(ids))[:BATCH]
+        """papers with the status of the named ones replaced; unknown ids change nothing, more than BATCH are refused."""
+        named = list(dict.fromkeys(ids))
+        if len(named) > BATCH:
+            raise ValueError(f"{len(named)} ids, {BATCH} at most")
         return self.papers.withColumn("status", F.when(F.col("id").isin(named), status).otherwise(F.col("status")))
 
     def categories(self) -> DataFrame:

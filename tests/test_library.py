@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from evidentia.library import Library
@@ -35,6 +36,13 @@ def test_search_stays_in_scope(spark):
     assert ids(lib.search("alpha", [1.0, 0.0], ids=[3])) == [3]
 
 
+def test_no_id_is_dropped_silently(spark):
+    lib = make(spark)
+    with pytest.raises(ValueError):
+        lib.set_status(range(501), "parsed")
+    assert ids(lib.search("alpha", [1.0, 0.0], ids=[*range(1000, 1200), 3, 3])) == [3]
+
+
 def test_sessions_quotes_and_index(spark):
     lib = make(spark)
     assert [r.turn_id for r in lib.numbered_turns().orderBy("conv_id", "turn").collect()] == [1, 1, 1]
