@@ -47,3 +47,8 @@ def test_without_rows_or_labels(spark, module, name):
     assert getattr(module, name)(docs, module.fit(docs, none)).count() == 0
     one = spark.createDataFrame([(1, "a b c", 1, "x")], DOCS)
     assert getattr(module, name)(one, module.fit(one, none)).count() == 1
+
+
+def test_most_repeated_word_is_sought_in_the_whole_text():
+    text = "one two three four five six seven eight " + "late " * 12
+    assert pairwise_quality.figures(text)[11] == 12 / 20
