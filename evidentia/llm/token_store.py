@@ -40,6 +40,14 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@lru_cache(4)
+def id_bytes(path: str) -> int:
+    """Bytes of an id of the tokeniser: 2, or 4 for larger vocabularies."""
+    from tokenizers import Tokenizer
+
+    return 2 if max(Tokenizer.from_file(path).get_vocab().values()) < 1 << 16 else 4
+
+
 class _WordEncoder:
     """The tokeniser drops white space, so a text's ids are those of its words in order; each distinct word is encoded once.
 
@@ -50,16 +58,14 @@ class _WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         vocab = self.tokenizer.get_vocab()
-        if max(vocab.values()) >= 1 << 16:
-            raise ValueError("ids of 16 bits at most")
-        self.last = np.zeros(1 << 16, bool)
+        self.dtype = np.dtype(f"<u{id_bytes(path)}")
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
 
     def ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16)
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
 
     def runs(self, wanted: set[str]) -> dict[str, bytes]:
         """The ids of those runs that the cache lacks; the cache takes them up while it has room."""
@@ -67,7 +73,7 @@ class _WordEncoder:
         for k in range(0, len(new), 512):
             part = new[k : k + 512]
             ids = self.ids(" ".join(part))
-            cuts = (2 * np.flatnonzero(self.last[ids]) + 2).tolist()
+            cuts = (self.dtype.itemsize * (np.flatnonzero(self.last[ids]) + 1)).tolist()
             if len(cuts) == len(part):
                 raw = ids.tobytes()
                 made |= {run: raw[a:b] for run, a, b in zip(part, [0, *cuts], cuts)}
@@ -78,7 +84,7 @@ class _WordEncoder:
         return made
 
     def words(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word, as bytes of 16-bit integers."""
+        """The ids of each word, as bytes. A word that holds a special token is no letter run and goes to the tokeniser whole."""
         split = PLAIN.findall(b"\n".join([*words, b""]).decode().lower())
         known, made = self.known, self.runs({x for a, b, _ in split if a for x in (a, b)} - {""})
         made[""] = b""
@@ -94,9 +100,9 @@ class _WordEncoder:
             words.append(None)
             counts[k + 1] = len(words)
         codes, distinct = pd.factorize(np.array(words, object))
-        encoded = [*self.words(list(distinct)), np.array([END], np.uint16).tobytes()]
-        lengths = np.array([len(x) // 2 for x in encoded], np.int64)
-        flat, starts = np.frombuffer(b"".join(encoded), np.uint16), np.cumsum(lengths) - lengths
+        encoded = [*self.words(list(distinct)), np.array([END], self.dtype).tobytes()]
+        lengths = np.array([len(x) // self.dtype.itemsize for x in encoded], np.int64)
+        flat, starts = np.frombuffer(b"".join(encoded), self.dtype), np.cumsum(lengths) - lengths
         codes[codes < 0] = len(encoded) - 1
         each = lengths[codes]
         upto = np.cumsum(each)
@@ -111,7 +117,11 @@ def _encoder(path: str) -> _WordEncoder:
 
 
 def tokenize(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, ids binary of little-endian unsigned 16-bit integers), END after each text; a null text counts as empty."""
+    """(doc_id, ids binary of little-endian unsigned integers of id_bytes bytes), END after each text.
+
+    A null text counts as empty: END alone. Special tokens that a text spells out are encoded as the library encodes them. Rows
+    may repeat, doc_ids may be null or tie, further columns of any name don't matter; an empty table gives no rows.
+    """
     path = path or default_tokenizer()
 
     def encoded(batches):
@@ -196,7 +206,7 @@ def unpack(payload: bytes, checkpoints: np.ndarray, n: int, entries: np.ndarray,
     raw = np.frombuffer(payload + bytes(8), np.uint8).astype(np.uint32)
     window = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]
     at, last = checkpoints.astype(np.int64), len(window) - 1
-    out = np.empty((len(at), block), np.uint16)
+    out = np.empty((len(at), block), np.uint32)
     for k in range(block):
         seen = window[np.minimum(at >> 3, last)] << (at & 7).astype(np.uint32) >> np.uint32(32 - bits)
         got = entries[seen]
@@ -205,23 +215,27 @@ def unpack(payload: bytes, checkpoints: np.ndarray, n: int, entries: np.ndarray,
     return out.reshape(-1)[:n]
 
 
-def write_store(tokens: DataFrame, path: str, max_bits: int = MAX_BITS, segment: int = SEGMENT, block: int = BLOCK) -> None:
-    """(doc_id, ids binary of 16-bit integers) -> a store at path. tokens is read twice: for counts over all ids, and to write.
+def write_store(tokens: DataFrame, path: str, max_bits: int = MAX_BITS, segment: int = SEGMENT, block: int = BLOCK, width: int = 2) -> None:
+    """(doc_id, ids binary of integers of width bytes) -> a store at path. tokens is read twice: for counts over all ids, and to
+    write.
 
-    Null doc_ids come first and ties are ordered by their ids. A segment holds whole documents.
+    Null doc_ids come first and ties are ordered by their ids. A segment holds whole documents. An empty table gives an empty
+    store.
     """
 
     def counted(batches):
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
             for x in batch.column(0):
-                total += np.bincount(np.frombuffer(x.as_buffer(), "<u2"), minlength=1 << 16)
+                seen = np.bincount(np.frombuffer(x.as_buffer(), f"<u{width}"), minlength=len(total))
+                total = np.concatenate([total, np.zeros(len(seen) - len(total), np.int64)]) + seen
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["id", "n"])
 
     spark = tokens.sparkSession
-    counts = np.zeros(1 << 16, np.int64)
-    for r in tokens.select("ids").mapInArrow(counted, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect():  # one row an id
+    found = tokens.select("ids").mapInArrow(counted, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()  # one row an id
+    counts = np.zeros(1 + max((r["id"] for r in found), default=0), np.int64)
+    for r in found:
         counts[r["id"]] = r["n"]
     lengths = code_lengths(counts, max_bits)
     used = np.flatnonzero(lengths)
@@ -238,7 +252,7 @@ def write_store(tokens: DataFrame, path: str, max_bits: int = MAX_BITS, segment:
 
         for batch in batches:
             for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
-                held.append(np.frombuffer(ids.as_buffer(), "<u2"))
+                held.append(np.frombuffer(ids.as_buffer(), f"<u{width}"))
                 names.append(doc_id)
                 sizes.append(len(held[-1]))
                 n += sizes[-1]
@@ -256,8 +270,9 @@ def write_store(tokens: DataFrame, path: str, max_bits: int = MAX_BITS, segment:
 
 def read_store(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
     """(doc_id, start, n_tokens, ids binary of little-endian unsigned 32-bit integers) of every document of a store."""
-    lengths = np.zeros(1 << 16, np.uint8)
-    for r in spark.read.parquet(f"{path}/codebook").collect():  # one row an id
+    known = spark.read.parquet(f"{path}/codebook").collect()  # one row an id
+    lengths = np.zeros(1 + max((r["id"] for r in known), default=0), np.uint8)
+    for r in known:
         lengths[r["id"]] = r["n_bits"]
 
     def decoded(batches):
@@ -282,5 +297,5 @@ def read_store(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
 
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{work_dir(spark)}/token-store-{uuid.uuid4().hex}"
-    write_store(materialize(tokenize(table(spark, sf_dir, "documents")), "tokens"), path)
+    write_store(materialize(tokenize(table(spark, sf_dir, "documents")), "tokens"), path, width=id_bytes(default_tokenizer()))
     return read_store(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

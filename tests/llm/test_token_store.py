@@ -11,14 +11,13 @@ DOCS = "doc_id bigint, text string, ids string, shard int, n_tokens bigint"
 
 def texts():
     r = random.Random(8)
-    words = ["the", "The,", "nasıl", "Straße.", "don't", "we'll", "x1y2", "İstanbul", "été", "日本語", "<|endoftext|>", "&&&", "a|b", "ΑΣ", "ﬁ", " nb sp ", "1234", "!!", "ẞ", "…", "re-do"]
+    words = ["the", "The,", "nasıl", "Straße.", "don't", "we'll", "x1y2", "İstanbul", "été", "日本語", "<|endoftext|>", "<|startoftext|>", "x<|endoftext|>y", "<|endoftext|><|endoftext|>", "<|STARTOFTEXT|>", "&&&", "a|b", "ΑΣ", "ﬁ", " nb sp ", "1234", "!!", "ẞ", "…", "re-do"]
     made = [(i, " ".join(r.choices(words, k=r.randrange(60))).replace(" ", r.choice([" ", "\n", "\t "]))) for i in range(120)]
     return made + [(500, None), (501, ""), (7, "tie"), (7, "tie"), (None, "no id")]
 
 
 def test_round_trip_equals_the_library(spark, tmp_path):
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     rows = texts()
     df = spark.createDataFrame([(i, x, "z", 1, 2) for i, x in rows], DOCS).repartition(4)
     ts.write_store(ts.tokenize(df), str(tmp_path / "store"), segment=200, block=16)
@@ -62,3 +61,17 @@ def test_packing_of_one_id_and_none():
 def test_empty_table(spark, tmp_path):
     ts.write_store(ts.tokenize(spark.createDataFrame([], DOCS)), str(tmp_path / "store"))
     assert ts.read_store(spark, str(tmp_path / "store")).count() == 0
+
+
+def test_special_tokens_as_the_library_takes_them():
+    text = "hello <|endoftext|> world x<|startoftext|>y"
+    want = Tokenizer.from_file(P.path("word_bpe_49k.json")).encode(text, add_special_tokens=False).ids
+    ids, n = ts._WordEncoder(P.path("word_bpe_49k.json")).texts([text])
+    assert 49407 in want and 49406 in want and ids.tolist() == want + [2] and n.tolist() == [len(want) + 1]
+
+
+def test_ids_of_four_bytes_and_a_very_long_text(spark, tmp_path):
+    r = np.random.default_rng(2)
+    rows = [(k, r.integers(0, 200_000, n).astype("<u4").tobytes()) for k, n in enumerate((1, 700_000, 0, 50))]
+    ts.write_store(spark.createDataFrame(rows, "doc_id bigint, ids binary"), str(tmp_path / "store"), width=4)
+    assert {(x.doc_id, bytes(x.ids)) for x in ts.read_store(spark, str(tmp_path / "store")).collect()} == set(rows)
