@@ -6,8 +6,9 @@ gives only the first of its documents, and the last of those may be cut. The tre
 over the output shards: a node splits its quotas between its halves by a multivariate hypergeometric draw. Each shard takes
 its own range of the permuted draws, so that shards are disjoint, and orders its documents by another hash.
 
-The plan is metadata of bounded size (max_blocks blocks and max_sources sources at most) and is made on the driver; texts
-aren't shuffled until the shards are written.
+The plan is metadata of bounded size (max_blocks blocks and max_sources sources at most; more sources are refused) and is made on
+the driver; texts aren't shuffled until the shards are written. There is a shard for every SHARD_WORDS words, as long as their
+number fits max_blocks and CELLS (shards times sources); beyond, shards grow.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from evidentia.llm.common import WORD, materialize, pick, table
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST = 3
+SHARD_WORDS = 1_000_000
+CELLS = 10_000_000
 
 
 def fill(sizes: list[int], weights: list[float], most: float = MOST) -> list[float]:
@@ -64,8 +67,8 @@ class Plan:
     quotas: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.int64))
 
 
-def _keys(source: str = "source") -> list[Column]:
-    return [F.col(source).isNull().alias("missing"), F.coalesce(F.col(source), F.lit("")).alias("src")]
+def _keys(source: Column) -> list[Column]:
+    return [source.isNull().alias("missing"), F.coalesce(source, F.lit("")).alias("src")]
 
 
 def _block(h: str = "h", n: str = "n_blocks") -> Column:
@@ -77,16 +80,20 @@ def _sized(docs: DataFrame, seed: int) -> list[Column]:
     return [size, F.xxhash64(F.lit(seed), docs["doc_id"], docs["text"]).alias("h")]
 
 
-def make_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, shards: int = 64, seed: int = 17, min_block_words: int = 20_000, max_blocks: int = 1 << 16, max_sources: int = 100_000) -> Plan:
-    """The targets, cuts and draws for docs. Equal input gives an equal plan, however it is partitioned."""
+def make_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, shards: int | None = None, seed: int = 17, min_block_words: int = 20_000, max_blocks: int = 1 << 16, max_sources: int = 100_000) -> Plan:
+    """The targets, cuts and draws for docs. Equal input gives an equal plan, however it is partitioned.
+
+    shards is their number; by default it follows the words.
+    """
     spark = docs.sparkSession
-    sized = materialize(docs.select(*_keys("source"), *_sized(docs, seed)), "mix-sizes")
+    sized = materialize(docs.select(*_keys(docs["source"]), *_sized(docs, seed)), "mix-sizes")
     found = sized.groupBy("missing", "src").agg(F.sum("size").alias("n")).limit(max_sources + 1).collect()
     if len(found) > max_sources:
         raise ValueError(f"over {max_sources} sources")
     found.sort(key=lambda r: (r["missing"], r["src"]))  # str sorts by code point
     sizes = [r["n"] for r in found]
     targets = fill(sizes, [weights[i % len(weights)] for i in range(len(found))])
+    shards = shards or max(1, min(-(-sum(sizes) // SHARD_WORDS), max_blocks, CELLS // max(1, len(found))))
     block_words = max(min_block_words, -(-sum(sizes) // max_blocks))
     src = pd.DataFrame(
         {
@@ -145,40 +152,46 @@ def make_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, shards: int
     return Plan(src, draws, per_shard)
 
 
-def mix(docs: DataFrame, plan: Plan | None = None, seed: int = 17, **options) -> DataFrame:
-    """docs with one more column, mix: struct<size, source_size, target, taken, draws array<struct<pass, shard, words>>>.
-
-    Any column of docs but mix may have any name. A null text has size 0 and is never taken; a null source is a source of its
-    own, the last; equal rows are taken alike. An empty table gives no rows.
-    """
-    plan = plan or make_plan(docs, seed=seed, **options)
+def _drawn(docs: DataFrame, plan: Plan, seed: int) -> DataFrame:
+    """(row struct of all columns of docs, size, source_size, target, draws array<struct<pass, block, shard, words>>, h)."""
     spark = docs.sparkSession
     src = plan.sources[["missing", "src", "s", "source_size", "target", "n_blocks", "passes", "cut_block", "cut_h", "cut_take"]]
     known = spark.createDataFrame(list(src.itertuples(index=False, name=None)), "missing boolean, src string, s int, source_size bigint, target double, n_blocks int, passes bigint, cut_block int, cut_h bigint, cut_take bigint")
     drawn = spark.createDataFrame(list(plan.draws.itertuples(index=False, name=None)), "s int, block int, passes_in array<int>, shards_in array<int>")
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *_keys("source"), *_sized(docs, seed))
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *_keys(docs["source"]), *_sized(docs, seed))
     rows = rows.join(F.broadcast(known), ["missing", "src"]).withColumn("block", _block()).join(F.broadcast(drawn), ["s", "block"], "left")
     cut = F.when(F.col("h") < F.col("cut_h"), F.col("size")).when(F.col("h") == F.col("cut_h"), F.col("cut_take")).otherwise(F.lit(0))
     last = lambda p: (p == F.col("passes")) & (F.col("block") == F.col("cut_block"))
-    one = lambda p, j: F.struct(p.alias("pass"), j.alias("shard"), F.when(last(p), cut).otherwise(F.col("size")).cast("bigint").alias("words"))
-    draws = F.filter(F.zip_with(F.coalesce("passes_in", F.array().cast("array<int>")), F.coalesce("shards_in", F.array().cast("array<int>")), one), lambda d: d["words"] > 0)
-    rows = rows.withColumn("draws", draws)
+    one = lambda p, j: F.struct(p.alias("pass"), F.col("block").alias("block"), j.alias("shard"), F.when(last(p), cut).otherwise(F.col("size")).cast("bigint").alias("words"))
+    none = F.array().cast("array<int>")
+    draws = F.filter(F.zip_with(F.coalesce("passes_in", none), F.coalesce("shards_in", none), one), lambda d: d["words"] > 0)
+    return rows.select("row", "size", "source_size", "target", draws.alias("draws"), "h")
+
+
+def mix(docs: DataFrame, plan: Plan | None = None, seed: int = 17, **options) -> DataFrame:
+    """docs with one more column, mix: struct<size, source_size, target, taken, draws array<struct<pass, block, shard, words>>>.
+
+    Any column of docs but mix may have any name. A null text has size 0 and is never taken; a null source is a source of its
+    own, the last; equal rows are taken alike. An empty table gives no rows.
+    """
+    rows = _drawn(docs, plan or make_plan(docs, seed=seed, **options), seed)
     taken = F.aggregate("draws", F.lit(0).cast("bigint"), lambda n, d: n + d["words"])
     return rows.select("row.*", F.struct("size", "source_size", "target", taken.alias("taken"), "draws").alias("mix"))
 
 
-def shards(docs: DataFrame, n: int = 64, seed: int = 17, **options) -> DataFrame:
+def shards(docs: DataFrame, n: int | None = None, seed: int = 17, **options) -> DataFrame:
     """The mixed documents, a row for each time that one is taken, in shards and shuffled within each.
 
-    Documents stay whole: one that the last block cuts is taken if at least half of it fits. All columns of docs are kept.
+    Documents stay whole: one that the last block cuts is taken if at least half of it fits. All columns of docs are kept,
+    whatever their names. An empty table gives no rows.
     """
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    rows = mix(docs, seed=seed, shards=n, **options)
-    taken = rows.select(*columns, F.col("mix.size").alias("__size"), F.explode("mix.draws").alias("__draw")).where("2 * __draw.words >= __size")
-    placed = taken.withColumn("__order", F.xxhash64(F.lit(seed), F.col("__draw.pass"), F.col("__draw.shard"), F.col("doc_id"), F.col("text")))
-    return placed.withColumn("__shard", F.col("__draw.shard")).repartition(n, "__shard").sortWithinPartitions("__shard", "__order").select(*columns)
+    plan = make_plan(docs, seed=seed, shards=n, **options)
+    rows = _drawn(docs, plan, seed)
+    taken = rows.select("row", "size", "h", F.explode("draws").alias("draw")).where("2 * draw.words >= size")
+    placed = taken.select("row", F.col("draw.shard").alias("shard"), F.xxhash64(F.lit(seed), F.col("draw.pass"), F.col("draw.shard"), F.col("h")).alias("turn"))
+    return placed.repartition(len(plan.quotas), "shard").sortWithinPartitions("shard", "turn").select("row.*")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
-    return mix(docs).select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
+    return mix(docs).select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken", F.expr("mix.draws.shard").alias("shards"), F.expr("mix.draws.block[0]").alias("block"))

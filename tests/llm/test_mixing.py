@@ -47,11 +47,39 @@ def test_targets_and_takes(spark):
         assert abs(r.mix.target - want[k]) < 1e-6 * max(1, want[k]) and 0 <= r.mix.taken <= 3 * r.mix.size
         taken[k] += r.mix.taken
     assert all(abs(taken[k] - want[k]) <= 3 for k in order)
-    used = Counter()
-    for r in out:
+
+
+def test_shards_take_what_the_tree_deals(spark):
+    df = spark.createDataFrame(corpus(), DOCS)
+    plan = mixing.make_plan(df, min_block_words=500, shards=7)
+    names = [(r.missing, r.src) for r in plan.sources.itertuples()]
+    seen = {}
+    for r in mixing.mix(df, plan).collect():
         for d in r.mix.draws:
-            used[d.shard] += d.words
-    assert len(used) == 7
+            at = (names.index((r.source is None, r.source or "")), d["pass"], d.block)
+            assert seen.setdefault(at, d.shard) == d.shard  # a draw of a block goes to one shard
+    drawn = np.zeros_like(plan.quotas)
+    for (s, _, _), j in seen.items():
+        drawn[j, s] += 1
+    empty = Counter()  # draws of blocks without words leave no row
+    for r in plan.draws.itertuples():
+        for p, j in zip(r.passes_in, r.shards_in):
+            empty[(j, r.s)] += (r.s, p, r.block) not in seen
+    assert (drawn + np.array([[empty[(j, s)] for s in range(len(names))] for j in range(7)]) == plan.quotas).all()
+    assert sum(empty.values()) < drawn.sum() / 2
+
+
+def test_number_of_shards_follows_the_words(spark):
+    df = spark.createDataFrame([(k, "w " * 30_000, "ab"[k % 2]) for k in range(90)], "doc_id bigint, text string, source string")
+    assert len(mixing.make_plan(df).quotas) == 3 and len(mixing.make_plan(df, max_blocks=2).quotas) == 2
+
+
+def test_clashing_names_are_kept(spark):
+    names = ["size", "draws", "h", "shard", "turn", "row", "block", "s", "missing", "src", "__shard", "__size"]
+    df = spark.createDataFrame([(k, "some words here", "a", *range(len(names))) for k in range(20)], "doc_id bigint, text string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    out = mixing.shards(df, n=3, min_block_words=10).collect()
+    assert out and all(tuple(r)[3:] == tuple(range(len(names))) for r in out)
+    assert all(r.mix.size == 3 for r in mixing.mix(df).collect())
 
 
 def test_fill_stops_at_three_times():
