@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidentia.llm.common import materialize, pick, slices, table
-from evidentia.llm.graph import components
+from evidentia.llm.graph import components, hot_join
 
 RADIUS = 4
 SHINGLE_WORDS = 4
@@ -172,28 +172,30 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of docs.
 
     A null or empty text has the fingerprint 0 and links like any other. Equal texts share a fingerprint and so a group.
-    component_id is the group's smallest doc_id; null ids are no candidates, and a group of null ids alone has null.
+    component_id is the group's smallest doc_id; null ids are no candidates, and a group of null ids alone has null. Columns but
+    doc_id and text don't matter; an empty table gives no rows.
     """
     stamped = materialize(with_fingerprint(docs), "simhash")
     lowest = stamped.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    rooted = groups(stamped).join(lowest, "fp")
-    names = rooted.join(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "component_id")
-    return stamped.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rooted = materialize(groups(stamped).join(lowest, "fp"), "rooted")
+    names = materialize(hot_join(rooted, rooted.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "component_id"), "names")
+    return hot_join(stamped, names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs with one row of each group: that of the smallest doc_id (null ids last), then of the smallest text hash.
 
-    Rows that share both are interchangeable, and one of them stays. All columns are kept.
+    Rows that share both are interchangeable, and one of them stays. All columns are kept, whatever their names. Null and empty
+    texts are one group. An empty table gives no rows.
     """
     stamped = materialize(with_fingerprint(docs), "simhash")
-    key = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", F.coalesce("text_hash", F.lit(0)).alias("h"))
-    rooted = groups(stamped).join(stamped.groupBy("fp").agg(F.min(key).alias("low")), "fp")
-    first = rooted.groupBy("root").agg(F.min("low").alias("low")).select(F.coalesce("low.doc_id", F.lit(-1)).alias("__id"), F.col("low.missing").alias("__missing"), F.col("low.h").alias("__h"))
-    keyed = docs.select(*[docs[f"`{c}`"] for c in docs.columns], F.coalesce(docs["doc_id"], F.lit(-1)).alias("__id"), docs["doc_id"].isNull().alias("__missing"), F.xxhash64(docs["text"]).alias("__h"))
-    hit = keyed.join(first, ["__id", "__missing", "__h"])
-    turn = F.row_number().over(Window.partitionBy("__id", "__missing", "__h").orderBy("__id"))
-    return hit.withColumn("__turn", turn).where("__turn = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    key = lambda i, h: F.struct(i.isNull().alias("missing"), i.alias("id"), F.coalesce(h, F.lit(0)).alias("h"))
+    rooted = groups(stamped).join(stamped.groupBy("fp").agg(F.min(key(F.col("doc_id"), F.col("text_hash"))).alias("low")), "fp")
+    first = rooted.groupBy("root").agg(F.min("low").alias("low")).select("low")
+    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), key(docs["doc_id"], F.xxhash64(docs["text"])).alias("own"))
+    hit = packed.join(first, packed["own"].eqNullSafe(first["low"]), "left_semi")
+    turn = F.row_number().over(Window.partitionBy("own").orderBy("own"))
+    return hit.withColumn("turn", turn).where("turn = 1").select("row.*")
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

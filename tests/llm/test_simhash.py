@@ -69,3 +69,25 @@ def test_one_row_of_each_group_stays(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], DOCS)
     assert simhash.simhash_components(empty).count() == 0 and simhash.drop_near_duplicates(empty).count() == 0
+
+
+def test_names_and_ids_of_any_kind_are_kept(spark):
+    names = ["own", "low", "row", "turn", "fp", "root", "__id", "__missing", "__h", "__turn"]
+    texts = [("-1", "a b c d e f"), (None, "a b c d e f"), ("x", "g h i j k l"), ("x", "g h i j k l"), (None, None), ("y", "")]
+    df = spark.createDataFrame([(i, t, *range(len(names))) for i, t in texts], "doc_id string, text string, " + ", ".join(f"`{n}` int" for n in names))
+    out = simhash.drop_near_duplicates(df).collect()
+    assert sorted(r.doc_id for r in out) == ["-1", "x", "y"] and all(tuple(r)[2:] == tuple(range(len(names))) for r in out)
+    ids = spark.createDataFrame([(-1, "a b c d e f"), (None, "g h i j k l")], "doc_id bigint, text string")
+    assert {r.doc_id for r in simhash.drop_near_duplicates(ids).collect()} == {-1, None}
+
+
+def test_large_stars_and_long_paths_settle(spark):
+    star = [(0, k) for k in range(1, 900)] + [(5000 + k, 5001 + k) for k in range(300)] + [(7000, 7000)]
+    got = {r.node: r.component_id for r in simhash.components(spark.createDataFrame(star, "u bigint, v bigint").repartition(7)).collect()}
+    assert got == {**{k: 0 for k in range(1, 900)}, **{5001 + k: 5000 for k in range(300)}}
+
+
+def test_a_very_long_text(spark):
+    words = [f"w{k % 977}" for k in range(300_000)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:-3]))], "doc_id bigint, text string")
+    assert {r.component_id for r in simhash.simhash_components(df).collect()} == {1}
