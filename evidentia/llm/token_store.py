@@ -21,14 +21,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import materialize, pick, table, text_or_empty, work_dir
+from evidentia.llm.common import materialize, pick, slices, table, text_or_empty, work_dir
 
 END = 2
 MAX_BITS = 20
 BLOCK = 256
 SEGMENT = 1 << 19
-#: Entries that a worker's cache of encoded letter runs may hold.
-CACHE = 400_000
+#: Entries that a worker's cache of encoded letter runs may hold: some 140 MB.
+CACHE = 700_000
 #: A line: precomposed Latin letters in lower case, which no normalisation changes, then marks, two pre-tokens of the tokeniser
 #: at most; or anything else.
 PLAIN = re.compile(r"(?:([a-zß-öø-įı-ɏ]+)([.,;:!?&$%#*|]*)(?=\n)|(.*))\n")
@@ -86,10 +86,16 @@ class _WordEncoder:
     def words(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word, as bytes. A word that holds a special token is no letter run and goes to the tokeniser whole."""
         split = PLAIN.findall(b"\n".join([*words, b""]).decode().lower())
-        known, made = self.known, self.runs({x for a, b, _ in split if a for x in (a, b)} - {""})
-        made[""] = b""
-        of = lambda x: known.get(x) or made[x]
-        return [of(a) + (of(b) if b else b"") if a else self.ids(w.decode()).tobytes() for (a, b, _), w in zip(split, words)]
+        made = self.runs({x for a, b, _ in split if a for x in (a, b)} - {""})
+        get, out = self.known.get, []
+        for w, (a, b, _) in zip(words, split):
+            if not a:
+                out.append(self.ids(w.decode()).tobytes())
+            elif b:
+                out.append((get(a) or made[a]) + (get(b) or made[b]))
+            else:
+                out.append(get(a) or made[a])
+        return out
 
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, END after each text, and the number of ids of each."""
@@ -206,13 +212,13 @@ def unpack(payload: bytes, checkpoints: np.ndarray, n: int, entries: np.ndarray,
     raw = np.frombuffer(payload + bytes(8), np.uint8).astype(np.uint32)
     window = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]
     at, last = checkpoints.astype(np.int64), len(window) - 1
-    out = np.empty((len(at), block), np.uint32)
+    out = np.empty((block, len(at)), np.uint16 if len(entries) and int(entries.max()) >> 5 < 1 << 16 else np.uint32)
     for k in range(block):
         seen = window[np.minimum(at >> 3, last)] << (at & 7).astype(np.uint32) >> np.uint32(32 - bits)
         got = entries[seen]
-        out[:, k] = got >> 5
+        out[k] = got >> 5
         at += got & 31
-    return out.reshape(-1)[:n]
+    return out.T.reshape(-1)[:n]
 
 
 def write_store(tokens: DataFrame, path: str, max_bits: int = MAX_BITS, segment: int = SEGMENT, block: int = BLOCK, width: int = 2) -> None:
@@ -226,8 +232,8 @@ def write_store(tokens: DataFrame, path: str, max_bits: int = MAX_BITS, segment:
     def counted(batches):
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                seen = np.bincount(np.frombuffer(x.as_buffer(), f"<u{width}"), minlength=len(total))
+            for part in slices([batch]):
+                seen = np.bincount(np.frombuffer(b"".join(part.column(0).to_pylist()), f"<u{width}"), minlength=len(total))
                 total = np.concatenate([total, np.zeros(len(seen) - len(total), np.int64)]) + seen
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["id", "n"])
