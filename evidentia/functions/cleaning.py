@@ -5,10 +5,13 @@ The patterns of identifiers, labels, number cells and access pages are fixed val
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: States that a better one outlives.
 LOW_CONFIDENCE = ("metadata_only", "missing_fulltext", "parse_failed", "failed")
@@ -43,6 +46,28 @@ def arxiv(raw: Column, url: Column) -> Column:
     return F.when(x.rlike(r"^(?:\d{4}\.\d{4,5}|[a-z][a-z.\-]*/\d{7})$"), x)
 
 
+def semantic_id(raw: Column) -> Column:
+    """A scholar index's identifier; words for "none" are null."""
+    x = F.lower(F.trim(raw))
+    return F.when(~x.isin("", "unknown", "none", "null", "n/a", "-"), x)
+
+
+@F.pandas_udf(StringType())
+def folded(text: pd.Series) -> pd.Series:
+    """Compatibility forms composed (NFKC) and case folded, for which Spark has no function."""
+    return text.map(lambda x: unicodedata.normalize("NFKC", x).casefold(), na_action="ignore")
+
+
+def folded_title(raw: Column) -> Column:
+    """A title for comparison: folded, with single blanks and without a full stop at its end."""
+    return F.rtrim(F.trim(F.regexp_replace(folded(raw), r"\s+", " ")), F.lit("."))
+
+
+def bare_name(raw: Column) -> Column:
+    """A name's letters and digits only, in lower case."""
+    return F.regexp_replace(F.lower(raw), r"[^\p{L}\p{N}]+", "")
+
+
 def table_label(raw: Column) -> Column:
     """A table cell without citations, bold and code marks."""
     return F.trim(F.regexp_replace(F.regexp_replace(raw, r"\[\s*\d+(?:\s*,\s*\d+)*\s*\]", ""), r"\*\*|`", ""), F.lit(" |"))

@@ -1,116 +1,148 @@
-"""Entity resolution: exact identities with conflicts checked, and first-wins merging of records.
-
-Candidates are pairs of neighbours among the rows of one key, so that a key of many rows gives as many links, not their square.
-Components bound what the order-dependent part must see; it replays its rows in order, one component at a time.
-"""
+"""Entity resolution: exact identities with conflicts checked, and first-wins merging of records."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.functions import cleaning as T
+from evidentia.operators.graph import components, hot_join
+from evidentia.sources.sinks import materialize
 
-IDENTITIES = ("doi", "arxiv", "pdf")
+#: What may link two records, and what must not differ among the records of a group.
+IDENTITIES = ("doi", "arxiv", "semantic", "pdf", "work")
+EXCLUSIVE = ("doi", "arxiv", "semantic")
+#: Characters that a title needs to identify a work.
+LEAST_TITLE = 16
 
 
 def with_identifiers(papers: DataFrame) -> DataFrame:
-    """papers with normal doi and arxiv columns; what isn't valid is null."""
-    return papers.withColumn("arxiv", T.arxiv(F.col("arxiv_id"), F.col("url"))).withColumn("doi", T.doi(F.col("doi")))
+    """papers with normal doi, arxiv and semantic columns; what isn't valid is null."""
+    return papers.withColumns({"arxiv": T.arxiv(F.col("arxiv_id"), F.col("url")), "doi": T.doi(F.col("doi")), "semantic": T.semantic_id(F.col("semantic_id"))})
 
 
-def keys(rows: DataFrame, names: tuple[str, ...] = IDENTITIES) -> DataFrame:
-    """(id, key): an identity of a row in each line."""
-    return rows.select("id", F.explode(F.array_compact(F.array(*[F.when(F.col(n).isNotNull(), F.concat(F.lit(n + ":"), F.col(n))) for n in names]))).alias("key"))
-
+def work_key(title: Column, year: Column, authors: Column, least: int = LEAST_TITLE) -> Column:
+    """One digest for the records of equal title, year and set of authors; null where a title is short or a part is missing."""
+    name = T.folded_title(title)
+    people = F.array_sort(F.array_distinct(F.filter(F.transform(authors, T.bare_name), lambda x: x != "")))
+    whole = (F.length(name) >= least) & year.isNotNull() & (F.size(people) > 0)
+    return F.when(whole, F.sha2(F.concat_ws("\x1f", name, year.cast("string"), F.array_join(people, "\x1e")), 256))
 
-def candidate_links(rows: DataFrame, names: tuple[str, ...] = IDENTITIES) -> DataFrame:
-    """(left, right, key) of rows that follow each other, by id, under one key."""
-    after = F.lead("id").over(Window.partitionBy("key").orderBy("id"))
-    return keys(rows, names).distinct().withColumn("right", after).where("right IS NOT NULL").select(F.col("id").alias("left"), "right", "key")
 
+def keys(rows: DataFrame, names: Sequence[str] = IDENTITIES) -> DataFrame:
+    """(id, key): an identity of a row in each line."""
+    return rows.select("id", F.explode(F.array_compact(F.array(*[F.when(F.col(n).isNotNull(), F.concat(F.lit(n + ":"), F.col(n))) for n in names]))).alias("key"))
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, root): the smallest id that links reach, by repeated minimum over neighbours and jumps to the minimum's own minimum.
 
-    The labels of a round are checkpointed, which cuts the lineage and survives lost executors.
-    """
-    edges = links.select("left", "right").unionByName(links.select(F.col("right").alias("left"), F.col("left").alias("right"))).distinct().checkpoint()
-    labels = edges.groupBy("left").agg(F.min("right").alias("m")).select(F.col("left").alias("id"), F.least("left", "m").alias("root")).checkpoint()
-    for _ in range(rounds):
-        near = edges.join(labels.select(F.col("id").alias("right"), "root"), "right").groupBy(F.col("left").alias("id")).agg(F.min("root").alias("n"))
-        lower = labels.join(near, "id").select("id", F.least("root", "n").alias("root"))
-        jump = lower.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        new = lower.join(jump, "root", "left").select("id", F.least("root", F.coalesce("next", "root")).alias("root")).checkpoint()
-        changed = new.join(labels.withColumnRenamed("root", "old"), "id").where("root <> old").limit(1).count()
-        labels = new
-        if not changed:
-            return labels
-    raise RuntimeError(f"components have not settled in {rounds} rounds")
+def candidate_links(rows: DataFrame, names: Sequence[str] = IDENTITIES) -> DataFrame:
+    """(left, right, key): each row of a key but the first, with the first; a key of many rows gives as many links."""
+    known = keys(rows, names)
+    first = known.groupBy("key").agg(F.min("id").alias("left"))
+    return known.join(first, "key").where("id <> left").select("left", F.col("id").alias("right"), "key").distinct()
 
 
 def _replay(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Groups of one component: rows by id join the groups of their keys unless any identifiers of both sides conflict."""
+    """Groups of one component: records by id join the groups of their keys unless exclusive identifiers of both sides differ."""
     group: dict[int, int] = {}
-    values: dict[int, dict[str, set]] = {}
+    held: dict[int, dict[str, str]] = {}
     members: dict[int, list[int]] = {}
-    seen: dict[tuple[str, str], list[int]] = {}
-    for row in pdf.sort_values("id").itertuples():
-        own = {n: getattr(row, n) for n in IDENTITIES if isinstance(getattr(row, n), str)}
-        group[row.id], members[row.id] = row.id, [row.id]
-        values[row.id] = {n: {v} for n, v in own.items() if n != "pdf"}
-        for key in own.items():
-            for other in seen.get(key, []):
-                a, b = group[row.id], group[other]
-                if a == b or any(len(values[a].get(n, set()) | values[b].get(n, set())) > 1 for n in ("doi", "arxiv") if values[a].get(n) and values[b].get(n)):
-                    continue
-                for n, v in values.pop(b).items():
-                    values[a].setdefault(n, set()).update(v)
-                for m in members[b]:
-                    group[m] = a
-                members[a] += members.pop(b)
-            seen.setdefault(key, []).append(row.id)
-    low = {g: min(m) for g, m in members.items()}
-    return pd.DataFrame({"id": list(group), "group_id": [low[g] for g in group.values()]})
+    under: dict[tuple[str, str], list[int]] = {}  # a record of every group that a key has met, in the order of meeting
+    for row in pdf.sort_values("id").to_dict("records"):
+        me = row["id"]
+        own = [(n, row[n]) for n in IDENTITIES if isinstance(row[n], str)]
+        group[me], members[me], held[me] = me, [me], {n: v for n, v in own if n in EXCLUSIVE}
+        for key in own:
+            for other in under.get(key, ()):
+                a, b = group[me], group[other]
+                if a != b and all(held[b].get(n, v) == v for n, v in held[a].items()):
+                    held[a].update(held.pop(b))
+                    members[a] += members[b]
+                    group.update(dict.fromkeys(members.pop(b), a))
+            known = under.setdefault(key, [])
+            if group[me] not in {group[x] for x in known}:
+                known.append(me)
+    return pd.DataFrame({"id": list(group), "group_id": [min(members[g]) for g in group.values()]})
 
 
 def duplicate_groups(rows: DataFrame) -> DataFrame:
-    """(id, group_id) for every row of (id, doi, arxiv, pdf); group_id is the group's smallest id.
+    """(id, group_id) for every row of (id, *IDENTITIES); group_id is the group's smallest id.
 
-    Rows without a candidate are groups of their own and never leave the JVM.
+    Records of equal identities are one from the start, so copies cost nothing. A component without two values of an exclusive
+    identifier is a group. Only where there are two does the order of records matter: its distinct identities are replayed in
+    one task, which is the bound of this operator. Records without an identity are groups of their own. An empty table gives no
+    rows.
     """
-    linked = components(candidate_links(rows))
-    inside = rows.join(linked, "id").select("root", "id", *IDENTITIES)
-    grouped = inside.groupBy("root").applyInPandas(lambda pdf: _replay(pdf), "id bigint, group_id bigint")
-    return rows.select("id").join(grouped, "id", "left").select("id", F.coalesce("group_id", "id").alias("group_id"))
+    ident = F.when(F.coalesce(*IDENTITIES).isNotNull(), F.sha2(F.to_json(F.struct(*IDENTITIES)), 256))
+    given = materialize(rows.select("id", ident.alias("ident"), *IDENTITIES), "identity-rows")
+    distinct = materialize(given.where("ident IS NOT NULL").groupBy("ident").agg(F.min("id").alias("id"), *[F.min(n).alias(n) for n in IDENTITIES]), "identities")
+    linked = components(candidate_links(distinct).select(F.col("left").alias("u"), F.col("right").alias("v"))).select(F.col("node").alias("id"), F.col("component_id").alias("root"))
+    rooted = materialize(distinct.join(linked, "id", "left").withColumn("root", F.coalesce("root", "id")), "identity-roots")
+    one = [F.min(n).eqNullSafe(F.max(n)) for n in EXCLUSIVE]
+    mixed = rooted.groupBy("root").agg(reduce(Column.__and__, one).alias("plain")).where("NOT plain").select("root")
+    replayed = rooted.join(mixed, "root", "left_semi").select("root", "id", *IDENTITIES).groupBy("root").applyInPandas(lambda pdf: _replay(pdf), "id bigint, group_id bigint")
+    grouped = rooted.join(mixed, "root", "left_anti").select("id", F.col("root").alias("group_id")).unionByName(replayed)
+    named = materialize(distinct.select("ident", "id").join(grouped, "id").select("ident", "group_id"), "identity-groups")
+    return hot_join(given.select("id", "ident"), named, "ident").select("id", F.coalesce("group_id", "id").alias("group_id"))
 
 
 def merge_by_key(rows: DataFrame, key: str, ordinal: str, fields: list[str]) -> DataFrame:
     """One record a key: each field from the first row that has it."""
-    first = [F.min(F.when(F.col(f).isNotNull(), F.struct(ordinal, F.col(f).alias("v"))))["v"].alias(f) for f in fields]
-    return rows.groupBy(key).agg(*first, F.count("*").alias("n"))
-
-
-def merge_records(rows: DataFrame) -> DataFrame:
-    """(ord, key, title, venue) -> (first_ord, key, title, venue, n): a record joins the first one of its key, or else of its
-    title; what it brings fills gaps only, and its own key then stays unknown, so the relation isn't transitive."""
-
-    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
-        by_key: dict[str, dict] = {}
-        by_title: dict[str, dict] = {}
-        out = []
-        for r in pdf.sort_values("ord").itertuples():
-            have = by_key.get(r.key) or by_title.get(r.title)
-            if have is None:
-                have = {"first_ord": r.ord, "key": r.key, "title": r.title, "venue": None, "n": 0}
-                by_key[r.key] = by_title[r.title] = have
-                out.append(have)
-            have["venue"] = have["venue"] or r.venue
-            have["n"] += 1
-        return pd.DataFrame(out)
-
-    ids = rows.select(F.col("ord").alias("id"), F.col("key").alias("k"), F.col("title").alias("t"))
-    linked = components(candidate_links(ids, ("k", "t")))
-    inside = rows.join(linked, rows["ord"] == linked["id"], "left").select("ord", "key", "title", "venue", F.coalesce("root", "ord").alias("root"))
-    return inside.groupBy("root").applyInPandas(merged, "first_ord bigint, key string, title string, venue string, n bigint")
+    return rows.groupBy(key).agg(*[_first(F.col(f), ordinal).alias(f) for f in fields], F.count("*").alias("n"))
+
+
+def _first(value: Column, ordinal: str, among: Column | None = None) -> Column:
+    """The value of the lowest ordinal that isn't null or empty."""
+    real = value.isNotNull() & (value.cast("string") != "")
+    return F.min(F.when(real if among is None else real & among, F.struct(F.col(ordinal).alias("o"), value.alias("v"))))["v"]
+
+
+def founders(rows: DataFrame, names: Sequence[str] = ("key", "title")) -> DataFrame:
+    """(ord, founder) for (ord, *names): in order, a record joins the record that founded its first name, or else its second, or
+    founds a record of its own. A joined record's own names found nothing, so the relation isn't transitive.
+
+    Rounds settle who founds: among the open records, those that come first under both names do, and all that share a name with
+    a founder are open no more. Names are never null.
+    """
+    a, b = names
+    given = materialize(rows.select("ord", *names), "merge-rows")
+    open_, found = materialize(given.groupBy(a, b).agg(F.min("ord").alias("ord")), "merge-open"), []
+    while not open_.isEmpty():
+        by_a, by_b = (open_.groupBy(n).agg(F.min("ord").alias(f"first_{n}")) for n in names)
+        ranked = materialize(hot_join(open_, by_a, a).select("ord", a, b, F.col(f"first_{a}").alias("at_a")), "merge-ranked")
+        ranked = materialize(hot_join(ranked, by_b, b).select("ord", a, b, (F.col("ord") == F.least("at_a", f"first_{b}")).alias("founds")), "merge-ranked")
+        now = ranked.where("founds").select("ord", a, b)
+        left = materialize(hot_join(ranked, now.select(a, F.col("ord").alias("via_a")), a).where("via_a IS NULL").select("ord", a, b), "merge-open")
+        open_ = materialize(hot_join(left, now.select(b, F.col("ord").alias("via_b")), b).where("via_b IS NULL").select("ord", a, b), "merge-open")
+        found.append(now)
+    if not found:
+        return given.select("ord", F.col("ord").alias("founder"))
+    all_ = reduce(DataFrame.unionByName, found)
+    named = materialize(hot_join(given, all_.select(a, F.col("ord").alias("via_a")), a), "merge-named")
+    both = hot_join(named, all_.select(b, F.col("ord").alias("via_b")), b)
+    return both.select("ord", F.when(F.col("via_a") <= F.col("ord"), F.col("via_a")).otherwise(F.col("via_b")).alias("founder"))
+
+
+def merge_records(rows: DataFrame, fields: Sequence[str] = ("venue",)) -> DataFrame:
+    """(ord, key, title, publication_date, date_source, *fields) -> (first_ord, key, title, publication_date, date_source, *fields,
+    n), a record for each founder. Each field comes from the first record that has it; of dates the first to the day wins over
+    coarser ones and brings its source. An empty table gives no rows.
+    """
+    held = materialize(rows.join(founders(rows), "ord"), "merge-held")
+    day = F.length("publication_date") == 10
+    dated = held.groupBy("founder").agg(F.min(F.when(day, F.struct("ord", F.col("publication_date").alias("date"), F.col("date_source").alias("source")))).alias("exact"), F.min(F.when(F.col("publication_date") != "", F.col("ord"))).alias("dated_at"))
+    known = hot_join(held, dated, "founder")
+    # an exact date that takes the place of a coarser one brings its source along, or else the next one that is known
+    swapped = F.col("exact.ord") > F.col("dated_at")
+    after = F.coalesce(F.col("ord") > F.col("exact.ord"), F.lit(False))
+    merged = known.groupBy("founder").agg(
+        *[F.min(F.when(F.col("ord") == F.col("founder"), F.col(n))).alias(n) for n in ("key", "title")],
+        F.coalesce(F.first("exact")["date"], _first(F.col("publication_date"), "ord")).alias("publication_date"),
+        F.when(F.first(swapped), F.coalesce(F.nullif(F.first("exact")["source"], F.lit("")), _first(F.col("date_source"), "ord", after))).otherwise(_first(F.col("date_source"), "ord")).alias("date_source"),
+        *[_first(F.col(f), "ord").alias(f) for f in fields],
+        F.count("*").alias("n"),
+    )
+    return merged.withColumnRenamed("founder", "first_ord")

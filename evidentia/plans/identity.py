@@ -10,24 +10,29 @@ from evidentia.operators.catalog import first_by_ordinal
 from evidentia.plans.base import query
 from evidentia.sources.tables import PAPERS_SQL, papers, table
 
-IDS_SQL = PAPERS_SQL + r""", ids AS (SELECT id, CASE WHEN regexp_matches(d, '^10\.\d+/.+$') THEN d END AS doi, CASE WHEN regexp_matches(a, '^(?:\d{4}\.\d{4,5}|[a-z][a-z.\-]*/\d{7})$') THEN a END AS arxiv, pdf FROM
-(SELECT id, rtrim(lower(regexp_replace(trim(doi), '(?i)^(?:https?://(?:dx\.)?doi\.org/|doi:\s*)', '')), ' .') AS d,
+IDS_SQL = PAPERS_SQL + r""", ids AS (SELECT id, CASE WHEN regexp_matches(d, '^10\.\d+/.+$') THEN d END AS doi, CASE WHEN regexp_matches(a, '^(?:\d{4}\.\d{4,5}|[a-z][a-z.\-]*/\d{7})$') THEN a END AS arxiv, CASE WHEN s NOT IN ('', 'unknown') THEN s END AS semantic, pdf,
+CASE WHEN length(t) >= 16 AND p <> '' AND year IS NOT NULL THEN sha256(concat(t, chr(31), year::VARCHAR, chr(31), p)) END AS work FROM
+(SELECT id, year, rtrim(lower(regexp_replace(trim(doi), '(?i)^(?:https?://(?:dx\.)?doi\.org/|doi:\s*)', '')), ' .') AS d,
+lower(trim(semantic_id)) AS s, rtrim(trim(regexp_replace(replace(lower(title), 'ß', 'ss'), '\s+', ' ', 'g')), '.') AS t,
+coalesce(array_to_string(list_sort(list_distinct(list_transform(string_split(authors, ';'), lambda x: regexp_replace(lower(x), '[^\p{L}\p{N}]+', '', 'g')))), chr(30)), '') AS p,
 lower(trim(regexp_replace(regexp_replace(regexp_replace(CASE WHEN coalesce(arxiv_id, '') <> '' THEN arxiv_id ELSE regexp_extract(coalesce(url, ''), '(?i)arxiv\.org/(?:abs|pdf)/([^?#]+)', 1) END, '(?i)^(?:arxiv:|https?://arxiv\.org/(?:abs|pdf)/)', ''), '(?i)\.pdf$', ''), '(?i)v\d+$', ''))) AS a, sha256(text) AS pdf FROM papers))"""
 
 
 def ids(spark, d):
-    return I.with_identifiers(papers(spark, d)).select("id", "doi", "arxiv", F.sha2("text", 256).alias("pdf"))
+    known = I.with_identifiers(papers(spark, d))
+    work = I.work_key(F.col("title"), F.col("year"), F.split("authors", ";"))
+    return known.select("id", "doi", "arxiv", "semantic", F.sha2("text", 256).alias("pdf"), work.alias("work"))
 
 
-@query("normalize_identifiers", f"WITH {IDS_SQL} SELECT id, doi, arxiv FROM ids")
+@query("normalize_identifiers", f"WITH {IDS_SQL} SELECT id, doi, arxiv, semantic, work FROM ids")
 def normalize_identifiers(spark, d):
-    return ids(spark, d).select("id", "doi", "arxiv")
+    return ids(spark, d).select("id", "doi", "arxiv", "semantic", "work")
 
 
-KEYS_SQL = f"WITH {IDS_SQL}, k AS (SELECT id, 'doi:' || doi AS key FROM ids WHERE doi IS NOT NULL UNION SELECT id, 'arxiv:' || arxiv FROM ids WHERE arxiv IS NOT NULL UNION SELECT id, 'pdf:' || pdf FROM ids WHERE pdf IS NOT NULL)"
+KEYS_SQL = f"WITH {IDS_SQL}, k AS (" + " UNION ".join(f"SELECT id, '{n}:' || {n} AS key FROM ids WHERE {n} IS NOT NULL" for n in I.IDENTITIES) + ")"
 
 
-@query("dup_candidates", f"{KEYS_SQL} SELECT * FROM (SELECT id AS left, lead(id) OVER (PARTITION BY key ORDER BY id) AS right, key FROM k) WHERE right IS NOT NULL".replace(" AS left", ' AS "left"').replace(" AS right", ' AS "right"').replace("WHERE right", 'WHERE "right"'))
+@query("dup_candidates", f'{KEYS_SQL} SELECT "left", id AS "right", key FROM (SELECT id, key, min(id) OVER (PARTITION BY key) AS "left" FROM k) WHERE id <> "left"')
 def dup_candidates(spark, d):
     return I.candidate_links(ids(spark, d))
 
@@ -39,18 +44,9 @@ def dup_exact(spark, d):
 
 @query("dedup_groups")
 def dedup_groups(spark, d):
-    _checkpoints(spark)
     return I.duplicate_groups(ids(spark, d))
 
 
-def _checkpoints(spark) -> None:
-    """A folder for checkpoints where none is set and one machine runs all."""
-    if not spark.sparkContext.getCheckpointDir() and spark.sparkContext.master.startswith("local["):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="evidentia-"))
-
-
 @query("canonical_pick", f"WITH {PAPERS_SQL} SELECT pdf, id FROM (SELECT sha256(text) AS pdf, id, row_number() OVER (PARTITION BY sha256(text) ORDER BY parsed_path IS NOT NULL DESC, coalesce(status = 'parsed', false) DESC, fulltext_path IS NOT NULL DESC, n_chars DESC, id DESC) AS r FROM papers) WHERE r = 1")
 def canonical_pick(spark, d):
     """The best of each group by one maximum over a struct."""
@@ -73,9 +69,9 @@ def merge_by_key(spark, d):
 
 @query("merge_records")
 def merge_records(spark, d):
-    _checkpoints(spark)
-    rows = I.with_identifiers(papers(spark, d)).select(F.col("id").alias("ord"), F.coalesce("doi", F.concat(F.lit("id"), "id")).alias("key"), F.sha2("text", 256).alias("title"), "venue")
-    return I.merge_records(rows)
+    known = I.with_identifiers(papers(spark, d))
+    rows = known.select(F.col("id").alias("ord"), F.coalesce("doi", "arxiv", "semantic", F.concat(F.lit("id"), "id")).alias("key"), F.sha2("text", 256).alias("title"), "publication_date", F.when(F.col("publication_date").isNotNull(), F.col("category")).alias("date_source"), "venue", "url", "fulltext_path")
+    return I.merge_records(rows, ["venue", "url", "fulltext_path"])
 
 
 @query("author_set", "SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(string_split(lower(p_name), ' '), lambda x: x <> ''))), ',') AS names FROM part")

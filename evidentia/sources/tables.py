@@ -13,6 +13,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 PAPER_COLUMNS = (
     "doc_id AS id",
     "text",
+    "split_part(text, chr(10), 1) AS title",
+    "CASE WHEN doc_id % 8 < 5 THEN CASE WHEN doc_id % 2 = 0 THEN 'Ann Lee;B. Roe' ELSE 'b roe;Ann LEE' END END AS authors",
+    "CASE WHEN doc_id % 11 = 0 THEN concat('S', CAST(doc_id % 900 AS STRING)) WHEN doc_id % 11 = 1 THEN 'Unknown' END AS semantic_id",
     "lang AS category",
     "source AS venue",
     "n_chars",

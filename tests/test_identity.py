@@ -1,17 +1,99 @@
+import random
+
+from pyspark.sql import functions as F
+
+from evidentia.operators import graph
 from evidentia.operators import identity as I
 
+IDS = "id bigint, doi string, arxiv string, semantic string, pdf string, work string"
+
+
+def replayed(rows):
+    """The rule in plain order: each record tries the groups of all earlier records that share an identity, key by key."""
+    groups, seen = {}, {}
+    clash = lambda p, q: any(len({r[k] for r in p} | {r[k] for r in q}) > 1 for k in (1, 2, 3) if {r[k] for r in p} - {None} and {r[k] for r in q} - {None} and len(({r[k] for r in p} | {r[k] for r in q}) - {None}) > 1)
+    for r in sorted(rows):
+        groups[r[0]] = [r]
+        for key in [(k, v) for k, v in enumerate(r) if k and v is not None]:
+            for other in seen.get(key, []):
+                a, b = groups[r[0]], groups[other]
+                if a is not b and not clash(a, b):
+                    a += b
+                    for x in b:
+                        groups[x[0]] = a
+            seen.setdefault(key, []).append(r[0])
+    return {i: min(x[0] for x in g) for i, g in groups.items()}
 
-def test_groups_refuse_conflicts_and_do_not_depend_on_partitions(spark):
-    spark.sparkContext.setCheckpointDir("/tmp/evidentia-test-checkpoints")
-    rows = [(1, "10.1/a", None, "x"), (2, "10.1/a", None, None), (3, "10.2/b", None, "x"), (4, None, "2001.00001", None), (5, None, "2001.00001", "y"), (6, None, None, "y"), (7, None, None, None)]
-    df = spark.createDataFrame(rows, "id bigint, doi string, arxiv string, pdf string")
-    want = {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 4, 7: 7}
+
+def test_groups_follow_the_plain_order(spark):
+    r = random.Random(1)
+    draw = lambda n, p: f"v{r.randrange(n)}" if r.random() < p else None
+    rows = [(i, draw(40, 0.4), draw(40, 0.3), draw(60, 0.3), draw(90, 0.5), draw(50, 0.2)) for i in range(220)]
+    rows += [(1000 + i, *rows[i % 7][1:]) for i in range(60)] + [(5000, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, IDS)
     for n in (1, 5):
-        assert {r.id: r.group_id for r in I.duplicate_groups(df.repartition(n)).collect()} == want
+        assert {x.id: x.group_id for x in I.duplicate_groups(df.repartition(n)).collect()} == replayed(rows)
+
+
+def test_groups_of_one_work(spark):
+    """Expected groups: a and b by doi, a conflicting one apart, versions, equal files, title with year and authors, a bridge."""
+    rows = [
+        (1, "https://doi.org/10.1/A", None, None, "A study of graphs", 2020, ["X Y"], "f1"),
+        (2, "doi:10.1/a", None, None, "Other name of it", 2020, ["X Y"], None),
+        (3, "10.2/b", None, None, "A study of graphs again", 2020, ["X Y"], "f1"),
+        (4, None, "2001.00001v1", None, "Version", 2020, None, None),
+        (5, None, "arXiv:2001.00001v2", None, "Version", 2020, None, None),
+        (6, None, None, "S7", "Ｆull-width Title of Works.", 2021, ["A. Lee", "Bo Roe"], None),
+        (7, None, None, None, "full-width  title of works", 2021, ["bo roe", "A Lee"], None),
+        (8, None, None, None, "full-width title of works", 2022, ["bo roe", "A Lee"], None),
+        (9, None, None, "s7", "z", 2021, None, None),
+        (10, None, None, "s8", "full-width title of works", 2021, ["bo roe", "A Lee"], None),
+        (11, "n/a", None, "unknown", "short", 2021, ["bo roe"], None),
+    ]
+    df = spark.createDataFrame(rows, "id bigint, doi string, arxiv_id string, semantic_id string, title string, year int, people array<string>, pdf string").withColumn("url", F.lit(None).cast("string"))
+    ids = I.with_identifiers(df).withColumn("work", I.work_key(F.col("title"), F.col("year"), F.col("people")))
+    got = {x.id: x.group_id for x in I.duplicate_groups(ids).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6, 7: 6, 8: 8, 9: 6, 10: 10, 11: 11}
+
+
+def test_many_copies_of_one_record_are_one(spark):
+    df = spark.range(20_000).selectExpr("id", "'10.1/a' AS doi", "CAST(NULL AS STRING) AS arxiv", "CAST(NULL AS STRING) AS semantic", "'x' AS pdf", "CAST(NULL AS STRING) AS work")
+    assert I.duplicate_groups(df).select("group_id").distinct().collect()[0][0] == 0
+
+
+def test_empty_tables(spark):
+    assert I.duplicate_groups(spark.createDataFrame([], IDS)).count() == 0
+    assert I.merge_records(spark.createDataFrame([], "ord bigint, key string, title string, publication_date string, date_source string, venue string")).count() == 0
+
+
+def test_long_chain_is_one_component(spark):
+    pairs = [(k, k + 1) for k in range(0, 3000)] + [(9000, 9001)]
+    random.Random(2).shuffle(pairs)
+    got = {r.node: r.component_id for r in graph.components(spark.createDataFrame(pairs, "u bigint, v bigint").repartition(9)).collect()}
+    assert got == {**{k: 0 for k in range(1, 3001)}, 9001: 9000}
+
+
+def merged(rows):
+    by, out = ({}, {}), []
+    for r in sorted(rows):
+        old = by[0].get(r[1]) or by[1].get(r[2])
+        if old is None:
+            by[0][r[1]] = by[1][r[2]] = old = dict(zip(("first_ord", "key", "title", "publication_date", "date_source", "venue", "url"), r), n=1)
+            out.append(old)
+            continue
+        old["n"] += 1
+        exact = r[3] and len(r[3]) == 10 and old["publication_date"] and len(old["publication_date"]) < 10
+        for k, v in zip(("publication_date", "date_source", "venue", "url"), r[3:]):
+            old[k] = old[k] or v
+        if exact:
+            old["publication_date"], old["date_source"] = r[3], r[4]
+    return {tuple(None if v == "" else v for v in x.values()) for x in out}
 
 
-def test_chain_of_links_is_one_component(spark):
-    spark.sparkContext.setCheckpointDir("/tmp/evidentia-test-checkpoints")
-    links = spark.createDataFrame([(k, k + 1, "k") for k in range(0, 40)] + [(100, 101, "k")], "left bigint, right bigint, key string")
-    got = {r.id: r.root for r in I.components(links).collect()}
-    assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100}
+def test_first_records_take_up_later_ones(spark):
+    r = random.Random(5)
+    maybe = lambda *x: r.choice([None, "", *x])
+    rows = [(i, f"k{r.randrange(60)}", f"t{r.randrange(60)}", maybe("2020", "2020-05", "2020-05-07", "2021-01-02"), maybe("s1", "s2"), maybe("v1", "v2"), maybe("u")) for i in range(160)]
+    df = spark.createDataFrame(rows, "ord bigint, key string, title string, publication_date string, date_source string, venue string, url string")
+    got = {tuple(x[k] for k in ("first_ord", "key", "title", "publication_date", "date_source", "venue", "url", "n")) for x in I.merge_records(df.repartition(3), ["venue", "url"]).collect()}
+    assert got == merged(rows)
