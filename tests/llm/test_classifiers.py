@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -49,6 +50,45 @@ def test_without_rows_or_labels(spark, module, name):
     assert getattr(module, name)(one, module.fit(one, none)).count() == 1
 
 
+def plain_risk(pos, unl, w, b, scale, prior):
+    """The risk estimate in loops over documents and features; a step descends it, or climbs its second part where that is negative."""
+    f = lambda x: b + sum(w[k] * scale[k] for k in x)
+    loss = lambda z: 1 / (1 + math.exp(z))
+    first = prior * sum(loss(f(x)) for x in pos) / len(pos)
+    second = sum(loss(-f(x)) for x in unl) / len(unl) - prior * sum(loss(-f(x)) for x in pos) / len(pos)
+    return first + second if second >= 0 else -second
+
+
+def test_risk_gradient_equals_differences():
+    r = np.random.default_rng(3)
+    docs = lambda n: [np.sort(r.choice(12, r.integers(0, 6), replace=False)) for _ in range(n)]
+    pos, unl = docs(5), docs(9) + [np.array([3, 4])] * 4
+    scale = r.random(12)
+    for prior, b in ((0.2, -1.0), (0.9, -3.0)):
+        w = r.standard_normal(12)
+        got = pu_toxicity.gradient(pu_toxicity.Rows.of(pos), pu_toxicity.Rows.of(unl), w, b, scale, prior)
+        for k in range(13):
+            at = lambda e: plain_risk(pos, unl, w + e * (np.arange(12) == k), b + e * (k == 12), scale, prior)
+            assert abs(got[k] - (at(1e-5) - at(-1e-5)) / 2e-5) < 1e-6
+
+
+def test_trainer_takes_the_plain_steps_and_repeated_rows_count():
+    pos, unl = [np.array([0, 1])], [np.array([1, 2])] * 3 + [np.array([0])]
+    scale, w = np.ones(3), np.zeros(4)
+    t = pu_toxicity.Trainer(w, pos, scale, 0.3, 1, 0.1, decay=0.0)
+    assert t.run(iter(unl)) == 4 and t.steps == pu_toxicity.STEPS
+    m, v = np.zeros(4), np.zeros(4)
+    for k in range(1, pu_toxicity.STEPS + 1):
+        eye = np.eye(4)
+        g = np.array([(plain_risk(pos, unl, (w + 1e-6 * e)[:3], (w + 1e-6 * e)[3], scale, 0.3) - plain_risk(pos, unl, (w - 1e-6 * e)[:3], (w - 1e-6 * e)[3], scale, 0.3)) / 2e-6 for e in eye])
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
+    assert np.abs(t.w - w).max() < 1e-2
+    once = pu_toxicity.Trainer(np.zeros(4), pos, scale, 0.3, 1, 0.1, decay=0.0)
+    once.run(iter(unl[2:]))
+    assert np.abs(once.w - t.w).max() > 0.05
+
+
 def test_most_repeated_word_is_sought_in_the_whole_text():
     text = "one two three four five six seven eight " + "late " * 12
     assert pairwise_quality.figures(text)[11] == 12 / 20
