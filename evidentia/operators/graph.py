@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 
 from evidentia.sources.sinks import materialize
 
-#: A key with over 1 / HOT of all rows is joined by broadcast.
-HOT = 256
-
-
 def spanning_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Fewest (member, smallest member) pairs that connect what the given pairs connect."""
     nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -41,25 +37,22 @@ def _contract(batches):
             yield pd.DataFrame({"u": u, "v": v})
 
 
-def hot_join(rows: DataFrame, one: DataFrame, key: str, share: int = HOT) -> DataFrame:
-    """rows joined left to one, which has a single row a key, without sending a frequent key to one task.
+def hot_join(rows: DataFrame, one: DataFrame, key: str) -> DataFrame:
+    """rows joined left to one, which has a single row a key, where some keys may have a large share of rows.
 
-    Keys with over 1 / share of all rows are less than share; what one has for them is broadcast, the other keys are shuffled.
-    rows is read three times, so it should be a table.
+    one is written first. So both sides of the join are plain shuffles, or one is broadcast if it proves small, and Spark splits
+    the rows of a frequent key over tasks; an aggregation right below the join would keep them together.
     """
-    total = rows.count()
-    often = rows.groupBy(key).count().where(F.col("count") * share > total).select(key)
-    few = F.broadcast(one.join(F.broadcast(often), key, "left_semi"))
-    return rows.join(F.broadcast(often), key, "left_semi").join(few, key, "left").unionByName(rows.join(F.broadcast(often), key, "left_anti").join(one, key, "left"))
+    return rows.join(materialize(one, "one"), key, "left")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(u, v) bigint edges -> (node, component_id): the smallest node reachable, for every node that reaches a smaller one.
 
     Alternates large-star and small-star steps. A round shuffles rows on the order of the edges, each step a min-aggregation
-    (combined before the shuffle) and one join, in which the centres of large stars are broadcast. Each step is written as a
-    table, so that the next one is planned on its true size. Rounds end when no edge changes; their number grows with the
-    logarithm of the longest path, and max_rounds guards against a fault only.
+    (combined before the shuffle) and one join, in which large stars are split. Each step is written as a table, so that the next
+    one is planned on its true size. Rounds end when no edge changes; their number grows with the logarithm of the longest path,
+    and max_rounds guards against a fault only.
     """
     contracted = edges.select("u", "v").where("u <> v").mapInPandas(_contract, "u bigint, v bigint")
     now = materialize(contracted.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
