@@ -2,47 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidentia.sources.sinks import materialize, work_dir  # noqa: F401
+
 #: A word is a run of characters that are none of the six ASCII white-space characters. bytes.split() cuts at the same six.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_dirs: dict[str, str] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read by Spark so that any store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: below spark.checkpoint.dir, which every executor must see.
-
-    Where the setting is missing, a local[*] session (driver and executors are one process) gets a temporary folder; a
-    cluster session is refused, as its machines share no temporary folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = _own_dirs.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="evidentia-"))
-    return f"{base.rstrip('/')}/evidentia-{spark.sparkContext.applicationId}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors.
-
-    The tables of an application lie in one folder, which may be deleted once its results are written.
-    """
-    path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def pick(docs: DataFrame, *names: str) -> DataFrame:
     """The named columns only. Further columns of any name, struct or not, can't clash with what an operator adds."""
     return docs.select(*[docs[f"`{n}`"].alias(n) for n in names])

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.llm.common import materialize, pick, table
-from evidentia.llm.graph import components, spanning_pairs
+from evidentia.operators.graph import components, spanning_pairs
 
 LEAST = 0.98
 PIVOTS = 256

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidentia.llm.common import materialize, pick, slices, table
-from evidentia.llm.graph import components, hot_join
+from evidentia.operators.graph import components, hot_join
 
 RADIUS = 4
 SHINGLE_WORDS = 4
@@ -178,7 +178,7 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     stamped = materialize(with_fingerprint(docs), "simhash")
     lowest = stamped.groupBy("fp").agg(F.min("doc_id").alias("low"))
     rooted = materialize(groups(stamped).join(lowest, "fp"), "rooted")
-    names = materialize(hot_join(rooted, rooted.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "component_id"), "names")
+    names = hot_join(rooted, rooted.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "component_id")
     return hot_join(stamped, names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
