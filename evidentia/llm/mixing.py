@@ -194,4 +194,4 @@ def shards(docs: DataFrame, n: int | None = None, seed: int = 17, **options) ->
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
-    return mix(docs).select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken", F.expr("mix.draws.shard").alias("shards"), F.expr("mix.draws.block[0]").alias("block"))
+    return mix(docs).select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken", F.expr("mix.draws.shard").alias("shards"), F.get("mix.draws.block", F.lit(0)).alias("block"))

@@ -3,10 +3,13 @@
 A sentence here ends at a full stop, question or exclamation mark, comma, semicolon or colon before white space, or at a line
 end; of every WINDOW words in a row that no such end parts, it also ends after the one of least hash (the last of equals). These
 cuts depend on the words around only, so passages of 51 equal words share their ends but for WINDOW words at each edge, whatever
-sentences they lie in, and keep 25 words between them. From every sentence on, and up to every sentence, a span runs over the fewest consecutive sentences, two at least, that
-hold 25 words; so any longer repeated run is covered from its first sentence to its last. Spans are hashed and joined over all documents; the first occurrence by (doc_id, position) stays, and sentences that another occurrence covers
-are removed. Two spans are equal if their lower-cased words are, whatever the white space and the marks at sentence ends; they
-are compared by 64-bit hashes.
+sentences they lie in.
+
+From every sentence on, and up to every sentence, a span runs over the fewest consecutive sentences that are several: SEVERAL of
+them, or fewer, two at least, that hold MIN_WORDS words. So every run of SEVERAL sentences is hashed, however short they are, and
+any longer repeated run is covered from its first sentence to its last. Spans are hashed and joined over all documents; the first
+occurrence by (doc_id, position) stays, and sentences that another occurrence covers are removed. Two spans are equal if their
+lower-cased words are, whatever the white space and the marks at sentence ends; they are compared by 104 bits of two hashes.
 """
 
 from __future__ import annotations
@@ -23,15 +26,18 @@ from pyspark.sql.types import StructType
 
 from evidentia.llm.common import pick, slices, table
 
-MIN_SENTENCES = 2
+MIN_SENTENCES, SEVERAL = 2, 6
 MIN_WORDS = 25
 CUT = re.compile(r"[.!?,;:]+[\"')\]]*\s+|\n\s*")
 WORD = re.compile(r"\S+\s*")
 WINDOW = 13
 MARKS = ".!?,;:\"')]"
-#: An odd factor, and its inverse modulo 2**64: the hash of a span is a polynomial in it over the sentences' hashes.
-FACTOR = 0x9E3779B97F4A7C15
-INVERSE = pow(FACTOR, -1, 1 << 64)
+#: Two odd factors, with their inverses modulo 2**64: a hash of a span is a polynomial in one over the sentences' hashes.
+FACTORS = tuple((f, pow(f, -1, 1 << 64)) for f in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
+#: Bits of the second hash that are kept, below a span's place in one number.
+CHECK = 40
+#: Frequent spans whose first occurrence a task remembers, at most.
+REMEMBERED = 1 << 16
 
 
 def _inner_ends(text: str) -> list[int]:
@@ -66,8 +72,8 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def spans(text: str, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
-    """Sentence bounds; hash, first sentence and end (exclusive) of every span, in order of place."""
+def spans(text: str, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, several: int = SEVERAL) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sentence bounds; hash, second hash, first sentence and end (exclusive) of every span, in order of place."""
     bounds = sentence_bounds(text)
     digest = xxhash.xxh64_intdigest
     words = [text[a:b].lower().rstrip().rstrip(MARKS).split() for a, b in zip(bounds, bounds[1:])]
@@ -75,38 +81,60 @@ def spans(text: str, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WO
     upto = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
     n, each = len(words), np.arange(len(words))
     ends = np.maximum(np.searchsorted(upto, upto[:-1] + min_words, "left"), each + min_sentences)
+    ends = np.minimum(ends, each + several)
     firsts = np.minimum(np.searchsorted(upto, upto[1:] - min_words, "right") - 1, each + 1 - min_sentences)
+    firsts = np.maximum(firsts, each + 1 - several)
     both = np.concatenate([(each * (n + 1) + ends)[ends <= n], (firsts * (n + 1) + each + 1)[firsts >= 0]])
     first, end = np.divmod(np.unique(both), n + 1)
+    found = []
     with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * _powers(FACTOR, n), dtype=np.uint64)])
-        found = (sums[end] - sums[first]) * _powers(INVERSE, n)[first]
-    return bounds, found.view(np.int64), first, end
+        for k, (factor, inverse) in enumerate(FACTORS):
+            own = hashes ^ (hashes >> np.uint64(29 * k)) if k else hashes
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own * _powers(factor, n), dtype=np.uint64)])
+            found.append((sums[end] - sums[first]) * _powers(inverse, n)[first])
+    return bounds, found[0].view(np.int64), (found[1] >> np.uint64(64 - CHECK)).view(np.int64), first, end
 
 
-def _postings(batches, min_sentences: int, min_words: int):
-    """(span, id, text_hash, at, again): again marks what an earlier occurrence in the same batch already precedes."""
+def _postings(batches, **rule):
+    """(span, id, text_hash, place) with place = at << CHECK | second hash; where an earlier occurrence in the task already precedes
+    one, place is negative and span any number, so that a frequent span leaves few rows."""
+    known: dict[tuple[int, int], tuple[int, int, int]] = {}
     for batch in slices(batches, 2500):
         ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        each = [spans(t, min_sentences, min_words)[1] for t in batch.column(2).to_pylist()]
-        counts = [len(x) for x in each]
+        each = [spans(t, **rule)[1:3] for t in batch.column(2).to_pylist()]
+        counts = [len(x) for x, _ in each]
         if not sum(counts):
             continue
-        span, row = np.concatenate(each), np.repeat(np.arange(len(each)), counts)
-        at = np.concatenate([np.arange(n) for n in counts])
+        span, check = (np.concatenate(x) for x in zip(*each))
+        row, at = np.repeat(np.arange(len(each)), counts), np.concatenate([np.arange(n) for n in counts])
         rank = np.lexsort((hashes, ids)).argsort()  # of rows: by id, then text
-        order = np.lexsort((at, rank[row], span))
-        span, row, at = span[order], row[order], at[order]
+        order = np.lexsort((at, rank[row], check, span))
+        span, check, row, at = span[order], check[order], row[order], at[order]
         # equal rows hold the same occurrence
-        start = np.concatenate([[True], span[1:] != span[:-1]])
-        head = np.maximum.accumulate(np.where(start, np.arange(len(span)), 0))
+        start = np.concatenate([[True], (span[1:] != span[:-1]) | (check[1:] != check[:-1])])
+        heads = np.flatnonzero(start)
+        head = np.repeat(heads, np.diff([*heads, len(span)]))
         again = (ids[row] != ids[row[head]]) | (hashes[row] != hashes[row[head]]) | (at != at[head])
-        yield pa.RecordBatch.from_arrays([pa.array(span), pa.array(ids[row]), pa.array(hashes[row]), pa.array(at.astype(np.int32)), pa.array(again)], ["span", "id", "text_hash", "at", "again"])
-
-
-def _removed(text: str, at: list[int], min_sentences: int, min_words: int) -> list[tuple[int, int]]:
+        repeated = heads[np.logical_or.reduceat(again, heads)]
+        if known or len(repeated):
+            for k in heads[np.isin(span[heads], np.fromiter((x for x, _ in known), np.int64, len(known)))].tolist() if known else ():
+                key, own = (int(span[k]), int(check[k])), (int(ids[row[k]]), int(hashes[row[k]]), int(at[k]))
+                if key in known and known[key] < own:
+                    again[head == k] = True
+                elif key in known:
+                    known[key] = own
+            for k in repeated.tolist():
+                if len(known) >= REMEMBERED:
+                    break
+                known.setdefault((int(span[k]), int(check[k])), (int(ids[row[k]]), int(hashes[row[k]]), int(at[k])))
+        place = at << CHECK | check
+        span = np.where(again, (ids[row] * 31 + hashes[row]) ^ place, span)
+        yield pa.RecordBatch.from_arrays([pa.array(span), pa.array(ids[row]), pa.array(hashes[row]), pa.array(np.where(again, ~place, place))], ["span", "id", "text_hash", "place"])
+
+
+def _removed(text: str, at: list[int], **rule) -> list[tuple[int, int]]:
     """Character ranges that the repeated spans from the sentences at cover, joined where they meet."""
-    bounds, _, first, end = spans(text, min_sentences, min_words)
+    bounds, _, _, first, end = spans(text, **rule)
     out: list[list[int]] = []
     for i in sorted(set(at)):
         a, b = bounds[first[i]], bounds[end[i]]
@@ -117,7 +145,7 @@ def _removed(text: str, at: list[int], min_sentences: int, min_words: int) -> li
     return [tuple(x) for x in out]
 
 
-def substring_dedup(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
+def substring_dedup(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, several: int = SEVERAL) -> DataFrame:
     """All rows and columns of docs, the text without repeated spans, and one more column, dedup:
     struct<n_removed_chars bigint, removed array<struct<start int, end int>>> with ranges in the given text.
 
@@ -125,13 +153,13 @@ def substring_dedup(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_wor
     one document and fare alike; rows that share only doc_id are ordered by a hash of their text. dedup must not be a column of
     docs; other names can't clash. An empty table gives no rows.
     """
-    last = F.lit((1 << 63) - 1)
+    last, rule = F.lit((1 << 63) - 1), {"min_sentences": min_sentences, "min_words": min_words, "several": several}
     source = pick(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("bigint"), last).alias("id"), F.xxhash64("text").alias("text_hash"), "text").where("text IS NOT NULL")
-    found = source.mapInArrow(lambda b: _postings(b, min_sentences, min_words), "span bigint, id bigint, text_hash bigint, at int, again boolean")
-    # what its batch already settles is no candidate for the first and is spread, so that a frequent span has one row a batch
-    spread = F.when(F.col("again"), F.xxhash64("id", "text_hash", "at")).otherwise(F.lit(0))
-    ranked = found.withColumn("spread", spread).withColumn("turn", F.rank().over(Window.partitionBy("span", "spread").orderBy("id", "text_hash", "at")))
-    hits = ranked.where("again OR turn > 1").groupBy("id", "text_hash").agg(F.collect_set("at").alias("at"))
+    found = source.mapInArrow(lambda b: _postings(b, **rule), "span bigint, id bigint, text_hash bigint, place bigint")
+    same = Window.partitionBy("span", F.col("place").bitwiseAND(F.lit((1 << CHECK) - 1)))
+    ranked = found.withColumn("turn", F.rank().over(same.orderBy("id", "text_hash", "place")))
+    at = F.shiftright(F.when(F.col("place") < 0, F.bitwise_not("place")).otherwise(F.col("place")), CHECK).cast("int")
+    hits = ranked.where("place < 0 OR turn > 1").groupBy("id", "text_hash").agg(F.collect_set(at).alias("at"))
 
     columns = docs.columns
     packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in columns]).alias("row"), F.coalesce(docs["doc_id"].cast("bigint"), last).alias("id"), F.xxhash64(docs["text"]).alias("text_hash"))
@@ -143,7 +171,7 @@ def substring_dedup(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_wor
             rows = batch.column(0)
             fields = rows.flatten()
             texts = fields[place].to_pylist()
-            gone = [_removed(t, at, min_sentences, min_words) if at else [] for t, at in zip(texts, batch.column(1).to_pylist())]
+            gone = [_removed(t, at, **rule) if at else [] for t, at in zip(texts, batch.column(1).to_pylist())]
             for k, ranges in enumerate(gone):
                 if ranges:
                     t = texts[k]

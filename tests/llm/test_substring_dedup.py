@@ -17,7 +17,7 @@ def brute(rows):
         norm = [" ".join(u.lower().rstrip().rstrip(sd.MARKS).split()) for u in units]
         gone = set()
         total = lambda a, b: sum(len(x.split()) for x in norm[a:b])
-        enough = lambda a, b: 0 <= a and b - a >= 2 and total(a, b) >= sd.MIN_WORDS
+        enough = lambda a, b: 0 <= a and (b - a >= 2 and total(a, b) >= sd.MIN_WORDS or b - a >= sd.SEVERAL)
         for a in range(len(units)):
             for b in range(a + 2, len(units) + 1):
                 if enough(a, b) and not (enough(a, b - 1) and enough(a + 1, b)):
@@ -74,5 +74,33 @@ def test_passage_inside_one_sentence_is_found(spark):
     assert all((out[i] > 100) == (i % 2 == 1) for i in out)
 
 
+def test_runs_of_short_sentences_are_found(spark):
+    short = "Go. Stop. Wait here. No. Yes. Come, please. "
+    rows = [(1, "Own words of one. " + short + "End of one."), (2, short), (3, "Other, words. " + short[:30] + "and more of it.")]
+    out = {r.doc_id: r.text for r in sd.substring_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert out[1] == rows[0][1] and out[2] == "" and out[3] == rows[2][1]
+
+
+def test_a_frequent_span_leaves_few_rows():
+    import pyarrow as pa
+
+    passage = "One two three four five six seven, eight nine ten eleven twelve thirteen fourteen fifteen, sixteen seventeen eighteen nineteen twenty and some more words to it. "
+    n, ids = 0, []
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(k, k + 50)), pa.array(range(50)), pa.array([passage + f"x{i}. y{i}." for i in range(50)])], ["id", "h", "text"]) for k in range(0, 500, 50)]
+    for b in sd._postings(batches):
+        n += sum(x >= 0 for x in b.column(3).to_pylist())
+        ids += b.column(1).to_pylist()
+    assert set(ids) == set(range(500)) and n < len(ids) - 490
+
+
+def test_clashing_names_and_a_very_long_text(spark):
+    names = ["id", "text_hash", "span", "place", "turn", "at", "row"]
+    long = " ".join(f"word{k} of{k % 7}" + (".", ",", "")[k % 3] for k in range(60_000))
+    rows = [(k, t, *range(len(names))) for k, t in ((1, long), (2, "Before it. " + long), (3, None), (4, ""))]
+    out = {r.doc_id: r for r in sd.substring_dedup(spark.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"`{n}` int" for n in names))).collect()}
+    assert all(tuple(r)[2:-1] == tuple(range(len(names))) for r in out.values())
+    assert out[1].text == long and out[2].text.startswith("Before it.") and len(out[2].text) < 60 and out[3].text is None and out[4].text == ""
+
+
 def test_empty_table(spark):
     assert sd.substring_dedup(spark.createDataFrame([], DOCS)).count() == 0
