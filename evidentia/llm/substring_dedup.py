@@ -40,15 +40,23 @@ CHECK = 40
 REMEMBERED = 1 << 16
 
 
-def _inner_ends(text: str) -> list[int]:
-    """Ends, with white space, of the words of least hash in each WINDOW words of one sentence, but for its last word."""
-    found = list(WORD.finditer(text))
-    if len(found) < WINDOW:
+def _inner_ends(text: str, sentences: list[tuple[int, int]]) -> list[int]:
+    """Ends, with white space, of the words of least hash in each WINDOW words of a sentence, but for its last word."""
+    hashes, ends, of = [], [], []
+    for k, (a, b) in enumerate(sentences):
+        part = text[a:b]
+        words = part.lower().split()
+        if len(words) >= WINDOW:
+            hashes += [zlib.crc32(w.rstrip(MARKS).encode("utf-8", "surrogatepass")) for w in words]
+            ends += [a + m.end() for m in WORD.finditer(part)]
+            of += [k] * len(words)
+    if not hashes:
         return []
-    hashes = np.array([zlib.crc32(m.group().lower().rstrip().rstrip(MARKS).encode("utf-8", "surrogatepass")) for m in found], np.uint32)
-    windows = np.lib.stride_tricks.sliding_window_view(hashes, WINDOW)[:, ::-1]
-    least = np.unique(np.arange(len(windows)) + WINDOW - 1 - windows.argmin(axis=1))
-    return [found[k].end() for k in least if k < len(found) - 1]
+    of = np.array(of)
+    windows = np.lib.stride_tricks.sliding_window_view(np.array(hashes, np.uint32), WINDOW)[:, ::-1]
+    whole = np.flatnonzero(of[: len(windows)] == of[WINDOW - 1 :])
+    least = np.unique(whole + WINDOW - 1 - windows[whole].argmin(axis=1)).tolist()
+    return [ends[k] for k in least if k + 1 < len(of) and of[k] == of[k + 1]]
 
 
 def sentence_bounds(text: str) -> list[int]:
@@ -56,13 +64,9 @@ def sentence_bounds(text: str) -> list[int]:
     ends = [m.end() for m in CUT.finditer(text)]
     if not ends or ends[-1] != len(text):
         ends.append(len(text))
-    bounds = [0]
-    for end in ends:
-        start = bounds[-1]
-        if end - start >= 2 * WINDOW - 1:
-            bounds += [start + x for x in _inner_ends(text[start:end])]
-        bounds.append(end)
-    return bounds
+    bounds = [0, *ends]
+    inner = _inner_ends(text, [(a, b) for a, b in zip(bounds, ends) if b - a >= 2 * WINDOW - 1])
+    return sorted(bounds + inner) if inner else bounds
 
 
 def _powers(base: int, n: int) -> np.ndarray:

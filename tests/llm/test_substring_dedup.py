@@ -1,4 +1,5 @@
 import random
+import zlib
 
 from evidentia.llm import substring_dedup as sd
 
@@ -56,6 +57,53 @@ def test_matches_brute_force(spark):
         assert r.dedup.n_removed_chars == (len(t) - len(r.text) if t else 0)
 
 
+def plain_bounds(text):
+    """Ends of sentences character by character, then of the least words window by window."""
+    ends, k = [], 0
+    while k < len(text):
+        j = k
+        while j < len(text) and text[j] in ".!?,;:":
+            j += 1
+        q = j
+        while j > k and q < len(text) and text[q] in "\"')]":
+            q += 1
+        if j > k and q < len(text) and text[q].isspace() or text[k] == "\n":
+            k = q if j > k else k
+            while k < len(text) and text[k].isspace():
+                k += 1
+            ends.append(k)
+        else:
+            k += 1
+    out = {0, len(text), *ends}
+    for a, b in zip([0, *ends], [*ends, len(text)]):
+        places, k = [], a
+        while k < b:
+            w = k
+            while k < b and not text[k].isspace():
+                k += 1
+            word = text[w:k]
+            while k < b and text[k].isspace():
+                k += 1
+            if word:
+                places.append((zlib.crc32(word.lower().rstrip(sd.MARKS).encode()), k))
+        for i in range(len(places) - sd.WINDOW + 1):
+            window = list(enumerate(places[i : i + sd.WINDOW]))
+            n, (_, end) = min(window, key=lambda x: (x[1][0], -x[0]))
+            if i + n < len(places) - 1:
+                out.add(end)
+    return sorted(out)
+
+
+def test_bounds_equal_plain_loops():
+    r = random.Random(2)
+    word = lambda: r.choice(["a", "Bb", "ccc", "é", "dd.e", "ff,", "g!", "h.\")", "i", "j", "kk", "lll", "mm", "n1", "o2", "p3"])
+    assert sd.sentence_bounds("") == [0, 0]
+    for n in (1, 5, 12, 13, 14, 40, 300):
+        for _ in range(6):
+            text = "".join(word() + r.choice([" "] * 9 + ["  ", "\n", "\t"]) for _ in range(n)).strip(" ")
+            assert sd.sentence_bounds(text) == plain_bounds(text), text
+
+
 def test_repeated_rows_fare_alike(spark):
     t = "One two three four five six seven eight nine ten eleven twelve, thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty. The end of this text is near now."
     df = spark.createDataFrame([(1, t), (1, t), (2, t), (2, "other " + t)], "doc_id bigint, text string")
