@@ -2,14 +2,16 @@
 
 log P(word | history) = log P(class | history) + log P(word | class, history). The SINGLES most frequent words are classes of
 their own, all others fall into SUFFIXES classes by a hash of their last bytes. The class softmax is linear in hashed features:
-the word before, the two classes before, and the class before the last word (a skip). Within a class the digits of a word's hash
-are chosen one after the other, each by a softmax over FAN outputs; its features are the word before, the two words before and
-the word before the last (a skip), each paired with the digits so far, and its bias holds the training counts plus one, with one
-more word for all unknown ones. There are as many digits as the vocabulary needs for about one word a leaf; words that still share
-a leaf go by their counts. Every training word is a context, and the numbers of rows follow the vocabulary.
+the word before, the two classes before, and the class before the last word (a skip). Within a class the binary digits of a
+word's hash are chosen one after the other, each by a softmax over its two values; its features are the word before, the two words
+before and the word before the last (a skip), each paired with the digits so far, and its bias holds the training counts plus one,
+with one more word for all unknown ones. There are as many digits as the vocabulary needs for about one word a leaf, BITS at most;
+words that share a leaf go by their counts. Every training word is a context, and the numbers of rows follow the vocabulary, up to
+LARGEST, beyond which features share rows.
 
 Texts become blocks of whole documents in a dictionary of their own; corpus counts are joined to the dictionaries, not to the
-tokens. Trainers run gradient steps over their blocks and their weights are averaged, each row by its visits.
+tokens. Trainers run gradient steps over their blocks and their weights are averaged, each row by its visits. Another partitioning
+of the table makes other blocks and so slightly other scores.
 """
 
 from __future__ import annotations
@@ -21,7 +23,6 @@ from dataclasses import dataclass
 from itertools import count
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -34,16 +35,17 @@ MODULUS, REMAINDER = 7, 2
 BLOCK_TOKENS = 2_000_000
 SINGLES, SUFFIXES = 32, 32
 CLASSES = SINGLES + SUFFIXES
-#: Outputs of a softmax within a class, and their logarithm.
-FAN, DIGIT = 16, 4
-#: Class rows, at least; above, as many as 1 << (bits - 2), and 1 << (bits + 2) rows within classes, for 32 << bits leaves.
-ROWS = 1 << 14
+#: Digits of a word within its class, at most.
+BITS = 17
+#: Class rows, at least; above, as many as 1 << (bits - 2), and 1 << (bits + 6) rows within classes, for 32 << bits leaves.
+ROWS, LARGEST = 1 << 14, 1 << 22
 STEP = 1 << 14
 #: Tasks that train side by side, at most; each passes once over its share of all training tokens, SHARE blocks or more, so
 #: that what they send stays in proportion to the input.
-TRAINERS = 256
+TRAINERS = 1024
 SHARE = 5
 PIECES = 64
+DICTIONARY = ("totals", "lead", "vocab")
 #: Hash of the end of a text; no word holds a blank.
 END = int(np.uint64(xxhash.xxh64_intdigest(b" ")).view(np.int64))
 
@@ -88,14 +90,38 @@ def counted_blocks(docs: DataFrame) -> DataFrame:
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out("doc_id", MODULUS, REMAINDER).alias("out"), text_or_empty().alias("text"))
     made = rows.mapInArrow(_blocks, "doc_ids array<bigint>, held array<boolean>, sizes array<bigint>, codes binary, vocab array<bigint>, counts array<bigint>, suffix binary")
     blocks = materialize(made.withColumn("block", F.monotonically_increasing_id()), "lm-blocks")
-    words = blocks.select("block", F.posexplode(F.arrays_zip("vocab", "counts")).alias("p", "w")).select("block", "p", F.col("w.vocab").alias("h"), F.col("w.counts").alias("n"))
+    words = blocks.select("block", F.posexplode(F.arrays_zip("vocab", "counts")).alias("p", "w")).select("block", "p", F.col("w.vocab").alias("h"), F.col("w.counts").cast("int").alias("n"))
     # a word has one row for each block that holds it
     by = Window.partitionBy("h")
     totals = words.withColumn("t", F.sum("n").over(by)).withColumn("lead", F.row_number().over(by.orderBy("block")) == 1)
-    known = totals.withColumn("h", F.shiftright("h", 32).cast("int")).groupBy("block").agg(F.collect_list(F.struct("p", "t", "lead", "h")).alias("known"))
+    placed = totals.select("block", "p", "t", "lead", F.shiftright("h", 32).cast("int").alias("h")).repartition("block").sortWithinPartitions("block", "p")
+    known = placed.select("block", "t", "lead", "h").mapInArrow(_packed, "block bigint, totals binary, lead binary, vocab binary")
     return materialize(blocks.drop("counts", "vocab").join(known, "block"), "lm-counted")
 
 
+def _packed(batches):
+    """Rows come sorted by block and place; a block's columns become one row of bytes."""
+    key, held = None, []
+
+    def row():
+        parts = [np.concatenate(x).tobytes() for x in zip(*held)]
+        return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), *(pa.array([x], pa.binary()) for x in parts)], ["block", "totals", "lead", "vocab"])
+
+    for batch in batches:
+        blocks, total, lead, hashed = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+        cuts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            if blocks[a] != key:
+                if held:
+                    yield row()
+                key, held = int(blocks[a]), []
+            held.append((total[a:b].astype("<i8"), lead[a:b].astype(np.uint8), hashed[a:b].astype("<i4")))
+    if held:
+        yield row()
+
+
 @dataclass
 class Block:
     """One row of counted blocks as arrays."""
@@ -113,11 +139,8 @@ class Block:
 def _rows(batch: pa.RecordBatch):
     for r in range(batch.num_rows):
         get = {n: batch.column(k)[r] for k, n in enumerate(batch.schema.names)}
-        known = get["known"].values.flatten()
-        place, total, lead, hashed = (x.to_numpy(zero_copy_only=False) for x in known)
-        totals, leads, vocab = np.zeros(len(place), np.int64), np.zeros(len(place), bool), np.zeros(len(place), np.uint32)
-        totals[place], leads[place], vocab[place] = total, lead, hashed.view(np.uint32)
-        yield Block(get["doc_ids"].values, get["held"].values.to_numpy(zero_copy_only=False), get["sizes"].values.to_numpy(), np.ascontiguousarray(np.frombuffer(get["codes"].as_buffer(), np.uint8).reshape(4, -1).T).view("<u4").ravel(), vocab, np.frombuffer(get["suffix"].as_buffer(), np.uint8), totals, leads)
+        raw = lambda name, kind: np.frombuffer(get[name].as_buffer(), kind)
+        yield Block(get["doc_ids"].values, get["held"].values.to_numpy(zero_copy_only=False), get["sizes"].values.to_numpy(), np.ascontiguousarray(raw("codes", np.uint8).reshape(4, -1).T).view("<u4").ravel(), raw("vocab", "<u4"), raw("suffix", np.uint8), raw("totals", "<i8"), raw("lead", np.uint8).astype(bool))
 
 
 @dataclass
@@ -134,7 +157,7 @@ class Lexicon:
     @property
     def bits(self) -> int:
         """Binary digits of a word's place in its class."""
-        return max(1, (self.v // SUFFIXES).bit_length())
+        return min(BITS, max(1, (self.v // SUFFIXES).bit_length()))
 
     def describe(self, b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Class, context number and leaf of each word of a block's dictionary; a class's unknown words have its first leaf."""
@@ -161,7 +184,7 @@ def lexicon(counted: DataFrame) -> Lexicon:
                 top = top[np.lexsort((b.vocab[top], -b.totals[top]))[:SINGLES]]
                 yield pa.RecordBatch.from_arrays([pa.array([True] * SUFFIXES + [False] * len(top)), pa.array(np.concatenate([np.arange(SUFFIXES), b.suffix[top]]).astype(np.int32)), pa.array(np.concatenate([np.zeros(SUFFIXES, np.int64), b.vocab[top].astype(np.int64)])), pa.array(np.concatenate([n, b.totals[top]])), pa.array(np.concatenate([v, np.ones(len(top), np.int64)]))], ["sums", "suffix", "h", "n", "v"])
 
-    rows = counted.select("doc_ids", "held", "sizes", F.lit(b"").alias("codes"), "suffix", "known").mapInArrow(sums, "sums boolean, suffix int, h bigint, n bigint, v bigint")
+    rows = counted.select("doc_ids", "held", "sizes", F.lit(b"").alias("codes"), "suffix", *DICTIONARY).mapInArrow(sums, "sums boolean, suffix int, h bigint, n bigint, v bigint")
     rows = materialize(rows, "lm-sums")
     by_suffix = rows.where("sums").groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
     top = rows.where("NOT sums").orderBy(F.desc("n"), "h").limit(SINGLES).collect()
@@ -187,7 +210,7 @@ def masses(counted: DataFrame, lex: Lexicon) -> np.ndarray:
                 at, of = np.unique(leaf[own], return_inverse=True)
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.bincount(of, b.totals[own] + 1.0, len(at)).astype(float))], ["leaf", "mass"])
 
-    rows = counted.select("doc_ids", "held", "sizes", F.lit(b"").alias("codes"), "suffix", "known").mapInArrow(sums, "leaf bigint, mass double")
+    rows = counted.select("doc_ids", "held", "sizes", F.lit(b"").alias("codes"), "suffix", *DICTIONARY).mapInArrow(sums, "leaf bigint, mass double")
     found = rows.groupBy("leaf").agg(F.sum("mass").alias("mass")).toArrow()
     mass = np.zeros(SUFFIXES << lex.bits, np.float32)
     mass[found["leaf"].to_numpy()] = found["mass"].to_numpy()
@@ -195,31 +218,25 @@ def masses(counted: DataFrame, lex: Lexicon) -> np.ndarray:
     return mass
 
 
-def levels(mass: np.ndarray, bits: int) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-    """For each digit of a place: how far right it lies, its binary digits, log shares of outputs for each node, and whether the
-    node has more than one output with words."""
-    out, shift = [], bits
-    while shift:
-        width = min(DIGIT, shift)
-        shift -= width
-        own = (mass.reshape(-1, 1 << shift).sum(axis=1, dtype=np.float32) if shift else mass).reshape(-1, 1 << width)
-        empty = own == 0
-        with np.errstate(divide="ignore"):
-            bias = np.log(own)
-        bias -= np.log(np.maximum(own.sum(axis=1, keepdims=True), 1))
-        bias[empty] = -1e4
-        out.append((shift, width, bias, (~empty).sum(axis=1) > 1))
+def levels(mass: np.ndarray, bits: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """For each digit of a place: how far right it lies, the log odds of a 1 at each node, and whether both values have words."""
+    out = []
+    for shift in reversed(range(bits)):
+        own = mass.reshape(-1, 2, 1 << shift).sum(axis=2, dtype=np.float32)
+        both = (own > 0).all(axis=1)
+        odds = np.where(both, np.log(np.maximum(own[:, 1], 1e-9)) - np.log(np.maximum(own[:, 0], 1e-9)), 0)
+        out.append((shift, odds.astype(np.float32), both))
     return out
 
 
 def _row(template: int, n: int, *parts: np.ndarray) -> np.ndarray:
-    """Row numbers below n, a power of 2."""
+    """Row numbers below n, a power of 2; or the mixed numbers themselves for an n of 0."""
     mixed = np.full(len(parts[0]), template + 1, np.uint64)
     with np.errstate(over="ignore"):
         for p in parts:
             mixed = (mixed + p.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             mixed ^= mixed >> np.uint64(29)
-    return (mixed & np.uint64(n - 1)).astype(np.int32)
+    return (mixed & np.uint64(n - 1)).astype(np.int32) if n else mixed
 
 
 def _runs(kind: np.ndarray, word: np.ndarray, leaf: np.ndarray, codes: np.ndarray, sizes: np.ndarray):
@@ -247,11 +264,23 @@ def features(context: np.ndarray, n: int) -> list[np.ndarray]:
     return [_row(0, n, r1), _row(1, n, k2, k1), _row(2, n, k2)]
 
 
-def inner_features(words: tuple[np.ndarray, np.ndarray], node: np.ndarray, shift: int, n: int) -> list[np.ndarray]:
-    """A row number for each token and template within a class: the word before, both before, the one before the last (a skip)."""
-    w1, w2 = words
-    node = node * 64 + shift
-    return [_row(3, n, node, w1), _row(4, n, node, w1, w2), _row(5, n, node, w2)]
+def inner_contexts(words: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """A number for each token and template within a class: the word before, both before, the one before the last (a skip)."""
+    return [_row(3, 0, words[0]), _row(4, 0, *words), _row(5, 0, words[1])]
+
+
+def inner_choices(steps: list, contexts: list[np.ndarray], leaf: np.ndarray, weights: np.ndarray):
+    """(tokens, digit, log odds of a 1, row of each template) for each digit that leaves a choice."""
+    size = len(weights)
+    for shift, odds, both in steps:
+        parent = leaf >> (shift + 1)
+        at = np.flatnonzero(both[parent])
+        if not len(at):
+            continue
+        parent = parent[at]
+        node = ((parent + 1) << 6 | shift).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        rows = [(((c[at] ^ node) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33) & np.uint64(size - 1)).astype(np.int32) for c in contexts]
+        yield at, (leaf[at] >> shift) & 1, odds[parent] + weights[rows[0]] + weights[rows[1]] + weights[rows[2]], rows
 
 
 def _log_softmax(bias: np.ndarray, weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
@@ -291,34 +320,41 @@ def _descend(state: tuple[np.ndarray, np.ndarray, np.ndarray], bias: np.ndarray,
     _step(*state, rows, g, n, rate)
 
 
-def _descend_inside(state: tuple[np.ndarray, np.ndarray, np.ndarray], steps: list, words: tuple[np.ndarray, np.ndarray], leaf: np.ndarray, rate: float) -> None:
-    """One step on the log loss of each digit of the leaves of a run of tokens."""
-    for shift, width, bias, several in steps:
-        digits = leaf >> shift
-        node, digit = digits >> width, digits & ((1 << width) - 1)
-        open_ = np.flatnonzero(several[node])  # others leave no choice
-        if not len(open_):
-            continue
-        node, digit = node[open_], digit[open_]
-        rows = inner_features((words[0][open_], words[1][open_]), node, shift, len(state[0]))
-        g = np.exp(_log_softmax(bias[node], state[0], rows))
-        g[np.arange(len(g)), digit] -= 1
-        _step(*state, rows, g, np.ones(len(g), np.int64), rate)
+class Inner:
+    """AdaGrad over the weights within classes, one a row."""
+
+    def __init__(self, n: int):
+        self.weights, self.squares, self.visits, self.sums = (np.zeros(n, np.float32) for _ in range(4))
+        self.seen = np.zeros(n, bool)
+
+    def descend(self, steps: list, words: tuple[np.ndarray, np.ndarray], leaf: np.ndarray, rate: float) -> None:
+        """One step on the log loss of all digits of a run of tokens."""
+        for _, digit, z, rows in inner_choices(steps, inner_contexts(words), leaf, self.weights):
+            g = (1 / (1 + np.exp(-z)) - digit).astype(np.float32)
+            for r in rows:
+                np.add.at(self.sums, r, g)
+                np.add.at(self.visits, r, np.float32(1))
+                self.seen[r] = True
+        own = np.flatnonzero(self.seen)
+        total = self.sums[own]
+        squares = self.squares[own] + total * total
+        self.weights[own] -= rate * total / np.sqrt(squares + 1)
+        self.squares[own] = squares
+        self.sums[own], self.seen[own] = 0, False
 
 
 def _many(lex: Lexicon) -> tuple[int, int]:
     """Class rows and rows within classes."""
-    return max(ROWS, 1 << max(0, lex.bits - 2)), max(ROWS, 1 << (lex.bits + 2))
+    return max(ROWS, 1 << max(0, lex.bits - 2)), min(LARGEST, max(ROWS, 1 << (lex.bits + 6)))
 
 
-def learn(counted: DataFrame, lex: Lexicon, mass: np.ndarray, trainers: int = TRAINERS, rate: float = 0.4) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of classes, rows x CLASSES, and within classes, rows x FAN, from one pass over all training tokens."""
+def learn(counted: DataFrame, lex: Lexicon, mass: np.ndarray, trainers: int = TRAINERS, rate: float = 0.2) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of classes, rows x CLASSES, and within classes, one a row, from one pass over all training tokens."""
     bias, many = class_bias(lex), _many(lex)
-    pieces = max(PIECES, many[1] // ROWS)
     shared = counted.sparkSession.sparkContext.broadcast(mass)
 
     def learned(batches):
-        outer, inner = ((np.zeros((m, k), np.float32), np.zeros((m, s), np.float32), np.zeros(m, np.float32)) for m, k, s in ((many[0], CLASSES, CLASSES), (many[1], FAN, 1)))
+        outer, inner = tuple(np.zeros((many[0], k), np.float32) for k in (CLASSES, CLASSES)) + (np.zeros(many[0], np.float32),), Inner(many[1])
         steps = levels(shared.value, lex.bits)
         for batch in batches:
             for b in _rows(batch):
@@ -327,32 +363,36 @@ def learn(counted: DataFrame, lex: Lexicon, mass: np.ndarray, trainers: int = TR
                     _descend(outer, bias, context, of, rate)
                     deep = of >= SINGLES
                     if deep.any():
-                        _descend_inside(inner, steps, (words[0][deep], words[1][deep]), leaf[deep], rate)
+                        inner.descend(steps, (words[0][deep], words[1][deep]), leaf[deep], rate)
         if outer[2].any():
-            parts = [x.reshape(pieces, -1) for weights, _, visits in (outer, inner) for x in (weights.astype("<f2"), visits)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(pieces, dtype=np.int32)), *(pa.array([x.tobytes() for x in p], pa.binary()) for p in parts)], ["piece", "w0", "n0", "w1", "n1"])
-
-    def averaged(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = {"piece": [pdf["piece"].iloc[0]]}
-        for k in "01":
-            total = seen = 0
-            for w, n in zip(pdf["w" + k], pdf["n" + k]):
-                n = np.frombuffer(n, "<f4")[:, None]
-                total, seen = total + np.frombuffer(w, "<f2").astype(np.float32).reshape(len(n), -1) * n, seen + n
-            out["w" + k] = [(total / np.maximum(seen, 1)).astype("<f2").tobytes()]
-        return pd.DataFrame(out)
-
-    parts = counted.drop("doc_ids").select(F.array().cast("array<bigint>").alias("doc_ids"), "held", "sizes", "codes", "suffix", "known")
+            parts = [x.reshape(PIECES, -1) for x in (outer[0].astype("<f2"), outer[2], inner.weights.astype("<f2"), inner.visits)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(PIECES, dtype=np.int32)), *(pa.array([x.tobytes() for x in p], pa.binary()) for p in parts)], ["piece", "w0", "n0", "w1", "n1"])
+
+    def averaged(batches):
+        sums: dict[int, list] = {}
+        for batch in batches:
+            for r in range(batch.num_rows):
+                piece, *parts = (batch.column(k)[r] for k in range(5))
+                own = sums.setdefault(piece.as_py(), [0, 0, 0, 0])
+                for k in (0, 2):
+                    n = np.frombuffer(parts[k + 1].as_buffer(), "<f4")[:, None]
+                    own[k] = own[k] + np.frombuffer(parts[k].as_buffer(), "<f2").astype(np.float32).reshape(len(n), -1) * n
+                    own[k + 1] = own[k + 1] + n
+        if sums:
+            means = [[(x[k] / np.maximum(x[k + 1], 1)).astype("<f2").tobytes() for x in sums.values()] for k in (0, 2)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), *(pa.array(m, pa.binary()) for m in means)], ["piece", "w0", "w1"])
+
+    parts = counted.drop("doc_ids").select(F.array().cast("array<bigint>").alias("doc_ids"), "held", "sizes", "codes", "suffix", *DICTIONARY)
     tasks = max(1, min(trainers, max(8, counted.count() // SHARE)))
-    found = parts.coalesce(tasks).mapInArrow(learned, "piece int, w0 binary, n0 binary, w1 binary, n1 binary").groupBy("piece").applyInPandas(averaged, "piece int, w0 binary, w1 binary").collect()
-    weights = [np.zeros((pieces, m // pieces * k), np.float16) for m, k in zip(many, (CLASSES, FAN))]
+    found = parts.coalesce(tasks).mapInArrow(learned, "piece int, w0 binary, n0 binary, w1 binary, n1 binary").repartition(PIECES, "piece").mapInArrow(averaged, "piece int, w0 binary, w1 binary").collect()
+    weights = [np.zeros((PIECES, m // PIECES * k), np.float16) for m, k in zip(many, (CLASSES, 1))]
     for r in found:
         for k in range(2):
             weights[k][r["piece"]] = np.frombuffer(r[f"w{k}"], "<f2")
-    return weights[0].reshape(-1, CLASSES), weights[1].reshape(-1, FAN)
+    return weights[0].reshape(-1, CLASSES), weights[1].reshape(-1)
 
 
-def train(counted: DataFrame, lex: Lexicon, trainers: int = TRAINERS, rate: float = 0.4) -> np.ndarray:
+def train(counted: DataFrame, lex: Lexicon, trainers: int = TRAINERS, rate: float = 0.2) -> np.ndarray:
     """Class weights alone."""
     return learn(counted, lex, masses(counted, lex), trainers, rate)[0].astype(np.float32)
 
@@ -360,17 +400,15 @@ def train(counted: DataFrame, lex: Lexicon, trainers: int = TRAINERS, rate: floa
 def inner_scores(steps: list, weights: np.ndarray, words: tuple[np.ndarray, np.ndarray], leaf: np.ndarray) -> np.ndarray:
     """Natural log P(leaf | class, history)."""
     out = np.zeros(len(leaf))
-    for shift, width, bias, _ in steps:
-        digits = leaf >> shift
-        node, digit = digits >> width, digits & ((1 << width) - 1)
-        out += _log_softmax(bias[node], weights, inner_features(words, node, shift, len(weights)))[np.arange(len(leaf)), digit]
+    for at, digit, z, _ in inner_choices(steps, inner_contexts(words), leaf, weights):
+        out[at] -= np.logaddexp(0, np.where(digit == 1, -z, z))
     return out
 
 
 def scores(docs: DataFrame, trainers: int = TRAINERS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of docs.
 
-    A null text counts as empty: one token, its end. A null doc_id is never held out; repeated rows count as often as they
+    A null text counts as empty: one token, its end. Columns but doc_id and text don't matter; an empty table gives no rows. A null doc_id is never held out; repeated rows count as often as they
     occur. base_score is the unigram model with counts plus one. Without training rows all words are unknown to both models.
     """
     spark = docs.sparkSession
@@ -401,7 +439,7 @@ def scores(docs: DataFrame, trainers: int = TRAINERS) -> DataFrame:
                 known = add((b.totals > 0)[b.codes].astype(np.int64))
                 yield pa.RecordBatch.from_arrays([b.doc_ids, pa.array(b.held), pa.array(b.sizes), pa.array(known), pa.array(np.full(len(first), lex.n)), pa.array(add(base[b.codes])), pa.array(add(model))], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return counted.select("doc_ids", "held", "sizes", "codes", "suffix", "known").mapInArrow(scored, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return counted.select("doc_ids", "held", "sizes", "codes", "suffix", *DICTIONARY).mapInArrow(scored, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
 def op7_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

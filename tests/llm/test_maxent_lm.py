@@ -74,8 +74,41 @@ def test_words_of_a_class_and_its_unknown_add_up_to_one(spark):
     leaf = np.arange(lm.SUFFIXES << lex.bits)
     word = np.full(len(leaf), 12345)
     p = np.exp(lm.inner_scores(lm.levels(mass, lex.bits), weights, (word, word + 1), leaf))
-    assert np.allclose(p.reshape(lm.SUFFIXES, -1).sum(axis=1), 1, atol=1e-4)
+    assert np.allclose((p * (mass > 0)).reshape(lm.SUFFIXES, -1).sum(axis=1), 1, atol=1e-4)  # no word has an empty leaf
 
 
 def test_empty_table(spark):
     assert lm.scores(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_inner_step_equals_plain_loops():
+    """AdaGrad over the digits of leaves, against loops over tokens, digits and templates."""
+    r = np.random.default_rng(4)
+    bits, n = 4, 256
+    mass = r.integers(0, 3, lm.SUFFIXES << bits).astype(np.float32)
+    mass[:: 1 << bits] += 1
+    steps = lm.levels(mass, bits)
+    leaf = r.choice(np.flatnonzero(mass), 60)
+    words = r.integers(0, 9, 60), r.integers(0, 9, 60)
+    inner = lm.Inner(n)
+    weights, squares = np.zeros(n), np.zeros(n)
+    contexts = lm.inner_contexts(words)
+    for _ in range(3):
+        sums, seen = np.zeros(n), set()
+        for t in range(60):
+            for shift in range(bits):
+                node = int(leaf[t]) >> (shift + 1)
+                low, high = (mass[((node << 1 | d) << shift) : ((node << 1 | d) + 1 << shift)].sum() for d in (0, 1))
+                if not low or not high:
+                    continue
+                key = (((node + 1) << 6 | shift) * 0xD6E8FEB86659FD93) % 2**64
+                rows = [((((int(c[t]) ^ key) * 0x9E3779B97F4A7C15) % 2**64) >> 33) & (n - 1) for c in contexts]
+                z = math.log(high) - math.log(low) + sum(weights[k] for k in rows)
+                for k in rows:
+                    sums[k] += 1 / (1 + math.exp(-z)) - (int(leaf[t]) >> shift & 1)
+                    seen.add(k)
+        for k in seen:
+            squares[k] += sums[k] ** 2
+            weights[k] -= 0.4 * sums[k] / math.sqrt(squares[k] + 1)
+        inner.descend(steps, words, leaf, 0.4)
+    assert np.allclose(inner.weights, weights, atol=1e-3) and inner.visits.sum() > 0
