@@ -37,9 +37,10 @@ SINGLES, SUFFIXES = 32, 32
 CLASSES = SINGLES + SUFFIXES
 #: Digits of a word within its class, at most.
 BITS = 17
-#: Class rows, at least; above, as many as 1 << (bits - 2), and 1 << (bits + 6) rows within classes, for 32 << bits leaves.
+#: Class rows, at least; above, as many as 1 << (bits - 2), and 1 << (bits + 6) rows within classes, 4 * ROWS at least.
 ROWS, LARGEST = 1 << 14, 1 << 22
-STEP = 1 << 14
+#: Tokens of a gradient step, at most, and steps that a block is divided into at least, where it has tokens enough.
+STEP, LEAST_STEPS = 1 << 14, 64
 #: Tasks that train side by side, at most; each passes once over its share of all training tokens, SHARE blocks or more, so
 #: that what they send stays in proportion to the input.
 TRAINERS = 1024
@@ -239,13 +240,13 @@ def _row(template: int, n: int, *parts: np.ndarray) -> np.ndarray:
     return (mixed & np.uint64(n - 1)).astype(np.int32) if n else mixed
 
 
-def _runs(kind: np.ndarray, word: np.ndarray, leaf: np.ndarray, codes: np.ndarray, sizes: np.ndarray):
-    """(first token, class, class context, the last two words, leaf) of STEP tokens each; a text begins with no history."""
+def _runs(kind: np.ndarray, word: np.ndarray, leaf: np.ndarray, codes: np.ndarray, sizes: np.ndarray, step: int = STEP):
+    """(first token, class, class context, the last two words, leaf) of step tokens each; a text begins with no history."""
     place = np.arange(len(codes), dtype=np.int32)
     place -= np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), sizes)
-    for at in range(0, len(codes), STEP):
+    for at in range(0, len(codes), step):
         lo = max(0, at - 2)
-        own, deep = codes[lo : at + STEP], place[at : at + STEP]
+        own, deep = codes[lo : at + step], place[at : at + step]
 
         def back(x, k, none):
             out = np.full(len(deep) + at - lo, none, np.int64)
@@ -345,7 +346,7 @@ class Inner:
 
 def _many(lex: Lexicon) -> tuple[int, int]:
     """Class rows and rows within classes."""
-    return max(ROWS, 1 << max(0, lex.bits - 2)), min(LARGEST, max(ROWS, 1 << (lex.bits + 6)))
+    return max(ROWS, 1 << max(0, lex.bits - 2)), min(LARGEST, max(4 * ROWS, 1 << (lex.bits + 6)))
 
 
 def learn(counted: DataFrame, lex: Lexicon, mass: np.ndarray, trainers: int = TRAINERS, rate: float = 0.2) -> tuple[np.ndarray, np.ndarray]:
@@ -359,7 +360,8 @@ def learn(counted: DataFrame, lex: Lexicon, mass: np.ndarray, trainers: int = TR
         for batch in batches:
             for b in _rows(batch):
                 described = lex.describe(b)
-                for _, of, context, words, leaf in _runs(*described, b.codes[np.repeat(~b.held, b.sizes)], b.sizes[~b.held]):
+                codes = b.codes[np.repeat(~b.held, b.sizes)]
+                for _, of, context, words, leaf in _runs(*described, codes, b.sizes[~b.held], min(STEP, max(256, len(codes) // LEAST_STEPS))):
                     _descend(outer, bias, context, of, rate)
                     deep = of >= SINGLES
                     if deep.any():
