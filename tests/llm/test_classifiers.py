@@ -92,3 +92,33 @@ def test_trainer_takes_the_plain_steps_and_repeated_rows_count():
 def test_most_repeated_word_is_sought_in_the_whole_text():
     text = "one two three four five six seven eight " + "late " * 12
     assert pairwise_quality.figures(text)[11] == 12 / 20
+
+
+def test_pair_gradient_equals_differences_of_plain_loss():
+    r = np.random.default_rng(1)
+    z, n = r.standard_normal((7, 3)), 7
+    rows = [np.sort(r.choice(9, 4, replace=False)).astype(np.int32) for _ in range(n)]
+    values = [r.random(4).astype(np.float32) for _ in range(n)]
+    better, worse = np.array([0, 1, 2, 0, 0]), np.array([3, 4, 5, 6, 6])
+    w, v = r.standard_normal(3), np.zeros(pairwise_quality.WORDS)
+    v[:9] = r.standard_normal(9)
+
+    def loss(w, v):
+        raw = [sum(a * b for a, b in zip(z[k], w)) + sum(v[i] * x for i, x in zip(rows[k], values[k])) for k in range(n)]
+        fit = sum(math.log(1 + math.exp(raw[b] - raw[a])) for a, b in zip(better, worse)) / len(better)
+        return fit + pairwise_quality.RIDGE / 2 * (w @ w) + pairwise_quality.WORD_RIDGE / 2 * (v @ v)
+
+    gw, gv = pairwise_quality.loss_gradient(z, pairwise_quality.Sparse.of(rows, values), w, v, better, worse)
+    step = lambda x, k: x + 1e-5 * (np.arange(len(x)) == k)
+    assert np.allclose(gw, [(loss(step(w, k), v) - loss(w - step(w, k) + w, v)) / 2e-5 for k in range(3)], atol=1e-5)
+    assert np.allclose(gv[:9], [(loss(w, step(v, k)) - loss(w, v - step(v, k) + v)) / 2e-5 for k in range(9)], atol=1e-5)
+
+
+def test_words_alone_can_tell_quality(spark):
+    r = random.Random(1)
+    text = lambda good: " ".join(r.choices(["fine", "well", "sound", "word", "text"] if good else ["poor", "bad", "vague", "word", "text"], k=80))
+    docs = [(i, text(i % 3 > 0), 1, "x") for i in range(600)]
+    labels = [(i, int(i % 3 > 0), 0, 0) for i in range(600)]
+    df = spark.createDataFrame(docs, DOCS)
+    out = pairwise_quality.quality_scores(df, pairwise_quality.fit(df, spark.createDataFrame(labels, LABELS))).collect()
+    assert np.mean([x.predicted == int(x.doc_id % 3 > 0) for x in out if x.held_out]) > 0.97
