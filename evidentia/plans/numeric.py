@@ -100,24 +100,36 @@ def eligibility(spark, d):
 
 
 def quotes(spark, d):
-    """A small table in text for each part."""
+    """A small table in text for each part; every third row claims a value of another column."""
     head, value = F.lit("| Method | Price | Size |\n| --- | --- | --- |\n"), F.format_string("| %s [%d] | %.1f | %d |", "p_name", F.col("p_size"), "p_retailprice", "p_size")
     wrong = F.when(F.col("p_partkey") % 3 == 0, F.col("p_size").cast("double")).otherwise(F.round("p_retailprice", 1))
-    return table(spark, d, "part").select(F.col("p_partkey").alias("row_id"), F.col("p_name").alias("model"), wrong.alias("value"), F.lit("Price").alias("metric"), F.concat(head, value).alias("quote"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("row_id"), F.col("p_name").alias("model"), wrong.alias("value"), F.lit("Price").alias("metric"), F.concat(head, value).alias("quote"), F.array().cast("array<string>").alias("aliases"))
 
 
-@query("table_bind")
+#: What the generated tables state, by construction.
+BOUND_SQL = "b AS (SELECT p_partkey AS row_id, p_name AS model, CASE WHEN p_partkey % 3 = 0 THEN p_size::DOUBLE ELSE round(p_retailprice, 1) END AS value, 'Price' AS metric, p_partkey % 3 <> 0 OR p_size = round(p_retailprice, 1) AS source_bound, 2015 + p_partkey % 10 AS year FROM part)"
+
+
+@query("table_bind", f"WITH {BOUND_SQL} SELECT row_id, source_bound FROM b")
 def table_bind(spark, d):
-    return B.bind_values(quotes(spark, d))
+    return B.bind_values(quotes(spark, d)).select("row_id", "source_bound")
 
 
-@query("numerical_rows")
+@query("numerical_rows", f"WITH {BOUND_SQL} SELECT row_id, model, value, metric, source_bound, CASE WHEN year BETWEEN 2018 AND 2021 THEN 'in_scope' ELSE 'outside_scope' END AS scope FROM b")
 def numerical_rows(spark, d):
-    rows = quotes(spark, d)
-    return rows.join(B.bind_values(rows), "row_id").select("row_id", "model", "value", "metric", "source_bound", N.date_scope(F.lit(None).cast("string"), (F.lit(2015) + F.col("row_id") % 10).cast("int"), "2018-01-01", "2021-12-31").alias("scope"))
+    year = (F.lit(2015) + F.col("row_id") % 10).cast("int")
+    return B.bind_values(quotes(spark, d)).select("row_id", "model", "value", "metric", "source_bound", N.date_scope(F.lit(None).cast("string"), year, "2018-01-01", "2021-12-31").alias("scope"))
+
+
+@query("own_names", "SELECT p_partkey, p_partkey % 3 = 0 AND p_partkey % 2 = 0 AS own FROM part")
+def own_names(spark, d):
+    """Only a proposed model whose name begins the title may be called "Ours"."""
+    title = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("_2024_"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_: a study_"))).otherwise(F.concat(F.lit("On "), F.col("p_name")))
+    role = F.when(F.col("p_partkey") % 3 == 0, "proposed").otherwise("baseline")
+    return table(spark, d, "part").select("p_partkey", (F.size(B.own_names(F.col("p_name"), title, role)) > 0).alias("own"))
 
 
-@query("expand_merged")
+@query("expand_merged", "SELECT p_partkey AS row_id, k AS ord, CASE k WHEN 0 THEN '1|' || p_name ELSE '2|' || p_brand END || '|' || p_type AS line FROM part, (SELECT unnest([0, 1]) AS k)")
 def expand_merged(spark, d):
     parts = table(spark, d, "part")
     return B.expand_merged(parts.select(F.col("p_partkey").alias("row_id"), F.concat(F.lit("|1<br>2|"), "p_name", F.lit("<br>"), "p_brand", F.lit("|"), "p_type", F.lit("|")).alias("quote")))

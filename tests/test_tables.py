@@ -1,34 +1,66 @@
 """Golden cases of values in tables, and of ordered text algorithms."""
 
-import pytest
+from pyspark.sql import functions as F
 
 from evidentia.operators import passages as P
 from evidentia.operators import tables as B
 
 
-@pytest.mark.parametrize(
-    "quote,model,value,metric,expected",
-    [
-        # a column that lies line by line: as many numbers as models, or none counts
-        ("Models\nAlpha\nBeta [3]\nGamma\nRecall (%)\n71.5\n80.25\n64", "Beta", 80.25, "Recall", True),
-        ("Models\nAlpha\nBeta [3]\nGamma\nRecall (%)\n71.5\n80.25\n64", "Gamma", 80.25, "Recall", False),
-        ("Models\nAlpha\nBeta\nRecall\n71.5", "Alpha", 71.5, "Recall", False),
-        # a piped table, by rows and by columns, with rules and bold numbers
-        ("| Model | Recall | Cost (ms) |\n|---|---|---|\n| Alpha (ours) | **71.5** | 12 |\n| Beta | 80.25 | 9 |", "Alpha", 71.5, "Recall", True),
-        ("| Model | Recall | Cost (ms) |\n|---|---|---|\n| Alpha (ours) | **71.5** | 12 |\n| Beta | 80.25 | 9 |", "Alpha", 12.0, "Recall", False),
-        ("| Model | Alpha | Beta |\n| Recall | 71.5 | 80.25 |\n| Cost | 80.25 | 9 |", "Alpha", 80.25, "Recall", False),
-        # a row of four cells names its metric
-        ("Beta | Corpus | Recall | 80.25", "Beta", 80.25, "Recall", True),
-        ("BetaXL | Corpus | Recall | 80.25", "Beta", 80.25, "Recall", False),
-        # merged rows are split again where the parts match
-        ("|Alpha<br>Beta|71.5<br>80.25|", "Beta", 80.25, "", True),
-        ("|Alpha<br>Beta|71.5<br>80.25|", "Beta", 71.5, "", False),
-        # numbers below a model's own line
-        ("Alpha\n3\n71.5 (+2.0%)\nBeta", "Alpha", 71.5, "Recall", True),
-    ],
-)
-def test_tables_bind_models_and_metrics(quote, model, value, metric, expected):
-    assert B.bound(model, value, quote, metric) == expected
+PIPED = "| Model | Recall | Cost (ms) |\n|---|---|---|\n| Alpha (ours) | **71.5** | 12 |\n| Beta | 80.25 | 9 |"
+LAID = "Models\nAlpha\nBeta [3]\nGamma\nRecall (%)\n71.5\n80.25\n64"
+CASES = [
+    # a column that lies line by line: as many numbers as models, or none counts
+    (LAID, "Beta", 80.25, "Recall", [], True),
+    (LAID, "Gamma", 80.25, "Recall", [], False),
+    (LAID + "−12.5%", "Gamma", 64.0, "Recall", [], True),
+    ("Models\nAlpha\nBeta\nRecall\n71.5", "Alpha", 71.5, "Recall", [], False),
+    ("Models\nBeta\nOurs\nRecall\n80.25\n71.5", "Alpha", 71.5, "Recall", ["Ours"], True),
+    ("Models\nBeta\nOurs\nRecall\n80.25\n71.5", "Alpha", 71.5, "Recall", [], False),
+    # a piped table, by rows and by columns, with rules and bold numbers
+    (PIPED, "Alpha", 71.5, "Recall", [], True),
+    (PIPED, "Alpha", 12.0, "Recall", [], False),
+    (PIPED, "Alpha", 12.0, "Cost (ms)", [], True),
+    ("| Model | Alpha | Beta |\n| Recall | 71.5 | 80.25 |\n| Cost | 80.25 | 9 |", "Alpha", 80.25, "Recall", [], False),
+    ("| Model | Alpha [1] | Beta |\n|:-|-|-|\n| Recall (%) | 71.5 | **80.25** |", "Beta", 80.25, "Recall", [], True),
+    # a model may have several rows
+    ("| Model | Recall | Cost |\n| Alpha | 70 | 1 |\n| Alpha | 71.5 | 2 |", "Alpha", 71.5, "Recall", [], True),
+    # a row of four cells names its metric
+    ("Beta [12] | Corpus | Recall | 80.25", "Beta [12]", 80.25, "Recall", [], True),
+    ("Beta | Corpus | Cost | 80.25", "Beta", 80.25, "Recall", [], False),
+    ("BetaXL | Corpus | Recall | 80.25", "Beta", 80.25, "Recall", [], False),
+    # merged rows are split again where the parts match
+    ("|Alpha<br>Beta|71.5<br>80.25|", "Beta", 80.25, "", [], True),
+    ("|Alpha<br>Beta|71.5<br>80.25|", "Beta", 71.5, "", [], False),
+    ("|7<br>8|Alpha<br>Beta|71.5<br>80.25|", "Alpha", 80.25, "Recall", [], False),
+    # a name parted at its hyphen, in one cell or two
+    ("|Alpha net-<br>2step|Aux|4|71.5|64|", "Alpha net-2step", 71.5, "Recall", [], True),
+    ("Alpha net-|2step<br>Aux|Other|4|71.5<br>64", "Alpha net-2step", 71.5, "Recall", [], True),
+    ("|Alpha net|Aux|8|**71.5**<br>64<br><br>|", "Alpha net", 71.5, "Recall (%)", [], True),
+    # numbers below a model's own line, past ticks and blank lines but no words
+    ("Alpha\n3\n71.5 (+2.0%)\nBeta", "Alpha", 71.5, "Recall", [], True),
+    ("Alpha\n✓\n71.5\nBeta", "Alpha", 71.5, "Recall", [], True),
+    ("Alpha\n\n  \n71.5\nBeta", "Alpha", 71.5, "Recall", [], True),
+    ("Alpha\nBeta\n71.5", "Alpha", 71.5, "Recall", [], False),
+    ("Alpha 3 71.5", "Alpha", 71.5, "Recall", [], True),
+    (None, "Alpha", 71.5, "Recall", [], False),
+    ("", "Alpha", 71.5, "Recall", None, False),
+    ("Alpha 71.5", "Alpha", float("nan"), None, None, False),
+    ("Alpha 71.5", "Alpha", None, None, None, False),
+]
+
+
+def test_tables_bind_models_and_metrics(spark):
+    rows = spark.createDataFrame([(k, *c[:5]) for k, c in enumerate(CASES)], "row_id int, quote string, model string, value double, metric string, aliases array<string>")
+    got = {r.row_id: r.source_bound for r in B.bind_values(rows).collect()}
+    assert [k for k, c in enumerate(CASES) if got[k] != c[5]] == []
+    assert B.bind_values(rows.limit(0)).count() == 0
+
+
+def test_own_names_need_the_title_and_the_role(spark):
+    cases = [("Alpha: a study of graphs", "proposed", True), ("_2025_Alpha_Journal_.pdf", "proposed", True), ("Beta: a study", "proposed", False), ("Alpha: a study", "baseline", False), ("Al-pha: a study", "proposed", True), (None, "proposed", False)]
+    rows = spark.createDataFrame([(k, "Alpha (Ours)", t, r) for k, (t, r, _) in enumerate(cases)], "k int, model string, title string, role string")
+    got = {r.k: r.n for r in rows.select("k", F.size(B.own_names(F.col("model"), F.col("title"), F.col("role"))).alias("n")).collect()}
+    assert [got[k] > 0 for k in range(len(cases))] == [c[2] for c in cases]
 
 
 def test_parent_spans_cover_blocks_and_keep_headings():
