@@ -167,11 +167,15 @@ def excerpt_scores(spark, d):
     return marked.join(stats, "id").select("id", "start", F.round(score, 6).alias("score"))
 
 
-@query("reading_mode", "SELECT doc_id AS id, octet_length(encode(text))::BIGINT AS n_bytes, CASE WHEN text IS NULL OR text = '' THEN 'empty' WHEN octet_length(encode(text)) <= 4000 THEN 'full' ELSE 'excerpt' END AS mode FROM documents")
+@query("reading_mode", "SELECT doc_id AS id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes, CASE WHEN coalesce(text, '') = '' THEN 'empty' WHEN octet_length(encode(text)) <= 8000 THEN 'full' WHEN octet_length(encode(text)) + 120 > 8000 AND NOT regexp_matches(text, '\\n\\s*\\n') THEN 'too_large' ELSE 'sections' END AS mode FROM documents".replace("\\\\", "\\"))
 def reading_mode(spark, d):
-    size = F.octet_length("text").cast("bigint")
-    mode = F.when(F.col("text").isNull() | (F.col("text") == ""), "empty").when(size <= 4000, "full").otherwise("excerpt")
-    return documents(spark, d).select("id", size.alias("n_bytes"), mode.alias("mode"))
+    return P.reading_plan(documents(spark, d), QUESTION, 8000).select("id", "n_bytes", "mode")
+
+
+@query("reading_spans")
+def reading_spans(spark, d):
+    lined = documents(spark, d).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
+    return P.reading_plan(lined, QUESTION, 8000, most=1500).select("id", "mode", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
 
 
 @query(
@@ -213,7 +217,7 @@ def chunk_markdown(spark, d):
 @query("session_chunks")
 def session_chunks(spark, d):
     turns = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    return P.chunk_text(turns).withColumn("chunk", F.substring("chunk", 1, 2000))
+    return P.chunk_text(turns)
 
 
 @query("parent_spans")

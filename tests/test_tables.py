@@ -1,5 +1,8 @@
 """Golden cases of values in tables, and of ordered text algorithms."""
 
+import math
+import random
+
 from pyspark.sql import functions as F
 
 from evidentia.operators import passages as P
@@ -71,14 +74,59 @@ def test_parent_spans_cover_blocks_and_keep_headings():
     assert P.parents("") == [(0, 0, "")]
 
 
-def test_locate_maps_back_to_the_given_text():
-    text = "some  text\nwith 𝒳 odd\tspaces and a tail"
-    a, b = P.locate("with 𝒳odd spaces", text)
-    assert text[a:b] == "with 𝒳 odd\tspaces" and P.locate("short", text) is None and P.locate("nowhere to be found", text) is None
+def test_quotes_map_back_to_the_given_text(spark):
+    text = "some  text\nwith 𝒳 odd\tspaces\u3000and a tail, with 𝒳odd spaces"
+    docs = spark.createDataFrame([(1, text), (2, "nothing here of the kind"), (3, None), (4, "")], "id bigint, text string")
+    quotes = spark.createDataFrame([(10, "with 𝒳odd spaces"), (11, "short"), (12, "nowhere to be found"), (13, "spaces and a tail"), (14, "with 𝒳 oddspaces"), (15, None)], "quote_id bigint, quote string")
+    for block in (100_000, 1):
+        got = {(r.id, r.quote_id): text[r.start : r.end] for r in P.bind_quotes(docs, quotes, block=block).collect()}
+        assert got == {(1, 10): "with 𝒳 odd\tspaces", (1, 14): "with 𝒳 odd\tspaces", (1, 13): "spaces\u3000and a tail"}
+    assert P.bind_quotes(docs, quotes.limit(0)).count() == 0
 
 
-def test_chunks_overlap():
-    text = "\n\n".join(["a" * 500, "b" * 500, "c" * 2000])
+def test_chunks_overlap_and_lose_nothing():
+    text = "\n\n".join(["a" * 500, "b" * 500, "c" * 5000, "d" * 1500, "e"])
     got = P.paragraph_chunks(text)
-    assert got[0] == "a" * 500 and got[1].startswith("a" * 100 + "\n...\n") and max(map(len, got)) == 1600
+    assert got[0] == "a" * 500 and got[1].startswith("a" * 100 + "\n...\n") and max(map(len, got)) <= 1705
+    bodies = [got[0], *(x.split("\n...\n", 1)[1] for x in got[1:])]
+    assert "".join("".join(bodies).split()) == "".join(text.split())
     assert P.paragraph_chunks("  ") == [] and P.paragraph_chunks("x") == ["x"]
+
+
+def plain_excerpt(text, question, most):
+    """The windows by plain loops: score, rank, take what fits."""
+    if len(text) <= most:
+        return text
+    parts = [(a, text[a : a + P.WINDOW].lower()) for a in range(0, len(text), P.WINDOW)]
+    rare = {t: math.log(1 + len(parts) / (1 + sum(t in x for _, x in parts))) for t in P.question_terms(question)}
+    spans = [(0, min(700, most // 5)), (len(text) - min(500, most // 5), len(text))]
+    used = 250 + sum(b - a for a, b in spans)
+    score = lambda x: sum(w for t, w in rare.items() if t in x)
+    for a, x in sorted(parts, key=lambda p: (-round(score(p[1]), 9), p[0])):
+        b = min(len(text), a + P.WINDOW)
+        if score(x) and used + b - a + 60 <= most and not any(a < d and b > c for c, d in spans):
+            spans.append((a, b))
+            used += b - a + 60
+    return "\n\n[...]\n\n".join(f"[{a + 1}-{b}]\n{text[a:b]}" for a, b in sorted(spans))
+
+
+def test_excerpts_equal_plain_loops(spark):
+    r = random.Random(7)
+    words = ["alpha", "beta", "gamma", "delta", "common", "common", "common", "é𝒳"]
+    texts = [" ".join(r.choices(words[4:], k=n)) + " " + " ".join(r.choices(words, k=n // 40)) + " " + " ".join(r.choices(words[3:], k=n)) for n in (10, 900, 2500, 6000)]
+    df = spark.createDataFrame([*enumerate(texts), (9, None), (10, "")], "id bigint, text string")
+    for most in (2000, 6000, 9000):
+        got = {x.id: x.excerpt for x in P.document_excerpt(df, "Alpha beta gamma delta", most).collect()}
+        assert all(got[k] == plain_excerpt(t, "Alpha beta gamma delta", most) and len(got[k]) <= most for k, t in enumerate(texts) if len(t) > 0)
+        assert got[9] is None and got[10] == ""
+    assert [len(x.excerpt) for x in P.document_excerpt(df.where("id = 2"), "alpha", 100).collect()] == [100]
+
+
+def test_reading_plans_pack_the_best_sections(spark):
+    sections = [f"# Part {k}\n\n" + ("graph " if k in (3, 7) else "other ") * 60 for k in range(10)]
+    text = "\n\n".join(sections)
+    df = spark.createDataFrame([(1, text), (2, "short"), (3, None), (4, "x" * 9000)], "id bigint, text string")
+    got = {r.id: r for r in P.reading_plan(df, "Graph parts", 1100, most=500).collect()}
+    assert [got[k].mode for k in (1, 2, 3, 4)] == ["sections", "full", "empty", "too_large"]
+    assert [text[s.start : s.end].count("graph") for s in got[1].spans] == [60, 60] and sum(s.end - s.start + 120 for s in got[1].spans) <= 1100
+    assert [(s.start, s.end) for s in got[2].spans] == [(0, 5)] and got[4].spans == []
