@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions.cleaning import merged_status
+from evidentia.sources.sinks import materialize
 
 
 def visible(papers: DataFrame, organisation: DataFrame) -> DataFrame:
@@ -37,17 +38,35 @@ def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
-#: (facet, value, pattern, pattern that must not match): an ordered rule list over titles and tags.
-Rule = tuple[str, str, str, str | None]
+@dataclass(frozen=True)
+class FacetRule:
+    """A value of a facet, given where pattern matches the title or a tag; exclude speaks against it in either, require_title and
+    exclude_title look at the title alone, and only_if_empty waits until no earlier rule has given the facet a value."""
 
+    facet: str
+    value: str
+    pattern: str
+    exclude: str | None = None
+    require_title: str | None = None
+    exclude_title: str | None = None
+    only_if_empty: bool = False
 
-def rule_facets(text: Column, rules: Sequence[Rule]) -> dict[str, Column]:
+
+def rule_facets(title: Column, tags: Column, rules: Sequence[FacetRule]) -> dict[str, Column]:
     """For each facet the values whose rule matches, each once, in the order of the rules."""
-    out: dict[str, list[Column]] = {}
-    for facet, value, pattern, unless in rules:
-        hit = text.rlike(pattern) if unless is None else text.rlike(pattern) & ~text.rlike(unless)
-        out.setdefault(facet, []).append(F.when(hit, F.array(F.lit(value))).otherwise(F.array().cast("array<string>")))
-    return {facet: F.array_distinct(reduce(F.concat, parts)) for facet, parts in out.items()}
+    name = F.lower(F.coalesce(title, F.lit("")))
+    whole = F.concat_ws(" ", name, F.lower(F.array_join(F.coalesce(tags, F.array().cast("array<string>")), " ")))
+    out: dict[str, Column] = {}
+    for r in rules:
+        known = out.get(r.facet, F.array().cast("array<string>"))
+        hit = whole.rlike(r.pattern)
+        for text, pattern, wanted in ((whole, r.exclude, False), (name, r.require_title, True), (name, r.exclude_title, False)):
+            if pattern is not None:
+                hit = hit & (text.rlike(pattern) if wanted else ~text.rlike(pattern))
+        if r.only_if_empty:
+            hit = hit & (F.size(known) == 0)
+        out[r.facet] = F.when(hit, F.array_union(known, F.array(F.lit(r.value)))).otherwise(known)
+    return out
 
 
 def facet_counts(rows: DataFrame, facet: str, vocabulary: Sequence[str], unspecified: str = "unspecified") -> DataFrame:
@@ -70,11 +89,31 @@ def index_outcomes(source: DataFrame, index: DataFrame) -> DataFrame:
     return both.select(outcome.alias("outcome")).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
+def _row_digest(*columns: str) -> Column:
+    text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns])
+    return F.conv(F.substring(F.sha2(text, 256), 1, 12), 16, 10).cast("bigint").cast("decimal(38,0)")
+
+
 def table_digest(rows: DataFrame, *columns: str) -> DataFrame:
     """(n, digest): a digest of the rows in any order, as a sum of row digests modulo 2**60, which needs no sort."""
-    text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns])
-    part = F.conv(F.substring(F.sha2(text, 256), 1, 12), 16, 10).cast("bigint")
-    return rows.agg(F.count("*").alias("n"), (F.sum(part.cast("decimal(38,0)")) % (1 << 60)).cast("bigint").alias("digest"))
+    return rows.agg(F.count("*").alias("n"), (F.sum(_row_digest(*columns)) % (1 << 60)).cast("bigint").alias("digest"))
+
+
+def group_digest(rows: DataFrame, key: str, *columns: str) -> DataFrame:
+    """(key, n, digest): the same for each group; sums combine before the shuffle, so a large group is no task's burden."""
+    return rows.groupBy(key).agg(F.count("*").alias("n"), (F.sum(_row_digest(*columns)) % (1 << 60)).cast("bigint").alias("digest"))
+
+
+def numbered(rows: DataFrame, key: str, order: str, name: str) -> DataFrame:
+    """rows with their number, from 1, within key in order. Ranges of (key, order) are numbered side by side and offset by the counts
+    of the ranges before, so a key with many rows is spread over tasks. Pairs (key, order) should be distinct."""
+    ranged = materialize(rows.repartitionByRange(key, order).withColumn("__range", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy(key, "__range").agg(F.count("*").alias("__n"))  # a row for each range and key in it
+    before = F.sum("__n").over(Window.partitionBy(key).orderBy("__range")) - F.col("__n")
+    offsets = counts.select(F.col(key).alias("__key"), F.col("__range").alias("__in"), before.alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__range", key).orderBy(order))
+    joined = ranged.withColumn("__own", own).join(offsets, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__range") == F.col("__in")))
+    return joined.withColumn(name, (F.col("__own") + F.col("__before")).cast("bigint")).drop("__range", "__own", "__before", "__key", "__in")
 
 
 def page(rows: DataFrame, order: Sequence[Column], number: int, size: int) -> DataFrame:

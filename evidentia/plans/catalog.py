@@ -29,20 +29,22 @@ def catalog_search(spark, d):
 
 
 RULES = (
-    ("style", "symbols", r"&&&|\$\$\$", None),
-    ("style", "table", r" \| ", "&&&"),
-    ("style", "shout", r"[A-Z]{3,}!!", None),
-    ("licence", "open", r"(?i)licensed under", "(?i)nc 4"),
-    ("licence", "restricted", r"(?i)cc by-nc", None),
+    C.FacetRule("style", "symbols", r"&&&|\$\$\$", exclude_title=r"^\$"),
+    C.FacetRule("style", "table", r" \| ", exclude="&&&"),
+    C.FacetRule("style", "plain", r"the|der|le|el", only_if_empty=True),
+    C.FacetRule("licence", "open", r"licensed under", exclude="nc 4"),
+    C.FacetRule("licence", "restricted", r"cc by-nc", require_title=r"^this"),
+    C.FacetRule("licence", "open", r"src1"),
 )
-FACETS_SQL = r"""facets AS (SELECT doc_id AS id,
-list_filter([CASE WHEN regexp_matches(text, '&&&|\$\$\$') THEN 'symbols' END, CASE WHEN regexp_matches(text, ' \| ') AND NOT regexp_matches(text, '&&&') THEN 'table' END, CASE WHEN regexp_matches(text, '[A-Z]{3,}!!') THEN 'shout' END], lambda x: x IS NOT NULL) AS style,
-list_filter([CASE WHEN regexp_matches(text, '(?i)licensed under') AND NOT regexp_matches(text, '(?i)nc 4') THEN 'open' END, CASE WHEN regexp_matches(text, '(?i)cc by-nc') THEN 'restricted' END], lambda x: x IS NOT NULL) AS licence FROM documents)"""
+FACETS_SQL = r"""facets AS (SELECT id, CASE WHEN len(s2) = 0 AND regexp_matches(x, 'the|der|le|el') THEN ['plain'] ELSE s2 END AS style, l2 AS licence FROM
+(SELECT *, list_filter([CASE WHEN regexp_matches(x, '&&&|\$\$\$') AND NOT regexp_matches(t, '^\$') THEN 'symbols' END, CASE WHEN regexp_matches(x, ' \| ') AND NOT regexp_matches(x, '&&&') THEN 'table' END], lambda v: v IS NOT NULL) AS s2,
+list_filter([CASE WHEN regexp_matches(x, 'licensed under') AND NOT regexp_matches(x, 'nc 4') THEN 'open' END, CASE WHEN regexp_matches(x, 'cc by-nc') AND regexp_matches(t, '^this') THEN 'restricted' END, CASE WHEN regexp_matches(x, 'src1') AND NOT (regexp_matches(x, 'licensed under') AND NOT regexp_matches(x, 'nc 4')) THEN 'open' END], lambda v: v IS NOT NULL) AS l2
+FROM (SELECT doc_id AS id, lower(text) AS t, concat(lower(text), ' ', lower(source)) AS x FROM documents)))"""
 
 
 def facets(spark, d):
     docs = table(spark, d, "documents")
-    return docs.select(F.col("doc_id").alias("id"), *[c.alias(n) for n, c in C.rule_facets(F.col("text"), RULES).items()])
+    return docs.select(F.col("doc_id").alias("id"), *[c.alias(n) for n, c in C.rule_facets(F.col("text"), F.array("source"), RULES).items()])
 
 
 @query("facet_rules", f"WITH {FACETS_SQL} SELECT id, array_to_string(style, ',') AS style, array_to_string(licence, ',') AS licence FROM facets")
@@ -55,9 +57,9 @@ def facet_filter(spark, d):
     return facets(spark, d).where(F.array_contains("style", "table") & (F.size("licence") == 0)).select("id")
 
 
-@query("facet_counts", f"WITH {FACETS_SQL}, v AS (SELECT unnest(['symbols', 'table', 'shout', 'poetry', 'unspecified']) AS value), e AS (SELECT unnest(CASE WHEN len(style) > 0 THEN style ELSE ['unspecified'] END) AS value FROM facets) SELECT v.value, count(e.value) AS n FROM v LEFT JOIN e ON e.value = v.value GROUP BY v.value")
+@query("facet_counts", f"WITH {FACETS_SQL}, v AS (SELECT unnest(['symbols', 'table', 'plain', 'poetry', 'unspecified']) AS value), e AS (SELECT unnest(CASE WHEN len(style) > 0 THEN style ELSE ['unspecified'] END) AS value FROM facets) SELECT v.value, count(e.value) AS n FROM v LEFT JOIN e ON e.value = v.value GROUP BY v.value")
 def facet_counts(spark, d):
-    return C.facet_counts(facets(spark, d), "style", ("symbols", "table", "shout", "poetry"))
+    return C.facet_counts(facets(spark, d), "style", ("symbols", "table", "plain", "poetry"))
 
 
 @query("facet_source", f"WITH {FACETS_SQL}, st AS (SELECT doc_id, CASE WHEN quality = 0 THEN ['noisy'] END AS stored FROM labels) SELECT f.id, array_to_string(coalesce(stored, style), ',') AS style, CASE WHEN stored IS NOT NULL THEN 'stored' ELSE 'rules' END AS source FROM facets f LEFT JOIN st ON st.doc_id = f.id")
@@ -240,10 +242,10 @@ def table_digest(spark, d):
     return C.table_digest(table(spark, d, "orders"), "o_orderkey", "o_orderstatus", "o_orderpriority")
 
 
-@query("group_fingerprint", "SELECT source, sha256(string_agg(concat(doc_id, ':', sha256(text)), ',' ORDER BY doc_id)) AS fingerprint FROM documents GROUP BY source")
+@query("group_fingerprint", "SELECT source, count(*) AS n, (sum(('0x' || substr(sha256(concat_ws(chr(31), doc_id, sha256(text))), 1, 12))::BIGINT::HUGEINT) % (1::HUGEINT << 60))::BIGINT AS digest FROM documents GROUP BY source")
 def group_fingerprint(spark, d):
-    rows = table(spark, d, "documents").select("source", "doc_id", F.concat_ws(":", "doc_id", F.sha2("text", 256)).alias("row"))
-    return rows.groupBy("source").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "row"))), lambda x: x["row"]), ","), 256).alias("fingerprint"))
+    rows = table(spark, d, "documents").select("source", "doc_id", F.sha2("text", 256).alias("sha"))
+    return C.group_digest(rows, "source", "doc_id", "sha")
 
 
 @query("cache_valid", "SELECT d.doc_id AS id, (l.quality = 1 AND contains(d.text, 'the')) IS TRUE AS valid FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id AND sha256(d.text) < 'c'")

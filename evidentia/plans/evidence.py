@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import cleaning as T
 from evidentia.functions import pages as W
+from evidentia.operators import catalog as C
+from evidentia.operators import review as R
 from evidentia.plans.base import query
 from evidentia.sources.tables import PAPERS_SQL, papers, table
 
@@ -25,10 +27,34 @@ def judged(spark, d):
 J = "(SELECT d.*, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"
 
 
-@query("bound_evidence", "SELECT doc_id, i, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1)::BIGINT AS i, sha256(text) AS sha FROM documents) WHERE length(line) >= 40 AND sha < '8'")
+#: What reviewers left, as tables: a profile, an audit and a claim for each labelled document, with a piece of evidence.
+REVIEW_SQL = """profiles AS (SELECT doc_id AS id, CASE WHEN toxic = 1 THEN 'unreadable' END AS error, doc_id % 4 <> 0 AS has_fulltext, CASE WHEN doc_id % 9 = 0 THEN 'survey_or_repository' ELSE 'paper' END AS source_type FROM labels),
+audits AS (SELECT doc_id AS id, CASE WHEN quality = 1 THEN 'audited' ELSE 'open' END AS status, CASE WHEN doc_id % 5 = 0 THEN 'deterministic_fallback' ELSE 'question_evidence' END AS mode FROM labels),
+led AS (SELECT d.doc_id AS id, d.lang, CASE WHEN source_type = 'survey_or_repository' THEN 'excluded:background' WHEN p.id IS NULL AND d.n_chars > 9000 THEN 'not_analyzed:limit' WHEN p.id IS NULL AND d.n_chars < 300 THEN 'not_analyzed:parse_failed' WHEN p.id IS NULL THEN 'not_analyzed:no_profile' WHEN error IS NOT NULL THEN 'extraction_failed:profile_error' WHEN a.status <> 'audited' THEN 'unassessed:no_audit' WHEN mode = 'deterministic_fallback' THEN 'unassessed:fallback' WHEN has_fulltext THEN 'fulltext:profile' ELSE 'abstract:profile' END AS why FROM documents d LEFT JOIN profiles p ON p.id = d.doc_id LEFT JOIN audits a ON a.id = d.doc_id)"""
+
+
+def profiles(spark, d):
+    kind = F.when(F.col("doc_id") % 9 == 0, "survey_or_repository").otherwise("paper")
+    return table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("toxic") == 1, "unreadable").alias("error"), (F.col("doc_id") % 4 != 0).alias("has_fulltext"), kind.alias("source_type"))
+
+
+def audits(spark, d):
+    return table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, "audited").otherwise("open").alias("status"), F.when(F.col("doc_id") % 5 == 0, "deterministic_fallback").otherwise("question_evidence").alias("mode"))
+
+
+def led(spark, d):
+    rows = docs(spark, d).select(F.col("doc_id").alias("id"), "lang", "n_chars", F.lit("paper").alias("source_type"))
+    states = R.ledger(rows.select("id", "source_type"), profiles(spark, d), audits(spark, d), rows.where("n_chars > 9000"), rows.where("n_chars < 300"))
+    return states.join(rows.select("id", "lang"), "id")
+
+
+@query("bound_evidence", "SELECT d.doc_id, i, line FROM (SELECT doc_id, sha256(text) AS sha, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1)::BIGINT AS i FROM documents) d JOIN labels l ON l.doc_id = d.doc_id AND quality = 1 WHERE length(line) >= 40")
 def bound_evidence(spark, d):
-    rows = docs(spark, d).where(F.sha2("text", 256) < "8").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line"))
-    return rows.where(F.length("line") >= 40).select("doc_id", (F.col("p") + 1).cast("bigint").alias("i"), "line")
+    """Lines whose verifier saw the text as it is now: the digest that came with the verdict is the document's own."""
+    seen = judged(spark, d).where("quality = 1").select("doc_id", F.sha2("text", 256).alias("verified_sha"))
+    rows = docs(spark, d).join(seen, "doc_id").where(F.sha2("text", 256) == F.col("verified_sha"))
+    lines = rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line")).where(F.length("line") >= 40)
+    return lines.select("doc_id", (F.col("p") + 1).cast("bigint").alias("i"), "line")
 
 
 @query("compact_evidence", r"SELECT doc_id, string_agg(concat(i, ':', left(regexp_replace(trim(line), '\s+', ' ', 'g'), 60)), '|' ORDER BY ok DESC, i) AS evidence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ok DESC, i) AS r FROM (SELECT doc_id, line, i, contains(line, 'the') AS ok FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents))) WHERE r <= 10 GROUP BY doc_id")
@@ -63,15 +89,29 @@ def group_descriptor(spark, d):
     return docs(spark, d).groupBy("source").agg(F.max("n_chars").alias("longest"), F.max_by(F.left("text", F.lit(80)), F.struct("n_chars", "doc_id")).alias("sample"))
 
 
-@query("verdict_downgrade", f"SELECT doc_id, CASE WHEN quality IS NULL THEN 'unassessed' WHEN quality = 1 AND n_chars < 1500 THEN 'insufficient' WHEN quality = 1 THEN 'supported' ELSE 'contradicted' END AS verdict FROM {J}")
+@query("verdict_downgrade", f"SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN CASE WHEN n_chars >= 1500 THEN 'covered' ELSE 'insufficient_evidence' END WHEN quality = 1 THEN CASE WHEN n_chars >= 1500 THEN 'contradicted' ELSE 'insufficient_evidence' END WHEN toxic = 1 THEN 'insufficient_evidence' ELSE 'not_relevant' END AS verdict, (doc_id * 10 + 1)::VARCHAR AS evidence, CASE WHEN n_chars >= 1500 THEN 'direct_fulltext' ELSE 'abstract_or_inference' END AS evidence_level FROM {J} WHERE quality IS NOT NULL")
 def verdict_downgrade(spark, d):
-    v = F.when(F.col("quality").isNull(), "unassessed").when((F.col("quality") == 1) & (F.col("n_chars") < 1500), "insufficient").when(F.col("quality") == 1, "supported").otherwise("contradicted")
-    return judged(spark, d).select("doc_id", v.alias("verdict"))
+    rows = judged(spark, d).where("quality IS NOT NULL")
+    said = F.when(F.col("quality") == 1, F.when(F.col("toxic") == 0, "covered").otherwise("contradicted")).otherwise(F.when(F.col("toxic") == 1, "refuted").otherwise("not_relevant"))
+    claims = rows.select(F.col("doc_id").alias("paper_id"), F.lit(1).alias("claim_id"), said.alias("verdict"), F.array(F.col("doc_id") * 10 + 2, F.col("doc_id") * 10 + 1, F.lit(7).cast("bigint")).alias("evidence_ids"))
+    evidence = docs(spark, d).select(F.col("doc_id").alias("paper_id"), (F.col("doc_id") * 10 + 1).alias("evidence_id"), F.when(F.col("n_chars") >= 1500, R.DIRECT).otherwise("abstract").alias("level"))
+    return R.grounded_verdicts(claims, evidence).select(F.col("paper_id").alias("doc_id"), "verdict", F.array_join(F.col("evidence_ids").cast("array<string>"), ",").alias("evidence"), "evidence_level")
 
 
-@query("fact_negation", r"SELECT doc_id, len(list_filter(string_split_regex(text, '[.!?]\s+'), lambda s: regexp_matches(s, '(?i)\bthe\b') AND NOT regexp_matches(s, '(?i)\bof\b'))) > 0 AS fact FROM documents")
+@query("fact_negation", r"SELECT doc_id, key FROM (SELECT doc_id, 'signal' AS key FROM documents WHERE n_chars >= 1500 AND len(list_filter(string_split_regex(text, '[.!?。！？;；\n]'), lambda s: regexp_matches(s, '(?i)\bthe\b') AND NOT regexp_matches(s, '(?i)\bof\b'))) > 0 UNION ALL SELECT doc_id, 'task' FROM documents WHERE n_chars >= 1500)")
 def fact_negation(spark, d):
-    return docs(spark, d).select("doc_id", F.exists(F.split("text", r"[.!?]\s+"), lambda s: s.rlike(r"(?i)\bthe\b") & ~s.rlike(r"(?i)\bof\b")).alias("fact"))
+    """Facts that a direct quote states without a negation; a fact without a pattern needs any direct quote."""
+    rows = docs(spark, d).select(F.col("doc_id").alias("paper_id"), F.col("doc_id").alias("evidence_id"), F.when(F.col("n_chars") >= 1500, R.DIRECT).otherwise("abstract").alias("level"), F.col("text").alias("quote"))
+    facts = docs(spark, d).select(F.col("doc_id").alias("paper_id"), F.explode(F.array(F.lit("signal"), F.lit("task"))).alias("key"), F.lit("stated").alias("value"), F.array("doc_id").alias("evidence_ids"))
+    return R.proven_facts(facts, rows, {"signal": r"\bthe\b"}, r"\bof\b").select(F.col("paper_id").alias("doc_id"), "key")
+
+
+@query("relation_unproven", r"SELECT doc_id FROM documents WHERE lang = 'en' AND (n_chars < 1500 OR NOT len(list_filter(string_split_regex(text, '[.!?。！？;；\n]'), lambda s: regexp_matches(s, '(?i)\bthe\b') AND NOT regexp_matches(s, '(?i)\bof\b'))) > 0)")
+def relation_unproven(spark, d):
+    """Papers that claim a relation without quotes for all the facts that it needs."""
+    facts = fact_negation(spark, d).withColumnRenamed("doc_id", "paper_id")
+    claimed = docs(spark, d).where("lang = 'en'").select(F.col("doc_id").alias("paper_id"), F.lit("distillation").alias("relation"))
+    return R.unproven(claimed, facts, "distillation", ["signal", "task"]).withColumnRenamed("paper_id", "doc_id")
 
 
 @query("coverage_cells", f"SELECT lang, source, count(*) AS records, count_if(coalesce(quality = 1, false))::BIGINT AS supported FROM {J} WHERE coalesce(toxic, 0) = 0 GROUP BY lang, source")
@@ -86,18 +126,39 @@ def candidate_buckets(spark, d):
     return judged(spark, d).join(first, "doc_id", "left_semi").select("doc_id", bucket.alias("bucket"))
 
 
-@query("reliability_gate", f"SELECT doc_id, CASE WHEN n_chars < 300 THEN 'no_material' WHEN quality IS NULL THEN 'unreviewed' WHEN quality = 0 THEN 'weak' ELSE 'ok' END AS gate, least(CASE WHEN n_chars < 300 THEN 0.55e0 ELSE 1e0 END, CASE WHEN quality IS NULL OR quality = 0 THEN 0.65e0 ELSE 1e0 END, n_chars / 10000e0) AS confidence FROM {J}")
+GATE_SQL = """c AS (SELECT d.doc_id AS gap_id, CASE d.lang WHEN 'en' THEN 'supported_candidate' WHEN 'de' THEN 'narrow_candidate' WHEN 'fr' THEN 'rejected' ELSE 'open' END AS kind, least(1e0, d.n_chars / 2000e0) AS number, d.source AS basis, l.doc_id AS work, l.doc_id % 4 <> 0 AS has_full, d.n_chars > 100 AS tested FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
+n AS (SELECT *, CASE WHEN kind = 'rejected' THEN 'contradicted' WHEN kind = 'open' THEN 'status' WHEN work IS NULL THEN 'no_nearest_work' WHEN coalesce(basis, '') = '' THEN 'no_basis' WHEN NOT tested THEN 'no_experiment' END AS why FROM c)"""
+
+
+def candidates(spark, d):
+    kind = F.when(F.col("lang") == "en", "supported_candidate").when(F.col("lang") == "de", "narrow_candidate").when(F.col("lang") == "fr", "Rejected").otherwise("open")
+    near = F.array(F.struct(F.col("doc_id").alias("paper_id"), F.lit("another task").alias("difference")))
+    part = F.when(F.col("n_chars") > 100, "x")
+    return docs(spark, d).select(F.col("doc_id").alias("gap_id"), F.concat(F.lit("gap "), "doc_id").alias("name"), kind.alias("status"), (F.col("n_chars") / 2000).cast("string").alias("confidence"), F.col("source").alias("novelty_basis"), near.alias("nearest"), *[part.alias(n) for n in ("baselines", "change", "metrics", "stops")])
+
+
+def whole_run(spark, d):
+    """Profiles, cells and audits of all labelled documents: a run that nothing blocks."""
+    read = table(spark, d, "labels").select(F.col("doc_id").alias("paper_id"), (F.col("doc_id") % 4 != 0).alias("has_fulltext"))
+    cells = read.select(F.lit("covered").alias("state"), "paper_id")
+    return read, R.run_state(read, cells, read.select("paper_id", F.lit("audited").alias("status"), F.lit("question_evidence").alias("mode")))
+
+
+@query("reliability_gate", f"WITH {GATE_SQL} SELECT gap_id, CASE WHEN why IS NULL THEN 'accepted' WHEN why = 'contradicted' THEN 'rejected' ELSE 'provisional' END AS outcome, CASE WHEN why IS NULL OR why = 'contradicted' THEN kind ELSE 'insufficient_evidence' END AS status, CASE WHEN why IS NULL THEN round(least(number, CASE WHEN has_full THEN 1 ELSE 0.55 END, CASE WHEN kind = 'narrow_candidate' THEN 0.65 ELSE 1 END), 2) END AS confidence, coalesce(why, CASE WHEN NOT coalesce(has_full, false) THEN 'no_fulltext' END, '') AS note FROM n")
 def reliability_gate(spark, d):
-    short, weak = F.col("n_chars") < 300, F.col("quality").isNull() | (F.col("quality") == 0)
-    gate = F.when(short, "no_material").when(F.col("quality").isNull(), "unreviewed").when(F.col("quality") == 0, "weak").otherwise("ok")
-    confidence = F.least(F.when(short, 0.55).otherwise(1.0), F.when(weak, 0.65).otherwise(1.0), F.col("n_chars") / 10000.0)
-    return judged(spark, d).select("doc_id", gate.alias("gate"), confidence.alias("confidence"))
+    read, run = whole_run(spark, d)
+    got = R.gated(candidates(spark, d), read, run)
+    return got.select("gap_id", "outcome", "status", F.when(F.col("outcome") == "accepted", F.col("confidence")).alias("confidence"), "note")
 
 
-@query("critic_route", f"SELECT doc_id, CASE WHEN quality IS NULL THEN 'provisional' WHEN toxic = 1 THEN 'reject' WHEN quality = 1 THEN 'accept' ELSE 'revise' END AS route FROM {J}")
+@query("critic_route", "SELECT d.doc_id AS gap_id, CASE WHEN quality IS NULL THEN 'provisional' WHEN toxic = 1 THEN 'rejected' WHEN quality = 1 THEN 'accepted' ELSE 'provisional' END AS outcome, CASE WHEN quality IS NULL THEN 'provisional' WHEN toxic = 1 THEN 'reject' WHEN quality = 1 THEN 'accept' ELSE 'revise' END AS verdict, round(CASE WHEN quality IS NULL THEN n_chars / 2000e0 ELSE round(least(n_chars / 2000e0, 0.8), 2) END, 6) AS confidence FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
 def critic_route(spark, d):
-    route = F.when(F.col("quality").isNull(), "provisional").when(F.col("toxic") == 1, "reject").when(F.col("quality") == 1, "accept").otherwise("revise")
-    return judged(spark, d).select("doc_id", route.alias("route"))
+    """Reviews name a candidate by its id or by its name."""
+    said = F.when(F.col("toxic") == 1, "Reject").when(F.col("quality") == 1, "accept").otherwise("revise")
+    by_id = F.col("doc_id") % 2 == 0
+    reviews = table(spark, d, "labels").where("quality IS NOT NULL").select(F.col("doc_id").alias("ord"), F.when(by_id, F.col("doc_id")).alias("gap_id"), F.when(~by_id, F.concat(F.lit("gap "), "doc_id")).alias("gap_name"), said.alias("verdict"), F.lit(0.8).alias("cap"), F.lit("narrower").alias("revised"))
+    gaps = candidates(spark, d).select("gap_id", "name", "status", F.round(F.col("confidence").try_cast("double"), 6).alias("confidence"), F.lit(False).alias("contradicted"))
+    return R.criticised(gaps, reviews).select("gap_id", "outcome", "verdict", "confidence")
 
 
 @query("alias_coalesce", "SELECT event_id, coalesce(json_extract_string(props, '$.key'), json_extract_string(props, '$.k'), 'none') AS k FROM events")
@@ -105,39 +166,30 @@ def alias_coalesce(spark, d):
     return table(spark, d, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.key"), F.get_json_object("props", "$.k"), F.lit("none")).alias("k"))
 
 
-@query("ledger", f"WITH {PAPERS_SQL} SELECT id, CASE WHEN status = 'off_topic' THEN 'excluded' WHEN parsed_path IS NOT NULL AND status = 'parsed' THEN 'audited' WHEN parsed_path IS NOT NULL THEN 'read' WHEN fulltext_path IS NOT NULL THEN 'available' WHEN url IS NULL THEN 'failed' ELSE 'pending' END AS state FROM papers")
+@query("ledger", f"WITH {REVIEW_SQL} SELECT id, split_part(why, ':', 1) AS status, split_part(why, ':', 2) AS reason FROM led")
 def ledger(spark, d):
-    return papers(spark, d).select("id", _state().alias("state"))
-
-
-def _state():
-    return F.when(F.col("status") == "off_topic", "excluded").when(F.col("parsed_path").isNotNull() & (F.col("status") == "parsed"), "audited").when(F.col("parsed_path").isNotNull(), "read").when(F.col("fulltext_path").isNotNull(), "available").when(F.col("url").isNull(), "failed").otherwise("pending")
-
-
-LEDGER_SQL = f"WITH {PAPERS_SQL}, s AS (SELECT *, CASE WHEN status = 'off_topic' THEN 'excluded' WHEN parsed_path IS NOT NULL AND status = 'parsed' THEN 'audited' WHEN parsed_path IS NOT NULL THEN 'read' WHEN fulltext_path IS NOT NULL THEN 'available' WHEN url IS NULL THEN 'failed' ELSE 'pending' END AS state FROM papers)"
+    return led(spark, d).select("id", "status", "reason")
 
 
-@query("execution_summary", f"{LEDGER_SQL} SELECT state, count(*) AS n FROM s GROUP BY state")
+@query("execution_summary", f"WITH {REVIEW_SQL} SELECT split_part(why, ':', 1) AS status, count(*) AS n FROM led GROUP BY 1")
 def execution_summary(spark, d):
-    return papers(spark, d).groupBy(_state().alias("state")).agg(F.count("*").alias("n"))
+    return led(spark, d).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("parse_outcomes", f"{LEDGER_SQL} SELECT category, count_if(state IN ('audited', 'read'))::BIGINT AS done, count_if(state = 'available')::BIGINT AS local, count_if(state IN ('failed', 'pending'))::BIGINT AS missing FROM s GROUP BY category")
+@query("parse_outcomes", f"WITH {REVIEW_SQL} SELECT lang, count_if(why LIKE '%:profile')::BIGINT AS done, count_if(why LIKE 'unassessed%')::BIGINT AS open, count_if(why LIKE 'not%' OR why LIKE 'extraction%')::BIGINT AS missing FROM led GROUP BY lang")
 def parse_outcomes(spark, d):
-    s = papers(spark, d).withColumn("state", _state())
-    return s.groupBy("category").agg(F.count_if(F.col("state").isin("audited", "read")).alias("done"), F.count_if(F.col("state") == "available").alias("local"), F.count_if(F.col("state").isin("failed", "pending")).alias("missing"))
+    s = F.col("status")
+    return led(spark, d).groupBy("lang").agg(F.count_if(s.isin("fulltext", "abstract")).alias("done"), F.count_if(s == "unassessed").alias("open"), F.count_if(s.isin("not_analyzed", "extraction_failed")).alias("missing"))
 
 
-@query("pending_reason", f"{LEDGER_SQL} SELECT id, CASE state WHEN 'available' THEN 'not read yet' WHEN 'failed' THEN 'no source' ELSE 'not fetched' END AS reason FROM s WHERE state IN ('available', 'failed', 'pending')")
+@query("pending_reason", f"WITH {REVIEW_SQL} SELECT * FROM (SELECT d.doc_id AS id, CASE WHEN p.id IS NULL THEN 'not_extracted' WHEN error IS NOT NULL THEN 'extraction_failed' WHEN status <> 'audited' OR mode = 'deterministic_fallback' THEN 'not_reviewed' END AS reason FROM documents d LEFT JOIN profiles p ON p.id = d.doc_id LEFT JOIN audits a ON a.id = d.doc_id) WHERE reason IS NOT NULL")
 def pending_reason(spark, d):
-    s = papers(spark, d).select("id", _state().alias("state")).where(F.col("state").isin("available", "failed", "pending"))
-    return s.select("id", F.when(F.col("state") == "available", "not read yet").when(F.col("state") == "failed", "no source").otherwise("not fetched").alias("reason"))
+    return R.pending_material(docs(spark, d).select(F.col("doc_id").alias("id")), profiles(spark, d), audits(spark, d))
 
 
 @query("source_numbering", "SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS number FROM documents WHERE contains(text, 'Licensed')")
 def source_numbering(spark, d):
-    rows = docs(spark, d).where(F.contains("text", F.lit("Licensed"))).select("source", "doc_id")
-    return rows.withColumn("number", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("bigint"))
+    return C.numbered(docs(spark, d).where(F.contains("text", F.lit("Licensed"))).select("source", "doc_id"), "source", "doc_id", "number")
 
 
 @query("grounded_answers", "SELECT event_id FROM (SELECT event_id, [event_id % 7, event_id % 11] AS ids FROM events) WHERE len(list_filter(ids, lambda x: x NOT IN (0, 1, 2, 3, 4, 5))) = 0")
@@ -146,10 +198,10 @@ def grounded_answers(spark, d):
     return table(spark, d, "events").where(F.size(F.array_except(ids, F.array(*[F.lit(k).cast("bigint") for k in range(6)]))) == 0).select("event_id")
 
 
-@query("evidence_semijoin", "SELECT doc_id FROM documents WHERE list_has_any([doc_id % 40, doc_id % 41 + 40], (SELECT list(item_id) FROM benchmark WHERE item_id % 3 = 0))")
+@query("evidence_semijoin", "SELECT doc_id FROM documents WHERE list_has_any([doc_id % 40, doc_id % 41 + 40], (SELECT list(item_id) FROM benchmark WHERE length(text) > 300))")
 def evidence_semijoin(spark, d):
     rows = docs(spark, d).select("doc_id", F.explode(F.array(F.col("doc_id") % 40, F.col("doc_id") % 41 + 40)).alias("item_id"))
-    return rows.join(table(spark, d, "benchmark").where("item_id % 3 = 0"), "item_id", "left_semi").select("doc_id").distinct()
+    return rows.join(table(spark, d, "benchmark").where("length(text) > 300"), "item_id", "left_semi").select("doc_id").distinct()
 
 
 @query("verdict_fallback_join", "WITH v AS (SELECT doc_id, quality FROM labels WHERE doc_id % 2 = 0), n AS (SELECT source, max(quality) AS quality FROM documents d JOIN labels l ON l.doc_id = d.doc_id GROUP BY source) SELECT d.doc_id, coalesce(v.quality, n.quality) AS verdict FROM documents d LEFT JOIN v ON v.doc_id = d.doc_id LEFT JOIN n ON n.source = d.source")
@@ -220,19 +272,20 @@ def profile_reuse(spark, d):
 
 @query("bucket_positions", "SELECT source, doc_id, r FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS r FROM documents) WHERE r < 8")
 def bucket_positions(spark, d):
-    r = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return docs(spark, d).select("source", "doc_id", r.cast("bigint").alias("r")).where("r < 8")
+    """The first of each bucket; the limit on the row number cuts groups before they are shuffled."""
+    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    return docs(spark, d).select("source", "doc_id", n.alias("n")).where("n <= 8").select("source", "doc_id", (F.col("n") - 1).cast("bigint").alias("r"))
 
 
-@query("pending_queries", "SELECT DISTINCT event_type, user_id FROM events e WHERE user_id < 20 AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = e.user_id)")
+@query("pending_queries", "SELECT event_type AS query, min(event_id) AS ord FROM events WHERE event_type NOT IN (SELECT DISTINCT event_type FROM events WHERE event_id < 2) GROUP BY 1 ORDER BY 2 LIMIT 6")
 def pending_queries(spark, d):
-    done = table(spark, d, "labels").select(F.col("doc_id").alias("user_id"))
-    return table(spark, d, "events").where("user_id < 20").select("event_type", "user_id").distinct().join(done, "user_id", "left_anti").select("event_type", "user_id")
+    rows = table(spark, d, "events").select(F.col("event_id").alias("ord"), F.col("event_type").alias("query"))
+    return R.next_queries(rows, rows.where("ord < 2").select("query").distinct()).select("query", "ord")
 
 
-@query("context_ids", "WITH a AS (SELECT item_id AS id, item_id AS ord FROM benchmark WHERE item_id % 9 = 4), b AS (SELECT doc_id, doc_id + 1000 FROM labels WHERE toxic = 1) SELECT id, min(ord)::BIGINT AS ord FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY id ORDER BY ord LIMIT 8")
+@query("context_ids", "WITH a AS (SELECT item_id AS id, item_id AS ord FROM benchmark), b AS (SELECT doc_id, doc_id + 1000 FROM labels WHERE toxic = 1) SELECT id, min(ord)::BIGINT AS ord FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY id ORDER BY ord LIMIT 8")
 def context_ids(spark, d):
-    a = table(spark, d, "benchmark").where("item_id % 9 = 4").select(F.col("item_id").alias("id"), F.col("item_id").alias("ord"))
+    a = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("item_id").alias("ord"))
     b = table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"), (F.col("doc_id") + 1000).alias("ord"))
     return a.unionByName(b).groupBy("id").agg(F.min("ord").alias("ord")).orderBy("ord").limit(8)
 

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from evidentia.operators import catalog as C
 from evidentia.operators import identity as I
+from evidentia.operators import review as R
 from evidentia.operators.catalog import first_by_ordinal
 from evidentia.plans.base import query
 from evidentia.sources.tables import PAPERS_SQL, papers, table
 
+GROUP_DIGEST_SQL = "g AS (SELECT source, count(*) AS n, (sum(('0x' || substr(sha256(concat_ws(chr(31), doc_id, sha256(text))), 1, 12))::BIGINT::HUGEINT) % (1::HUGEINT << 60))::BIGINT AS digest FROM documents GROUP BY source)"
 IDS_SQL = PAPERS_SQL + r""", ids AS (SELECT id, CASE WHEN regexp_matches(d, '^10\.\d+/.+$') THEN d END AS doi, CASE WHEN regexp_matches(a, '^(?:\d{4}\.\d{4,5}|[a-z][a-z.\-]*/\d{7})$') THEN a END AS arxiv, CASE WHEN s NOT IN ('', 'unknown') THEN s END AS semantic, pdf,
 CASE WHEN length(t) >= 16 AND p <> '' AND year IS NOT NULL THEN sha256(concat(t, chr(31), year::VARCHAR, chr(31), p)) END AS work FROM
 (SELECT id, year, rtrim(lower(regexp_replace(trim(doi), '(?i)^(?:https?://(?:dx\.)?doi\.org/|doi:\s*)', '')), ' .') AS d,
@@ -80,17 +83,17 @@ def author_set(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(names, ",").alias("names"))
 
 
-@query("incremental_pending", "WITH g AS (SELECT source, sha256(string_agg(sha256(text), ',' ORDER BY doc_id)) AS f, count(*) AS n FROM documents GROUP BY source) SELECT source, n, ceil(n / 12e0)::BIGINT AS calls FROM g WHERE f >= '8'")
+@query("incremental_pending", f"WITH {GROUP_DIGEST_SQL} SELECT source, n, ceil(n / 12e0)::BIGINT AS calls FROM g WHERE digest % 2 = 1")
 def incremental_pending(spark, d):
-    rows = table(spark, d, "documents").select("source", F.struct("doc_id", F.sha2("text", 256).alias("h")).alias("x"))
-    groups = rows.groupBy("source").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["h"]), ","), 256).alias("f"), F.count("*").alias("n"))
-    return groups.where("f >= '8'").select("source", "n", F.ceil(F.col("n") / 12.0).alias("calls"))
+    """Groups whose digest is no longer the one that the last run saw."""
+    groups = C.group_digest(table(spark, d, "documents").select("source", "doc_id", F.sha2("text", 256).alias("sha")), "source", "doc_id", "sha")
+    return groups.where("digest % 2 = 1").select("source", "n", F.ceil(F.col("n") / 12.0).alias("calls"))
 
 
-@query("hydrate_or_join", f"WITH {IDS_SQL}, w AS (SELECT doc_id AS wid, concat('10.1234/ab.', doc_id % 400) AS doi, CASE WHEN doc_id % 2 = 0 THEN doc_id END AS pid FROM documents WHERE doc_id < 300), m AS (SELECT wid, id, 0 AS r FROM w JOIN ids ON ids.id = w.pid UNION ALL SELECT wid, id, 1 FROM w JOIN ids ON ids.doi = w.doi) SELECT wid, id FROM (SELECT *, row_number() OVER (PARTITION BY wid ORDER BY r, id) AS k FROM m) WHERE k = 1")
+@query("hydrate_or_join", f"WITH {IDS_SQL}, w AS (SELECT doc_id AS wid, concat('10.1234/ab.', doc_id % 400) AS doi, CASE WHEN doc_id % 2 = 0 THEN doc_id END AS pid FROM documents), m AS (SELECT wid, id, 0 AS r FROM w JOIN ids ON ids.id = w.pid UNION ALL SELECT wid, id, 1 FROM w JOIN ids ON ids.doi = w.doi) SELECT wid, id FROM (SELECT *, row_number() OVER (PARTITION BY wid ORDER BY r, id) AS k FROM m) WHERE k = 1")
 def hydrate_or_join(spark, d):
     """A join on either of two keys as a union of equi-joins, the better key first; never a nested loop."""
-    wanted = table(spark, d, "documents").where("doc_id < 300").select(F.col("doc_id").alias("wid"), F.concat(F.lit("10.1234/ab."), F.col("doc_id") % 400).alias("doi"), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")).alias("pid"))
+    wanted = table(spark, d, "documents").select(F.col("doc_id").alias("wid"), F.concat(F.lit("10.1234/ab."), F.col("doc_id") % 400).alias("doi"), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")).alias("pid"))
     known = ids(spark, d).select("id", "doi")
     by_id = wanted.join(known.select("id", F.col("id").alias("pid")), "pid").select("wid", "id", F.lit(0).alias("r"))
     by_doi = wanted.join(known, "doi").select("wid", "id", F.lit(1).alias("r"))
@@ -116,9 +119,9 @@ def id_set_ops(spark, d):
     return both.unionByName(a.subtract(b).agg(F.lit("labels_only").alias("kind"), F.count("*").alias("n")))
 
 
-@query("related_merge", "WITH h AS (SELECT doc_id AS id, 0 AS src, doc_id AS ord FROM documents WHERE doc_id % 13 = 0 UNION ALL SELECT item_id AS id, 1, item_id FROM benchmark) SELECT id, min(src * 1000000 + ord)::BIGINT AS ord FROM h GROUP BY id ORDER BY ord LIMIT 60")
+@query("related_merge", "WITH h AS (SELECT doc_id AS id, 0 AS src, doc_id AS ord FROM documents UNION ALL SELECT item_id AS id, 1, item_id FROM benchmark) SELECT id, min(src * 1000000 + ord)::BIGINT AS ord FROM h GROUP BY id ORDER BY ord LIMIT 60")
 def related_merge(spark, d):
-    hits = table(spark, d, "documents").where("doc_id % 13 = 0").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("ord"))
+    hits = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("ord"))
     more = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), (F.col("item_id") + 1_000_000).alias("ord"))
     return first_by_ordinal(hits.unionByName(more), "id", "ord").orderBy("ord").limit(60)
 
@@ -164,13 +167,17 @@ def pending_reading(spark, d):
     return rows.orderBy(F.col("fulltext_path").isNull(), F.desc_nulls_last(F.col("status") == "parsed"), F.desc("year"), "id").limit(40).select("id")
 
 
-@query("retry_select", "SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND quality = 1) ORDER BY length(d.text) % 2, d.doc_id LIMIT 8")
+@query("retry_select", "WITH asked AS (SELECT doc_id AS id, doc_id AS ord, 0 AS late FROM labels WHERE quality = 0 UNION ALL SELECT doc_id, doc_id, 1 FROM labels WHERE toxic = 1), f AS (SELECT id, min(late * 1000000000000 + ord) AS place_at FROM asked WHERE id IN (SELECT doc_id FROM documents) AND id NOT IN (SELECT conv_id FROM conversations) GROUP BY id) SELECT id, row_number() OVER (ORDER BY unread, place_at) AS place FROM (SELECT f.*, CASE WHEN d.n_chars > 1000 THEN 0 ELSE 1 END AS unread FROM f JOIN documents d ON d.doc_id = f.id) ORDER BY unread, place_at LIMIT 8")
 def retry_select(spark, d):
-    read = table(spark, d, "labels").where("quality = 1")
-    return table(spark, d, "documents").join(read, "doc_id", "left_anti").orderBy(F.length("text") % 2, "doc_id").limit(8).select("doc_id")
+    rows, labels = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "n_chars"), table(spark, d, "labels").withColumnRenamed("doc_id", "id")
+    tried = table(spark, d, "conversations").select(F.col("conv_id").alias("id")).distinct()
+    got = R.retry_selection(rows, labels.where("quality = 0").select("id", F.col("id").alias("ord")), labels.where("toxic = 1").select("id"), rows.where("n_chars > 1000").select("id"), tried)
+    return got.select("id", F.col("place").cast("bigint").alias("place"))
 
 
 @query("batch_assign", "SELECT source, doc_id, ((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 12)::BIGINT AS batch FROM documents")
 def batch_assign(spark, d):
-    turn = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return table(spark, d, "documents").select("source", "doc_id", F.floor((turn - 1) / 12).alias("batch"))
+    rows = C.numbered(table(spark, d, "documents").select("source", "doc_id"), "source", "doc_id", "number")
+    return rows.select("source", "doc_id", F.floor((F.col("number") - 1) / 12).alias("batch"))
+
+

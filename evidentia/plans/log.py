@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from evidentia.operators import jobs as J
 from evidentia.operators import log as L
 from evidentia.operators.catalog import keep_latest, newest
 from evidentia.plans.base import query
@@ -125,6 +126,20 @@ def transition_check(spark, d):
     return L.illegal_moves(events(spark, d), "user_id", "event_id", state())
 
 
+@query("job_submit", "WITH r AS (SELECT event_id AS ord, user_id % 60 AS s, event_id % 900 AS k FROM events), j AS (SELECT user_id AS s, CASE WHEN bool_or(event_type = 'error') THEN 'failed' ELSE 'running' END AS status FROM events WHERE event_id < 40 GROUP BY user_id), f AS (SELECT k, min(ord) AS ord, arg_min(s, ord) AS s FROM r GROUP BY k), busy AS (SELECT s FROM j WHERE status = 'running'), room AS (SELECT greatest(60 - count(*), 0) AS n FROM busy), lead AS (SELECT s, min(ord) AS ord FROM f WHERE s NOT IN (SELECT s FROM busy) GROUP BY s), taken AS (SELECT ord FROM lead WHERE ord IN (SELECT ord FROM (SELECT ord, row_number() OVER (ORDER BY ord) AS p FROM lead), room WHERE p <= n)), fin AS (SELECT count(*) AS c, max(ord) AS last FROM taken) SELECT r.ord, CASE WHEN t.ord = r.ord THEN 'queued' WHEN t.ord IS NOT NULL THEN CASE WHEN r.s = f.s THEN 'existing' ELSE 'idempotency_conflict' END WHEN c >= n AND f.ord > coalesce(last, -1) THEN 'queue_full' ELSE 'conflict' END AS result FROM r JOIN f ON f.k = r.k LEFT JOIN taken t ON t.ord = f.ord, fin, room")
+def job_submit(spark, d):
+    rows = events(spark, d)
+    jobs = rows.where("event_id < 40").groupBy(F.col("user_id").alias("session_id")).agg(F.when(F.bool_or(F.col("event_type") == "error"), "failed").otherwise("running").alias("status"))
+    asked = rows.select(F.col("event_id").alias("ord"), (F.col("user_id") % 60).alias("session_id"), (F.col("event_id") % 900).alias("request_key"), F.lit("p").alias("payload"))
+    return J.submit(jobs.select("session_id", F.lit(-1).cast("bigint").alias("request_key"), F.lit("p").alias("payload"), "status").withColumn("request_key", -1 - F.col("session_id")), asked, cap=60)
+
+
+@query("job_claim", "SELECT event_id AS ord, user_id FROM events WHERE event_type = 'signup' ORDER BY event_id LIMIT 1")
+def job_claim(spark, d):
+    jobs = events(spark, d).select(F.col("event_id").alias("ord"), "user_id", F.when(F.col("event_type") == "signup", "queued").otherwise("succeeded").alias("status"))
+    return J.claim(jobs).select("ord", "user_id")
+
+
 @query("idle_gaps", "SELECT user_id, event_id, (epoch_us(ts) - epoch_us(before))::BIGINT AS gap_us FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE epoch_us(ts) - epoch_us(before) > 36000000000")
 def idle_gaps(spark, d):
     micros = F.unix_micros(F.col("ts").cast("timestamp"))

@@ -204,9 +204,10 @@ def chunk_text(spark, d):
 @query("chunk_overlap", """WITH l AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ord FROM documents)
 SELECT id, ord::BIGINT AS ord, right(lag(line) OVER (PARTITION BY id ORDER BY ord), 100) AS before FROM l""")
 def chunk_overlap(spark, d):
-    lines = documents(spark, d).select("id", F.posexplode(F.split("text", "\n")).alias("ord", "line"))
-    before = F.lag("line").over(Window.partitionBy("id").orderBy("ord"))
-    return lines.select("id", (F.col("ord") + 1).cast("bigint").alias("ord"), F.right(before, F.lit(100)).alias("before"))
+    """The end of the line before, by its place in the text's own array of lines."""
+    lines = documents(spark, d).select("id", F.split("text", "\n").alias("lines"))
+    each = lines.select("id", F.posexplode(F.transform("lines", lambda x, i: F.when(i > 0, F.right(F.get("lines", i - 1), F.lit(100))))).alias("ord", "before"))
+    return each.select("id", (F.col("ord") + 1).cast("bigint").alias("ord"), "before")
 
 
 @query("chunk_markdown")
