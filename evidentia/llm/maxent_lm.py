@@ -2,15 +2,16 @@
 
 log P(word | history) = log P(class | history) + log P(word | class, history). The SINGLES most frequent words are classes of
 their own, all others fall into SUFFIXES classes by a hash of their last bytes. The class softmax is linear in hashed features:
-the word before, the two classes before, and the class before the last word (a skip). Within a class the binary digits of a
-word's hash are chosen one after the other, each by a softmax over its two values; its features are the word before, the two words
-before and the word before the last (a skip), each paired with the digits so far, and its bias holds the training counts plus one,
-with one more word for all unknown ones. There are as many digits as the vocabulary needs for about one word a leaf, BITS at most;
-words that share a leaf go by their counts. Every training word is a context, and the numbers of rows follow the vocabulary, up to
+the word before, and the two classes before. Within a class the binary digits of a word's place are chosen one after the other, each
+by a softmax over its two values; its features are the word before, the two words before and the word before the last (a skip), each
+paired with the digits so far, and its bias holds the training counts plus one, with one more word for all unknown ones. Places lie
+in the order of counts, spaced by them, so that a word has about as many digits as its share of the class asks for, BITS at most;
+words that share a place go by their counts. Every training word is a context, and the numbers of rows follow the vocabulary, up to
 LARGEST, beyond which features share rows.
 
 Texts become blocks of whole documents in a dictionary of their own; corpus counts are joined to the dictionaries, not to the
-tokens. Trainers run gradient steps over their blocks and their weights are averaged, each row by its visits. Another partitioning
+tokens. Trainers run gradient steps over their blocks and their weights are averaged, each row by its visits or by the squares of its
+gradients. Another partitioning
 of the table makes other blocks and so slightly other scores.
 """
 
@@ -33,14 +34,14 @@ from evidentia.llm.labelled import held_out
 
 MODULUS, REMAINDER = 7, 2
 BLOCK_TOKENS = 2_000_000
-SINGLES, SUFFIXES = 32, 32
+SINGLES, SUFFIXES = 16, 16
 CLASSES = SINGLES + SUFFIXES
 #: Digits of a word within its class, at most.
 BITS = 17
-#: Class rows, at least; above, as many as 1 << (bits - 2), and 1 << (bits + 6) rows within classes, 4 * ROWS at least.
+#: Class rows, at least; above, as many as 1 << (bits - 2), and 1 << (bits + 5) rows within classes, 4 * ROWS at least.
 ROWS, LARGEST = 1 << 14, 1 << 22
 #: Tokens of a gradient step, at most, and steps that a block is divided into at least, where it has tokens enough.
-STEP, LEAST_STEPS = 1 << 14, 64
+STEP, LEAST_STEPS = 1 << 15, 64
 #: Tasks that train side by side, at most; each passes once over its share of all training tokens, SHARE blocks or more, so
 #: that what they send stays in proportion to the input.
 TRAINERS = 1024
@@ -160,13 +161,15 @@ class Lexicon:
         """Binary digits of a word's place in its class."""
         return min(BITS, max(1, (self.v // SUFFIXES).bit_length()))
 
-    def describe(self, b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Class, context number and leaf of each word of a block's dictionary; a class's unknown words have its first leaf."""
+    def describe(self, b: Block, places: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Class, context number and place of each word of a block's dictionary; a class's unknown words have its first hashed leaf.
+        Without places, the hashed leaves."""
         kind = SINGLES + b.suffix.astype(np.int32)
         for rank, (h, n) in enumerate(zip(self.hashes, self.counts)):
             kind[(b.vocab == h) & (b.totals == n)] = rank
         word = np.where(b.totals > 0, b.vocab.astype(np.int64) + SUFFIXES + 1, b.suffix)
-        return kind, word, leaves(b, self.bits)
+        hashed = leaves(b, self.bits)
+        return kind, word, hashed if places is None else places[hashed].astype(np.int64)
 
 
 def leaves(b: Block, bits: int) -> np.ndarray:
@@ -201,7 +204,7 @@ def lexicon(counted: DataFrame) -> Lexicon:
 
 
 def masses(counted: DataFrame, lex: Lexicon) -> np.ndarray:
-    """Training counts plus one of the words of each leaf, without the single ones; a class's first leaf also has its unknown."""
+    """Training counts plus one of the words of each hashed leaf, without the single ones; a class's first also has its unknown."""
 
     def sums(batches):
         for batch in batches:
@@ -219,6 +222,20 @@ def masses(counted: DataFrame, lex: Lexicon) -> np.ndarray:
     return mass
 
 
+def balanced(mass: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each hashed leaf, by class: the share of its class that more frequent leaves and half of its own have, in bits
+    binary digits; and the masses of the places."""
+    own = mass.reshape(SUFFIXES, -1).astype(np.float64)
+    order = np.argsort(-own, axis=1, kind="stable")
+    ranked = np.take_along_axis(own, order, axis=1)
+    upto = np.cumsum(ranked, axis=1)
+    place = np.minimum(((upto - ranked / 2) / upto[:, -1:] * (1 << bits)).astype(np.int64), (1 << bits) - 1)
+    table = np.empty_like(place)
+    np.put_along_axis(table, order, place, axis=1)
+    table += np.arange(SUFFIXES)[:, None] << bits
+    return table.ravel().astype(np.int32), np.bincount(table.ravel(), own.ravel(), len(mass)).astype(np.float32)
+
+
 def levels(mass: np.ndarray, bits: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """For each digit of a place: how far right it lies, the log odds of a 1 at each node, and whether both values have words."""
     out = []
@@ -259,10 +276,10 @@ def _runs(kind: np.ndarray, word: np.ndarray, leaf: np.ndarray, codes: np.ndarra
 
 
 def features(context: np.ndarray, n: int) -> list[np.ndarray]:
-    """A row number for each context and template: the word before, both classes before, the class before the last (a skip)."""
+    """A row number for each context and template: the word before, and both classes before."""
     rest, k2 = np.divmod(context, CLASSES + 1)
     r1, k1 = np.divmod(rest, CLASSES + 1)
-    return [_row(0, n, r1), _row(1, n, k2, k1), _row(2, n, k2)]
+    return [_row(0, n, r1), _row(1, n, k2, k1)]
 
 
 def inner_contexts(words: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
@@ -325,7 +342,7 @@ class Inner:
     """AdaGrad over the weights within classes, one a row."""
 
     def __init__(self, n: int):
-        self.weights, self.squares, self.visits, self.sums = (np.zeros(n, np.float32) for _ in range(4))
+        self.weights, self.squares, self.sums = (np.zeros(n, np.float32) for _ in range(3))
         self.seen = np.zeros(n, bool)
 
     def descend(self, steps: list, words: tuple[np.ndarray, np.ndarray], leaf: np.ndarray, rate: float) -> None:
@@ -334,7 +351,6 @@ class Inner:
             g = (1 / (1 + np.exp(-z)) - digit).astype(np.float32)
             for r in rows:
                 np.add.at(self.sums, r, g)
-                np.add.at(self.visits, r, np.float32(1))
                 self.seen[r] = True
         own = np.flatnonzero(self.seen)
         total = self.sums[own]
@@ -346,20 +362,21 @@ class Inner:
 
 def _many(lex: Lexicon) -> tuple[int, int]:
     """Class rows and rows within classes."""
-    return max(ROWS, 1 << max(0, lex.bits - 2)), min(LARGEST, max(4 * ROWS, 1 << (lex.bits + 6)))
+    return max(ROWS, 1 << max(0, lex.bits - 2)), min(LARGEST, max(4 * ROWS, 1 << (lex.bits + 5)))
 
 
-def learn(counted: DataFrame, lex: Lexicon, mass: np.ndarray, trainers: int = TRAINERS, rate: float = 0.2) -> tuple[np.ndarray, np.ndarray]:
+def learn(counted: DataFrame, lex: Lexicon, places: np.ndarray, mass: np.ndarray, trainers: int = TRAINERS, rate: float = 0.2) -> tuple[np.ndarray, np.ndarray]:
     """Weights of classes, rows x CLASSES, and within classes, one a row, from one pass over all training tokens."""
     bias, many = class_bias(lex), _many(lex)
-    shared = counted.sparkSession.sparkContext.broadcast(mass)
+    shared = counted.sparkSession.sparkContext.broadcast((places, mass))
 
     def learned(batches):
         outer, inner = tuple(np.zeros((many[0], k), np.float32) for k in (CLASSES, CLASSES)) + (np.zeros(many[0], np.float32),), Inner(many[1])
-        steps = levels(shared.value, lex.bits)
+        places, mass = shared.value
+        steps = levels(mass, lex.bits)
         for batch in batches:
             for b in _rows(batch):
-                described = lex.describe(b)
+                described = lex.describe(b, places)
                 codes = b.codes[np.repeat(~b.held, b.sizes)]
                 for _, of, context, words, leaf in _runs(*described, codes, b.sizes[~b.held], min(STEP, max(256, len(codes) // LEAST_STEPS))):
                     _descend(outer, bias, context, of, rate)
@@ -367,7 +384,7 @@ def learn(counted: DataFrame, lex: Lexicon, mass: np.ndarray, trainers: int = TR
                     if deep.any():
                         inner.descend(steps, (words[0][deep], words[1][deep]), leaf[deep], rate)
         if outer[2].any():
-            parts = [x.reshape(PIECES, -1) for x in (outer[0].astype("<f2"), outer[2], inner.weights.astype("<f2"), inner.visits)]
+            parts = [x.reshape(PIECES, -1) for x in (outer[0].astype("<f2"), outer[2], inner.weights.astype("<f2"), inner.squares)]
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(PIECES, dtype=np.int32)), *(pa.array([x.tobytes() for x in p], pa.binary()) for p in parts)], ["piece", "w0", "n0", "w1", "n1"])
 
     def averaged(batches):
@@ -396,7 +413,7 @@ def learn(counted: DataFrame, lex: Lexicon, mass: np.ndarray, trainers: int = TR
 
 def train(counted: DataFrame, lex: Lexicon, trainers: int = TRAINERS, rate: float = 0.2) -> np.ndarray:
     """Class weights alone."""
-    return learn(counted, lex, masses(counted, lex), trainers, rate)[0].astype(np.float32)
+    return learn(counted, lex, *balanced(masses(counted, lex), lex.bits), trainers, rate)[0].astype(np.float32)
 
 
 def inner_scores(steps: list, weights: np.ndarray, words: tuple[np.ndarray, np.ndarray], leaf: np.ndarray) -> np.ndarray:
@@ -416,16 +433,16 @@ def scores(docs: DataFrame, trainers: int = TRAINERS) -> DataFrame:
     spark = docs.sparkSession
     counted = counted_blocks(docs)
     lex = lexicon(counted)
-    mass = masses(counted, lex)
-    bias, shared = class_bias(lex), spark.sparkContext.broadcast((mass, *learn(counted, lex, mass, trainers)))
+    known = balanced(masses(counted, lex), lex.bits)
+    bias, shared = class_bias(lex), spark.sparkContext.broadcast((*known, *learn(counted, lex, *known, trainers)))
 
     def scored(batches):
-        mass, *weights = shared.value
+        places, mass, *weights = shared.value
         outer, inner = (w.astype(np.float32) for w in weights)
         steps = levels(mass, lex.bits)
         for batch in batches:
             for b in _rows(batch):
-                kind, word, leaf = lex.describe(b)
+                kind, word, leaf = lex.describe(b, places)
                 base = np.log10((b.totals + 1) / (lex.n + lex.v + 1))
                 rest = np.where(kind < SINGLES, 0.0, np.log10((b.totals + 1) / np.maximum(mass[leaf], 1)))
                 model = rest[b.codes]

@@ -45,7 +45,7 @@ def test_model_is_a_distribution(spark):
     counted = lm.counted_blocks(spark.createDataFrame([(i, t, "x", 1, 2) for i, t in rows], DOCS).repartition(2))
     lex = lm.lexicon(counted)
     w = lm.train(counted, lex)
-    z = lm._log_softmax(lm.class_bias(lex), w, [np.arange(50, dtype=np.int32)] * 4)
+    z = lm._log_softmax(lm.class_bias(lex), w, [np.arange(50, dtype=np.int32)] * 2)
     assert np.allclose(np.exp(z).sum(axis=1), 1, atol=1e-4)
     # within a class: all known words and one unknown
     assert lex.n == lex.class_n.sum() and lex.v == lex.class_v.sum()
@@ -68,7 +68,8 @@ def test_words_of_a_class_and_its_unknown_add_up_to_one(spark):
     counted = lm.counted_blocks(spark.createDataFrame([(i, t, "x", 1, 2) for i, t in corpus()], DOCS).repartition(2))
     lex = lm.lexicon(counted)
     mass = lm.masses(counted, lex)
-    weights = lm.learn(counted, lex, mass)[1].astype(np.float32)
+    places, mass = lm.balanced(mass, lex.bits)
+    weights = lm.learn(counted, lex, places, mass)[1].astype(np.float32)
     n = lex.class_n[lm.SINGLES :] + lex.class_v[lm.SINGLES :] + 1
     assert np.allclose(mass.reshape(lm.SUFFIXES, -1).sum(axis=1), n)
     leaf = np.arange(lm.SUFFIXES << lex.bits)
@@ -111,4 +112,18 @@ def test_inner_step_equals_plain_loops():
             squares[k] += sums[k] ** 2
             weights[k] -= 0.4 * sums[k] / math.sqrt(squares[k] + 1)
         inner.descend(steps, words, leaf, 0.4)
-    assert np.allclose(inner.weights, weights, atol=1e-3) and inner.visits.sum() > 0
+    assert np.allclose(inner.weights, weights, atol=1e-3) and inner.squares.sum() > 0
+
+
+def test_places_follow_the_counts():
+    r = np.random.default_rng(6)
+    mass = np.concatenate([r.zipf(1.5, 1 << 6).clip(0, 10**6) for _ in range(lm.SUFFIXES)]).astype(np.float32)
+    places, own = lm.balanced(mass, 6)
+    for k in range(lm.SUFFIXES):
+        m = mass[k << 6 : (k + 1) << 6]
+        order = sorted(range(len(m)), key=lambda i: (-m[i], i))
+        done = 0.0
+        for i in order:
+            assert places[(k << 6) + i] == (k << 6) + min(63, int((done + m[i] / 2) / m.sum() * 64))
+            done += float(m[i])
+        assert abs(own[k << 6 : (k + 1) << 6].sum() - m.sum()) < 1e-2 * m.sum()
