@@ -27,3 +27,53 @@ def date_scope(published: Column, year: Column, start: str, end: str) -> Column:
     low, high = bounds(published, year)
     first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
     return F.when((high < first) | (low > last), "outside_scope").when((low >= first) & (high <= last), "in_scope").otherwise("date_unconfirmed")
+
+
+#: What a dataset's and a metric's name may carry without naming another one, and the word for no protocol.
+TEST_SET = r"(?i)[（(]\s*(?:test|test(?:ing)?\s+set|测试集)\s*[）)]"
+PIXELS = r"(?i)\(\s*px\s*\)"
+NO_PROTOCOL = "unstated"
+
+
+def same_name(label: Column) -> Column:
+    """Letters and digits of a label, in lower case."""
+    return F.regexp_replace(F.lower(label), r"[^\p{L}\p{N}]+", "")
+
+
+def reported_best(rows: DataFrame, lower_is_better: bool = True, controlled: bool = False) -> DataFrame:
+    """The rows of (grp, dataset, metric, protocol, value, eligible, ...) that report the best value, with ties, and n_eligible of their
+    group.
+
+    Values compare within a group, dataset and metric, whatever the notes on test sets and pixels in their names; in a controlled
+    comparison also within a protocol. Units of time and percent stay apart. Rows that aren't eligible, or whose value is null or
+    no number, are no candidates.
+    """
+    protocol = F.coalesce(F.nullif(F.trim("protocol"), F.lit("")), F.lit(NO_PROTOCOL)) if controlled else F.lit("")
+    parts = {"by_dataset": same_name(F.regexp_replace("dataset", TEST_SET, "")), "by_metric": same_name(F.regexp_replace("metric", PIXELS, "")), "by_protocol": protocol}
+    open_ = rows.where(F.col("eligible") & F.col("value").isNotNull() & ~F.isnan("value")).withColumns(parts)
+    counts = open_.groupBy("grp").agg(F.count("*").alias("n_eligible"))
+    return leaderboard(open_, ["grp", *parts], "value", lower_is_better).join(counts, "grp").drop(*parts)
+
+
+def eligibility(rows: DataFrame, reviews: DataFrame, groups: list[str], all_time: list[str] = []) -> DataFrame:
+    """rows (row_id, source_bound, role, scope, grp, ...) with the group that a review names, reason and eligible.
+
+    The first reason against a row counts: unbound, not_proposed, its scope if that is neither in_scope nor unrestricted (unless its
+    group, before or after review, is one for all times), not_reviewed, out_of_scope, group_unverified, unknown_group. reviews has
+    (row_id, scope_match, group_verified, grp) with one row an id; a review names a listed group in any spelling.
+    """
+    known = F.array(*map(F.lit, groups))
+    listed = lambda g: F.coalesce(F.get(F.filter(known, lambda k: same_name(k) == same_name(g)), F.lit(0)), g)
+    found = rows.join(reviews.select("row_id", "scope_match", "group_verified", F.nullif("grp", F.lit("")).alias("named")), "row_id", "left").withColumn("grp", listed(F.coalesce("named", "grp")))
+    timely = F.col("scope").isin("in_scope", "unrestricted") | F.col("grp").isin(all_time)
+    reason = (
+        F.when(~F.coalesce("source_bound", F.lit(False)), "unbound")
+        .when(F.coalesce("role", F.lit("")) != "proposed", "not_proposed")
+        .when(~timely, F.col("scope"))
+        .when(F.col("scope_match").isNull(), "not_reviewed")
+        .when(~F.col("scope_match"), "out_of_scope")
+        .when(~F.coalesce("group_verified", F.lit(False)), "group_unverified")
+        .when(~F.coalesce(F.array_contains(known, F.col("grp")), F.lit(False)), "unknown_group")
+        .otherwise("")
+    )
+    return found.withColumn("reason", reason).withColumn("eligible", F.col("reason") == "").drop("scope_match", "group_verified", "named")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import re
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +34,13 @@ def term_count(text: Column, term: str) -> Column:
     return ((F.length(low) - F.length(F.replace(low, F.lit(term.lower())))) / len(term)).cast("double")
 
 
+def bm25_score(terms: int) -> Column:
+    """The score of a row with n, avgdl, dl, and for each of the terms its counts in the row (t0, ...) and in how many rows (d0, ...)."""
+    idf = lambda k: F.greatest(F.log((F.col("n") - F.col(f"d{k}") + 0.5) / (F.col(f"d{k}") + 0.5)), F.lit(IDF_FLOOR))
+    part = lambda k: idf(k) * F.col(f"t{k}") * (K1 + 1) / (F.col(f"t{k}") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return reduce(lambda a, b: a + b, [part(k) for k in range(terms)], F.lit(0.0))
+
+
 def bm25(docs: DataFrame, terms: list[str], length: Column | None = None) -> DataFrame:
     """(id, score) of the rows of (id, text) that hold a term of three characters or more; statistics are over all of docs.
 
@@ -39,21 +50,34 @@ def bm25(docs: DataFrame, terms: list[str], length: Column | None = None) -> Dat
     size = F.greatest(F.length("text") - 2, F.lit(0)).cast("double") if length is None else length
     counted = docs.select("id", size.alias("dl"), *[term_count(F.col("text"), t).alias(f"t{k}") for k, t in enumerate(terms)])
     stats = counted.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"t{k}") > 0).cast("double")).alias(f"d{k}") for k in range(len(terms))])
-    idf = lambda k: F.greatest(F.log((F.col("n") - F.col(f"d{k}") + 0.5) / (F.col(f"d{k}") + 0.5)), F.lit(IDF_FLOOR))
-    part = lambda k: idf(k) * F.col(f"t{k}") * (K1 + 1) / (F.col(f"t{k}") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    score = reduce(lambda a, b: a + b, [part(k) for k in range(len(terms))], F.lit(0.0))
     hit = reduce(lambda a, b: a | b, [F.col(f"t{k}") > 0 for k in range(len(terms))], F.lit(False))
-    return counted.where(hit).crossJoin(F.broadcast(stats)).select("id", score.alias("score"))
+    return counted.where(hit).crossJoin(F.broadcast(stats)).select("id", bm25_score(len(terms)).alias("score"))
 
 
 def cosine_distance(vector: Column, probe: list[float]) -> Column:
     """1 - cosine in double precision, null for a zero vector."""
-    x = F.transform(vector, lambda v: v.cast("double"))
-    y = F.array(*[F.lit(float(v)) for v in probe])
+    x = vector.cast("array<double>")
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v)
-    dot = total(F.zip_with(x, y, lambda a, b: a * b))
-    norms = F.sqrt(total(F.transform(x, lambda v: v * v))) * F.sqrt(total(F.transform(y, lambda v: v * v)))
-    return 1 - F.try_divide(dot, norms)
+    dot = total(F.zip_with(x, F.array(*map(F.lit, map(float, probe))), lambda a, b: a * b))
+    norm = math.sqrt(math.fsum(float(v) ** 2 for v in probe))
+    return 1 - F.try_divide(dot, F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v)) * norm)
+
+
+def embedded(docs: DataFrame, encode: Callable[[list[str]], np.ndarray], batch: int = 256) -> DataFrame:
+    """(id, vector) of unit length for (id, text), by any function from texts to rows of numbers, called on batch texts at a time.
+
+    A null text counts as empty; a zero row stays zero. The function must work on executors.
+    """
+
+    def run(batches):
+        for given in batches:
+            for at in range(0, given.num_rows, batch):
+                part = given.slice(at, batch)
+                rows = np.asarray(encode([t or "" for t in part.column(1).to_pylist()]), np.float32).reshape(part.num_rows, -1)
+                rows = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(rows), pa.list_(pa.float32()))], ["id", "vector"])
+
+    return docs.select("id", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, vector array<float>")
 
 
 def top(ranked: DataFrame, order: list[Column], k: int) -> DataFrame:

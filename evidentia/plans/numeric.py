@@ -91,12 +91,26 @@ def leading_name_join(spark, d):
     return rows.select("p_partkey", "k").join(rows.where("p_size = 7").select(F.col("p_partkey").alias("match"), "k"), "k").drop("k")
 
 
-@query("eligibility", f"WITH {OBS_SQL} SELECT l_orderkey, l_linenumber, reason, reason = '' AND l_orderkey % 3 = 0 AS ok FROM (SELECT *, CASE WHEN value > 45 THEN 'unbound' WHEN grp = 'R' THEN 'baseline' WHEN NOT eligible THEN 'date' ELSE '' END AS reason FROM obs)")
+ELIGIBLE_SQL = OBS_SQL + """, e AS (SELECT l_orderkey, l_linenumber, model, dataset, value, CASE WHEN l_orderkey % 3 = 0 THEN 'A' ELSE obs.grp END AS grp, CASE WHEN value > 45 THEN 'unbound' WHEN obs.grp = 'R' THEN 'not_proposed' WHEN NOT eligible AND l_orderkey % 3 <> 0 THEN 'outside_scope' WHEN l_orderkey % 3 = 2 THEN 'not_reviewed' WHEN value < 3 THEN 'out_of_scope' WHEN l_orderkey % 3 = 1 AND obs.grp <> 'A' THEN 'unknown_group' ELSE '' END AS reason FROM obs)"""
+
+
+def eligible(spark, d):
+    """Rows with a bound value, a role and a scope, and reviews that name a group in another spelling."""
+    rows = observations(spark, d)
+    k = F.col("l_orderkey") % 3
+    shaped = rows.select(F.concat_ws(":", "l_orderkey", "l_linenumber", "value").alias("row_id"), "l_orderkey", "l_linenumber", "model", "dataset", F.lit("Loss (px)").alias("metric"), F.lit("").alias("protocol"), "grp", "value", (F.col("value") <= 45).alias("source_bound"), F.when(F.col("grp") == "R", "baseline").otherwise("proposed").alias("role"), F.when(F.col("eligible") | (k == 0), "in_scope").otherwise("outside_scope").alias("scope"))
+    reviews = shaped.select("row_id", F.when(k != 2, F.col("value") >= 3).alias("scope_match"), F.lit(True).alias("group_verified"), F.when(k == 0, " a ").alias("grp")).dropDuplicates(["row_id"])
+    return N.eligibility(shaped, reviews, ["A"])
+
+
+@query("eligibility", f"WITH {ELIGIBLE_SQL} SELECT l_orderkey, l_linenumber, grp, reason, reason = '' AS ok FROM e")
 def eligibility(spark, d):
-    """The first reason that speaks against a row, then the reviewer's verdict."""
-    reason = F.when(F.col("value") > 45, "unbound").when(F.col("grp") == "R", "baseline").when(~F.col("eligible"), "date").otherwise("")
-    rows = observations(spark, d).select("l_orderkey", "l_linenumber", reason.alias("reason"))
-    return rows.withColumn("ok", (F.col("reason") == "") & (F.col("l_orderkey") % 3 == 0))
+    return eligible(spark, d).select("l_orderkey", "l_linenumber", "grp", "reason", F.col("eligible").alias("ok"))
+
+
+@query("reported_best", f"WITH {ELIGIBLE_SQL}, o AS (SELECT *, regexp_replace(lower(dataset), '[^a-z0-9]+', '', 'g') AS s FROM e WHERE reason = '') SELECT l_orderkey, l_linenumber, value, (SELECT count(*) FROM o q WHERE q.grp = p.grp) AS n_eligible FROM (SELECT *, min(value) OVER (PARTITION BY grp, s) AS best FROM o) p WHERE value = best")
+def reported_best(spark, d):
+    return N.reported_best(eligible(spark, d)).select("l_orderkey", "l_linenumber", "value", "n_eligible")
 
 
 def quotes(spark, d):

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import uuid
+
 from pyspark.sql import functions as F
 
+from evidentia.operators import index as X
 from evidentia.operators import passages as P
 from evidentia.operators import retrieval as R
 from evidentia.plans.base import query
+from evidentia.sources.sinks import work_dir
 from evidentia.sources.tables import table
 
 QUESTION = "the thation anhe_or ouestion"
@@ -43,6 +46,14 @@ def bm25_topk(spark, d):
     return R.top(R.bm25(documents(spark, d), TERMS), [F.desc("score"), F.asc("id")], 40).select("id", F.round("score", 6).alias("score"), "rank")
 
 
+@query("index_search", f"WITH {BM25_SQL} SELECT id, round(score, 6) AS score, rank FROM lex WHERE rank <= 40")
+def index_search(spark, d):
+    """The same over a stored index, which is built here first; later searches would read it as it is."""
+    folder = f"{work_dir(spark)}/index-{uuid.uuid4().hex}"
+    X.build(documents(spark, d), folder)
+    return R.top(X.search(spark, folder, TERMS), [F.desc("score"), F.asc("id")], 40).select("id", F.round("score", 6).alias("score"), "rank")
+
+
 @query("lexical_topk", f"WITH {BM25_SQL}, sc AS (SELECT * FROM bm WHERE id IN (SELECT doc_id FROM labels WHERE quality = 1)) SELECT id, round(score, 6) AS score FROM sc ORDER BY sc.score DESC, id LIMIT 40")
 def lexical_topk(spark, d):
     scope = table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))
