@@ -24,7 +24,7 @@ from evidentia.llm.common import WORD, materialize, pick, table
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST = 3
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 100_000
 CELLS = 10_000_000
 
 
@@ -189,7 +189,8 @@ def shards(docs: DataFrame, n: int | None = None, seed: int = 17, **options) ->
     rows = _drawn(docs, plan, seed)
     taken = rows.select("row", "size", "h", F.explode("draws").alias("draw")).where("2 * draw.words >= size")
     placed = taken.select("row", F.col("draw.shard").alias("shard"), F.xxhash64(F.lit(seed), F.col("draw.pass"), F.col("draw.shard"), F.col("h")).alias("turn"))
-    return placed.repartition(len(plan.quotas), "shard").sortWithinPartitions("shard", "turn").select("row.*")
+    # a task holds several shards, one after the other; Spark sets the number of tasks by size
+    return placed.repartition("shard").sortWithinPartitions("shard", "turn").select("row.*")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
