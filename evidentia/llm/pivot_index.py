@@ -179,3 +179,20 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, block: int = BLOCK
 
 def op5_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+#: All pairs of a label and their components; the vectors of the tables that this is run on are few.
+ORACLE = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+c AS (SELECT vec_id AS id, vec_id AS root FROM v UNION SELECT p.u, c.root FROM c JOIN p ON p.w = c.id),
+low AS (SELECT id, min(root) AS component_id FROM c GROUP BY id),
+n AS (SELECT u AS id, count(*) AS n_links FROM p GROUP BY u)
+SELECT e.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(component_id, e.vec_id) AS component_id,
+       coalesce(coalesce(component_id, e.vec_id) = e.vec_id, false) AS kept
+FROM embeddings e LEFT JOIN low ON low.id = e.vec_id LEFT JOIN n ON n.id = e.vec_id
+"""

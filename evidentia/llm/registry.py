@@ -18,4 +18,5 @@ QUERIES = {
 }
 ORACLES = {
     "op2_quality_rules": quality_rules.ORACLE,
+    "op5_pivot_index": pivot_index.ORACLE,
 }
