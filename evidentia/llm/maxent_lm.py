@@ -282,23 +282,24 @@ def features(context: np.ndarray, n: int) -> list[np.ndarray]:
     return [_row(0, n, r1), _row(1, n, k2, k1)]
 
 
-def inner_contexts(words: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
-    """A number for each token and template within a class: the word before, both before, the one before the last (a skip)."""
-    return [_row(3, 0, words[0]), _row(4, 0, *words), _row(5, 0, words[1])]
+def inner_contexts(words: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A number for each template (rows) within a class and token: the word before, both before, the one before the last (a skip)."""
+    return np.stack([(x >> np.uint64(32)).astype(np.uint32) for x in (_row(3, 0, words[0]), _row(4, 0, *words), _row(5, 0, words[1]))])
 
 
-def inner_choices(steps: list, contexts: list[np.ndarray], leaf: np.ndarray, weights: np.ndarray):
+def inner_choices(steps: list, contexts: np.ndarray, leaf: np.ndarray, weights: np.ndarray):
     """(tokens, digit, log odds of a 1, row of each template) for each digit that leaves a choice."""
-    size = len(weights)
+    mask, leaf = np.uint32(len(weights) - 1), leaf.astype(np.uint32)
     for shift, odds, both in steps:
-        parent = leaf >> (shift + 1)
+        parent = leaf >> np.uint32(shift + 1)
         at = np.flatnonzero(both[parent])
         if not len(at):
             continue
         parent = parent[at]
-        node = ((parent + 1) << 6 | shift).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        rows = [(((c[at] ^ node) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33) & np.uint64(size - 1)).astype(np.int32) for c in contexts]
-        yield at, (leaf[at] >> shift) & 1, odds[parent] + weights[rows[0]] + weights[rows[1]] + weights[rows[2]], rows
+        node = (parent << np.uint32(5) | np.uint32(shift)) * np.uint32(0x9E3779B1)
+        mixed = (contexts[:, at] ^ node) * np.uint32(0x85EBCA77)
+        rows = (mixed ^ mixed >> np.uint32(15)) & mask
+        yield at, (leaf[at] >> np.uint32(shift) & np.uint32(1)).astype(np.float32), odds[parent] + weights[rows].sum(axis=0), rows
 
 
 def _log_softmax(bias: np.ndarray, weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
@@ -348,10 +349,9 @@ class Inner:
     def descend(self, steps: list, words: tuple[np.ndarray, np.ndarray], leaf: np.ndarray, rate: float) -> None:
         """One step on the log loss of all digits of a run of tokens."""
         for _, digit, z, rows in inner_choices(steps, inner_contexts(words), leaf, self.weights):
-            g = (1 / (1 + np.exp(-z)) - digit).astype(np.float32)
-            for r in rows:
-                np.add.at(self.sums, r, g)
-                self.seen[r] = True
+            g = 1 / (1 + np.exp(-z)) - digit
+            np.add.at(self.sums, rows.ravel(), np.tile(g, len(rows)))
+            self.seen[rows] = True
         own = np.flatnonzero(self.seen)
         total = self.sums[own]
         squares = self.squares[own] + total * total
@@ -420,7 +420,8 @@ def inner_scores(steps: list, weights: np.ndarray, words: tuple[np.ndarray, np.n
     """Natural log P(leaf | class, history)."""
     out = np.zeros(len(leaf))
     for at, digit, z, _ in inner_choices(steps, inner_contexts(words), leaf, weights):
-        out[at] -= np.logaddexp(0, np.where(digit == 1, -z, z))
+        wrong = np.where(digit == 1, -z, z)
+        out[at] -= np.maximum(wrong, 0) + np.log(1 + np.exp(-np.abs(wrong)))
     return out
 
 

@@ -102,8 +102,9 @@ def test_inner_step_equals_plain_loops():
                 low, high = (mass[((node << 1 | d) << shift) : ((node << 1 | d) + 1 << shift)].sum() for d in (0, 1))
                 if not low or not high:
                     continue
-                key = (((node + 1) << 6 | shift) * 0xD6E8FEB86659FD93) % 2**64
-                rows = [((((int(c[t]) ^ key) * 0x9E3779B97F4A7C15) % 2**64) >> 33) & (n - 1) for c in contexts]
+                key = ((node << 5 | shift) * 0x9E3779B1) % 2**32
+                mixed = [((int(c[t]) ^ key) * 0x85EBCA77) % 2**32 for c in contexts]
+                rows = [(x ^ x >> 15) & (n - 1) for x in mixed]
                 z = math.log(high) - math.log(low) + sum(weights[k] for k in rows)
                 for k in rows:
                     sums[k] += 1 / (1 + math.exp(-z)) - (int(leaf[t]) >> shift & 1)
