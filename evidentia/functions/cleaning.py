@@ -115,3 +115,11 @@ def coerce_list(raw: Column) -> Column:
     """Items of a free list: cut at line ends, semicolons and commas of either width; null words are none."""
     items = F.transform(F.split(F.coalesce(raw, F.lit("")), r"[\n;,；，]"), lambda x: F.trim(x))
     return F.filter(items, lambda x: ~F.lower(x).isin("", "none", "null", "n/a", "unknown"))
+
+
+def uuid5(namespace: str, name: Column) -> Column:
+    """The name-based identifier (version 5) of a name within a namespace, itself an identifier."""
+    digest = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), name.cast("binary")))
+    part = lambda a, n: F.substring(digest, a, n)
+    variant = F.substring(F.lit("89ab"), (F.conv(part(17, 1), 16, 10).cast("int") % 4) + 1, 1)
+    return F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("5"), part(14, 3)), F.concat(variant, part(18, 3)), part(21, 12))

@@ -35,3 +35,11 @@ def pdf_url(url: Column) -> Column:
     """Where the full text may lie: an abstract page's own file, or a link to a file."""
     linked = F.regexp_replace(url, r"^(https?://arxiv\.org)/abs/(.+)$", "$1/pdf/$2.pdf")
     return F.when(url.rlike(r"^https?://arxiv\.org/abs/"), linked).when(F.lower(url).rlike(r"\.pdf(?:[?#].*)?$"), url)
+
+
+def quoted(text: Column, safe: str = "/") -> Column:
+    """Percent-encoded UTF-8, but for letters, digits, _.-~ and the characters of safe."""
+    out = F.replace(F.replace(F.replace(F.url_encode(text), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    for c in safe:
+        out = F.replace(out, F.lit("".join(f"%{b:02X}" for b in c.encode())), F.lit(c))
+    return out
