@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidentia.operators.catalog import numbered
+
 #: Legal moves of the job state machine, as fixed values.
 TRANSITIONS = {
     "queued": ("running", "cancelled"),
@@ -44,3 +49,17 @@ def illegal_moves(states: DataFrame, key: str, order: str, state: Column) -> Dat
     for a, to in TRANSITIONS.items():
         legal = legal | ((F.col("before") == a) & F.col("state").isin(*to))
     return states.select(key, order, before.alias("before"), state.alias("state")).where(F.col("before").isNotNull() & (F.col("before") != F.col("state")) & ~legal)
+
+
+def quantiles(rows: DataFrame, key: str, value: str, shares: Mapping[str, float]) -> DataFrame:
+    """(key, a column for each share): exact quantiles of the values of each key, interpolated between neighbours.
+
+    Values are numbered by ranges, so that a key with many of them is no task's burden; nulls don't count.
+    """
+    ranked = numbered(rows.where(F.col(value).isNotNull()).select(key, value), key, value, "place")
+    sizes = ranked.groupBy(F.col(key).alias("of")).agg(F.max("place").alias("last"))
+    at = {n: p * (F.col("last") - 1) + 1 for n, p in shares.items()}
+    near = ranked.join(sizes, F.col(key).eqNullSafe(F.col("of"))).where(reduce(Column.__or__, [F.abs(F.col("place") - x) < 1 for x in at.values()]))
+    # the two neighbours of a position, each by its nearness; they sum up to 1
+    part = lambda x: F.sum(F.when(F.abs(F.col("place") - x) < 1, F.col(value) * (1 - F.abs(F.col("place") - x))))
+    return near.groupBy(key).agg(*[part(x).alias(n) for n, x in at.items()])
