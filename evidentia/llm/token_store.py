@@ -12,10 +12,11 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections import defaultdict
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -105,11 +106,12 @@ class _WordEncoder:
             words += text.encode().split()
             words.append(None)
             counts[k + 1] = len(words)
-        codes, distinct = pd.factorize(np.array(words, object))
-        encoded = [*self.words(list(distinct)), np.array([END], self.dtype).tobytes()]
+        index = defaultdict(count().__next__)
+        index[None]  # 0: the end of a text
+        codes = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+        encoded = [np.array([END], self.dtype).tobytes(), *self.words(list(index)[1:])]
         lengths = np.array([len(x) // self.dtype.itemsize for x in encoded], np.int64)
         flat, starts = np.frombuffer(b"".join(encoded), self.dtype), np.cumsum(lengths) - lengths
-        codes[codes < 0] = len(encoded) - 1
         each = lengths[codes]
         upto = np.cumsum(each)
         ids = flat[np.repeat(starts[codes] - upto + each, each) + np.arange(upto[-1] if len(upto) else 0)]
