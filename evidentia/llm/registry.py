@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evidentia.llm import byte_bpe, maxent_lm, mixing, pairwise_quality, pivot_index, pu_toxicity, quality_rules, simhash, substring_dedup, token_store
+from evidentia.llm import byte_bpe, maxent_lm, mixing, pairwise_quality, pivot_index, pu_toxicity, quality_rules, simhash, substring_dedup, token_store, turn_repair
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,8 +15,10 @@ QUERIES = {
     "op8_pairwise_quality": pairwise_quality.op8_pairwise_quality,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_pu_toxicity": pu_toxicity.op10_pu_toxicity,
+    "op11_turn_repair": turn_repair.op11_turn_repair,
 }
 ORACLES = {
     "op2_quality_rules": quality_rules.ORACLE,
     "op5_pivot_index": pivot_index.ORACLE,
+    "op11_turn_repair": turn_repair.ORACLE,
 }
