@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evidentia.llm import byte_bpe, maxent_lm, mixing, pairwise_quality, pivot_index, pu_toxicity, quality_rules, simhash, substring_dedup, token_store, turn_repair
+from evidentia.llm import byte_bpe, chat_format, maxent_lm, mixing, pairwise_quality, pivot_index, pu_toxicity, quality_rules, simhash, substring_dedup, token_store, turn_repair
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -16,9 +16,11 @@ QUERIES = {
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_pu_toxicity": pu_toxicity.op10_pu_toxicity,
     "op11_turn_repair": turn_repair.op11_turn_repair,
+    "op12_chat_format": chat_format.op12_chat_format,
 }
 ORACLES = {
     "op2_quality_rules": quality_rules.ORACLE,
     "op5_pivot_index": pivot_index.ORACLE,
     "op11_turn_repair": turn_repair.ORACLE,
+    "op12_chat_format": chat_format.ORACLE,
 }

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from evidentia.llm.common import materialize, pick, table
 from evidentia.operators.graph import hot_join
@@ -326,7 +327,7 @@ def repair(turns: DataFrame, gone: str | None = None, long: int = LONG, piece: i
     kind = turns.schema["conv_id"].dataType
     rows = pick(turns, "conv_id", "turn", "role", "text", *([gone] if gone else []))
     rows = rows.select("conv_id", F.col("turn").cast("bigint").alias("turn"), *[F.coalesce(c, F.lit(" ")).alias(c) for c in ("role", "text")], (F.coalesce(F.col(gone), F.lit(False)) if gone else F.lit(False)).alias("gone"))
-    arrow = pa.int64() if kind.simpleString() in ("bigint",) else pa.int32() if kind.simpleString() == "int" else pa.string()
+    arrow = to_arrow_type(kind)
     schema = f"conv_id {kind.simpleString()}, {_FOUND}"
     large = materialize(rows.where("NOT gone").groupBy("conv_id").count().where(F.col("count") > long).select("conv_id"), "long")
     work = lambda df: df.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(lambda b: _whole(b, arrow), schema)
