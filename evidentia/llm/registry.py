@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evidentia.llm import byte_bpe, chat_format, maxent_lm, mixing, pairwise_quality, pivot_index, pu_toxicity, quality_rules, simhash, substring_dedup, token_store, turn_repair
+from evidentia.llm import alignment, byte_bpe, chat_format, maxent_lm, mixing, pairwise_quality, pivot_index, pu_toxicity, quality_rules, simhash, substring_dedup, token_store, turn_repair
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_pu_toxicity": pu_toxicity.op10_pu_toxicity,
     "op11_turn_repair": turn_repair.op11_turn_repair,
     "op12_chat_format": chat_format.op12_chat_format,
+    "op13_alignment": alignment.op13_alignment,
 }
 ORACLES = {
     "op2_quality_rules": quality_rules.ORACLE,
