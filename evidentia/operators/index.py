@@ -1,82 +1,37 @@
-"""A stored lexical index: trigrams of texts, so that a search reads the postings of its own terms and the texts that may hold them.
-
-A generation is a folder of its own, named in a manifest (sinks.publish), with four tables below it: sources (id, sha), sizes (one
-row: n, total), texts (id, text, dl, bucket) and postings (gram, id, bucket), the last two divided into BUCKETS folders.
-"""
+"""A stored lexical index of whole documents: segments of one chunk a text."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.operators.retrieval import bm25_score, term_count
-
-BUCKETS = 64
-GRAM = 3
-
-
-def _bucket(c: str, n: int) -> Column:
-    return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-
-
-def grams(text: Column) -> Column:
-    """The distinct runs of GRAM characters of a text, case ignored."""
-    low = F.lower(text)
-    at = F.when(F.length(low) >= GRAM, F.sequence(F.lit(1), F.length(low) - GRAM + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(at, lambda i: F.substr(low, i, F.lit(GRAM))))
+from evidentia.operators import segments
 
 
-def build(docs: DataFrame, folder: str, buckets: int = BUCKETS) -> str:
-    """Write a new generation for (id, text) and make it the current one; readers of the old one aren't disturbed. A null text counts
-    as empty. Its path."""
-    path = f"{folder}/generation-{uuid.uuid4().hex}"
-    rows = docs.select("id", F.coalesce("text", F.lit("")).alias("text"))
-    rows.select("id", F.sha2("text", 256).alias("sha")).write.parquet(f"{path}/sources")
-    sized = rows.withColumn("dl", F.greatest(F.length("text") - 2, F.lit(0)).cast("double")).withColumn("bucket", _bucket("id", buckets))
-    sized.repartition(buckets, "bucket").write.partitionBy("bucket").parquet(f"{path}/texts")
-    sized.agg(F.count("*").cast("double").alias("n"), F.sum("dl").alias("total")).coalesce(1).write.parquet(f"{path}/sizes")
-    posted = rows.select("id", F.explode(grams(F.col("text"))).alias("gram")).withColumn("bucket", _bucket("gram", buckets))
-    posted.repartition(buckets, "bucket").sortWithinPartitions("gram", "id").write.partitionBy("bucket").parquet(f"{path}/postings")
-    docs.sparkSession.range(1).select(F.lit(path).alias("path"), F.lit(buckets).alias("buckets"), F.current_timestamp().alias("at")).coalesce(1).write.mode("append").parquet(f"{folder}/manifest")
-    return path
+def whole(text: str) -> list[tuple[int, int]]:
+    """The text as its only token."""
+    return [(0, len(text))]
 
 
-def current(spark: SparkSession, folder: str) -> tuple[str, int]:
-    """Path and number of buckets of the newest generation."""
-    r = spark.read.parquet(f"{folder}/manifest").agg(F.max_by(F.struct("path", "buckets"), "at").alias("x")).first()["x"]
-    return r["path"], r["buckets"]
+def build(docs: DataFrame, folder: str, per_bucket: int = segments.PER_BUCKET) -> dict[str, int]:
+    """Bring the index up to (id, text): what is new or changed is written, what is gone no longer found. A null text counts as
+    empty. Numbers of reused, indexed and pruned documents."""
+    return segments.update(segments.stamped(docs.select("id", "text")), folder, prune=True, offsets=whole, per_bucket=per_bucket)
 
 
 def stale(docs: DataFrame, folder: str) -> DataFrame:
     """(id, state): what an index has in another version (changed), lacks (missing) or should no longer have (gone)."""
-    path, _ = current(docs.sparkSession, folder)
-    known = docs.sparkSession.read.parquet(f"{path}/sources").select("id", F.col("sha").alias("old"))
-    now = docs.select("id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    known = segments.sources(docs.sparkSession, folder).select("id", F.col("sha").alias("old"))
     state = F.when(F.col("old").isNull(), "missing").when(F.col("sha").isNull(), "gone").when(F.col("old") != F.col("sha"), "changed")
-    return now.join(known, "id", "full_outer").select("id", state.alias("state")).where("state IS NOT NULL")
+    return segments.stamped(docs).select("id", "sha").join(known, "id", "full_outer").select("id", state.alias("state")).where("state IS NOT NULL")
 
 
 def search(spark: SparkSession, folder: str, terms: list[str], scope: DataFrame | None = None) -> DataFrame:
-    """(id, score) of the texts that hold a term of GRAM characters or more, as retrieval.bm25 gives them over all texts.
+    """(id, score) of the texts that hold a term of three characters or more, as retrieval.bm25 gives them over all texts.
 
-    Only the postings of the terms' trigrams are read (their buckets are pruned, the grams pushed down), and only texts that hold all
-    trigrams of a term. scope, if given, limits what is returned; statistics stay over all texts.
+    Postings are all that is read, those of the terms' own trigrams. scope, if given, limits what is returned; statistics stay over all.
     """
-    path, buckets = current(spark, folder)
-    terms = [t for t in dict.fromkeys(t.lower() for t in terms) if len(t) >= GRAM]
-    texts = spark.read.parquet(f"{path}/texts")
-    if not terms:
-        return texts.select("id", F.lit(0.0).alias("score")).limit(0)
-    needed = {k: sorted({t[i : i + GRAM] for i in range(len(t) - GRAM + 1)}) for k, t in enumerate(terms)}
-    wanted = spark.createDataFrame([(k, g, len(x)) for k, x in needed.items() for g in x], "k int, gram string, need int")
-    all_ = sorted({g for x in needed.values() for g in x})
-    places = [r["b"] for r in spark.createDataFrame([(g,) for g in all_], "gram string").select(_bucket("gram", buckets).alias("b")).distinct().collect()]
-    posted = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(places) & F.col("gram").isin(all_))
-    held = posted.join(F.broadcast(wanted), "gram").groupBy("id", "k", "need").agg(F.count("*").alias("n")).where("n = need")
-    counted = texts.join(held.select("id").distinct(), "id", "left_semi").select("id", "dl", *[term_count(F.col("text"), t).alias(f"t{k}") for k, t in enumerate(terms)])
-    df = counted.agg(*[F.sum((F.col(f"t{k}") > 0).cast("double")).alias(f"d{k}") for k in range(len(terms))])
-    stats = spark.read.parquet(f"{path}/sizes").select("n", F.try_divide("total", "n").alias("avgdl")).crossJoin(df)  # one row each
-    found = counted.crossJoin(F.broadcast(stats)).select("id", bm25_score(len(terms)).alias("score")).where("score > 0")
-    return found if scope is None else found.join(scope.select("id").distinct(), "id", "left_semi")
+    found = segments.lexical(spark, folder, terms, scope)
+    if found is None:
+        return segments.sources(spark, folder).select("id", F.lit(0.0).alias("score")).limit(0)
+    return found.select("id", "score")

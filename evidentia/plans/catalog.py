@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from evidentia.functions import cleaning as T
 from evidentia.operators import catalog as C
 from evidentia.plans.base import query
+from evidentia.sources import versions as V
+from evidentia.sources.sinks import work_dir
 from evidentia.sources.tables import ORGANISATION_SQL, PAPERS_SQL, organisation, papers, table
 
 BOTH_SQL = f"WITH {PAPERS_SQL}, {ORGANISATION_SQL}"
@@ -134,11 +138,24 @@ def _old_new(spark, d):
     return old, table(spark, d, "documents").where("doc_id % 2 = 0").selectExpr("doc_id AS id", "concat('new ', lang) AS title", "CASE doc_id % 4 WHEN 0 THEN 'parse_failed' WHEN 1 THEN 'downloaded' WHEN 2 THEN 'parsed' END AS status", "CASE WHEN doc_id % 8 = 0 THEN 'new/path' END AS fulltext_path", "CAST(NULL AS STRING) AS parsed_path")
 
 
-@query("upsert_merge", f"{UPSERT_SQL} SELECT coalesce(n.id, o.id) AS id, CASE WHEN n.id IS NOT NULL THEN n.title ELSE o.title END AS title, CASE WHEN n.id IS NULL THEN o.status ELSE {STATUS_SQL} END AS status, coalesce(n.fulltext_path, o.fulltext_path) AS fulltext_path, coalesce(n.parsed_path, o.parsed_path) AS parsed_path FROM old o FULL JOIN new n ON o.id = n.id")
+UPSERTED_SQL = f"{UPSERT_SQL} SELECT coalesce(n.id, o.id) AS id, CASE WHEN n.id IS NOT NULL THEN n.title ELSE o.title END AS title, CASE WHEN n.id IS NULL THEN o.status ELSE {STATUS_SQL} END AS status, coalesce(n.fulltext_path, o.fulltext_path) AS fulltext_path, coalesce(n.parsed_path, o.parsed_path) AS parsed_path FROM old o FULL JOIN new n ON o.id = n.id"
+
+
+@query("upsert_merge", UPSERTED_SQL)
 def upsert_merge(spark, d):
     return C.upsert(*_old_new(spark, d))
 
 
+@query("versioned_upsert", UPSERTED_SQL)
+def versioned_upsert(spark, d):
+    """The same into a table of versions: a commit for the old rows, one that rewrites the buckets of the new ones."""
+    folder = f"{work_dir(spark)}/papers-{uuid.uuid4().hex}"
+    old, new = _old_new(spark, d)
+    V.upsert(old, folder, ["id"], token=1)
+    V.upsert(new, folder, ["id"], C.upsert, token=2)
+    return V.rows_of(spark, folder)
+
+
 @query("merged_status", f"{UPSERT_SQL} SELECT n.id, {STATUS_SQL} AS status FROM new n LEFT JOIN old o ON o.id = n.id")
 def merged(spark, d):
     old, new = _old_new(spark, d)

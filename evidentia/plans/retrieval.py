@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from evidentia.operators import index as X
 from evidentia.operators import passages as P
 from evidentia.operators import retrieval as R
+from evidentia.operators import segments as S
+from evidentia.operators import vectors as VX
 from evidentia.plans.base import query
 from evidentia.sources.sinks import work_dir
 from evidentia.sources.tables import table
@@ -54,6 +59,121 @@ def index_search(spark, d):
     return R.top(X.search(spark, folder, TERMS), [F.desc("score"), F.asc("id")], 40).select("id", F.round("score", 6).alias("score"), "rank")
 
 
+#: White space of any script in SQL's patterns, as passages.BLANK has it.
+BLANK_SQL = r"\t-\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+def chunks_sql(rows: str) -> str:
+    """CTEs ending in chunks (id, ord, start, end, text): windows of 112 words, 88 apart, of rows (id, text)."""
+    return rf"""given AS ({rows}), pieces AS (SELECT id, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM (SELECT id, regexp_extract_all(text, '[{BLANK_SQL}]*[^{BLANK_SQL}]+') AS x FROM given)),
+tokens AS (SELECT id, i, sum(length(x)) OVER (PARTITION BY id ORDER BY i) AS e, length(regexp_replace(x, '^[{BLANK_SQL}]+', '')) AS n FROM pieces),
+spans AS (SELECT id, i, e - n AS s, coalesce(lead(e, 111) OVER (PARTITION BY id ORDER BY i), max(e) OVER (PARTITION BY id)) AS e FROM tokens),
+chunks AS (SELECT p.id, (i - 1) // 88 AS ord, s::BIGINT AS s, e::BIGINT AS e, substr(text, s::BIGINT + 1, (e - s)::BIGINT) AS text FROM spans p JOIN given g ON g.id = p.id WHERE (i - 1) % 88 = 0)"""
+
+
+def chunk_bm25_sql(rows: str, where: str = "TRUE", most: int = 40) -> str:
+    """The best chunks of rows by BM25 over all chunks, of those where the condition holds."""
+    return f"""WITH {chunks_sql(rows)}, tf AS (SELECT id, ord, greatest(length(text) - 2, 0)::DOUBLE AS dl, {_TF} FROM chunks), st AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl, {_DF} FROM tf),
+bm AS (SELECT id, ord, {_SUM} AS score FROM tf, st WHERE {_ANY}), lex AS (SELECT id, ord, score, row_number() OVER (ORDER BY score DESC, id, ord) AS rank FROM bm WHERE {where}) SELECT id, ord::INTEGER AS ord, round(score, 6) AS score, rank FROM lex WHERE rank <= {most}"""
+
+
+DOCUMENTS_SQL = "SELECT doc_id AS id, text FROM documents"
+
+
+@query("token_chunks", f"WITH {chunks_sql(DOCUMENTS_SQL)} SELECT id, ord::INTEGER AS ord, s::INTEGER AS start, e::INTEGER AS \"end\", md5(text) AS h FROM chunks")
+def token_chunks(spark, d):
+    return P.token_chunks(documents(spark, d)).select("id", "ord", "start", "end", F.md5("chunk").alias("h"))
+
+
+_built: dict[tuple[str, str], str] = {}
+
+
+def hashed_words(texts: list[str], size: int = 64) -> np.ndarray:
+    """A vector of word counts, hashed: an encoder that needs no model."""
+    out = np.zeros((len(texts), size), np.float32)
+    for k, text in enumerate(texts):
+        for word in re.findall(r"\w+", text.lower()):
+            out[k, zlib.crc32(word.encode()) % size] += 1
+    return out
+
+
+def chunk_index(spark, d, fresh: bool = False) -> str:
+    """The folder of the index over all documents' chunks, built once a session and table folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if fresh or key not in _built:
+        folder = f"{work_dir(spark)}/chunks-{uuid.uuid4().hex}"
+        S.update(S.stamped(documents(spark, d).select("id", "text")), folder, encode=hashed_words)
+        _built[key] = folder
+    return _built[key]
+
+
+def best_chunks(found, most: int = 40):
+    return R.top(found, [F.desc("score"), F.asc("id"), F.asc("ord")], most).select("id", "ord", F.round("score", 6).alias("score"), "rank")
+
+
+@query("chunk_index_build", f"WITH {chunks_sql(DOCUMENTS_SQL)} SELECT id, count(e) AS n_chunks, coalesce(sum(greatest(length(c.text) - 2, 0)), 0)::DOUBLE AS dl, sha256(coalesce(g.text, '')) AS sha FROM given g LEFT JOIN chunks c USING (id) GROUP BY id, g.text")
+def chunk_index_build(spark, d):
+    return S.sources(spark, chunk_index(spark, d, fresh=True)).select("id", "n_chunks", "dl", "sha")
+
+
+@query("chunk_search", chunk_bm25_sql(DOCUMENTS_SQL))
+def chunk_search(spark, d):
+    return best_chunks(S.lexical(spark, chunk_index(spark, d), TERMS))
+
+
+@query("chunk_search_after_updates", chunk_bm25_sql("SELECT doc_id AS id, CASE WHEN doc_id % 10 = 0 THEN replace(text, 'on', 'no') || ' changed the text' ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0"))
+def chunk_search_after_updates(spark, d):
+    """The index of all documents, then changed ones come in and others go; equal to an index of what is left."""
+    folder = f"{work_dir(spark)}/chunks-{uuid.uuid4().hex}"
+    docs = documents(spark, d).select("id", "text")
+    S.update(S.stamped(docs), folder)
+    changed = docs.withColumn("text", F.when(F.col("id") % 10 == 0, F.concat(F.replace("text", F.lit("on"), F.lit("no")), F.lit(" changed the text"))).otherwise(F.col("text")))
+    S.update(S.stamped(changed.where("id % 10 = 0")), folder)
+    S.update(S.stamped(changed.where("id % 7 <> 0")), folder, prune=True)
+    return best_chunks(S.lexical(spark, folder, TERMS))
+
+
+@query("session_search", chunk_bm25_sql("SELECT conv_id * 100000 + turn AS id, text FROM conversations", "id // 100000 IN (SELECT conv_id FROM conversations WHERE role = 'system')", 10))
+def session_search(spark, d):
+    """Turns as documents of a stored index; a search looks in the sessions of its scope, here those with a system turn."""
+    turns = table(spark, d, "conversations").select((F.col("conv_id") * 100_000 + F.col("turn")).alias("id"), "conv_id", "role", "text")
+    folder = f"{work_dir(spark)}/sessions-{uuid.uuid4().hex}"
+    S.update(S.stamped(turns.select("id", "text")), folder)
+    sessions = turns.where("role = 'system'").select("conv_id").distinct()
+    return best_chunks(S.lexical(spark, folder, TERMS, turns.join(sessions, "conv_id", "left_semi").select("id")), 10)
+
+
+@query("chunk_hybrid_search")
+def chunk_hybrid_search(spark, d):
+    """Hits with their section, place and version, of the documents that still have the version which the index has."""
+    current = S.stamped(documents(spark, d)).select("id", "sha")
+    hits = S.hybrid(spark, chunk_index(spark, d), QUESTION, hashed_words([QUESTION])[0].tolist(), current)
+    return hits.select("id", "ord", "section", "start", "end", "sha", F.array_join("methods", "+").alias("methods"), F.round("rrf", 9).alias("rrf"), "rank")
+
+
+@query("vector_index_exact", f"WITH {COS_SQL} SELECT id, round(distance, 6) + 0e0 AS distance, rank FROM vec WHERE rank <= 40")
+def vector_index_exact(spark, d):
+    """All cells of a stored index."""
+    near = VX.search(spark, vector_index(spark, d), probe(spark, d), exact=True)
+    return R.top(near, [F.asc("distance"), F.asc("id")], 40).select("id", (F.round("distance", 6) + 0.0).alias("distance"), "rank")
+
+
+def vector_index(spark, d) -> str:
+    key = (spark.sparkContext.applicationId, d + "#vectors")
+    if key not in _built:
+        folder = f"{work_dir(spark)}/vectors-{uuid.uuid4().hex}"
+        VX.build(vectors(spark, d), folder)
+        _built[key] = folder
+    return _built[key]
+
+
+@query("vector_index_search")
+def vector_index_search(spark, d):
+    """The nearest cells only, as many as the index measured for its recall."""
+    near = VX.search(spark, vector_index(spark, d), probe(spark, d))
+    return R.top(near, [F.asc("distance"), F.asc("id")], 40).select("id", (F.round("distance", 6) + 0.0).alias("distance"), "rank")
+
+
 @query("lexical_topk", f"WITH {BM25_SQL}, sc AS (SELECT * FROM bm WHERE id IN (SELECT doc_id FROM labels WHERE quality = 1)) SELECT id, round(score, 6) AS score FROM sc ORDER BY sc.score DESC, id LIMIT 40")
 def lexical_topk(spark, d):
     scope = table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))

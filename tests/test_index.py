@@ -9,6 +9,7 @@ from evidentia.operators import index as X
 from evidentia.operators import numeric as N
 from evidentia.operators import passages as P
 from evidentia.operators import retrieval as R
+from evidentia.operators import segments as S
 
 
 def test_search_equals_a_scan_and_reads_own_postings(spark, tmp_path):
@@ -16,24 +17,24 @@ def test_search_equals_a_scan_and_reads_own_postings(spark, tmp_path):
     words = ["graph", "Graphs", "stereo", "depth", "ab", "loss", "zz", "monograph"]
     docs = spark.createDataFrame([(k, " ".join(r.choices(words, k=r.randrange(0, 12)))) for k in range(60)] + [(99, None), (98, "")], "id bigint, text string")
     folder = str(tmp_path / "index")
-    X.build(docs, folder, buckets=8)
+    X.build(docs, folder, per_bucket=8)
     full = docs.withColumn("text", F.coalesce("text", F.lit("")))
     for terms in (["graph", "loss"], ["Stereo depth"], ["ab"], ["nowhere"], []):
         want = {x.id: round(x.score, 9) for x in R.bm25(full, terms).collect()} if [t for t in terms if len(t) > 2] else {}
         assert {x.id: round(x.score, 9) for x in X.search(spark, folder, terms).collect()} == want
     scope = docs.where("id < 10").select("id")
     assert {x.id for x in X.search(spark, folder, ["graph"], scope).collect()} == {x.id for x in R.bm25(full, ["graph"]).collect() if x.id < 10}
-    plan = spark._jvm.PythonSQLUtils.explainString(X.search(spark, folder, ["graph"])._jdf.queryExecution(), "formatted")
+    plan = spark._jvm.PythonSQLUtils.explainString(S.term_counts(spark, folder, ["graph"])._jdf.queryExecution(), "formatted")
     assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
 
 
 def test_stale_sources_are_named_and_a_new_generation_replaces_the_old(spark, tmp_path):
     folder = str(tmp_path / "index")
     make = lambda *rows: spark.createDataFrame(rows, "id bigint, text string")
-    X.build(make((1, "one text"), (2, "two text"), (3, "three")), folder, buckets=4)
+    X.build(make((1, "one text"), (2, "two text"), (3, "three")), folder, per_bucket=4)
     now = make((1, "one text"), (2, "other"), (4, "four text"))
     assert {(r.id, r.state) for r in X.stale(now, folder).collect()} == {(2, "changed"), (3, "gone"), (4, "missing")}
-    X.build(now, folder, buckets=4)
+    X.build(now, folder, per_bucket=4)
     assert X.stale(now, folder).count() == 0 and {r.id for r in X.search(spark, folder, ["text"]).collect()} == {1, 4}
 
 
