@@ -46,7 +46,10 @@ def candidate_links(rows: DataFrame, names: Sequence[str] = IDENTITIES) -> DataF
 
 
 def _replay(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Groups of one component: records by id join the groups of their keys unless exclusive identifiers of both sides differ."""
+    """Groups of one component: records by id join the groups of their keys unless exclusive identifiers of both sides differ.
+
+    The smaller group goes into the larger, so each record moves a logarithmic number of times.
+    """
     group: dict[int, int] = {}
     held: dict[int, dict[str, str]] = {}
     members: dict[int, list[int]] = {}
@@ -56,16 +59,24 @@ def _replay(pdf: pd.DataFrame) -> pd.DataFrame:
         own = [(n, row[n]) for n in IDENTITIES if isinstance(row[n], str)]
         group[me], members[me], held[me] = me, [me], {n: v for n, v in own if n in EXCLUSIVE}
         for key in own:
-            for other in under.get(key, ()):
+            known, met = under.setdefault(key, []), set()
+            for other in known:
                 a, b = group[me], group[other]
                 if a != b and all(held[b].get(n, v) == v for n, v in held[a].items()):
+                    a, b = (a, b) if len(members[a]) >= len(members[b]) else (b, a)
                     held[a].update(held.pop(b))
                     members[a] += members[b]
                     group.update(dict.fromkeys(members.pop(b), a))
-            known = under.setdefault(key, [])
-            if group[me] not in {group[x] for x in known}:
+                met.add(group[other])
+            if group[me] not in met:
                 known.append(me)
-    return pd.DataFrame({"id": list(group), "group_id": [min(members[g]) for g in group.values()]})
+            elif len(met) < len(known):  # groups that have become one are tried once
+                first: dict[int, int] = {}
+                for other in known:
+                    first.setdefault(group[other], other)
+                known[:] = first.values()
+    lowest = {g: min(of) for g, of in members.items()}
+    return pd.DataFrame({"id": list(group), "group_id": [lowest[g] for g in group.values()]})
 
 
 def duplicate_groups(rows: DataFrame) -> DataFrame:
@@ -100,22 +111,41 @@ def _first(value: Column, ordinal: str, among: Column | None = None) -> Column:
     return F.min(F.when(real if among is None else real & among, F.struct(F.col(ordinal).alias("o"), value.alias("v"))))["v"]
 
 
-def founders(rows: DataFrame, names: Sequence[str] = ("key", "title")) -> DataFrame:
+def _waiting(open_: DataFrame, name: str, at: str) -> DataFrame:
+    """open_ with at: the record that holds name before this one, if there is exactly one; -1 if there is none, -2 of more."""
+    first = open_.groupBy(name).agg(F.min("ord").alias("__first"))
+    ranked = materialize(hot_join(open_, first, name), "merge-ranked")
+    second = ranked.where(F.col("ord") > F.col("__first")).groupBy(name).agg(F.min("ord").alias("__second"))
+    before = F.when(F.col("ord") == F.col("__first"), -1).when(F.col("ord") == F.col("__second"), F.col("__first")).otherwise(-2)
+    return hot_join(ranked, second, name).withColumn(at, before.cast("bigint")).drop("__first", "__second")
+
+
+def founders(rows: DataFrame, names: Sequence[str] = ("key", "title"), max_rounds: int = 10_000) -> DataFrame:
     """(ord, founder) for (ord, *names): in order, a record joins the record that founded its first name, or else its second, or
     founds a record of its own. A joined record's own names found nothing, so the relation isn't transitive.
 
-    Rounds settle who founds: among the open records, those that come first under both names do, and all that share a name with
-    a founder are open no more. Names are never null.
+    Rounds settle who founds. A record that comes first under both names does; one that waits for a single other founds if that one
+    doesn't, so along chains of these the answer follows from the chain's end and its length, found by doubling pointers. All
+    that share a name with a founder are open no more. A chain of n takes log n steps; only records that wait for several others
+    take further rounds, and max_rounds guards against a fault. Names are never null, ords not negative.
     """
     a, b = names
     given = materialize(rows.select("ord", *names), "merge-rows")
-    open_, found = materialize(given.groupBy(a, b).agg(F.min("ord").alias("ord")), "merge-open"), []
+    open_, found, rounds = materialize(given.groupBy(a, b).agg(F.min("ord").alias("ord")), "merge-open"), [], 0
     while not open_.isEmpty():
-        by_a, by_b = (open_.groupBy(n).agg(F.min("ord").alias(f"first_{n}")) for n in names)
-        ranked = materialize(hot_join(open_, by_a, a).select("ord", a, b, F.col(f"first_{a}").alias("at_a")), "merge-ranked")
-        ranked = materialize(hot_join(ranked, by_b, b).select("ord", a, b, (F.col("ord") == F.least("at_a", f"first_{b}")).alias("founds")), "merge-ranked")
-        now = ranked.where("founds").select("ord", a, b)
-        left = materialize(hot_join(ranked, now.select(a, F.col("ord").alias("via_a")), a).where("via_a IS NULL").select("ord", a, b), "merge-open")
+        both = _waiting(materialize(_waiting(open_, a, "at_a"), "merge-waiting"), b, "at_b")
+        alone = (F.col("at_a") >= 0) & (F.col("at_b") == -1) | (F.col("at_b") >= 0) & (F.col("at_a") == -1)
+        chain = materialize(both.select("ord", a, b, F.when(alone, F.greatest("at_a", "at_b")).otherwise(F.col("ord")).alias("to"), alone.alias("odd"), ((F.col("at_a") == -1) & (F.col("at_b") == -1)).alias("sure")), "merge-chain")
+        while True:
+            rounds += 1
+            if rounds > max_rounds:
+                raise RuntimeError(f"founders have not settled in {max_rounds} rounds")
+            step = chain.select(F.col("ord").alias("to"), F.col("to").alias("far"), F.col("odd").alias("more"), F.col("sure").alias("known"))
+            chain = materialize(hot_join(chain, step, "to").select("ord", a, b, F.col("far").alias("to"), (F.col("odd") != F.col("more")).alias("odd"), (F.col("sure") | F.col("known")).alias("sure"), (F.col("far") != F.col("to")).alias("moved")), "merge-chain")
+            if chain.where("moved").isEmpty():
+                break
+        now = chain.where("sure AND NOT odd").select("ord", a, b)
+        left = materialize(hot_join(open_, now.select(a, F.col("ord").alias("via_a")), a).where("via_a IS NULL").select("ord", a, b), "merge-open")
         open_ = materialize(hot_join(left, now.select(b, F.col("ord").alias("via_b")), b).where("via_b IS NULL").select("ord", a, b), "merge-open")
         found.append(now)
     if not found:

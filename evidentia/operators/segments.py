@@ -20,6 +20,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -204,8 +205,8 @@ def term_counts(spark: SparkSession, folder: str, terms: Sequence[str]) -> DataF
     all_ = sorted({g for _, _, g, _ in wanted})
 
     def own(df: DataFrame, s: dict) -> DataFrame:
-        named = spark.createDataFrame([(g,) for g in all_], "gram string")
-        places = sorted({r[0] for r in named.select(_bucket(F.col("gram"), s["buckets"])).collect()})
+        hashes = [xxhash.xxh64(g.encode(), 42).intdigest() for g in all_]
+        places = sorted({(h - (h >> 63 << 64)) % s["buckets"] for h in hashes})  # as _bucket has it: signed, seed 42
         return df.where(F.col("bucket").isin(places) & F.col("gram").isin(all_)).drop("bucket")
 
     posted = _read(spark, state, "postings", own) if all_ else None

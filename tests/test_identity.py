@@ -97,3 +97,28 @@ def test_first_records_take_up_later_ones(spark):
     df = spark.createDataFrame(rows, "ord bigint, key string, title string, publication_date string, date_source string, venue string, url string")
     got = {tuple(x[k] for k in ("first_ord", "key", "title", "publication_date", "date_source", "venue", "url", "n")) for x in I.merge_records(df.repartition(3), ["venue", "url"]).collect()}
     assert got == merged(rows)
+
+
+def test_a_long_chain_of_waiting_records_takes_few_rounds(spark):
+    n = 5000
+    rows = [(k, f"k{(k + 1) // 2}", f"t{k // 2}") for k in range(n)] + [(n + 5, "z", "z")]  # each shares a name with the one before
+    got = {r.ord: r.founder for r in I.founders(spark.createDataFrame(rows, "ord bigint, key string, title string"), max_rounds=20).collect()}
+    by, want = ({}, {}), {}
+    for o, k, t in rows:
+        want[o] = by[0].get(k, by[1].get(t))
+        if want[o] is None:
+            by[0][k] = by[1][t] = want[o] = o
+    assert got == want and sum(o == f for o, f in got.items()) == n // 2 + 1
+
+
+def test_replay_of_many_records_with_one_key(spark):
+    import time
+
+    import pandas as pd
+
+    rows = [(i, f"d{i % 3}" if i % 2 else None, None, None, "same", f"w{i // 2}") for i in range(60_000)]
+    began = time.perf_counter()
+    got = I._replay(pd.DataFrame(rows, columns=["id", *I.IDENTITIES]))
+    assert time.perf_counter() - began < 5
+    small = [r for r in rows if r[0] < 400]
+    assert dict(zip(*I._replay(pd.DataFrame(small, columns=["id", *I.IDENTITIES])).to_dict("list").values())) == replayed(small) and len(got) == len(rows)
