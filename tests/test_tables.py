@@ -130,3 +130,25 @@ def test_reading_plans_pack_the_best_sections(spark):
     assert [got[k].mode for k in (1, 2, 3, 4)] == ["sections", "full", "empty", "too_large"]
     assert [text[s.start : s.end].count("graph") for s in got[1].spans] == [60, 60] and sum(s.end - s.start + 120 for s in got[1].spans) <= 1100
     assert [(s.start, s.end) for s in got[2].spans] == [(0, 5)] and got[4].spans == []
+
+
+def timed(df):
+    import time
+
+    began = time.perf_counter()
+    out = df.collect()
+    return out, time.perf_counter() - began
+
+
+def test_long_texts_and_long_quotes_take_linear_time(spark):
+    schema = "row_id int, quote string, model string, value double, metric string, aliases array<string>"
+    table = lambda n: "| Model | Recall |\n|---|---|\n" + "\n".join(f"| M{k} | {k}.5 |" for k in range(n))
+    prose = lambda n: "\n".join(f"M{k} {k}.5 here" for k in range(n))
+    make = lambda n: spark.createDataFrame([(1, table(n), f"M{n - 1}", n - 0.5, "Recall", []), (2, prose(n), f"M{n - 1}", n - 0.5, "", []), (3, LAID, "Beta", 80.25, "Recall", [])], schema)
+    timed(B.bind_values(make(20)))
+    out, seconds = timed(B.bind_values(make(5000)))
+    assert {r.row_id: r.source_bound for r in out} == {1: True, 2: True, 3: True} and seconds < 8
+    text = " ".join(f"word{k % 977} alpha{'' if k % 50 else ' gamma'}" for k in range(32_000))
+    docs = spark.createDataFrame([(1, text)], "id bigint, text string")
+    out, seconds = timed(P.document_excerpt(docs, "Alpha beta gamma delta epsilon zeta", 9000))
+    assert len(text) > 400_000 and out[0].excerpt == plain_excerpt(text, "Alpha beta gamma delta epsilon zeta", 9000) and seconds < 5
