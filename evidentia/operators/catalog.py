@@ -38,6 +38,34 @@ def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
+#: How the names of first-hand date sources begin: fixed value.
+FIRST_HAND = "arxiv"
+
+
+def kept_date(old_date: Column, old_source: Column, new_date: Column, new_source: Column) -> Column:
+    """struct<date, source> after an update: what is new counts and what it lacks stays, each by itself. But both stay as they were if
+    the old source is first-hand and the new one isn't, or if it is, the old date tells the day and the new one doesn't."""
+    given = lambda c: F.nullif(c, F.lit(""))
+    first_hand = lambda c: F.coalesce(F.startswith(c, F.lit(FIRST_HAND)), F.lit(False))
+    date, source = F.coalesce(given(new_date), given(old_date)), F.coalesce(given(new_source), given(old_source))
+    coarser = (F.length(old_date) == 10) & (F.coalesce(F.length(date), F.lit(0)) < 10)
+    stays = first_hand(old_source) & (~first_hand(source) | F.coalesce(coarser, F.lit(False)))
+    return F.struct(F.when(stays, given(old_date)).otherwise(date).alias("date"), F.when(stays, old_source).otherwise(source).alias("source"))
+
+
+def upsert_dates(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Full outer merge of (id, publication_date, date_source) by kept_date; ids are unique on each side."""
+    o, n = old.alias("o"), new.alias("n")
+    kept = kept_date(F.col("o.publication_date"), F.col("o.date_source"), F.col("n.publication_date"), F.col("n.date_source"))
+    both = o.join(n, F.col("o.id") == F.col("n.id"), "full_outer").select(F.coalesce("n.id", "o.id").alias("id"), kept.alias("kept"))
+    return both.select("id", F.col("kept.date").alias("publication_date"), F.col("kept.source").alias("date_source"))
+
+
+def pending_groups(now: DataFrame, last: DataFrame, key: str) -> DataFrame:
+    """The groups of (key, n, digest) that a last run of (key, digest) has not seen, or has seen with other rows."""
+    return now.join(last.select(F.col(key), F.col("digest").alias("__last")), key, "left").where(~F.coalesce(F.col("digest") == F.col("__last"), F.lit(False))).drop("__last")
+
+
 @dataclass(frozen=True)
 class FacetRule:
     """A value of a facet, given where pattern matches the title or a tag; exclude speaks against it in either, require_title and

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.functions import cleaning as T
+
 
 def leaderboard(rows: DataFrame, keys: list[str], value: str, lower_is_better: bool = True) -> DataFrame:
     """All rows that tie for the best value of their key; a join to an aggregate that combines before its shuffle."""
@@ -77,3 +79,14 @@ def eligibility(rows: DataFrame, reviews: DataFrame, groups: list[str], all_time
         .otherwise("")
     )
     return found.withColumn("reason", reason).withColumn("eligible", F.col("reason") == "").drop("scope_match", "group_verified", "named")
+
+
+def resolved_models(models: DataFrame, titles: DataFrame) -> DataFrame:
+    """(id, match, n) of (id, model): the smallest of the n titles (id, title) whose whole leading name, before a colon, is the model's.
+
+    Names are compared by their letters and digits, so a name that another one begins with doesn't match. A row for each model that
+    is found: titles of one name are counted before the join, so rows don't multiply. An empty name is found nowhere.
+    """
+    name = lambda c: T.model_label(F.get(F.split(c, "[:：]", 2), F.lit(0)))
+    known = titles.select(name(F.col("title")).alias("key"), "id").where("key <> ''").groupBy("key").agg(F.min("id").alias("match"), F.count("*").alias("n"))
+    return models.select("id", T.model_label(F.col("model")).alias("key")).where("key <> ''").join(known, "key").select("id", "match", "n")

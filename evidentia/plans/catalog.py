@@ -156,6 +156,21 @@ def versioned_upsert(spark, d):
     return V.rows_of(spark, folder)
 
 
+DATES_SQL = f"WITH {PAPERS_SQL}, o AS (SELECT id, publication_date AS d, CASE WHEN id % 2 = 0 THEN 'arxiv_page' WHEN id % 7 <> 0 THEN 'crossref' END AS s FROM papers), n AS (SELECT id, CASE id % 5 WHEN 0 THEN '2024' WHEN 1 THEN '2024-02' WHEN 2 THEN '2024-02-03' WHEN 3 THEN '' END AS d, CASE WHEN id % 3 = 0 THEN 'arxiv' WHEN id % 11 <> 0 THEN 'openalex' END AS s FROM papers)"
+
+
+@query(
+    "date_precedence",
+    f"{DATES_SQL} SELECT id, CASE WHEN keep THEN od ELSE d END AS publication_date, CASE WHEN keep THEN os ELSE s END AS date_source FROM (SELECT *, coalesce(os LIKE 'arxiv%' AND (s NOT LIKE 'arxiv%' OR (length(od) = 10 AND length(coalesce(d, '')) < 10)), false) AS keep FROM (SELECT o.id, o.d AS od, o.s AS os, coalesce(nullif(n.d, ''), o.d) AS d, coalesce(n.s, o.s) AS s FROM o JOIN n ON n.id = o.id))",
+)
+def date_precedence(spark, d):
+    """An update's date and source, unless what is there is first-hand and the update isn't, or is coarser."""
+    known, k = papers(spark, d), F.col("id")
+    old = known.select("id", "publication_date", F.when(k % 2 == 0, "arxiv_page").when(k % 7 != 0, "crossref").alias("date_source"))
+    date = F.when(k % 5 == 0, "2024").when(k % 5 == 1, "2024-02").when(k % 5 == 2, "2024-02-03").when(k % 5 == 3, "")
+    return C.upsert_dates(old, known.select("id", date.alias("publication_date"), F.when(k % 3 == 0, "arxiv").when(k % 11 != 0, "openalex").alias("date_source")))
+
+
 @query("merged_status", f"{UPSERT_SQL} SELECT n.id, {STATUS_SQL} AS status FROM new n LEFT JOIN old o ON o.id = n.id")
 def merged(spark, d):
     old, new = _old_new(spark, d)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from evidentia.functions import cleaning as T
 from evidentia.functions import pages as W
 from evidentia.operators import catalog as C
+from evidentia.operators import passages as P
 from evidentia.operators import review as R
 from evidentia.plans.base import query
 from evidentia.sources.tables import PAPERS_SQL, papers, table
@@ -48,13 +49,16 @@ def led(spark, d):
     return states.join(rows.select("id", "lang"), "id")
 
 
-@query("bound_evidence", "SELECT d.doc_id, i, line FROM (SELECT doc_id, sha256(text) AS sha, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1)::BIGINT AS i FROM documents) d JOIN labels l ON l.doc_id = d.doc_id AND quality = 1 WHERE length(line) >= 40")
+@query("bound_evidence", "SELECT doc_id, i, s::INTEGER AS start, doc_id % 10 <> 0 AND doc_id % 7 <> 3 AS bound FROM (SELECT doc_id, i, line, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1 AS s FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1)::BIGINT AS i FROM documents)) WHERE length(line) >= 40")
 def bound_evidence(spark, d):
-    """Lines whose verifier saw the text as it is now: the digest that came with the verdict is the document's own."""
-    seen = judged(spark, d).where("quality = 1").select("doc_id", F.sha2("text", 256).alias("verified_sha"))
-    rows = docs(spark, d).join(seen, "doc_id").where(F.sha2("text", 256) == F.col("verified_sha"))
-    lines = rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line")).where(F.length("line") >= 40)
-    return lines.select("doc_id", (F.col("p") + 1).cast("bigint").alias("i"), "line")
+    """Lines stored as evidence with their place and the digest of the text as it was, which some documents no longer have; of some the
+    stored quote is another."""
+    rows = docs(spark, d).select(F.col("doc_id").alias("id"), "text")
+    then = rows.withColumn("sha256", F.sha2(F.when(F.col("id") % 10 == 0, F.concat("text", F.lit(" old"))).otherwise(F.col("text")), 256))
+    places = F.expr("aggregate(split(text, '\n'), array(struct(-1 AS e, '' AS line)), (a, x) -> a || array(struct(int(element_at(a, -1).e + 1 + length(x)) AS e, x AS line)))")
+    lines = then.select("id", "sha256", F.posexplode(F.slice(places, F.lit(2), F.size(places))).alias("p", "x"))
+    stored = lines.select("id", "sha256", (F.col("p") + 1).cast("bigint").alias("i"), (F.col("x.e") - F.length("x.line")).alias("start"), F.col("x.e").alias("end"), F.when(F.col("id") % 7 == 3, F.concat(F.lit("not "), "x.line")).otherwise(F.col("x.line")).alias("quote")).where("end - start >= 40")
+    return P.still_bound(stored, rows).select(F.col("id").alias("doc_id"), "i", "start", "bound")
 
 
 @query("compact_evidence", r"SELECT doc_id, string_agg(concat(i, ':', left(regexp_replace(trim(line), '\s+', ' ', 'g'), 60)), '|' ORDER BY ok DESC, i) AS evidence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ok DESC, i) AS r FROM (SELECT doc_id, line, i, contains(line, 'the') AS ok FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents))) WHERE r <= 10 GROUP BY doc_id")

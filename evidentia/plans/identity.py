@@ -10,9 +10,9 @@ from evidentia.operators import identity as I
 from evidentia.operators import review as R
 from evidentia.operators.catalog import first_by_ordinal
 from evidentia.plans.base import query
+from evidentia.sources.sinks import materialize
 from evidentia.sources.tables import PAPERS_SQL, papers, table
 
-GROUP_DIGEST_SQL = "g AS (SELECT source, count(*) AS n, (sum(('0x' || substr(sha256(concat_ws(chr(31), doc_id, sha256(text))), 1, 12))::BIGINT::HUGEINT) % (1::HUGEINT << 60))::BIGINT AS digest FROM documents GROUP BY source)"
 IDS_SQL = PAPERS_SQL + r""", ids AS (SELECT id, CASE WHEN regexp_matches(d, '^10\.\d+/.+$') THEN d END AS doi, CASE WHEN regexp_matches(a, '^(?:\d{4}\.\d{4,5}|[a-z][a-z.\-]*/\d{7})$') THEN a END AS arxiv, CASE WHEN s NOT IN ('', 'unknown') THEN s END AS semantic, pdf,
 CASE WHEN length(t) >= 16 AND p <> '' AND year IS NOT NULL THEN sha256(concat(t, chr(31), year::VARCHAR, chr(31), p)) END AS work FROM
 (SELECT id, year, rtrim(lower(regexp_replace(trim(doi), '(?i)^(?:https?://(?:dx\.)?doi\.org/|doi:\s*)', '')), ' .') AS d,
@@ -83,11 +83,18 @@ def author_set(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(names, ",").alias("names"))
 
 
-@query("incremental_pending", f"WITH {GROUP_DIGEST_SQL} SELECT source, n, ceil(n / 12e0)::BIGINT AS calls FROM g WHERE digest % 2 = 1")
+def _group_digest_sql(name: str, text: str) -> str:
+    return f"{name} AS (SELECT source || '/' || lang AS key, count(*) AS n, (sum(('0x' || substr(sha256(concat_ws(chr(31), doc_id, sha256({text}))), 1, 12))::BIGINT::HUGEINT) % (1::HUGEINT << 60))::BIGINT AS digest FROM documents GROUP BY 1)"
+
+
+@query("incremental_pending", f"WITH {_group_digest_sql('g', 'text')}, {_group_digest_sql('l', chr(39).join(('CASE WHEN doc_id % 30 = 0 THEN text || ', ' old', ' ELSE text END')))} SELECT g.key, g.n, ceil(g.n / 12e0)::BIGINT AS calls FROM g LEFT JOIN l ON l.key = g.key AND l.digest = g.digest WHERE l.key IS NULL")
 def incremental_pending(spark, d):
-    """Groups whose digest is no longer the one that the last run saw."""
-    groups = C.group_digest(table(spark, d, "documents").select("source", "doc_id", F.sha2("text", 256).alias("sha")), "source", "doc_id", "sha")
-    return groups.where("digest % 2 = 1").select("source", "n", F.ceil(F.col("n") / 12.0).alias("calls"))
+    """Groups whose digest is no longer the one that the last run stored; some texts were others then."""
+    docs = table(spark, d, "documents").select(F.concat_ws("/", "source", "lang").alias("key"), "doc_id", "text")
+    digest = lambda text: C.group_digest(docs.withColumn("sha", F.sha2(text, 256)), "key", "doc_id", "sha")
+    stored = materialize(digest(F.when(F.col("doc_id") % 30 == 0, F.concat("text", F.lit(" old"))).otherwise(F.col("text"))), "last-run")
+    pending = C.pending_groups(digest(F.col("text")), stored, "key")
+    return pending.select("key", "n", F.ceil(F.col("n") / 12.0).alias("calls"))
 
 
 @query("hydrate_or_join", f"WITH {IDS_SQL}, w AS (SELECT doc_id AS wid, concat('10.1234/ab.', doc_id % 400) AS doi, CASE WHEN doc_id % 2 = 0 THEN doc_id END AS pid FROM documents), m AS (SELECT wid, id, 0 AS r FROM w JOIN ids ON ids.id = w.pid UNION ALL SELECT wid, id, 1 FROM w JOIN ids ON ids.doi = w.doi) SELECT wid, id FROM (SELECT *, row_number() OVER (PARTITION BY wid ORDER BY r, id) AS k FROM m) WHERE k = 1")

@@ -84,11 +84,16 @@ def relative_window(spark, d):
     return table(spark, d, "orders").select("o_orderkey", day.alias("last"), F.add_months(day, -18).alias("first"))
 
 
-@query("leading_name_join", "SELECT a.p_partkey, b.p_partkey AS match FROM (SELECT p_partkey, lower(split_part(p_name, ' ', 1)) AS k FROM part) a JOIN (SELECT p_partkey, lower(split_part(regexp_replace(p_name, '\\[.*\\]', ''), ' ', 1)) AS k FROM part WHERE p_size = 7) b ON a.k = b.k")
+@query(
+    "leading_name_join",
+    "WITH t AS (SELECT regexp_replace(lower(p_name), '[^a-z0-9_]+', '', 'g') AS k, min(p_partkey) AS match, count(*) AS n FROM part GROUP BY 1) SELECT p_partkey, match, n FROM part JOIN t ON k = regexp_replace(lower(p_name), '[^a-z0-9_]+', '', 'g')",
+)
 def leading_name_join(spark, d):
-    name = T.bare(F.split_part(T.table_label(F.col("p_name")), F.lit(" "), F.lit(1)))
-    rows = table(spark, d, "part").select("p_partkey", "p_size", name.alias("k"))
-    return rows.select("p_partkey", "k").join(rows.where("p_size = 7").select(F.col("p_partkey").alias("match"), "k"), "k").drop("k")
+    """Each part's name against titles that begin with a part's name and go on behind a colon."""
+    rows = table(spark, d, "part")
+    models = rows.select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(" [3]")).alias("model"))
+    titles = rows.select(F.col("p_partkey").alias("id"), F.concat(F.upper("p_name"), F.lit(": "), "p_type").alias("title"))
+    return N.resolved_models(models, titles).select(F.col("id").alias("p_partkey"), "match", "n")
 
 
 ELIGIBLE_SQL = OBS_SQL + """, e AS (SELECT l_orderkey, l_linenumber, model, dataset, value, CASE WHEN l_orderkey % 3 = 0 THEN 'A' ELSE obs.grp END AS grp, CASE WHEN value > 45 THEN 'unbound' WHEN obs.grp = 'R' THEN 'not_proposed' WHEN NOT eligible AND l_orderkey % 3 <> 0 THEN 'outside_scope' WHEN l_orderkey % 3 = 2 THEN 'not_reviewed' WHEN value < 3 THEN 'out_of_scope' WHEN l_orderkey % 3 = 1 AND obs.grp <> 'A' THEN 'unknown_group' ELSE '' END AS reason FROM obs)"""
