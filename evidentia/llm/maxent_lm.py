@@ -2,12 +2,12 @@
 
 log P(word | history) = log P(class | history) + log P(word | class, history). The SINGLES most frequent words are classes of
 their own, all others fall into SUFFIXES classes by a hash of their last bytes. The class softmax is linear in hashed features:
-the word before, and the two classes before. Within a class the binary digits of a word's place are chosen one after the other, each
-by a softmax over its two values; its features are the word before, the two words before and the word before the last (a skip), each
+the word before, and the two classes before. Within a class the digits of a word's place, of DIGIT bits, are chosen one after the other, each
+by a softmax over its values; its features are the word before, the two words before and the word before the last (a skip), each
 paired with the digits so far, and its bias holds the training counts plus one, with one more word for all unknown ones. Places lie
-in the order of counts, spaced by them, so that a word has about as many digits as its share of the class asks for, BITS at most;
+in the order of counts, spaced by them, so that a word has about as many digits as its share of the class asks for, BITS bits at most;
 words that share a place go by their counts. Every training word is a context, and the numbers of rows follow the vocabulary, up to
-LARGEST, beyond which features share rows.
+LARGEST weights, beyond which features share rows.
 
 Texts become blocks of whole documents in a dictionary of their own; corpus counts are joined to the dictionaries, not to the
 tokens. Trainers run gradient steps over their blocks and their weights are averaged, each row by its visits or by the squares of its
@@ -26,19 +26,21 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.llm.common import materialize, pick, slices, table, text_or_empty
 from evidentia.llm.labelled import held_out
+from evidentia.operators.graph import hot_join
 
 MODULUS, REMAINDER = 7, 2
 BLOCK_TOKENS = 2_000_000
 SINGLES, SUFFIXES = 16, 16
 CLASSES = SINGLES + SUFFIXES
-#: Digits of a word within its class, at most.
-BITS = 17
-#: Class rows, at least; above, as many as 1 << (bits - 2), and 1 << (bits + 6) rows within classes, 4 * ROWS at least.
+#: Bits of a word's place within its class, at most, and of a digit of it.
+BITS, DIGIT = 16, 4
+WIDE = 1 << DIGIT
+#: Class rows, at least; above, as many as 1 << (bits - 2), and 1 << (bits + 6) weights within classes, 4 * ROWS at least.
 ROWS, LARGEST = 1 << 14, 1 << 22
 #: Tokens of a gradient step, at most, and steps that a block is divided into at least, where it has tokens enough.
 STEP, LEAST_STEPS = 1 << 15, 64
@@ -93,9 +95,9 @@ def counted_blocks(docs: DataFrame) -> DataFrame:
     made = rows.mapInArrow(_blocks, "doc_ids array<bigint>, held array<boolean>, sizes array<bigint>, codes binary, vocab array<bigint>, counts array<bigint>, suffix binary")
     blocks = materialize(made.withColumn("block", F.monotonically_increasing_id()), "lm-blocks")
     words = blocks.select("block", F.posexplode(F.arrays_zip("vocab", "counts")).alias("p", "w")).select("block", "p", F.col("w.vocab").alias("h"), F.col("w.counts").cast("int").alias("n"))
-    # a word has one row for each block that holds it
-    by = Window.partitionBy("h")
-    totals = words.withColumn("t", F.sum("n").over(by)).withColumn("lead", F.row_number().over(by.orderBy("block")) == 1)
+    # a word has one row for each block that holds it; sums combine early, and the rows of a frequent word are split
+    sums = words.groupBy("h").agg(F.sum("n").alias("t"), F.min("block").alias("first"))
+    totals = hot_join(words, sums, "h").withColumn("lead", F.col("block") == F.col("first"))
     placed = totals.select("block", "p", "t", "lead", F.shiftright("h", 32).cast("int").alias("h")).repartition("block").sortWithinPartitions("block", "p")
     known = placed.select("block", "t", "lead", "h").mapInArrow(_packed, "block bigint, totals binary, lead binary, vocab binary")
     return materialize(blocks.drop("counts", "vocab").join(known, "block"), "lm-counted")
@@ -236,14 +238,16 @@ def balanced(mass: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return table.ravel().astype(np.int32), np.bincount(table.ravel(), own.ravel(), len(mass)).astype(np.float32)
 
 
-def levels(mass: np.ndarray, bits: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """For each digit of a place: how far right it lies, the log odds of a 1 at each node, and whether both values have words."""
-    out = []
-    for shift in reversed(range(bits)):
-        own = mass.reshape(-1, 2, 1 << shift).sum(axis=2, dtype=np.float32)
-        both = (own > 0).all(axis=1)
-        odds = np.where(both, np.log(np.maximum(own[:, 1], 1e-9)) - np.log(np.maximum(own[:, 0], 1e-9)), 0)
-        out.append((shift, odds.astype(np.float32), both))
+def levels(mass: np.ndarray, bits: int) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For each digit of a place, the first having the bits that are left over: how far right it lies, its bits, the log shares of its
+    values at each node, and whether two or more of them have words."""
+    out, shift = [], bits
+    for width in [bits % DIGIT] * (bits % DIGIT > 0) + [DIGIT] * (bits // DIGIT):
+        shift -= width
+        own = mass.reshape(-1, 1 << width, 1 << shift).sum(axis=2, dtype=np.float32)
+        share = np.full((len(own), WIDE), -1e9, np.float32)
+        share[:, : 1 << width] = np.where(own > 0, np.log(np.maximum(own, 1e-9)) - np.log(np.maximum(own.sum(axis=1, keepdims=True), 1e-9)), -1e9)
+        out.append((shift, width, share, (own > 0).sum(axis=1) > 1))
     return out
 
 
@@ -254,7 +258,7 @@ def _row(template: int, n: int, *parts: np.ndarray) -> np.ndarray:
         for p in parts:
             mixed = (mixed + p.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             mixed ^= mixed >> np.uint64(29)
-    return (mixed & np.uint64(n - 1)).astype(np.int32) if n else mixed
+    return (mixed & np.uint64(n - 1)).astype(np.int64) if n else mixed
 
 
 def _runs(kind: np.ndarray, word: np.ndarray, leaf: np.ndarray, codes: np.ndarray, sizes: np.ndarray, step: int = STEP):
@@ -288,27 +292,37 @@ def inner_contexts(words: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
 
 
 def inner_choices(steps: list, contexts: np.ndarray, leaf: np.ndarray, weights: np.ndarray):
-    """(tokens, digit, log odds of a 1, row of each template) for each digit that leaves a choice."""
+    """(tokens, digit, log probability of each of its values, row of each template) for each digit that leaves a choice."""
     mask, leaf = np.uint32(len(weights) - 1), leaf.astype(np.uint32)
-    for shift, odds, both in steps:
-        parent = leaf >> np.uint32(shift + 1)
-        at = np.flatnonzero(both[parent])
+    for shift, width, share, choice in steps:
+        parent = leaf >> np.uint32(shift + width)
+        at = np.flatnonzero(choice[parent])
         if not len(at):
             continue
         parent = parent[at]
         node = (parent << np.uint32(5) | np.uint32(shift)) * np.uint32(0x9E3779B1)
         mixed = (contexts[:, at] ^ node) * np.uint32(0x85EBCA77)
-        rows = (mixed ^ mixed >> np.uint32(15)) & mask
-        yield at, (leaf[at] >> np.uint32(shift) & np.uint32(1)).astype(np.float32), odds[parent] + weights[rows].sum(axis=0), rows
+        rows = ((mixed ^ mixed >> np.uint32(15)) & mask).astype(np.int64)
+        z = summed(taken(share, parent.astype(np.int64)), weights, rows)
+        yield at, (leaf[at] >> np.uint32(shift) & np.uint32((1 << width) - 1)).astype(np.int64), z, rows
+
+
+def taken(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Rows of a table by numbers that are known to be in it."""
+    return table.take(rows, axis=0, mode="clip")
+
+
+def summed(z: np.ndarray, weights: np.ndarray, rows) -> np.ndarray:
+    """z plus the weights of all rows, as log probabilities; z is overwritten. Sums stay below 60, where a power still fits 32 bits."""
+    for r in rows:
+        z += taken(weights, r)
+    np.minimum(z, 60, out=z)
+    z -= np.log(np.exp(z) @ np.ones(z.shape[1], np.float32))[:, None]
+    return z
 
 
 def _log_softmax(bias: np.ndarray, weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    z = weights[rows[0]]
-    for r in rows[1:]:
-        z += weights[r]
-    z = z[:, : bias.shape[-1]] + bias
-    z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+    return summed(np.repeat(bias[None], len(rows[0]), axis=0), weights[:, : len(bias)], rows)
 
 
 def class_bias(lex: Lexicon) -> np.ndarray:
@@ -316,18 +330,10 @@ def class_bias(lex: Lexicon) -> np.ndarray:
 
 
 def _step(weights: np.ndarray, squares: np.ndarray, visits: np.ndarray, rows: list[np.ndarray], g: np.ndarray, n: np.ndarray, rate: float) -> None:
-    """One AdaGrad step; squares have a column for each output, or one for the row's mean."""
-    width = g.shape[1]
+    """One AdaGrad step."""
     for r in rows:
-        order = np.argsort(r, kind="stable")
-        cut = np.flatnonzero(np.concatenate([[True], np.diff(r[order]) > 0]))
-        own = r[order][cut]
-        total = np.add.reduceat(g[order], cut, axis=0)
-        visits[own] += np.add.reduceat(n[order], cut)
-        more = total * total
-        seen = squares[own] + (more if squares.shape[1] > 1 else more.mean(axis=1, keepdims=True))
-        squares[own] = seen
-        weights[own, :width] -= rate * total / np.sqrt(seen + 1.0)
+        visits += np.bincount(r, n, len(visits)).astype(np.float32)
+        _adagrad(weights, squares, *grouped(r, g), rate)
 
 
 def _descend(state: tuple[np.ndarray, np.ndarray, np.ndarray], bias: np.ndarray, context: np.ndarray, target: np.ndarray, rate: float) -> None:
@@ -340,38 +346,62 @@ def _descend(state: tuple[np.ndarray, np.ndarray, np.ndarray], bias: np.ndarray,
 
 
 class Inner:
-    """AdaGrad over the weights within classes, one a row."""
+    """AdaGrad over the weights within classes, WIDE a row."""
 
     def __init__(self, n: int):
-        self.weights, self.squares, self.sums = (np.zeros(n, np.float32) for _ in range(3))
-        self.seen = np.zeros(n, bool)
+        self.weights, self.squares = np.zeros((n, WIDE), np.float32), np.zeros(n, np.float32)
 
     def descend(self, steps: list, words: tuple[np.ndarray, np.ndarray], leaf: np.ndarray, rate: float) -> None:
-        """One step on the log loss of all digits of a run of tokens."""
+        """A step on the log loss of each digit of a run of tokens, the first digit first; within it, for one template after the other."""
         for _, digit, z, rows in inner_choices(steps, inner_contexts(words), leaf, self.weights):
-            g = 1 / (1 + np.exp(-z)) - digit
-            np.add.at(self.sums, rows.ravel(), np.tile(g, len(rows)))
-            self.seen[rows] = True
-        own = np.flatnonzero(self.seen)
-        total = self.sums[own]
-        squares = self.squares[own] + total * total
-        self.weights[own] -= rate * total / np.sqrt(squares + 1)
-        self.squares[own] = squares
-        self.sums[own], self.seen[own] = 0, False
+            g = np.exp(z, out=z)
+            g[np.arange(len(g)), digit] -= 1
+            for r in rows:
+                _adagrad(self.weights, self.squares, *grouped(r, g), rate)
+
+
+def grouped(rows: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows and the sum of what belongs to each; most rows come once."""
+    order = np.argsort(rows)
+    sorted_ = rows[order]
+    first = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])
+    cut = np.flatnonzero(first)
+    total = taken(g, order[cut])
+    size = np.diff(np.append(cut, len(rows)))
+    many = np.flatnonzero(size > 1)
+    if len(many):
+        inside = np.repeat(size > 1, size)
+        starts = np.cumsum(size[many]) - size[many]
+        total[many] = np.add.reduceat(taken(g, order[inside]), starts, axis=0)
+    return sorted_[cut], total
+
+
+def put_rows(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """table[rows] = values for contiguous rows, each written as one piece of bytes."""
+    piece = f"V{table.shape[1] * table.itemsize}"
+    table.view(piece).ravel()[rows] = np.ascontiguousarray(values).view(piece).ravel()
+
+
+def _adagrad(weights: np.ndarray, squares: np.ndarray, own: np.ndarray, total: np.ndarray, rate: float) -> None:
+    """One step on the rows of own; each row has one sum of squares."""
+    squares[own] += np.einsum("ij,ij->i", total, total)
+    total *= (-rate / np.sqrt(squares[own] + 1))[:, None]
+    total += taken(weights, own)
+    put_rows(weights, own, total)
 
 
 def _many(lex: Lexicon) -> tuple[int, int]:
     """Class rows and rows within classes."""
-    return max(ROWS, 1 << max(0, lex.bits - 2)), min(LARGEST, max(4 * ROWS, 1 << (lex.bits + 6)))
+    return max(ROWS, 1 << max(0, lex.bits - 2)), min(LARGEST, max(4 * ROWS, 1 << (lex.bits + 6))) // WIDE
 
 
-def learn(counted: DataFrame, lex: Lexicon, places: np.ndarray, mass: np.ndarray, trainers: int = TRAINERS, rate: float = 0.2) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of classes, rows x CLASSES, and within classes, one a row, from one pass over all training tokens."""
+def learn(counted: DataFrame, lex: Lexicon, places: np.ndarray, mass: np.ndarray, trainers: int = TRAINERS, rate: float = 0.4) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of classes, rows x CLASSES, and within classes, rows x WIDE, from one pass over all training tokens."""
     bias, many = class_bias(lex), _many(lex)
     shared = counted.sparkSession.sparkContext.broadcast((places, mass))
 
     def learned(batches):
-        outer, inner = tuple(np.zeros((many[0], k), np.float32) for k in (CLASSES, CLASSES)) + (np.zeros(many[0], np.float32),), Inner(many[1])
+        outer, inner = (np.zeros((many[0], CLASSES), np.float32), np.zeros(many[0], np.float32), np.zeros(many[0], np.float32)), Inner(many[1])
         places, mass = shared.value
         steps = levels(mass, lex.bits)
         for batch in batches:
@@ -404,14 +434,14 @@ def learn(counted: DataFrame, lex: Lexicon, places: np.ndarray, mass: np.ndarray
     parts = counted.drop("doc_ids").select(F.array().cast("array<bigint>").alias("doc_ids"), "held", "sizes", "codes", "suffix", *DICTIONARY)
     tasks = max(1, min(trainers, max(8, counted.count() // SHARE)))
     found = parts.coalesce(tasks).mapInArrow(learned, "piece int, w0 binary, n0 binary, w1 binary, n1 binary").repartition(PIECES, "piece").mapInArrow(averaged, "piece int, w0 binary, w1 binary").collect()
-    weights = [np.zeros((PIECES, m // PIECES * k), np.float16) for m, k in zip(many, (CLASSES, 1))]
+    weights = [np.zeros((PIECES, m // PIECES * k), np.float16) for m, k in zip(many, (CLASSES, WIDE))]
     for r in found:
         for k in range(2):
             weights[k][r["piece"]] = np.frombuffer(r[f"w{k}"], "<f2")
-    return weights[0].reshape(-1, CLASSES), weights[1].reshape(-1)
+    return weights[0].reshape(-1, CLASSES), weights[1].reshape(-1, WIDE)
 
 
-def train(counted: DataFrame, lex: Lexicon, trainers: int = TRAINERS, rate: float = 0.2) -> np.ndarray:
+def train(counted: DataFrame, lex: Lexicon, trainers: int = TRAINERS, rate: float = 0.4) -> np.ndarray:
     """Class weights alone."""
     return learn(counted, lex, *balanced(masses(counted, lex), lex.bits), trainers, rate)[0].astype(np.float32)
 
@@ -420,8 +450,7 @@ def inner_scores(steps: list, weights: np.ndarray, words: tuple[np.ndarray, np.n
     """Natural log P(leaf | class, history)."""
     out = np.zeros(len(leaf))
     for at, digit, z, _ in inner_choices(steps, inner_contexts(words), leaf, weights):
-        wrong = np.where(digit == 1, -z, z)
-        out[at] -= np.maximum(wrong, 0) + np.log(1 + np.exp(-np.abs(wrong)))
+        out[at] += z[np.arange(len(z)), digit]
     return out
 
 

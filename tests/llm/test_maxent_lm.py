@@ -83,39 +83,79 @@ def test_empty_table(spark):
 
 
 def test_inner_step_equals_plain_loops():
-    """AdaGrad over the digits of leaves, against loops over tokens, digits and templates."""
+    """AdaGrad over the digits of leaves, against loops over digits, templates and tokens."""
     r = np.random.default_rng(4)
-    bits, n = 4, 256
+    bits, n = 6, 256
     mass = r.integers(0, 3, lm.SUFFIXES << bits).astype(np.float32)
     mass[:: 1 << bits] += 1
     steps = lm.levels(mass, bits)
+    assert [(shift, width) for shift, width, *_ in steps] == [(4, 2), (0, 4)]
     leaf = r.choice(np.flatnonzero(mass), 60)
     words = r.integers(0, 9, 60), r.integers(0, 9, 60)
     inner = lm.Inner(n)
-    weights, squares = np.zeros(n), np.zeros(n)
+    weights, squares = np.zeros((n, 16)), np.zeros(n)
     contexts = lm.inner_contexts(words)
     for _ in range(3):
-        sums, seen = np.zeros(n), set()
-        for t in range(60):
-            for shift in range(bits):
-                node = int(leaf[t]) >> (shift + 1)
-                low, high = (mass[((node << 1 | d) << shift) : ((node << 1 | d) + 1 << shift)].sum() for d in (0, 1))
-                if not low or not high:
+        for shift, width in ((4, 2), (0, 4)):
+            found = []
+            for t in range(60):
+                node = int(leaf[t]) >> (shift + width)
+                own = [mass[((node << width | d) << shift) : ((node << width | d) + 1 << shift)].sum() for d in range(1 << width)]
+                if sum(m > 0 for m in own) < 2:
                     continue
                 key = ((node << 5 | shift) * 0x9E3779B1) % 2**32
                 mixed = [((int(c[t]) ^ key) * 0x85EBCA77) % 2**32 for c in contexts]
                 rows = [(x ^ x >> 15) & (n - 1) for x in mixed]
-                z = math.log(high) - math.log(low) + sum(weights[k] for k in rows)
-                for k in rows:
-                    sums[k] += 1 / (1 + math.exp(-z)) - (int(leaf[t]) >> shift & 1)
-                    seen.add(k)
-        for k in seen:
-            squares[k] += sums[k] ** 2
-            weights[k] -= 0.4 * sums[k] / math.sqrt(squares[k] + 1)
+                odds = [m * math.exp(sum(weights[k, d] for k in rows)) for d, m in enumerate(own)]
+                g = np.array([o / sum(odds) for o in odds] + [0.0] * (16 - len(odds)))
+                g[int(leaf[t]) >> shift & (1 << width) - 1] -= 1
+                found.append((rows, g))
+            for k in range(3):
+                for row in {rows[k] for rows, _ in found}:
+                    total = sum(g for rows, g in found if rows[k] == row)
+                    squares[row] += (total**2).sum()
+                    weights[row] -= 0.4 * total / np.sqrt(squares[row] + 1)
         inner.descend(steps, words, leaf, 0.4)
     assert np.allclose(inner.weights, weights, atol=1e-3) and inner.squares.sum() > 0
 
 
+def test_a_text_is_scored_as_the_product_of_its_parts(spark):
+    """The score of a text from the weights, by loops: class and digits of each token, and its share of its place."""
+    rows = corpus()
+    df = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in rows], DOCS).coalesce(1)
+    counted = lm.counted_blocks(df)
+    lex = lm.lexicon(counted)
+    places, mass = lm.balanced(lm.masses(counted, lex), lex.bits)
+    outer, inner = (w.astype(np.float32) for w in lm.learn(counted, lex, places, mass))
+    got = {r.doc_id: r.score for r in lm.scores(df).collect()}
+    b = next(x for batch in counted.select("doc_ids", "held", "sizes", "codes", "suffix", *lm.DICTIONARY).toArrow().to_batches() for x in lm._rows(batch))
+    kind, word, leaf = lex.describe(b, places)
+    ends = np.cumsum(b.sizes)
+    for k in (4, 40, 77):
+        own, total = b.codes[ends[k] - b.sizes[k] : ends[k]], 0.0
+        for t, c in enumerate(own):
+            w1, w2 = (word[own[t - j]] if t >= j else lm.SUFFIXES for j in (1, 2))
+            k1, k2 = (kind[own[t - j]] if t >= j else lm.CLASSES for j in (1, 2))
+            context = np.array([(w1 * (lm.CLASSES + 1) + k1) * (lm.CLASSES + 1) + k2])
+            z = lm.class_bias(lex) + sum(outer[f[0]] for f in lm.features(context, len(outer)))
+            total += z[kind[c]] - math.log(np.exp(z.astype(float)).sum())
+            if kind[c] < lm.SINGLES:
+                continue
+            shift = lex.bits
+            contexts = lm.inner_contexts((np.array([w1]), np.array([w2])))[:, 0]
+            while shift:
+                width = shift % lm.DIGIT or lm.DIGIT
+                shift -= width
+                node = int(leaf[c]) >> (shift + width)
+                own_mass = [mass[((node << width | d) << shift) : ((node << width | d) + 1 << shift)].sum() for d in range(1 << width)]
+                mixed = [((int(x) ^ ((node << 5 | shift) * 0x9E3779B1) % 2**32) * 0x85EBCA77) % 2**32 for x in contexts]
+                at = [(x ^ x >> 15) & (len(inner) - 1) for x in mixed]
+                odds = [float(m) * math.exp(sum(float(inner[a, d]) for a in at)) for d, m in enumerate(own_mass)]
+                total += math.log(odds[int(leaf[c]) >> shift & (1 << width) - 1] / sum(odds))
+            total += math.log((b.totals[c] + 1) / max(mass[leaf[c]], 1))
+        assert abs(got[b.doc_ids[k].as_py()] - total / math.log(10)) < 2e-3 * len(own)
+
+
 def test_places_follow_the_counts():
     r = np.random.default_rng(6)
     mass = np.concatenate([r.zipf(1.5, 1 << 6).clip(0, 10**6) for _ in range(lm.SUFFIXES)]).astype(np.float32)
