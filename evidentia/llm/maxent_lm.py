@@ -34,7 +34,7 @@ from evidentia.llm.labelled import held_out
 from evidentia.operators.graph import hot_join
 
 MODULUS, REMAINDER = 7, 2
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 4_000_000
 SINGLES, SUFFIXES = 16, 16
 CLASSES = SINGLES + SUFFIXES
 #: Bits of a word's place within its class, at most, and of a digit of it.
@@ -47,8 +47,10 @@ STEP, LEAST_STEPS = 1 << 15, 64
 #: Tasks that train side by side, at most; each passes once over its share of all training tokens, SHARE blocks or more, so
 #: that what they send stays in proportion to the input.
 TRAINERS = 1024
-SHARE = 5
+SHARE = 3
 PIECES = 64
+#: The least probability that 32 bits hold.
+LEAST = np.float32(1e-37)
 DICTIONARY = ("totals", "lead", "vocab")
 #: Hash of the end of a text; no word holds a blank.
 END = int(np.uint64(xxhash.xxh64_intdigest(b" ")).view(np.int64))
@@ -94,15 +96,26 @@ def counted_blocks(docs: DataFrame) -> DataFrame:
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out("doc_id", MODULUS, REMAINDER).alias("out"), text_or_empty().alias("text"))
     made = rows.mapInArrow(_blocks, "doc_ids array<bigint>, held array<boolean>, sizes array<bigint>, codes binary, vocab array<bigint>, counts array<bigint>, suffix binary")
     blocks = materialize(made.withColumn("block", F.monotonically_increasing_id()), "lm-blocks")
-    words = blocks.select("block", F.posexplode(F.arrays_zip("vocab", "counts")).alias("p", "w")).select("block", "p", F.col("w.vocab").alias("h"), F.col("w.counts").cast("int").alias("n"))
-    # a word has one row for each block that holds it; sums combine early, and the rows of a frequent word are split
-    sums = words.groupBy("h").agg(F.sum("n").alias("t"), F.min("block").alias("first"))
-    totals = hot_join(words, sums, "h").withColumn("lead", F.col("block") == F.col("first"))
+    words = blocks.select("block", "vocab", "counts").mapInArrow(_words, "block bigint, p int, h bigint, n int")
+    # a word has one row for each block that holds it; sums of words in several blocks combine early, and the rows of a frequent word
+    # are split
+    sums = words.groupBy("h").agg(F.sum("n").alias("sum"), F.min("block").alias("first"), F.count("*").alias("blocks")).where("blocks > 1").drop("blocks")
+    totals = hot_join(words, sums, "h").select("block", "p", "h", F.coalesce("sum", "n").alias("t"), F.coalesce(F.col("block") == F.col("first"), F.lit(True)).alias("lead"))
     placed = totals.select("block", "p", "t", "lead", F.shiftright("h", 32).cast("int").alias("h")).repartition("block").sortWithinPartitions("block", "p")
     known = placed.select("block", "t", "lead", "h").mapInArrow(_packed, "block bigint, totals binary, lead binary, vocab binary")
     return materialize(blocks.drop("counts", "vocab").join(known, "block"), "lm-counted")
 
 
+def _words(batches):
+    """A row for each word of a block's dictionary."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            h, n = (batch.column(k)[r].values for k in (1, 2))
+            for at in range(0, len(h), 50_000):
+                own = h.slice(at, 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), batch.column(0)[r].as_py(), np.int64)), pa.array(np.arange(at, at + len(own), dtype=np.int32)), own, n.slice(at, 50_000).cast(pa.int32())], ["block", "p", "h", "n"])
+
+
 def _packed(batches):
     """Rows come sorted by block and place; a block's columns become one row of bytes."""
     key, held = None, []
@@ -292,19 +305,23 @@ def inner_contexts(words: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
 
 
 def inner_choices(steps: list, contexts: np.ndarray, leaf: np.ndarray, weights: np.ndarray):
-    """(tokens, digit, log probability of each of its values, row of each template) for each digit that leaves a choice."""
-    mask, leaf = np.uint32(len(weights) - 1), leaf.astype(np.uint32)
+    """(tokens, flat place of each one's digit, powers of the sums of its values, their totals, row of each template) for each digit that
+    leaves a choice."""
+    mask, leaf = np.uint32(len(weights) - 1), leaf.astype(np.int64)
     for shift, width, share, choice in steps:
-        parent = leaf >> np.uint32(shift + width)
-        at = np.flatnonzero(choice[parent])
+        parent = leaf >> (shift + width)
+        at = np.flatnonzero(choice.take(parent, mode="clip"))
         if not len(at):
             continue
-        parent = parent[at]
-        node = (parent << np.uint32(5) | np.uint32(shift)) * np.uint32(0x9E3779B1)
-        mixed = (contexts[:, at] ^ node) * np.uint32(0x85EBCA77)
-        rows = ((mixed ^ mixed >> np.uint32(15)) & mask).astype(np.int64)
-        z = summed(taken(share, parent.astype(np.int64)), weights, rows)
-        yield at, (leaf[at] >> np.uint32(shift) & np.uint32((1 << width) - 1)).astype(np.int64), z, rows
+        parent = parent.take(at, mode="clip")
+        node = (parent << 5 | shift).astype(np.uint32) * np.uint32(0x9E3779B1)
+        rows = []
+        for own in contexts:
+            mixed = (own.take(at, mode="clip") ^ node) * np.uint32(0x85EBCA77)
+            rows.append(((mixed ^ mixed >> np.uint32(15)) & mask).astype(np.int64))
+        powers, totals = summed(taken(share, parent), weights, rows)
+        digit = leaf.take(at, mode="clip") >> shift & ((1 << width) - 1)
+        yield at, np.arange(0, len(at) * WIDE, WIDE) + digit, powers, totals, rows
 
 
 def taken(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -312,17 +329,21 @@ def taken(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return table.take(rows, axis=0, mode="clip")
 
 
-def summed(z: np.ndarray, weights: np.ndarray, rows) -> np.ndarray:
-    """z plus the weights of all rows, as log probabilities; z is overwritten. Sums stay below 60, where a power still fits 32 bits."""
+def summed(z: np.ndarray, weights: np.ndarray, rows) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of z plus the weights of all rows, and their totals; z is overwritten. Sums stay below 60, where a power still fits
+    32 bits."""
     for r in rows:
         z += taken(weights, r)
     np.minimum(z, 60, out=z)
-    z -= np.log(np.exp(z) @ np.ones(z.shape[1], np.float32))[:, None]
-    return z
+    np.exp(z, out=z)
+    return z, z @ np.ones(z.shape[1], np.float32)
 
 
-def _log_softmax(bias: np.ndarray, weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    return summed(np.repeat(bias[None], len(rows[0]), axis=0), weights[:, : len(bias)], rows)
+def class_shares(bias: np.ndarray, weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    """The probability of each class, by context."""
+    powers, totals = summed(np.repeat(bias[None], len(rows[0]), axis=0), weights, rows)
+    powers /= totals[:, None]
+    return powers
 
 
 def class_bias(lex: Lexicon) -> np.ndarray:
@@ -340,8 +361,9 @@ def _descend(state: tuple[np.ndarray, np.ndarray, np.ndarray], bias: np.ndarray,
     """One step on the log loss of classes of a run of tokens; equal contexts are worked out once."""
     distinct, of, n = np.unique(context, return_inverse=True, return_counts=True)
     rows = features(distinct, len(state[0]))
-    g = np.exp(_log_softmax(bias, state[0], rows)) * n[:, None].astype(np.float32)
-    g -= np.bincount(of * CLASSES + target, minlength=g.size).reshape(g.shape)
+    g = class_shares(bias, state[0], rows)
+    g *= n[:, None].astype(np.float32)
+    np.subtract.at(g.reshape(-1), of * CLASSES + target, np.float32(1))
     _step(*state, rows, g, n, rate)
 
 
@@ -353,9 +375,9 @@ class Inner:
 
     def descend(self, steps: list, words: tuple[np.ndarray, np.ndarray], leaf: np.ndarray, rate: float) -> None:
         """A step on the log loss of each digit of a run of tokens, the first digit first; within it, for one template after the other."""
-        for _, digit, z, rows in inner_choices(steps, inner_contexts(words), leaf, self.weights):
-            g = np.exp(z, out=z)
-            g[np.arange(len(g)), digit] -= 1
+        for _, digit, g, totals, rows in inner_choices(steps, inner_contexts(words), leaf, self.weights):
+            g /= totals[:, None]
+            g.reshape(-1)[digit] -= 1
             for r in rows:
                 _adagrad(self.weights, self.squares, *grouped(r, g), rate)
 
@@ -384,8 +406,9 @@ def put_rows(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
 
 def _adagrad(weights: np.ndarray, squares: np.ndarray, own: np.ndarray, total: np.ndarray, rate: float) -> None:
     """One step on the rows of own; each row has one sum of squares."""
-    squares[own] += np.einsum("ij,ij->i", total, total)
-    total *= (-rate / np.sqrt(squares[own] + 1))[:, None]
+    seen = squares.take(own, mode="clip") + np.einsum("ij,ij->i", total, total)
+    squares[own] = seen
+    total *= (-rate / np.sqrt(seen + 1))[:, None]
     total += taken(weights, own)
     put_rows(weights, own, total)
 
@@ -449,8 +472,8 @@ def train(counted: DataFrame, lex: Lexicon, trainers: int = TRAINERS, rate: floa
 def inner_scores(steps: list, weights: np.ndarray, words: tuple[np.ndarray, np.ndarray], leaf: np.ndarray) -> np.ndarray:
     """Natural log P(leaf | class, history)."""
     out = np.zeros(len(leaf))
-    for at, digit, z, _ in inner_choices(steps, inner_contexts(words), leaf, weights):
-        out[at] += z[np.arange(len(z)), digit]
+    for at, digit, powers, totals, _ in inner_choices(steps, inner_contexts(words), leaf, weights):
+        out[at] += np.log(np.maximum(powers.reshape(-1).take(digit, mode="clip") / totals, LEAST))
     return out
 
 
@@ -478,7 +501,7 @@ def scores(docs: DataFrame, trainers: int = TRAINERS) -> DataFrame:
                 model = rest[b.codes]
                 for at, of, context, words, place in _runs(kind, word, leaf, b.codes, b.sizes):
                     distinct, which = np.unique(context, return_inverse=True)
-                    gained = _log_softmax(bias, outer, features(distinct, len(outer)))[which, of].astype(np.float64)
+                    gained = np.log(np.maximum(class_shares(bias, outer, features(distinct, len(outer))).reshape(-1).take(which * CLASSES + of, mode="clip"), LEAST)).astype(np.float64)
                     deep = of >= SINGLES
                     if deep.any():
                         gained[deep] += inner_scores(steps, inner, (words[0][deep], words[1][deep]), place[deep])
