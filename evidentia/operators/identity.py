@@ -112,12 +112,10 @@ def _first(value: Column, ordinal: str, among: Column | None = None) -> Column:
 
 
 def _waiting(open_: DataFrame, name: str, at: str) -> DataFrame:
-    """open_ with at: the record that holds name before this one, if there is exactly one; -1 if there is none, -2 of more."""
-    first = open_.groupBy(name).agg(F.min("ord").alias("__first"))
-    ranked = materialize(hot_join(open_, first, name), "merge-ranked")
-    second = ranked.where(F.col("ord") > F.col("__first")).groupBy(name).agg(F.min("ord").alias("__second"))
-    before = F.when(F.col("ord") == F.col("__first"), -1).when(F.col("ord") == F.col("__second"), F.col("__first")).otherwise(-2)
-    return hot_join(ranked, second, name).withColumn(at, before.cast("bigint")).drop("__first", "__second")
+    """open_ with at: -1 if no record holds name before this one, the other record if two hold it, else -2."""
+    held = open_.groupBy(name).agg(F.min("ord").alias("__first"), F.count("*").alias("__n"))
+    before = F.when(F.col("ord") == F.col("__first"), -1).when(F.col("__n") == 2, F.col("__first")).otherwise(-2)
+    return hot_join(open_, held, name).withColumn(at, before.cast("bigint")).drop("__first", "__n")
 
 
 def founders(rows: DataFrame, names: Sequence[str] = ("key", "title"), max_rounds: int = 10_000) -> DataFrame:
@@ -136,18 +134,19 @@ def founders(rows: DataFrame, names: Sequence[str] = ("key", "title"), max_round
         both = _waiting(materialize(_waiting(open_, a, "at_a"), "merge-waiting"), b, "at_b")
         alone = (F.col("at_a") >= 0) & (F.col("at_b") == -1) | (F.col("at_b") >= 0) & (F.col("at_a") == -1)
         chain = materialize(both.select("ord", a, b, F.when(alone, F.greatest("at_a", "at_b")).otherwise(F.col("ord")).alias("to"), alone.alias("odd"), ((F.col("at_a") == -1) & (F.col("at_b") == -1)).alias("sure")), "merge-chain")
-        while True:
+        moving = not chain.where("odd").isEmpty()
+        rounds += 1
+        while moving:
             rounds += 1
-            if rounds > max_rounds:
-                raise RuntimeError(f"founders have not settled in {max_rounds} rounds")
             step = chain.select(F.col("ord").alias("to"), F.col("to").alias("far"), F.col("odd").alias("more"), F.col("sure").alias("known"))
             chain = materialize(hot_join(chain, step, "to").select("ord", a, b, F.col("far").alias("to"), (F.col("odd") != F.col("more")).alias("odd"), (F.col("sure") | F.col("known")).alias("sure"), (F.col("far") != F.col("to")).alias("moved")), "merge-chain")
-            if chain.where("moved").isEmpty():
-                break
+            moving = not chain.where("moved").isEmpty()
         now = chain.where("sure AND NOT odd").select("ord", a, b)
         left = materialize(hot_join(open_, now.select(a, F.col("ord").alias("via_a")), a).where("via_a IS NULL").select("ord", a, b), "merge-open")
         open_ = materialize(hot_join(left, now.select(b, F.col("ord").alias("via_b")), b).where("via_b IS NULL").select("ord", a, b), "merge-open")
         found.append(now)
+        if rounds > max_rounds:
+            raise RuntimeError(f"founders have not settled in {max_rounds} rounds")
     if not found:
         return given.select("ord", F.col("ord").alias("founder"))
     all_ = reduce(DataFrame.unionByName, found)
