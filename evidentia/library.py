@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.operators import catalog, log, passages, retrieval
+from evidentia.operators import catalog, log, passages, retrieval, segments
 
 #: Values set at once, at most.
 BATCH = 500
@@ -37,6 +37,19 @@ class Library:
         docs = self.papers.select("id", "text", F.col("id").alias("parent"))
         return retrieval.hybrid_search(docs, self.vectors, question, list(probe), scope, top_k=top_k)
 
+    def index(self, folder: str, encode: Callable | None = None) -> dict[str, int]:
+        """Bring a stored index of the papers' chunks up to date; numbers of reused, indexed and pruned papers."""
+        return segments.update(segments.stamped(self.papers.select("id", "text")), folder, prune=True, encode=encode)
+
+    def find(self, folder: str, question: str, probe: Sequence[float] | None = None, ids: Sequence[int] | None = None, top_k: int = 6) -> DataFrame:
+        """Hits of a stored index with their section, place and version, among the visible papers, or those of ids that are; papers that
+        have changed since they were indexed are not found."""
+        current = segments.stamped(self.visible().select("id", "text")).select("id", "sha")
+        if ids is not None:
+            named = self.papers.sparkSession.createDataFrame([(i,) for i in dict.fromkeys(ids)], "id bigint")
+            current = current.join(named, "id", "left_semi")
+        return segments.hybrid(self.papers.sparkSession, folder, question, probe, current, top_k=top_k)
+
     def page(self, number: int, size: int = 50, text: str | None = None, status: str | None = None, category: str | None = None, order: Sequence[Column] | None = None) -> DataFrame:
         """A page of visible papers; text looks in the papers and in those folded onto them."""
         rows = self.visible()

@@ -52,3 +52,14 @@ def test_sessions_quotes_and_index(spark):
     assert sorted((r.id, r.start, r.end) for r in lib.quotes(quotes).collect()) == [(1, 6, 25), (2, 6, 25)]
     current = lib.papers.where("id <> 5").select("id", F.sha2("text", 256).alias("sha"))
     assert ids(lib.outdated(current)) == [5]
+
+
+def test_a_stored_index_answers_for_visible_papers_as_they_are_now(spark, tmp_path):
+    lib, folder = make(spark), str(tmp_path / "index")
+    assert lib.index(folder) == {"reused": 0, "indexed": 5, "pruned": 0} and lib.index(folder)["reused"] == 5
+    assert ids(lib.find(folder, "alpha")) == [1, 3] and ids(lib.find(folder, "alpha", ids=[3, 4])) == [3]
+    hit = lib.find(folder, "epsilon").first()
+    assert (hit.id, hit.start, hit.end, hit.methods) == (3, 0, 21, ["text"])
+    lib.papers = lib.papers.withColumn("text", F.when(F.col("id") == 3, "other words").otherwise(F.col("text"))).where("id <> 1")
+    assert ids(lib.find(folder, "alpha")) == []
+    assert lib.index(folder) == {"reused": 3, "indexed": 1, "pruned": 1} and ids(lib.find(folder, "other")) == [3]
