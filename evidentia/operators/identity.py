@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from functools import reduce
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,8 @@ IDENTITIES = ("doi", "arxiv", "semantic", "pdf", "work")
 EXCLUSIVE = ("doi", "arxiv", "semantic")
 #: Characters that a title needs to identify a work.
 LEAST_TITLE = 16
+#: Distinct identities of a component with conflicts that one task may replay: some 100 MB.
+TASK_ROWS = 100_000
 
 
 def with_identifiers(papers: DataFrame) -> DataFrame:
@@ -79,13 +82,99 @@ def _replay(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": list(group), "group_id": [lowest[g] for g in group.values()]})
 
 
-def duplicate_groups(rows: DataFrame) -> DataFrame:
+def _first_fits(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one key's holders (g, f, *EXCLUSIVE), those that fit another holder, each with its lowest link: (later f, earlier f).
+
+    Two holders fit unless an identifier that both have differs. Holders are looked up by the values that they share with each
+    pattern of missing identifiers, so the work is linear in the holders.
+    """
+    rows = sorted(pdf[["f", *EXCLUSIVE]].itertuples(index=False, name=None))
+    told = [tuple(n for n, v in enumerate(row[1:]) if isinstance(v, str)) for row in rows]
+
+    def nearest(order: Iterable[int]) -> dict[int, int]:
+        """The first holder in order, before each one, that fits it."""
+        at: dict[tuple, int] = {}
+        met: set[tuple[int, ...]] = set()
+        out = {}
+        for i in order:
+            mine, values = told[i], rows[i][1:]
+            fits = []
+            for other in met:
+                both = tuple(n for n in mine if n in other)
+                found = at.get((other, both, tuple(values[n] for n in both)))
+                if found is not None:
+                    fits.append(found)
+            if fits:
+                out[i] = fits
+            met.add(mine)
+            for k in range(len(mine) + 1):
+                for both in combinations(mine, k):
+                    keep(at, (mine, both, tuple(values[n] for n in both)), i)
+        return out
+
+    keep = dict.setdefault
+    links = {i: (rows[i][0], rows[min(fits)][0]) for i, fits in nearest(range(len(rows))).items()}
+    keep = dict.__setitem__  # backwards, the last one put in is the next one after a holder
+    for i, fits in nearest(reversed(range(len(rows)))).items():
+        links.setdefault(i, (rows[min(fits)][0], rows[i][0]))
+    group = dict(zip(pdf["f"], pdf["g"]))
+    rank = IDENTITIES.index(pdf["key"].iloc[0].split(":", 1)[0])
+    held = sorted(links)
+    return pd.DataFrame({"key": pdf["key"].iloc[0], "g": [group[rows[i][0]] for i in held], "f": [rows[i][0] for i in held], "later": [links[i][0] for i in held], "rank": rank, "earlier": [links[i][1] for i in held]}).astype({"g": "int64", "f": "int64", "later": "int64", "earlier": "int64", "rank": "int32"})
+
+
+def groups_in_rounds(rows: DataFrame, task_rows: int, max_rounds: int = 10_000) -> DataFrame:
+    """(id, group_id) of distinct (id, *IDENTITIES), as _replay gives them, without a task that takes a component.
+
+    A link of two groups is a key that both hold; its place in the order is the record that tries it, the key's rank and the
+    record that is tried. Links of groups that clash are dead for good, as groups only grow. Each round finds the lowest living
+    link of every group and unites the pairs for which it is the same one: nothing that comes before can change either side. The
+    lowest link of all is such a pair, so rounds end. Every fourth round, living components in which nothing can clash are united
+    as a whole, and those of at most task_rows records are replayed. A task takes the groups that hold one key, a row each.
+
+    Along a chain of links that each come after the one before, in a component that clashes elsewhere, a round settles one link.
+    """
+    groups = materialize(rows.select(F.col("id").alias("g"), *EXCLUSIVE), "identity-state")
+    holders = materialize(keys(rows).select("key", F.col("id").alias("g"), F.col("id").alias("f")), "identity-holders")
+    member = rows.select("id", F.col("id").alias("g"))
+    done: list[DataFrame] = []
+    schema = "key string, g bigint, f bigint, later bigint, rank int, earlier bigint"
+    for n in range(1, max_rounds + 1):
+        living = materialize(holders.join(groups, "g", "left").groupBy("key").applyInPandas(_first_fits, schema), "identity-living")
+        if living.isEmpty():
+            return reduce(DataFrame.unionByName, done, member.select("id", F.col("g").alias("group_id")))
+        if n % 4:
+            lowest = living.groupBy("g").agg(F.min(F.struct("later", "rank", "earlier")).alias("link"))
+            moves = lowest.groupBy("link").agg(F.min("g").alias("to"), F.max("g").alias("g"), F.count("*").alias("n")).where("n = 2").select("g", "to")
+        else:
+            linked = components(hot_join(living.select(F.col("g").alias("u"), "key"), living.groupBy("key").agg(F.min("g").alias("v")), "key").select("u", "v"))
+            placed = materialize(groups.join(linked.select(F.col("node").alias("g"), F.col("component_id").alias("root")), "g", "left").withColumn("root", F.coalesce("root", "g")), "identity-placed")
+            plain = [F.min(x).eqNullSafe(F.max(x)) for x in EXCLUSIVE]
+            member = materialize(member, "identity-members")
+            sizes = member.join(placed.select("g", "root"), "g", "left").groupBy("root").agg(F.count("*").alias("records"))
+            verdict = materialize(placed.groupBy("root").agg(reduce(Column.__and__, plain).alias("plain")).join(sizes, "root"), "identity-verdict")
+            moves = placed.where("g <> root").join(verdict.where("plain"), "root", "left_semi").select("g", F.col("root").alias("to"))
+            small = materialize(placed.join(verdict.where(F.expr("NOT plain") & (F.col("records") <= task_rows)), "root", "left_semi").select("g", "root"), "identity-small")
+            apart = member.join(small, "g", "left")
+            of_task = rows.join(apart.where("root IS NOT NULL").select("id", "root"), "id").select("root", "id", *IDENTITIES)
+            done.append(materialize(of_task.groupBy("root").applyInPandas(lambda pdf: _replay(pdf), "id bigint, group_id bigint"), "identity-replayed"))
+            member = materialize(apart.where("root IS NULL").select("id", "g"), "identity-members")
+            groups = materialize(groups.join(small, "g", "left_anti"), "identity-state")
+            living = living.join(small, "g", "left_anti")
+        moves = materialize(moves, "identity-moves")
+        member = member.join(moves, "g", "left").select("id", F.coalesce("to", "g").alias("g"))
+        groups = materialize(groups.join(moves, "g", "left").groupBy(F.coalesce("to", "g").alias("g")).agg(*[F.min(x).alias(x) for x in EXCLUSIVE]), "identity-state")
+        holders = materialize(living.select("key", "g", "f").join(moves, "g", "left").groupBy("key", F.coalesce("to", "g").alias("g")).agg(F.min("f").alias("f")), "identity-holders")
+    raise RuntimeError(f"groups have not settled in {max_rounds} rounds")
+
+
+def duplicate_groups(rows: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
     """(id, group_id) for every row of (id, *IDENTITIES); group_id is the group's smallest id.
 
     Records of equal identities are one from the start, so copies cost nothing. A component without two values of an exclusive
-    identifier is a group. Only where there are two does the order of records matter: its distinct identities are replayed in
-    one task, which is the bound of this operator. Records without an identity are groups of their own. An empty table gives no
-    rows.
+    identifier is a group. Only where there are two does the order of records matter: components of at most task_rows distinct
+    identities are replayed, each in one task, larger ones are settled in rounds over all tasks. Both give the same groups.
+    Records without an identity are groups of their own. An empty table gives no rows.
     """
     ident = F.when(F.coalesce(*IDENTITIES).isNotNull(), F.sha2(F.to_json(F.struct(*IDENTITIES)), 256))
     given = materialize(rows.select("id", ident.alias("ident"), *IDENTITIES), "identity-rows")
@@ -93,8 +182,13 @@ def duplicate_groups(rows: DataFrame) -> DataFrame:
     linked = components(candidate_links(distinct).select(F.col("left").alias("u"), F.col("right").alias("v"))).select(F.col("node").alias("id"), F.col("component_id").alias("root"))
     rooted = materialize(distinct.join(linked, "id", "left").withColumn("root", F.coalesce("root", "id")), "identity-roots")
     one = [F.min(n).eqNullSafe(F.max(n)) for n in EXCLUSIVE]
-    mixed = rooted.groupBy("root").agg(reduce(Column.__and__, one).alias("plain")).where("NOT plain").select("root")
-    replayed = rooted.join(mixed, "root", "left_semi").select("root", "id", *IDENTITIES).groupBy("root").applyInPandas(lambda pdf: _replay(pdf), "id bigint, group_id bigint")
+    mixed = materialize(rooted.groupBy("root").agg(reduce(Column.__and__, one).alias("plain"), F.count("*").alias("n")).where("NOT plain").select("root", "n"), "identity-mixed")
+    within = rooted.join(mixed.where(F.col("n") <= task_rows), "root", "left_semi").select("root", "id", *IDENTITIES)
+    replayed = within.groupBy("root").applyInPandas(lambda pdf: _replay(pdf), "id bigint, group_id bigint")
+    large = mixed.where(F.col("n") > task_rows)
+    if not large.isEmpty():
+        beyond = materialize(rooted.join(large, "root", "left_semi").select("id", *IDENTITIES), "identity-large")
+        replayed = replayed.unionByName(groups_in_rounds(beyond, task_rows))
     grouped = rooted.join(mixed, "root", "left_anti").select("id", F.col("root").alias("group_id")).unionByName(replayed)
     named = materialize(distinct.select("ident", "id").join(grouped, "id").select("ident", "group_id"), "identity-groups")
     return hot_join(given.select("id", "ident"), named, "ident").select("id", F.coalesce("group_id", "id").alias("group_id"))

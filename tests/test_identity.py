@@ -35,6 +35,35 @@ def test_groups_follow_the_plain_order(spark):
         assert {x.id: x.group_id for x in I.duplicate_groups(df.repartition(n)).collect()} == replayed(rows)
 
 
+def test_rounds_give_the_groups_of_the_plain_order(spark):
+    """Rounds alone, and rounds that leave components of up to 30 records to tasks, where many keys clash and one is held by many."""
+    for seed, n, bound in ((3, 40, 0), (4, 60, 20)):
+        r = random.Random(seed)
+        draw = lambda k, p: f"v{r.randrange(k)}" if r.random() < p else None
+        rows = [(i, draw(n // 6, 0.5), draw(n // 8, 0.3), draw(n // 10, 0.2), draw(n // 6, 0.6), "hot" if i % 9 == 0 else draw(n // 4, 0.2)) for i in r.sample(range(10_000), n)]
+        got = I.duplicate_groups(spark.createDataFrame(rows, IDS).repartition(5), task_rows=bound)
+        assert {x.id: x.group_id for x in got.collect()} == replayed(rows)
+
+
+def test_nearest_fitting_holder_of_a_key():
+    import pandas as pd
+
+    r = random.Random(8)
+    for _ in range(60):
+        rows = [(f, *(r.choice([None, "a", "b"]) for _ in I.EXCLUSIVE)) for f in sorted(r.sample(range(500), r.randrange(1, 25)))]
+        fit = lambda x, y: all(p is None or q is None or p == q for p, q in zip(x[1:], y[1:]))
+        want = {}
+        for k, x in enumerate(rows):
+            before = [(x[0], y[0]) for y in rows[:k] if fit(x, y)]
+            after = [(y[0], x[0]) for y in rows[k + 1 :] if fit(x, y)]
+            if before or after:
+                want[x[0]] = min(before + after)
+        pdf = pd.DataFrame([("pdf:x", 7 * x[0], *x) for x in r.sample(rows, len(rows))], columns=["key", "g", "f", *I.EXCLUSIVE])
+        got = I._first_fits(pdf)
+        assert {f: (a, b) for f, a, b in zip(got["f"], got["later"], got["earlier"])} == want
+        assert (got["g"] == 7 * got["f"]).all() and (got["rank"] == I.IDENTITIES.index("pdf")).all()
+
+
 def test_groups_of_one_work(spark):
     """Expected groups: a and b by doi, a conflicting one apart, versions, equal files, title with year and authors, a bridge."""
     rows = [
