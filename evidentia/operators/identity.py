@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
 from itertools import combinations
 
@@ -82,45 +82,63 @@ def _replay(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": list(group), "group_id": [lowest[g] for g in group.values()]})
 
 
-def _first_fits(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one key's holders (g, f, *EXCLUSIVE), those that fit another holder, each with its lowest link: (later f, earlier f).
+def _lowest_links(rows: list[tuple]) -> dict[int, tuple[int, int]]:
+    """Of one key's holders (f, *EXCLUSIVE) in order, the places of those that fit another one, with the lowest link: (later f, earlier f).
 
     Two holders fit unless an identifier that both have differs. Holders are looked up by the values that they share with each
     pattern of missing identifiers, so the work is linear in the holders.
     """
-    rows = sorted(pdf[["f", *EXCLUSIVE]].itertuples(index=False, name=None))
     told = [tuple(n for n, v in enumerate(row[1:]) if isinstance(v, str)) for row in rows]
 
-    def nearest(order: Iterable[int]) -> dict[int, int]:
-        """The first holder in order, before each one, that fits it."""
+    def fits(order: Iterable[int]) -> Iterator[tuple[int, list[int]]]:
+        """For a holder that fits others before it in order, the last such one of each pattern, or the first if order runs upwards."""
         at: dict[tuple, int] = {}
         met: set[tuple[int, ...]] = set()
-        out = {}
+        upwards = isinstance(order, range) and order.step > 0
         for i in order:
             mine, values = told[i], rows[i][1:]
-            fits = []
-            for other in met:
-                both = tuple(n for n in mine if n in other)
-                found = at.get((other, both, tuple(values[n] for n in both)))
-                if found is not None:
-                    fits.append(found)
-            if fits:
-                out[i] = fits
+            shared = {other: tuple(n for n in mine if n in other) for other in met}
+            found = [at.get((other, both, tuple(values[n] for n in both))) for other, both in shared.items()]
+            if any(x is not None for x in found):
+                yield i, [x for x in found if x is not None]
             met.add(mine)
             for k in range(len(mine) + 1):
                 for both in combinations(mine, k):
-                    keep(at, (mine, both, tuple(values[n] for n in both)), i)
-        return out
+                    place = (mine, both, tuple(values[n] for n in both))
+                    if not upwards or place not in at:
+                        at[place] = i
 
-    keep = dict.setdefault
-    links = {i: (rows[i][0], rows[min(fits)][0]) for i, fits in nearest(range(len(rows))).items()}
-    keep = dict.__setitem__  # backwards, the last one put in is the next one after a holder
-    for i, fits in nearest(reversed(range(len(rows)))).items():
-        links.setdefault(i, (rows[min(fits)][0], rows[i][0]))
-    group = dict(zip(pdf["f"], pdf["g"]))
-    rank = IDENTITIES.index(pdf["key"].iloc[0].split(":", 1)[0])
-    held = sorted(links)
-    return pd.DataFrame({"key": pdf["key"].iloc[0], "g": [group[rows[i][0]] for i in held], "f": [rows[i][0] for i in held], "later": [links[i][0] for i in held], "rank": rank, "earlier": [links[i][1] for i in held]}).astype({"g": "int64", "f": "int64", "later": "int64", "earlier": "int64", "rank": "int32"})
+    links = {i: (rows[i][0], rows[min(others)][0]) for i, others in fits(range(len(rows)))}
+    for i, others in fits(range(len(rows) - 1, -1, -1)):
+        links.setdefault(i, (rows[min(others)][0], rows[i][0]))
+    return links
+
+
+LIVING = "key string, g bigint, f bigint, later bigint, rank int, earlier bigint"
+
+
+def _living(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Holders (key, g, f, *EXCLUSIVE), sorted by key and f, with their lowest links; those without one are left out."""
+    names = [x.split()[0] for x in LIVING.split(", ")]
+    key, held, out = None, [], []
+
+    def close() -> None:
+        if len(held) > 1:
+            rank = IDENTITIES.index(key.split(":", 1)[0])
+            out.extend((key, held[i][0], held[i][1], later, rank, earlier) for i, (later, earlier) in _lowest_links([x[1:] for x in held]).items())
+
+    for pdf in batches:
+        for row in pdf[["key", "g", "f", *EXCLUSIVE]].itertuples(index=False, name=None):
+            if row[0] != key:
+                close()
+                key, held = row[0], []
+            held.append(row[1:])
+        if out:
+            yield pd.DataFrame(out, columns=names)
+            out.clear()
+    close()
+    if out:
+        yield pd.DataFrame(out, columns=names)
 
 
 def groups_in_rounds(rows: DataFrame, task_rows: int, max_rounds: int = 10_000) -> DataFrame:
@@ -138,9 +156,8 @@ def groups_in_rounds(rows: DataFrame, task_rows: int, max_rounds: int = 10_000)
     holders = materialize(keys(rows).select("key", F.col("id").alias("g"), F.col("id").alias("f")), "identity-holders")
     member = rows.select("id", F.col("id").alias("g"))
     done: list[DataFrame] = []
-    schema = "key string, g bigint, f bigint, later bigint, rank int, earlier bigint"
     for n in range(1, max_rounds + 1):
-        living = materialize(holders.join(groups, "g", "left").groupBy("key").applyInPandas(_first_fits, schema), "identity-living")
+        living = materialize(holders.join(groups, "g", "left").repartition("key").sortWithinPartitions("key", "f").mapInPandas(_living, LIVING), "identity-living")
         if living.isEmpty():
             return reduce(DataFrame.unionByName, done, member.select("id", F.col("g").alias("group_id")))
         if n % 4:

@@ -58,10 +58,11 @@ def test_nearest_fitting_holder_of_a_key():
             after = [(y[0], x[0]) for y in rows[k + 1 :] if fit(x, y)]
             if before or after:
                 want[x[0]] = min(before + after)
-        pdf = pd.DataFrame([("pdf:x", 7 * x[0], *x) for x in r.sample(rows, len(rows))], columns=["key", "g", "f", *I.EXCLUSIVE])
-        got = I._first_fits(pdf)
-        assert {f: (a, b) for f, a, b in zip(got["f"], got["later"], got["earlier"])} == want
-        assert (got["g"] == 7 * got["f"]).all() and (got["rank"] == I.IDENTITIES.index("pdf")).all()
+        assert {rows[k][0]: link for k, link in I._lowest_links(rows).items()} == want
+        pdf = pd.DataFrame([(key, 7 * x[0], *x) for key in ("pdf:x", "work:y") for x in rows], columns=["key", "g", "f", *I.EXCLUSIVE])
+        cut = r.randrange(len(pdf))
+        got = [x for part in I._living(iter([pdf[:cut], pdf[cut:]])) for x in part.itertuples(index=False, name=None)]
+        assert sorted(got) == sorted((key, 7 * f, f, a, rank, b) for key, rank in (("pdf:x", 3), ("work:y", 4)) for f, (a, b) in want.items())
 
 
 def test_groups_of_one_work(spark):
