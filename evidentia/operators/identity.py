@@ -90,11 +90,10 @@ def _lowest_links(rows: list[tuple]) -> dict[int, tuple[int, int]]:
     """
     told = [tuple(n for n, v in enumerate(row[1:]) if isinstance(v, str)) for row in rows]
 
-    def fits(order: Iterable[int]) -> Iterator[tuple[int, list[int]]]:
-        """For a holder that fits others before it in order, the last such one of each pattern, or the first if order runs upwards."""
+    def fits(order: range, first: bool) -> Iterator[tuple[int, list[int]]]:
+        """Each holder that fits others before it in order, with the first or last of these for each pattern."""
         at: dict[tuple, int] = {}
         met: set[tuple[int, ...]] = set()
-        upwards = isinstance(order, range) and order.step > 0
         for i in order:
             mine, values = told[i], rows[i][1:]
             shared = {other: tuple(n for n in mine if n in other) for other in met}
@@ -105,11 +104,11 @@ def _lowest_links(rows: list[tuple]) -> dict[int, tuple[int, int]]:
             for k in range(len(mine) + 1):
                 for both in combinations(mine, k):
                     place = (mine, both, tuple(values[n] for n in both))
-                    if not upwards or place not in at:
+                    if not first or place not in at:
                         at[place] = i
 
-    links = {i: (rows[i][0], rows[min(others)][0]) for i, others in fits(range(len(rows)))}
-    for i, others in fits(range(len(rows) - 1, -1, -1)):
+    links = {i: (rows[i][0], rows[min(others)][0]) for i, others in fits(range(len(rows)), True)}
+    for i, others in fits(range(len(rows) - 1, -1, -1), False):
         links.setdefault(i, (rows[min(others)][0], rows[i][0]))
     return links
 
