@@ -1,10 +1,14 @@
 """A stored index of chunks in immutable segments: lexical postings with positions, vectors, and what a hit came from.
 
 A segment is a folder with four Parquet tables: sources (id, sha, n_chunks, dl), chunks (id, ord, start, end, parent_start, parent_end,
-section, chunk, dl) in order of id, postings (gram, id, ord, dl, places), divided by the gram's bucket and sorted, and vectors
-(id, ord, vector) if an encoder was given. Versions (sources.versions) name the live segments and the tables of dead ones' ids: a changed
-or pruned document leaves (seq, id) there, and its new text stands in a new segment. Small segments of like size are merged without
-reading a text again.
+section, chunk, dl) in the order in which documents came, postings (gram, block, data, ids, ords, dls, ats), divided by the gram's
+bucket, and vectors (id, ord, vector) if an encoder was given. Versions (sources.versions) name the live segments and the tables of dead
+ones' ids: a changed or pruned document leaves (seq, id) there, and its new text stands in a new segment. Small segments of like size
+are merged; the chunks of the new one are posted anew.
+
+A block is a run of a task's chunks, some BLOCK characters in all. It has a row for each of its trigrams, whose data are the places where
+it begins, counted through the block, as differences of a byte or two, and a row of the empty gram with the chunks themselves and where
+they begin. Each task writes its own blocks, sorted, into the bucket's folders; neither texts nor postings are shuffled.
 
 A term is found as a substring, case ignored: its trigrams must stand side by side, which the places of the postings tell, so neither
 counts nor lengths need a text. All postings of a term are read, as its weight needs the exact number of chunks that hold it; upper
@@ -19,46 +23,127 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from evidentia.operators import passages, retrieval
 from evidentia.sources import versions
 from evidentia.sources.sinks import materialize
 
 GRAM = 3
-#: Chunks for which a segment's postings get one more folder, the most folders, and how many segments of like size are merged.
-PER_BUCKET, MOST_BUCKETS, FANOUT = 20_000, 4096, 4
+#: Chunks for which a segment's postings get one more folder, the most folders (each task writes a file into each), and how many
+#: segments of like size are merged.
+PER_BUCKET, MOST_BUCKETS, FANOUT = 20_000, 16, 4
+#: Characters of a block: a task that writes or searches one holds some 100 bytes for each. A longer chunk is a block of its own.
+BLOCK = 1 << 21
+#: Changed ids that are broadcast, some 50 MB; values of a filter that Parquet compares one by one.
+MOST_SENT, IN_FILTER = 1_000_000, 10
 
 
 def _bucket(gram: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(n)).cast("int")
 
 
-def _grams(batches):
-    """(id, ord, dl, low) -> (gram, id, ord, dl, places): each chunk's distinct trigrams with their places, by NumPy."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 200):
-            part = batch.slice(at, 200)
-            chars = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in part.column(3).to_pylist()]
-            sizes = np.array(list(map(len, chars)), np.int64)
-            flat = np.concatenate([*chars, np.zeros(2, np.uint32)]).astype(np.uint64)
-            starts = np.cumsum(sizes) - sizes
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            place = np.arange(len(row)) - starts[row]
-            full = place < sizes[row] - (GRAM - 1)
-            key = (flat[:-2] << np.uint64(42) | flat[1:-1] << np.uint64(21) | flat[2:])[full]
-            row, place = row[full], place[full]
-            order = np.lexsort((key, row))
-            key, row, place = key[order], row[order], place[order]
-            first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])])) if len(key) else np.zeros(0, np.int64)
-            known, which = np.unique(key[first], return_inverse=True)
-            names = pa.array(["".join(chr(int(k) >> s & 0x1FFFFF) for s in (42, 21, 0)) for k in known], pa.string())
-            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), pa.array(place.astype(np.int32)))
-            of = pa.array(row[first])
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(which)), part.column(0).take(of), part.column(1).take(of), part.column(2).take(of), lists], ["gram", "id", "ord", "dl", "places"])
+def _packed(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the numbers, seven bits in each and the eighth set where more follow, and where each number begins."""
+    size = 1 + sum((numbers >= 1 << s).astype(np.int64) for s in (7, 14, 21, 28))
+    start = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.uint8)
+    for k in range(int(size.max(initial=0))):
+        more = size > k
+        out[start[more] + k] = numbers[more] >> 7 * k & 127 | (size[more] > k + 1) << 7
+    return out, start
+
+
+def _places(data: bytes) -> np.ndarray:
+    """The places of a row's data, ascending."""
+    given = np.frombuffer(data, np.uint8).astype(np.int64)
+    last = np.flatnonzero(given < 128)
+    start = np.concatenate([[0], last[:-1] + 1])
+    out = np.zeros(len(last), np.int64)
+    for k in range(int((last - start).max(initial=0)) + 1):
+        more = start + k <= last
+        out[more] += (given[start[more] + k] & 127) << 7 * k
+    return np.cumsum(out)
+
+
+def _block(name: str, ids: pa.Array, ords: pa.Array, dls: pa.Array, lows: list[str], schema: pa.Schema) -> pa.RecordBatch:
+    """The rows of a block of chunks in lower case: the chunks, then a row for each distinct trigram, by NumPy."""
+    sizes = np.array(list(map(len, lows)), np.int64)
+    flat = np.frombuffer("".join(lows).encode("utf-32-le"), np.uint32)
+    ats = np.cumsum(sizes) - sizes
+    known = np.zeros(0x110000, bool)
+    known[flat] = True
+    signs = np.flatnonzero(known)
+    rank = np.zeros(0x110000, np.uint64)
+    rank[signs] = np.arange(len(signs))
+    place = np.arange(max(len(flat) - (GRAM - 1), 0))
+    place = place[place + GRAM <= np.repeat(ats + sizes, sizes)[: len(place)]]
+    bits = np.uint64(max(1, int(len(signs) - 1).bit_length()))
+    key = rank[flat[place]] << bits + bits | rank[flat[place + 1]] << bits | rank[flat[place + 2]]
+    low = np.uint64(max(1, len(flat).bit_length()))
+    if 3 * int(bits) + int(low) <= 64:  # key and place in one number sort fastest
+        both = np.sort(key << low | place.astype(np.uint64))
+        key, place = both >> low, (both & (np.uint64(1) << low) - np.uint64(1)).astype(np.int64)
+    else:
+        order = np.argsort(key, kind="stable")
+        key, place = key[order], place[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    steps = np.diff(place, prepend=0)
+    steps[first] = place[first]
+    data, start = _packed(steps)
+    ends = np.append(start[first], len(data)).astype(np.int32)
+    mask = (np.uint64(1) << bits) - np.uint64(1)
+    of = [signs[(key[first] >> s & mask).astype(np.int64)] for s in (bits + bits, bits, np.uint64(0))]
+    n = len(first)
+    packed = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(data)])
+    once = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)] + [len(values)] * n, pa.int32()), pa.array(values, kind), mask=pa.array([False] + [True] * n))
+    columns = [
+        pa.array(["", *map("".join, zip(*(map(chr, x) for x in of)))], pa.string()),
+        pa.array([xxhash.xxh64(name.encode()).intdigest() - (1 << 63)] * (n + 1), pa.int64()),
+        pa.concat_arrays([pa.array([None], pa.binary()), packed]),
+        once(ids, schema.field("ids").type.value_type),
+        once(ords, pa.int32()),
+        once(dls, pa.float64()),
+        once(ats.astype(np.int32), pa.int32()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
+def _posted(kept: DataFrame, path: str) -> DataFrame:
+    """Postings of chunks (id, ord, dl, chunk), in blocks of BLOCK characters of one task."""
+    kind = kept.schema["id"].dataType
+    schema = pa.schema([("gram", pa.string()), ("block", pa.int64()), ("data", pa.binary()), ("ids", pa.list_(to_arrow_type(kind))), ("ords", pa.list_(pa.int32())), ("dls", pa.list_(pa.float64())), ("ats", pa.list_(pa.int32()))])
+
+    def made(batches):
+        held, chars = [], 0
+
+        def close():
+            ids, ords, dls = (pa.concat_arrays([x.column(k) for x, _ in held]) for k in range(3))
+            return _block(f"{path} {ids[0]} {ords[0]}", ids, ords, dls, [t for _, x in held for t in x], schema)
+
+        for batch in batches:
+            lows, begin = batch.column(3).to_pylist(), 0
+            for k, text in enumerate(lows):
+                chars += len(text)
+                if chars >= BLOCK:
+                    held.append((batch.slice(begin, k + 1 - begin), lows[begin : k + 1]))
+                    yield close()
+                    held, chars, begin = [], 0, k + 1
+            if begin < len(lows):
+                held.append((batch.slice(begin), lows[begin:]))
+        if held:
+            yield close()
+
+    return kept.select("id", "ord", "dl", F.lower("chunk").alias("low")).mapInArrow(made, POSTINGS.format(kind.simpleString()))
+
+
+#: Columns of the postings of ids of a type.
+POSTINGS = "gram string, block bigint, data binary, ids array<{}>, ords array<int>, dls array<double>, ats array<int>"
 
 
 def _dead(spark: SparkSession, state: dict, kind: str) -> DataFrame:
@@ -89,19 +174,19 @@ def stamped(docs: DataFrame) -> DataFrame:
     return docs.withColumn("sha", F.sha2(F.coalesce("text", F.lit("")), 256))
 
 
-def _write(spark: SparkSession, path: str, chunks: DataFrame, sources_: DataFrame, postings: Callable[[DataFrame], DataFrame], vectors: Callable[[DataFrame], DataFrame] | None, per_bucket: int) -> tuple[int, int]:
+def _write(spark: SparkSession, path: str, chunks: DataFrame, sources_: DataFrame, vectors: Callable[[DataFrame], DataFrame] | None, per_bucket: int) -> tuple[int, int]:
     """Number of chunks and of buckets of a new segment."""
-    chunks.repartitionByRange("id", "ord").sortWithinPartitions("id", "ord").write.parquet(f"{path}/chunks")
-    kept = spark.read.parquet(f"{path}/chunks")
+    # a search reads the row groups that may hold its hits' ids, whatever the order of documents
+    chunks.write.options(**{"compression": "zstd", "parquet.bloom.filter.enabled#id": "true", "parquet.bloom.filter.expected.ndv#id": "100000"}).parquet(f"{path}/chunks")
+    kept = spark.read.schema(chunks.schema).parquet(f"{path}/chunks")
     n = kept.count()
     buckets = max(1, min(MOST_BUCKETS, -(-n // per_bucket)))
     sizes = kept.groupBy("id").agg(F.count("*").alias("n_chunks"), F.sum("dl").alias("dl"))
     sources_.select("id", "sha").join(sizes, "id", "left").na.fill(0, ["n_chunks"]).na.fill(0.0, ["dl"]).write.parquet(f"{path}/sources")
-    posted = postings(kept).withColumn("bucket", _bucket(F.col("gram"), buckets))
-    # ranges of (bucket, gram, id): a frequent gram is spread over tasks
-    posted.repartitionByRange("bucket", "gram", "id", "ord").sortWithinPartitions("bucket", "gram", "id", "ord").write.partitionBy("bucket").parquet(f"{path}/postings")
+    posted = _posted(kept, path).withColumn("bucket", _bucket(F.col("gram"), buckets))
+    posted.sortWithinPartitions("bucket", "gram").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
     if vectors:
-        vectors(kept).write.parquet(f"{path}/vectors")
+        vectors(kept).write.option("compression", "zstd").parquet(f"{path}/vectors")
     return n, buckets
 
 
@@ -119,7 +204,7 @@ def update(docs: DataFrame, folder: str, prune: bool = False, offsets: Callable[
     own = docs.select("id", F.col("sha").alias("new"))
     both = own.join(known.select("id", F.col("sha").alias("old"), "seq"), "id", "full_outer") if known is not None else own.withColumns({"old": F.lit(None).cast("string"), "seq": F.lit(None).cast("int")})
     what = F.when(F.col("new").isNull(), "pruned" if prune else "kept").when(F.col("new") == F.col("old"), "reused").otherwise("indexed")
-    changes = materialize(both.select("id", "seq", what.alias("what")), "changes")
+    changes = materialize(both.select("id", "seq", F.col("new").alias("sha"), what.alias("what")), "changes")
     counts = {r["what"]: r["n"] for r in changes.groupBy("what").agg(F.count("*").alias("n")).collect()}
     told = {k: counts.get(k, 0) for k in ("reused", "indexed", "pruned")}
     if not told["indexed"] + told["pruned"]:
@@ -127,12 +212,12 @@ def update(docs: DataFrame, folder: str, prune: bool = False, offsets: Callable[
     segments, dead, seq = list(state["segments"]), list(state["dead"]), state["next"]
     if told["indexed"]:
         path = f"{folder}/segment-{uuid.uuid4().hex}"
-        fresh = docs.join(changes.where("what = 'indexed'").select("id"), "id", "left_semi")
+        new = changes.where("what = 'indexed'").select("id", "sha")
+        some = F.broadcast(new) if told["indexed"] <= MOST_SENT else new
+        fresh = docs.join(some.select("id"), "id", "left_semi") if told["reused"] else docs.where("sha IS NOT NULL")
         size = F.greatest(F.length("chunk") - (GRAM - 1), F.lit(0)).cast("double")
         chunks = passages.token_chunks(fresh.select("id", "text"), offsets).withColumn("dl", size)
-        kind = docs.schema["id"].dataType
-        posted = lambda kept: kept.select("id", "ord", "dl", F.lower("chunk").alias("low")).mapInArrow(_grams, f"gram string, id {kind.simpleString()}, ord int, dl double, places array<int>")
-        n, buckets = _write(spark, path, chunks, fresh, posted, (lambda kept: embedded(kept, encode)) if encode else None, per_bucket)
+        n, buckets = _write(spark, path, chunks, new, (lambda kept: embedded(kept, encode)) if encode else None, per_bucket)
         segments.append({"seq": seq, "path": path, "chunks": n, "buckets": buckets, "vectors": encode is not None})
         seq += 1
     replaced = changes.where("what IN ('indexed', 'pruned') AND seq IS NOT NULL").select("seq", "id")
@@ -171,7 +256,7 @@ def _merge(spark: SparkSession, folder: str, now: versions.Version, fanout: int,
     path = f"{folder}/segment-{uuid.uuid4().hex}"
     has_vectors = all(s["vectors"] for s in merged)
     chunks = _read(spark, own, "chunks").drop("seq")
-    n, buckets = _write(spark, path, chunks, _read(spark, own, "sources"), lambda _: _read(spark, own, "postings").drop("seq", "bucket"), (lambda _: _read(spark, own, "vectors").drop("seq")) if has_vectors else None, per_bucket)
+    n, buckets = _write(spark, path, chunks, _read(spark, own, "sources"), (lambda _: _read(spark, own, "vectors").drop("seq")) if has_vectors else None, per_bucket)
     gone = {s["seq"] for s in merged}
     rest = [s for s in now.state["segments"] if s["seq"] not in gone]
     dead = []
@@ -191,33 +276,54 @@ def status(spark: SparkSession, folder: str) -> dict[str, int]:
     return {"documents": live.count() if live is not None else 0, "chunks": now.state.get("n", 0), "segments": len(now.state.get("segments", ())), "version": now.number}
 
 
-def _times(starts: Column, width: int) -> Column:
-    """How many of the ascending places are taken, each blocking those less than width further on."""
-    begin = F.struct(F.lit(0).alias("n"), F.lit(-(1 << 30)).alias("last"))
-    step = lambda s, p: F.when(p >= s["last"] + width, F.struct((s["n"] + 1).alias("n"), p.alias("last"))).otherwise(s)
-    return F.aggregate(starts, begin, step)["n"]
+def _times(places: np.ndarray, width: int) -> np.ndarray:
+    """The ascending places that are taken, each blocking those less than width further on."""
+    if (np.diff(places) >= width).all():
+        return places
+    taken: list[int] = []
+    for p in places.tolist():
+        if not taken or p >= taken[-1] + width:
+            taken.append(p)
+    return np.array(taken, np.int64)
 
 
 def term_counts(spark: SparkSession, folder: str, terms: Sequence[str]) -> DataFrame | None:
-    """(id, ord, dl, k, tf) of the live chunks that hold terms[k], from the postings of its trigrams alone."""
+    """(id, ord, dl, k, tf) of the live chunks that hold terms[k], from the postings of its trigrams alone; a task takes a block."""
     state = versions.latest(spark, folder).state
-    wanted = [(k, i, t[i : i + GRAM], len(t) - GRAM + 1) for k, t in enumerate(terms) for i in range(len(t) - GRAM + 1)]
-    all_ = sorted({g for _, _, g, _ in wanted})
-
-    def own(df: DataFrame, s: dict) -> DataFrame:
-        hashes = [xxhash.xxh64(g.encode(), 42).intdigest() for g in all_]
-        places = sorted({(h - (h >> 63 << 64)) % s["buckets"] for h in hashes})  # as _bucket has it: signed, seed 42
-        return df.where(F.col("bucket").isin(places) & F.col("gram").isin(all_)).drop("bucket")
-
-    posted = _read(spark, state, "postings", own) if all_ else None
-    if posted is None:
+    terms = list(terms)
+    wanted = sorted({t[i : i + GRAM] for t in terms for i in range(len(t) - GRAM + 1)})
+    if not wanted or not state.get("segments"):
         return None
-    asked = F.broadcast(spark.createDataFrame(wanted, "k int, i int, gram string, need int"))  # the trigrams of a question's terms
-    shifted = posted.join(asked, "gram").select("id", "ord", "dl", "k", "need", F.transform("places", lambda p: p - F.col("i")).alias("at"))
-    held = shifted.groupBy("id", "ord", "dl", "k", "need").agg(F.collect_list("at").alias("lists")).where(F.size("lists") == F.col("need"))
-    shared = F.aggregate(F.slice("lists", 2, F.greatest(F.size("lists") - 1, F.lit(0))), F.col("lists")[0], lambda a, x: F.array_intersect(a, x))
-    width = F.element_at(F.array(*[F.lit(len(t)) for t in terms]), F.col("k") + 1)
-    return held.select("id", "ord", "dl", "k", _times(F.array_sort(shared), width).alias("tf")).where("tf > 0")
+    parts = []
+    for s in state["segments"]:
+        df = spark.read.schema(f"{POSTINGS.format(state['kind'])}, bucket int").parquet(f"{s['path']}/postings")
+        of: dict[int, list[str]] = {}
+        for g in ["", *wanted]:
+            h = xxhash.xxh64(g.encode(), 42).intdigest()
+            of.setdefault((h - (h >> 63 << 64)) % s["buckets"], []).append(g)  # as _bucket has it: signed, seed 42
+        for bucket, grams in of.items():  # short lists, so that of a sorted file only the pages of these grams are read
+            for at in range(0, len(grams), IN_FILTER):
+                own = df.where((F.col("bucket") == bucket) & F.col("gram").isin(grams[at : at + IN_FILTER]))
+                parts.append(own.drop("bucket").withColumn("seq", F.lit(s["seq"])))
+
+    def counted(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = {g: _places(data) for g, data in zip(pdf["gram"], pdf["data"]) if g}
+        chunks = pdf[pdf["gram"] == ""].iloc[0]
+        out = [pd.DataFrame({"seq": [], "id": [], "ord": [], "dl": [], "k": [], "tf": []})]
+        for k, term in enumerate(terms):
+            grams = [term[i : i + GRAM] for i in range(len(term) - GRAM + 1)]
+            if grams and all(g in found for g in grams):
+                shifted = [found[g] - i for i, g in enumerate(grams)]
+                places = reduce(lambda a, b: np.intersect1d(a, b, assume_unique=True), shifted)
+                rows, times = np.unique(np.searchsorted(chunks["ats"], _times(places, len(term)), "right") - 1, return_counts=True)
+                if len(rows):
+                    out.append(pd.DataFrame({"seq": chunks["seq"], "id": chunks["ids"][rows], "ord": chunks["ords"][rows], "dl": chunks["dls"][rows], "k": k, "tf": times}))
+        return pd.concat(out[1:] or out)
+
+    kind = state["kind"]
+    held = reduce(DataFrame.unionByName, parts).groupBy("seq", "block").applyInPandas(counted, f"seq int, id {kind}, ord int, dl double, k int, tf int")
+    live = held.join(_dead(spark, state, kind), ["seq", "id"], "left_anti") if state.get("dead") else held
+    return live.drop("seq")
 
 
 def lexical(spark: SparkSession, folder: str, terms: Sequence[str], scope: DataFrame | None = None) -> DataFrame | None:
