@@ -352,8 +352,8 @@ def semantic(spark: SparkSession, folder: str, probe: Sequence[float], scope: Da
     rows = _read(spark, state | {"segments": [s for s in state.get("segments", ()) if s["vectors"]]}, "vectors")
     if rows is None:
         return None
-    rows = rows if scope is None else rows.join(scope.select("id").distinct(), "id", "left_semi")
-    return rows.select("id", "ord", retrieval.cosine_distance(F.col("vector"), list(probe)).alias("distance")).where("distance IS NOT NULL")
+    near = rows.select("id", "ord", retrieval.cosine_distance(F.col("vector"), list(probe)).alias("distance")).where("distance IS NOT NULL")
+    return near if scope is None else near.join(scope.select("id").distinct(), "id", "left_semi")  # no vector is shuffled
 
 
 HIT = "id, ord, section, chunk, start, end, sha, methods, rrf, rank"
