@@ -3,6 +3,7 @@
 import math
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from evidentia.operators import passages as P
@@ -152,3 +153,17 @@ def test_long_texts_and_long_quotes_take_linear_time(spark):
     docs = spark.createDataFrame([(1, text)], "id bigint, text string")
     out, seconds = timed(P.document_excerpt(docs, "Alpha beta gamma delta epsilon zeta", 9000))
     assert len(text) > 400_000 and out[0].excerpt == plain_excerpt(text, "Alpha beta gamma delta epsilon zeta", 9000) and seconds < 5
+
+
+def test_rows_of_one_file_are_dealt_over_tasks(spark):
+    rows = spark.createDataFrame([(k, "m", 1.0, "price", "| Method | Price |\n| m | 1.0 |", []) for k in range(40)], "row_id int, model string, value double, metric string, quote string, aliases array<string>").coalesce(1)
+    found = B.bind_values(rows)
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and found.where("source_bound").count() == 40
+
+
+def test_texts_are_taken_a_few_at_a_time(spark):
+    frames = list(P.few([pd.DataFrame({"id": range(120)}), pd.DataFrame({"id": []})]))
+    assert [len(x) for x in frames] == [50, 50, 20] and [i for x in frames for i in x["id"]] == list(range(120))
+    docs = spark.createDataFrame([(k, f"# H{k}\n\ntext of {k}" if k % 7 else None) for k in range(120)], "id bigint, text string").coalesce(1)
+    assert {(r.id, r.section) for r in P.chunk_markdown(docs).collect()} == {(k, f"H{k}") for k in range(120) if k % 7}
+    assert {(r.id, r.mode) for r in P.reading_plan(docs, "text", 5).collect()} == {(k, "too_large" if k % 7 else "empty") for k in range(120)}
