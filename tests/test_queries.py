@@ -1,5 +1,6 @@
 """Every query of the library beside its SQL on a small scale, as far as the data are there."""
 
+import datetime
 import hashlib
 import itertools
 import os
@@ -111,3 +112,24 @@ def test_access_pages_at_the_limits(spark, tmp_path):
     rows = [(8200, "x" * 4999), (8250, "x" * 4985), (8300, "x" * 5000), (8350, "  " + "x" * 4999 + "   "), (45200, "y" * 9000), (50, "  "), (100, None), (78, None), (3, None), (4, " "), (150, "abc"), (5, "z" * 6000)]
     got, want = beside_sql(spark, tmp_path, "access_page_reject", "documents", rows, "doc_id bigint, text string")
     assert got == want
+
+
+def test_pieces_of_odd_hours_and_missing_parts(spark, tmp_path):
+    at = lambda *x: datetime.datetime(*x)
+    rows = [(3, at(1969, 12, 31, 23, 30), 1, "b"), (2, at(1970, 1, 1, 0, 30), 1, "a"), (None, at(2024, 1, 1), 2, "z"), (5, at(2024, 1, 1), 2, "y"), (6, at(2024, 1, 1), 3, None), (7, at(2024, 1, 1), 4, ""), (8, None, 4, "n")]
+    got, want = beside_sql(spark, tmp_path, "delta_coalesce", "events", rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string")
+    assert got == want
+
+
+def test_frequent_keys_on_both_sides_make_no_pairs(spark, tmp_path):
+    ids = [*range(0, 1_200_000, 6000), *range(1, 40)]
+    docs = spark.createDataFrame([(k, f"text {k}", "en", "s", 6) for k in ids], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(6000, 1, 0)], "doc_id bigint, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    own = duckdb.connect()
+    for t in ("documents", "labels"):
+        own.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    df, want = QUERIES["hydrate_or_join"](spark, str(tmp_path)), own.sql(ORACLES["hydrate_or_join"])
+    assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(want.columns, want.fetchall())
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftSemi") == 1 and "Relation [doi" in plan  # an id is looked up only; what is known of a key was written as one row
