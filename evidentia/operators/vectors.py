@@ -114,7 +114,7 @@ def search(spark: SparkSession, folder: str, probe: Sequence[float], probes: int
     exact is set, in all. scope, if given, has the ids that may be found; a zero probe finds nothing."""
     state = versions.latest(spark, folder).state
     rows = spark.read.schema(state["schema"]).parquet(state["path"])
-    if not exact:
+    if not exact and state["n"]:  # an empty index has no centres
         known = spark.read.parquet(f"{state['path']}-centres").collect()  # MOST_CELLS at most
         close = np.array([r["centre"] for r in known]) @ np.asarray(probe, np.float64)
         cells = [known[i]["cell"] for i in np.argsort(-close, kind="stable")[: probes or state["probes"]]]
