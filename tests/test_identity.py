@@ -45,6 +45,26 @@ def test_rounds_give_the_groups_of_the_plain_order(spark):
         assert {x.id: x.group_id for x in got.collect()} == replayed(rows)
 
 
+def test_what_a_frequent_key_unites_takes_few_rounds(spark):
+    """One key of many records, two of its groups clash; a record at a time would take a round each."""
+    rows = [(i, "d", (None, "x", "y")[i % 3] if i % 4 == 1 else None, f"s{i}" if i in (30, 60) else None, f"p{i}", f"w{i // 2}") for i in range(90)]
+    got = I.groups_in_rounds(spark.createDataFrame(rows, IDS).repartition(5), 0, max_rounds=8)
+    assert {x.id: x.group_id for x in got.collect()} == replayed(rows)
+
+
+def test_holders_that_are_left_are_replayed_as_groups():
+    import pandas as pd
+
+    r = random.Random(4)
+    for _ in range(30):
+        ids = sorted(r.sample(range(900), 25))
+        rows = [(i, *(r.choice([None, None, "a", "b"]) for _ in range(3)), r.choice([None, "p", "q"]), r.choice([None, "w", "v"])) for i in ids]
+        holders = [(f"{n}:{v}", x[0], x[0], *x[1:4]) for x in rows for n, v in zip(I.IDENTITIES, x[1:]) if v]
+        r.shuffle(holders)
+        moved = dict(zip(*I._replay_holders(pd.DataFrame(holders, columns=["key", "g", "f", *I.EXCLUSIVE])).to_dict("list").values()))
+        assert {x[0]: moved.get(x[0], x[0]) for x in rows} == replayed(rows)
+
+
 def test_nearest_fitting_holder_of_a_key():
     import pandas as pd
 
