@@ -1,4 +1,4 @@
-"""Bounded samples of labelled and unlabelled documents, chosen by a hash of the id."""
+"""Labelled documents outside a held-out fold, and bounded samples, chosen by a hash of the id."""
 
 from __future__ import annotations
 
@@ -17,14 +17,26 @@ def _smallest(ids: DataFrame, limit: int) -> DataFrame:
     return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, limit: int, value: int | None = None) -> DataFrame:
-    """(doc_id, text, label) of limit labelled ids outside the held-out fold, or fewer; only those of the given value if set.
+def _known(labels: DataFrame, label: str, modulus: int, remainder: int) -> DataFrame:
+    known = pick(labels, "doc_id", label).where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out("doc_id", modulus, remainder))
+    return known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+
 
-    Rows with a null id or label are left out. Of several labels of an id the largest counts. The chosen ids, limit at most,
-    are broadcast; the limit is their bound.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int) -> DataFrame:
+    """(doc_id, text, label) of all labelled rows outside the held-out fold.
+
+    Rows with a null id or label are left out. Of several labels of an id the largest counts. Labels grow with the
+    documents, so they are never broadcast: the texts outside the fold are shuffled once, whatever the size.
     """
-    known = pick(labels, "doc_id", label).where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out("doc_id", modulus, remainder))
-    known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    rows = pick(docs, "doc_id", "text").where(F.col("doc_id").isNotNull() & ~held_out("doc_id", modulus, remainder))
+    return rows.join(_known(labels, label, modulus, remainder).hint("shuffle_hash"), "doc_id").select("doc_id", text_or_empty().alias("text"), "label")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, limit: int, value: int | None = None) -> DataFrame:
+    """The same of limit labelled ids, or fewer; only those of the given value if set. The chosen ids, limit at most, are broadcast;
+    the limit is their bound.
+    """
+    known = _known(labels, label, modulus, remainder)
     if value is not None:
         known = known.where(F.col("label") == value)
     chosen = F.broadcast(_smallest(known, limit))

@@ -4,6 +4,9 @@ Every pair of a good and a bad training document is a preference; the model's sc
 the chance that one is preferred is the logistic function of the difference. Features are figures of the text (length, repeats,
 signs) and its hashed words, each word by its share of the text's words as a vector of length one. A score quantile of the training
 documents, at the share of bad ones, is the threshold: a score of 0.5.
+
+All labelled documents outside the held-out fold train. They are dealt over tasks; each takes Adam steps on the loss of all pairs of
+its own rows, and the weights of the tasks are averaged by their rows. Centre, spread and threshold are figures of all training rows.
 """
 
 from __future__ import annotations
@@ -14,17 +17,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from evidentia.llm.common import pick, slices, table
-from evidentia.llm.labelled import held_out, labelled_sample
+from evidentia.llm.common import materialize, pick, slices, table
+from evidentia.llm.labelled import held_out, labelled
 from evidentia.llm.quality_rules import TextStats
 
 MODULUS, REMAINDER = 3, 1
 MARKS = b".,;:!?\"'()[]{}&$%#*|<>-_"
-#: Labelled documents that training takes at most, and preference pairs drawn from them.
-SAMPLE = 10_000
-PAIRS = 100_000
+#: Training rows of a task, about, and rows of the rarer label that it needs; where that label has no more than FEW rows, each task has
+#: them all.
+SHARE, LEAST, FEW = 2_000, 64, 512
 #: Rows of hashed words, and the weight of the penalty on theirs and on the figures' squares.
 WORDS, WORD_RIDGE, RIDGE = 1 << 15, 1e-2, 1e-3
 
@@ -107,44 +111,99 @@ def loss_gradient(z: np.ndarray, words: Sparse, w: np.ndarray, v: np.ndarray, be
     return g @ z + RIDGE * w, words.back(g) + WORD_RIDGE * v
 
 
-def train(x: np.ndarray, words: Sparse, good: np.ndarray, pairs: int = PAIRS, seed: int = 5, rounds: int = 150, rate: float = 0.1) -> Ranking:
-    """Adam steps on the loss of seeded pairs. Without both labels every score is 0.5."""
-    dim = x.shape[1]
-    if not (good.any() and (~good).any()):
-        return Ranking(np.zeros(dim), np.ones(dim), np.zeros(dim), np.zeros(WORDS), 0.0, 1.0)
-    centre, spread = x.mean(axis=0), x.std(axis=0) + 1e-6
-    z, rng = (x - centre) / spread, np.random.default_rng(seed)
-    better, worse = rng.choice(np.flatnonzero(good), pairs), rng.choice(np.flatnonzero(~good), pairs)
+def train(z: np.ndarray, words: Sparse, good: np.ndarray, rounds: int = 150, rate: float = 0.1) -> np.ndarray:
+    """Weights of figures and words after Adam steps on the loss of all pairs of a good and a bad row, of which there are both."""
+    dim = z.shape[1]
+    better, worse = (x.ravel() for x in np.meshgrid(np.flatnonzero(good), np.flatnonzero(~good)))
     w = np.zeros(dim + WORDS)
     m, q = np.zeros(len(w)), np.zeros(len(w))
     for t in range(1, rounds + 1):
         g = np.concatenate(loss_gradient(z, words, w[:dim], w[dim:], better, worse))
         m, q = 0.9 * m + 0.1 * g, 0.99 * q + 0.01 * g * g
         w -= rate * (1 - (t - 1) / rounds) * (m / (1 - 0.9**t)) / (np.sqrt(q / (1 - 0.99**t)) + 1e-6)
-    raw = z @ w[:dim] + words.dot(w[dim:])
-    ordered, bad = np.sort(raw), int((~good).sum())
-    return Ranking(centre, spread, w[:dim], w[dim:], float((ordered[bad - 1] + ordered[bad]) / 2), float(raw.std() + 1e-9) / 4)
+    return w
+
+
+def _columns(batches):
+    """(figures, rows of words, their values, whether good) of each batch of marks."""
+    for batch in batches:
+        if batch.num_rows:
+            lists = [[x.values.to_numpy(zero_copy_only=False) for x in batch.column(k)] for k in (1, 2, 3)]
+            yield np.stack(lists[0]), lists[1], lists[2], batch.column(0).to_numpy() == 1
+
+
+def _joined(parts) -> tuple[np.ndarray, Sparse, np.ndarray]:
+    x, rows, values, good = zip(*parts)
+    return np.concatenate(x), Sparse.of(sum(rows, []), sum(values, [])), np.concatenate(good)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranking:
-    """The model of a bounded sample of labelled rows; features are taken on the executors and only they are fetched."""
+def at_ranks(values: DataFrame, col: str, ranks: list[int]) -> list[float]:
+    """The values of the given ranks, from 1, in order: equal ones are counted, and ranges of them summed; only the range of a rank is sorted."""
+    tallied = materialize(values.groupBy(col).agg(F.count("*").alias("n")).repartitionByRange(col).withColumn("range", F.spark_partition_id()), "ranges")
+    sizes = sorted(tuple(r) for r in tallied.groupBy("range").agg(F.sum("n")).collect())
+    found = []
+    for rank in ranks:
+        before = 0
+        for own, n in sizes:
+            if before + n >= rank:
+                break
+            before += n
+        upto = F.sum("n").over(Window.partitionBy("range").orderBy(col))
+        found.append(tallied.where(F.col("range") == own).withColumn("upto", upto).where(F.col("upto") >= rank - before).agg(F.min(col)).first()[0])
+    return found
+
+
+def fit(docs: DataFrame, labels: DataFrame, share: int = SHARE, few: int = FEW) -> Ranking:
+    """The model of all labelled rows outside the held-out fold; of several labels of an id the largest counts.
+
+    Features are taken once and written. Without both labels every score is 0.5. Rows are dealt by their order in the table, so another
+    partitioning gives slightly other weights where there are several tasks.
+    """
 
     def taken(batches):
         for batch in slices(batches):
-            found = [features(x) for x in batch.column(1).to_pylist()]
+            found = [features(x) for x in batch.column(0).to_pylist()]
             columns = zip(*found) if found else ((), (), ())
             kinds = (pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(list(c), k) for c, k in zip(columns, kinds))], ["doc_id", "label", "figures", "rows", "values"])
-
-    chosen = labelled_sample(docs, labels, "quality", MODULUS, REMAINDER, sample)
-    kind = chosen.schema["doc_id"].dataType.simpleString()
-    found = chosen.mapInArrow(taken, f"doc_id {kind}, label int, figures array<double>, rows array<int>, values array<float>").toArrow()
-    given = found.select(["doc_id", "figures"]).to_pylist()
-    order = sorted(range(len(given)), key=lambda k: (given[k]["doc_id"], given[k]["figures"]))
-    x = np.array([given[k]["figures"] for k in order], float).reshape(len(order), -1) if order else np.zeros((0, len(figures(""))))
-    rows, values = ([c[k].values.to_numpy() for k in order] for c in (found["rows"], found["values"]))
-    labels_ = found["label"].to_pylist()
-    return train(x, Sparse.of(rows, values), np.array([labels_[k] == 1 for k in order], bool))
+            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(list(c), k) for c, k in zip(columns, kinds))], ["label", "figures", "rows", "values"])
+
+    dim = len(figures(""))
+    marks = labelled(docs, labels, "quality", MODULUS, REMAINDER).select("text", "label")
+    marks = materialize(marks.mapInArrow(taken, "label int, figures array<double>, rows array<int>, values array<float>"), "quality-features")
+    each = [f(F.col("figures")[k]) for f in (F.avg, F.stddev_pop) for k in range(dim)]
+    n, n_good, *found = marks.agg(F.count("*"), F.count_if(F.col("label") == 1), *each).first()
+    n_bad = n - n_good
+    if not (n_good and n_bad):
+        return Ranking(np.zeros(dim), np.ones(dim), np.zeros(dim), np.zeros(WORDS), 0.0, 1.0)
+    centre, spread = np.array(found[:dim]), np.array(found[dim:]) + 1e-6
+    rare, is_rare = min(n_good, n_bad), (F.col("label") == 1) == F.lit(n_good < n_bad)
+    all_have = list(_columns(marks.where(is_rare).toArrow().to_batches())) if rare <= few else []
+    tasks = max(1, n // share if all_have else min(n // share, rare // LEAST))
+
+    def learned(batches):
+        own = list(_columns(batches))
+        if own:
+            x, words, good = _joined(own + all_have)
+            rows = sum(len(p[0]) for p in own)
+            w = train((x - centre) / spread, words, good)
+            at = np.flatnonzero(w)
+            yield pa.RecordBatch.from_arrays([pa.array([*at, -1], pa.int32()), pa.array([*(w[at] * rows), rows], pa.float64())], ["at", "w"])
+
+    dealt = marks.where(~is_rare) if all_have else marks
+    got = dealt.repartition(tasks).mapInArrow(learned, "at int, w double").groupBy("at").agg(F.sum("w").alias("w")).toArrow()  # a row a weight
+    sums = np.zeros(dim + WORDS + 1)  # the last: rows
+    sums[got["at"].to_numpy()] = got["w"].to_numpy()
+    model = Ranking(centre, spread, sums[:dim] / sums[-1], sums[dim:-1] / sums[-1], 0.0, 1.0)
+
+    def raw(batches):
+        for part in _columns(batches):
+            x, words, _ = _joined([part])
+            yield pa.RecordBatch.from_arrays([pa.array(model.raw(x, words))], ["raw"])
+
+    raws = materialize(marks.mapInArrow(raw, "raw double"), "quality-raw")
+    model.threshold = sum(at_ranks(raws, "raw", [n_bad, n_bad + 1])) / 2
+    model.scale = (raws.agg(F.stddev_pop("raw")).first()[0] + 1e-9) / 4
+    return model
 
 
 def quality_scores(docs: DataFrame, model: Ranking) -> DataFrame:

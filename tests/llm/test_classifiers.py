@@ -122,3 +122,30 @@ def test_words_alone_can_tell_quality(spark):
     df = spark.createDataFrame(docs, DOCS)
     out = pairwise_quality.quality_scores(df, pairwise_quality.fit(df, spark.createDataFrame(labels, LABELS))).collect()
     assert np.mean([x.predicted == int(x.doc_id % 3 > 0) for x in out if x.held_out]) > 0.97
+
+
+def test_every_labelled_row_trains(spark):
+    """Rows dealt over several tasks, the rarer label dealt or known to all: each row is seen, and the threshold is the quantile of all."""
+    docs, labels = corpus()
+    docs, labels = docs[:900], labels[:-2]
+    df = spark.createDataFrame(docs, DOCS)
+    truth = {i: q == 1 for i, q, *_ in labels if zlib.crc32(str(i).encode()) % 3 != 1}
+    texts = {d[0]: d[1] for d in docs}
+    x = np.array([pairwise_quality.figures(texts[i]) for i in truth])
+    for few in (0, 512):
+        model = pairwise_quality.fit(df.repartition(3), spark.createDataFrame(labels, LABELS), share=100, few=few)
+        assert np.allclose(model.centre, x.mean(axis=0)) and np.allclose(model.spread, x.std(axis=0) + 1e-6)
+        found = [pairwise_quality.features(texts[i]) for i in truth]
+        raw = np.sort(model.raw(x, pairwise_quality.Sparse.of([f[1] for f in found], [f[2] for f in found])))
+        bad = sum(not g for g in truth.values())
+        assert np.isclose(model.threshold, (raw[bad - 1] + raw[bad]) / 2) and np.isclose(model.scale * 4, raw.std(), atol=1e-6)
+        seen = {int(k) for f in found for k in f[1]}
+        assert set(np.flatnonzero(model.words)) == seen  # no word of a training row is left out
+
+
+def test_values_at_ranks_with_ties(spark):
+    r = random.Random(2)
+    values = [float(r.choice([1, 1, 1, 2, 5, 9, r.random()])) for _ in range(500)]
+    df = spark.createDataFrame([(v,) for v in values], "raw double").repartition(7)
+    ranks = [1, 2, 250, 251, 499, 500]
+    assert pairwise_quality.at_ranks(df, "raw", ranks) == [sorted(values)[k - 1] for k in ranks]
