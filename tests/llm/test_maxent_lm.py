@@ -168,3 +168,14 @@ def test_places_follow_the_counts():
             assert places[(k << 6) + i] == (k << 6) + min(63, int((done + m[i] / 2) / m.sum() * 64))
             done += float(m[i])
         assert abs(own[k << 6 : (k + 1) << 6].sum() - m.sum()) < 1e-2 * m.sum()
+
+
+def test_what_belongs_to_a_row_is_summed_in_its_order():
+    r = np.random.default_rng(5)
+    rows = np.concatenate([r.integers(0, 40, 300), [1 << 21] * 3, [0]])
+    g = r.standard_normal((len(rows), 4)).astype(np.float32)
+    g[rows == 7] *= np.float32(10.0) ** r.integers(-6, 6, (rows == 7).sum())[:, None].astype(np.float32)
+    own, total = lm.grouped(rows, g)
+    assert own.tolist() == sorted(set(rows.tolist()))
+    for k, row in enumerate(own):
+        assert (total[k] == np.add.reduceat(g[rows == row], [0], axis=0)[0]).all()
