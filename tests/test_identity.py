@@ -172,3 +172,32 @@ def test_replay_of_many_records_with_one_key(spark):
     assert time.perf_counter() - began < 5
     small = [r for r in rows if r[0] < 400]
     assert dict(zip(*I._replay(pd.DataFrame(small, columns=["id", *I.IDENTITIES])).to_dict("list").values())) == replayed(small) and len(got) == len(rows)
+
+
+def clashing(n):
+    """Records of one key, half with a DOI and half with an arXiv id of their own: each fits half of the others, one at most in the end."""
+    return [(i, f"d{i}" if i % 2 else None, None if i % 2 else f"a{i}", None, "same", None) for i in range(n)]
+
+
+def test_few_holders_that_clash_under_one_key_are_replayed(spark):
+    """They used to be too many to try and too few to follow, so that rounds went on without a move."""
+    rows = clashing(112)
+    got = I.groups_in_rounds(spark.createDataFrame(rows, IDS).repartition(3), 115, max_rounds=4)
+    assert {x.id: x.group_id for x in got.collect()} == replayed(rows)
+
+
+def test_replay_of_many_groups_that_clash_under_one_key():
+    import time
+
+    import pandas as pd
+
+    began = time.perf_counter()
+    got = I._replay(pd.DataFrame(clashing(50_000), columns=["id", *I.IDENTITIES]))
+    assert time.perf_counter() - began < 20 and dict(zip(got["id"], got["group_id"])) == {i: i - i % 2 for i in range(50_000)}
+
+
+def test_edges_of_one_task_give_the_same_components(spark):
+    r = random.Random(6)
+    edges = spark.createDataFrame([(r.randrange(300), r.randrange(300)) for _ in range(200)], "u bigint, v bigint").repartition(7)
+    assert sorted(graph.components(edges, alone=1000).collect()) == sorted(graph.components(edges).collect())
+    assert graph.components(edges.where("u < 0"), alone=1000).count() == 0
