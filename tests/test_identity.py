@@ -201,3 +201,11 @@ def test_edges_of_one_task_give_the_same_components(spark):
     edges = spark.createDataFrame([(r.randrange(300), r.randrange(300)) for _ in range(200)], "u bigint, v bigint").repartition(7)
     assert sorted(graph.components(edges, alone=1000).collect()) == sorted(graph.components(edges).collect())
     assert graph.components(edges.where("u < 0"), alone=1000).count() == 0
+
+
+def test_texts_are_digested_before_labels_are_joined(spark):
+    from evidentia.plans.identity import ids
+
+    plan = ids(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Join LeftOuter")
+    assert "sha2(cast(text#" not in above and "sha2(cast(text#" in below
